@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, line_dedup, mixing, toxicity
+from . import chat_format, decontaminate, license_scan, line_dedup, minhash, mixing, pii, topk, toxicity
 from .common import literal_rows, table
 
 
@@ -40,9 +40,37 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def _span(kind: str):
+    return lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"])
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(table(spark, sf_dir, "documents"))
+    listed = lambda kinds: F.array_join(
+        F.concat(*(F.transform(F.array_sort(k), _span(k)) for k in kinds)), ","
+    )
+    counts = (F.size(k).cast("long").alias(f"n_{k}") for k in pii.PATTERNS)
+    return out.select("doc_id", *counts, F.sha2(listed(pii.PATTERNS), 256).alias("base_sha256"), listed(pii.KINDS).alias("spans"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.fair_mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_line_dedup, op4_chat_format, op8_mixing)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_toxicity, op3_line_dedup, op4_chat_format, op5_decontaminate, op6_topk, op7_pii, op8_mixing, op10_minhash)
+}
