@@ -132,8 +132,8 @@ FROM kept GROUP BY doc_id""",
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
       UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
 o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM t),
-e AS (SELECT *, replace(replace(replace(replace(text, '', ''), '<', '\l'), '#', '\h'), ':', '\c') AS body,
-      replace(replace(replace(replace(role, '', ''), '<', '\l'), '#', '\h'), ':', '\c') AS head FROM o)
+e AS (SELECT *, replace(replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h'), ':', '\c') AS body,
+      replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), ':', '\c') AS head FROM o)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(CAST(sum(length(text)) FILTER (WHERE role = 'assistant') AS BIGINT), 0) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
@@ -147,14 +147,14 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transf
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op8_mixing": r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size,
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
       md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS draw FROM documents),
 s AS (SELECT source, sum(size) AS source_size, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM d GROUP BY source),
 c AS (SELECT *, source_size * 2 AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS budget, sum(weight) OVER () AS all_weight,
       coalesce(sum(source_size * 2) OVER o, 0) AS full_before, coalesce(sum(weight) OVER o, 0) AS weight_before
       FROM s WINDOW o AS (ORDER BY source_size * 2 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT *, (budget - full_before) / (all_weight - weight_before) AS v FROM c),
-t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(CAST(cap AS DOUBLE), weight * (SELECT coalesce(min(v) FILTER (WHERE v <= cap / weight), max(cap / weight)) FROM v)) AS target FROM v),
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(CAST(cap AS DOUBLE), weight * (SELECT coalesce(arg_min(v, cap / weight) FILTER (WHERE v <= cap / weight), max(cap / weight)) FROM v)) AS target FROM v),
 q AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS done FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, round(target) - (done - size))) + greatest(0, least(size, round(target) - (done - size) - source_size)) AS BIGINT) AS taken FROM q""",
     "op9_warc": r"""
