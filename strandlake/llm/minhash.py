@@ -7,8 +7,11 @@
 2. Texts with the same set are one class, kept as its smallest doc_id; only classes go on.
 3. Classes that share a band of the signature are candidates. Instead of all pairs of a bucket, its members
    are compared with a hub, and later rounds only compare members that no link has joined yet: pairs inside
-   a connected group can't change the grouping. Round after round takes other hubs; what then still shares a
-   bucket across groups is compared pair by pair. No bucket is capped.
+   a connected group can't change the grouping. Round after round takes other hubs. For members that then still
+   share a bucket across groups an exact prefix filter finds the pairs that can reach the threshold at all: words
+   are ordered by frequency among these members, and a pair must meet in the rarest words that its two sizes leave
+   free to differ. A text full of edits of its own meets nobody there, however large its bucket is. No bucket is
+   capped.
 4. A pair counts only if its full shingle sets reach the threshold. Members' sets travel along the edges and
    hubs join last, so that a hub with very many members is a skewed join that Spark can split.
 5. Groups are found by large-star / small-star rounds on the links, after a union-find inside each partition.
@@ -226,6 +229,44 @@ def components(edges: DataFrame) -> DataFrame:
         e = stored(small.mapInArrow(_local_stars, f"v {kind}, u {kind}").distinct(), "stars")
 
 
+def _elements(sets: DataFrame) -> DataFrame:
+    """rep, g and each element of its set."""
+    kind = sets.schema["rep"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            each = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("s")]
+            at = pa.array(np.repeat(np.arange(len(each)), [len(e) for e in each]))
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(at), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))], names=["rep", "e"])
+
+    return sets.select("rep", "s").mapInArrow(run, f"rep {kind}, e long")
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int, step: float = 1.03) -> DataFrame:
+    """(hub, member) of different groups that a prefix filter can't rule out; members: rep, g.
+
+    Sizes fall into classes, each step times as large as the one before. For partners of one class a set of n elements
+    gives the n - need + 1 rarest, where need is the least overlap with the smallest partner of that class.
+    """
+    elements = stored(_elements(sets.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")), "elements")
+    frequency = stored(elements.groupBy("e").agg(F.count("*").alias("f")), "frequency")
+    ordered = elements.join(frequency, "e").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("o"))
+    n = F.size("o")
+    cls = lambda x: F.floor(F.log(x) / float(np.log(step)) + 1e-9).cast("int")
+    classes = F.sequence(cls(F.ceil(n * (percent / 100) - 1e-6)), cls(F.floor(n * (100 / percent) + 1e-6)))
+    smallest = F.greatest(F.floor(F.pow(F.lit(step), F.col("p")) - 1e-6), F.ceil(F.col("n") * (percent / 100) - 1e-6))
+    need = F.ceil(percent * (F.col("n") + smallest) / (100 + percent) - 1e-6)
+    each = ordered.select("rep", "o", n.alias("n"), cls(n).alias("c"), F.explode(classes).alias("p")).withColumn("free", (F.col("n") - need + 1).cast("int")).where("free > 0")
+    keyed = each.select("rep", "c", F.least("c", "p").alias("low"), F.greatest("c", "p").alias("high"), F.explode(F.slice("o", 1, F.col("free"))).alias("x"))
+    keyed = keyed.select("rep", "c", F.xxhash64("low", "high", "x.e").alias("k"), (F.col("low") == F.col("high")).alias("one"), F.col("x.f").alias("f")).where("f > 1")
+    keyed = stored(keyed.join(members, "rep").select("rep", "g", "c", "one", "k"), "prefixes")
+    mixed = stored(keyed.groupBy("k").agg(F.min("g").alias("low"), F.max("g").alias("high")).where(F.col("low") < F.col("high")).select("k"), "prefix-keys")
+    open_ = stored(keyed.join(mixed, "k"), "prefix-members")
+    a, b = open_.alias("a"), open_.alias("b")
+    differ = (F.col("a.rep") < F.col("b.rep")) & (F.col("a.g") != F.col("b.g")) & (F.col("a.one") | (F.col("a.c") != F.col("b.c")))
+    return a.join(b, (F.col("a.k") == F.col("b.k")) & differ).select(F.col("a.rep").alias("hub"), F.col("b.rep").alias("member")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each document."""
     slim = docs.select("doc_id", "text")
@@ -273,11 +314,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, b
         tested = edges if tested is None else tested.union(edges)
     else:
         open_ = grouped()
-        a, b = open_.alias("a"), open_.alias("b")
-        pairs = a.join(b, F.col("a.bucket") == F.col("b.bucket")).where((F.col("a.rep") < F.col("b.rep")) & (F.col("a.g") != F.col("b.g")))
-        pairs = pairs.select(F.col("a.rep").alias("hub"), F.col("b.rep").alias("member")).distinct()
-        seen = tested.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member"))
-        pairs = stored(pairs.join(seen, ["hub", "member"], "left_anti"), "pairs")
+        pairs = prefix_pairs(stored(open_.select("rep", "g").distinct(), "open-members"), sets, percent)
+        if tested is not None:
+            pairs = pairs.join(tested.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")), ["hub", "member"], "left_anti")
+        pairs = stored(pairs, "pairs")
         if not pairs.isEmpty():
             take(pairs)
     final = classes if groups is None else classes.join(groups, classes.rep == groups.node, "left")

@@ -63,6 +63,13 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == brute_groups(rows)
 
 
+def test_prefix_filter_alone_matches_brute_force(spark):
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted((tuple(r) for r in minhash.near_duplicates(df, rounds=0).collect()), key=str)
+    assert got == brute_groups(rows)
+
+
 def test_near_duplicates_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
