@@ -1,7 +1,7 @@
 """All registered queries of the library and their DuckDB SQL."""
 
-from . import evaluate, intervals
+from . import evaluate, intervals, sequences
 
-MODULES = (intervals, evaluate)
+MODULES = (intervals, evaluate, sequences)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
