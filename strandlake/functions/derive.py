@@ -23,12 +23,14 @@ TABLES = {
         CAST(round(l_extendedprice * 100) AS BIGINT) AS score, CAST(round(l_discount * 100) AS BIGINT) AS divergence,
         CASE WHEN l_linestatus = 'O' THEN l_orderkey % 500 END AS fragment_id, l_orderkey AS row_key, l_linenumber AS row_no
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "domain_hits": """SELECT event_id AS hit_id, user_id AS seq_id,
+    "domain_hits": """SELECT event_id AS hit_id, user_id * 50 + event_id % 41 AS seq_id,
         CASE event_id % 11 WHEN 0 THEN 'GAG' WHEN 1 THEN 'PR' WHEN 2 THEN 'INT' WHEN 3 THEN 'RT' WHEN 4 THEN 'RNaseH' WHEN 5 THEN 'ENV'
             WHEN 6 THEN 'TPase' WHEN 7 THEN 'CHR' WHEN 8 THEN 'EN' WHEN 9 THEN 'ORF1' ELSE 'YR' END AS domain,
         CASE WHEN event_id % 11 = 6 THEN event_type ELSE 'core' END AS class,
         CAST(round(value * 100) AS BIGINT) AS score, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand,
         event_id * 7919 % 86400 AS start, event_id * 7919 % 86400 + 200 + event_id % 300 AS "end" FROM events""",
+    "evidence": """SELECT c_custkey * 5 + CAST(c_nationkey AS BIGINT) AS seq_id, CASE c_custkey % 7 WHEN 0 THEN 'LTR' WHEN 1 THEN 'TIR' WHEN 2 THEN 'polyA' WHEN 3 THEN 'TSD' WHEN 4 THEN 'TIR' WHEN 5 THEN 'LTR' ELSE 'polyT' END AS kind,
+        c_custkey % 5 = 0 AS advisory, c_custkey % 40 AS length, c_custkey * 13 % 20000 AS start, c_custkey * 13 % 20000 + 60000 AS "end" FROM customer""",
     "orfs": """SELECT o_orderkey AS orf_key, o_custkey AS seq_id, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
         o_orderkey % 3 + 1 AS frame, o_orderkey * 37 % 80000 AS start, o_orderkey * 37 % 80000 + 300 + o_orderkey % 600 * 3 AS "end" FROM orders""",
     "exons": """SELECT conv_id AS seq_id, turn, role, CAST(coalesce(sum(length(text) + 50) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
@@ -50,6 +52,7 @@ NEEDS = {
     "passages": ["benchmark"],
     "repeat_hits": ["lineitem", "part"],
     "domain_hits": ["events"],
+    "evidence": ["customer"],
     "orfs": ["orders"],
     "exons": ["conversations"],
     "cases": ["labels", "documents"],

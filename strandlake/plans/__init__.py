@@ -1,7 +1,7 @@
 """All registered queries of the library and their DuckDB SQL."""
 
-from . import evaluate, intervals, sequences
+from . import evaluate, intervals, rollup, sequences
 
-MODULES = (intervals, evaluate, sequences)
+MODULES = (intervals, evaluate, sequences, rollup)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
