@@ -246,7 +246,8 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int, step: float
     """(hub, member) of different groups that a prefix filter can't rule out; members: rep, g.
 
     Sizes fall into classes, each step times as large as the one before. For partners of one class a set of n elements
-    gives the n - need + 1 rarest, where need is the least overlap with the smallest partner of that class.
+    gives the n - need + 1 rarest, where need is the least overlap with the smallest partner of that class. Where two
+    sets meet, what follows in the shorter rest must still reach the overlap that their own sizes need.
     """
     elements = stored(_elements(sets.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")), "elements")
     frequency = stored(elements.groupBy("e").agg(F.count("*").alias("f")), "frequency")
@@ -257,14 +258,15 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int, step: float
     smallest = F.greatest(F.floor(F.pow(F.lit(step), F.col("p")) - 1e-6), F.ceil(F.col("n") * (percent / 100) - 1e-6))
     need = F.ceil(percent * (F.col("n") + smallest) / (100 + percent) - 1e-6)
     each = ordered.select("rep", "o", n.alias("n"), cls(n).alias("c"), F.explode(classes).alias("p")).withColumn("free", (F.col("n") - need + 1).cast("int")).where("free > 0")
-    keyed = each.select("rep", "c", F.least("c", "p").alias("low"), F.greatest("c", "p").alias("high"), F.explode(F.slice("o", 1, F.col("free"))).alias("x"))
-    keyed = keyed.select("rep", "c", F.xxhash64("low", "high", "x.e").alias("k"), (F.col("low") == F.col("high")).alias("one"), F.col("x.f").alias("f")).where("f > 1")
-    keyed = stored(keyed.join(members, "rep").select("rep", "g", "c", "one", "k"), "prefixes")
+    keyed = each.select("rep", "c", F.least("c", "p").alias("low"), F.greatest("c", "p").alias("high"), "n", F.posexplode(F.slice("o", 1, F.col("free"))).alias("i", "x"))
+    keyed = keyed.select("rep", "c", "n", "i", F.xxhash64("low", "high", "x.e").alias("k"), (F.col("low") == F.col("high")).alias("one"), F.col("x.f").alias("f")).where("f > 1")
+    keyed = stored(keyed.join(members, "rep").select("rep", "g", "c", "n", "i", "one", "k"), "prefixes")
     mixed = stored(keyed.groupBy("k").agg(F.min("g").alias("low"), F.max("g").alias("high")).where(F.col("low") < F.col("high")).select("k"), "prefix-keys")
     open_ = stored(keyed.join(mixed, "k"), "prefix-members")
     a, b = open_.alias("a"), open_.alias("b")
     differ = (F.col("a.rep") < F.col("b.rep")) & (F.col("a.g") != F.col("b.g")) & (F.col("a.one") | (F.col("a.c") != F.col("b.c")))
-    return a.join(b, (F.col("a.k") == F.col("b.k")) & differ).select(F.col("a.rep").alias("hub"), F.col("b.rep").alias("member")).distinct()
+    reach = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))
+    return a.join(b, (F.col("a.k") == F.col("b.k")) & differ & reach).select(F.col("a.rep").alias("hub"), F.col("b.rep").alias("member")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, rounds: int = 3) -> DataFrame:
