@@ -14,7 +14,7 @@ TSD_LENGTH = {"Copia": 5, "Gypsy": 5, "hAT": 8, "Tc1/Mariner": 2}
 def xdrop(a: Column, b: Column, x_drop: int = 30) -> Column:
     """Length of the ungapped extension of two strings from their start: +1 for equal known bases, else -2, up to where
     the score falls x_drop below its best; the first best counts."""
-    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when((x == y) & (x != "N"), 1).when((x == "") | (y == ""), None).otherwise(-2))
+    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when((x == "") | (y == ""), None).when((x == y) & (x != "N"), 1).otherwise(-2))
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("score"), F.lit(0).alias("best"), F.lit(0).alias("ext"), F.lit(True).alias("live"))
 
     def step(acc, d):
