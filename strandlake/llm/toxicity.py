@@ -18,7 +18,7 @@ labelled more than once is toxic if any label says so.
 
 from __future__ import annotations
 
-import math
+import re
 import unicodedata
 from collections import Counter
 
@@ -58,17 +58,17 @@ EXCEPTIONS = ("clown fish", "circus clown", "trash can", "trash bag", "trash bin
 FEATURES = "weight double, density double, n_hits int, n_words int"
 
 
-def fold(text: str) -> str:
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    return text.lower().translate(FOLD)
+def plain(text: str) -> str:
+    """Lower case in compatibility form; as long as its folded form."""
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
 
 
-def _words(text: str) -> list[str]:
-    return "".join(c if c.isalnum() else " " for c in fold(text)).split() if not text.isascii() else fold(text).translate(_TO_SPACE).split()
+def fold(text: str) -> str:
+    return plain(text).translate(FOLD)
 
 
-_TO_SPACE = {i: " " for i in range(128) if not chr(i).isalnum()}
+def _words(text: str) -> list[str]:
+    return [w.translate(FOLD) for w in re.findall(r"[^\W_]+", plain(text))]
 
 
 def _count_words(batches):
@@ -94,11 +94,12 @@ def _automaton(lexicon: dict[str, float]):
 
 def matches(automaton, text: str) -> list[tuple[int, int, float]]:
     """(start, end, weight) in the folded text of terms that no exception phrase covers."""
-    folded = fold(text)
+    written = plain(text)
+    folded = written.translate(FOLD)
     hits, shields = [], []
     for end, (n, weight) in automaton.iter(folded):
         start, end = end - n + 1, end + 1
-        if (start and folded[start - 1].isalnum()) or (end < len(folded) and folded[end].isalnum()):
+        if (start and written[start - 1].isalnum()) or (end < len(written) and written[end].isalnum()):
             continue
         (hits if weight else shields).append((start, end, weight))
     return [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e, _ in shields)] if shields else hits
