@@ -167,3 +167,46 @@ def significant_cells(floor: DataFrame, bins: int = 300, most: int = 64) -> Data
 
 def word_size_per_element(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("seq_id").agg(F.greatest(F.lit(6), F.least(F.lit(13), F.min("length").cast("int") - 3)).alias("k"))
+
+
+def xdrop_extend(pairs: DataFrame, x_drop: int = 30) -> DataFrame:
+    """pairs (pair_id, a, b): how far the two strings extend from their start."""
+    return pairs.select("pair_id", xdrop(F.col("a"), F.col("b"), x_drop).alias("ext"))
+
+
+def span_identity(pairs: DataFrame) -> DataFrame:
+    """pairs (pair_id, a, b): equal known bases over the shorter length."""
+    n = F.least(F.length("a"), F.length("b"))
+    return pairs.select("pair_id", matches(F.col("a"), F.col("b")).alias("matches"), n.alias("len"), F.when(n > 0, 100 * matches(F.col("a"), F.col("b")) / n).alias("identity"))
+
+
+def near_miss_repeats(seqs: DataFrame, min_identity: float = 80.0) -> DataFrame:
+    """Direct repeats that fail the identity floor only: reported, never credited."""
+    return terminal_direct_repeats(seqs, min_identity=min_identity).where("advisory").withColumn("threshold", F.lit(min_identity))
+
+
+def inverted_repeat_seeds(seqs: DataFrame, k: int = 11, window: int = 1200, min_anchors: int = 3, max_len: int = 1000, min_identity: float = 80.0) -> DataFrame:
+    """Inverted repeats of the two ends from shared words of one end and the other's reverse complement; the strongest
+    anti-diagonal (place + mirrored place) wins, ties to the smaller."""
+    w = F.least(F.lit(window), F.floor(F.col("n") / 2))
+    placed = words(seqs, k).where(~F.contains("word", F.lit("N"))).withColumn("w", w)
+    five = placed.where(F.col("pos") + k <= F.col("w")).select("seq_id", "n", "word", F.col("pos").alias("i"))
+    three = placed.where(F.col("pos") >= F.col("n") - F.col("w")).select("seq_id", reverse_complement(F.col("word")).alias("word"), F.col("pos").alias("p3"))
+    anchors = five.join(three, ["seq_id", "word"]).withColumn("s", F.col("i") + F.col("p3") + k)
+    sums = anchors.groupBy("seq_id", "s").agg(F.count("*").alias("c"))
+    best = sums.groupBy("seq_id").agg(F.max_by("s", F.struct("c", -F.col("s"))).alias("best"))
+    near = anchors.join(best, "seq_id").where(F.abs(F.col("s") - F.col("best")) <= 4)
+    spans = near.groupBy("seq_id", "n", "best").agg(F.count("*").alias("c"), F.min("i").alias("s5"), (F.max("i") + k).alias("e5")).where(F.col("c") >= min_anchors)
+    s3, e3 = F.col("best") - F.col("e5"), F.col("best") - F.col("s5")
+    length = F.col("e5") - F.col("s5")
+    found = spans.where(length.between(10, max_len) & (s3 >= F.col("e5")) & (e3 <= F.col("n"))).join(seqs.select("seq_id", "seq"), "seq_id")
+    piece = lambda start: F.substring("seq", (start + 1).cast("int"), length.cast("int"))
+    same = matches(piece(F.col("s5")), reverse_complement(piece(s3)))
+    return found.select("seq_id", "s5", "e5", s3.cast("int").alias("s3"), e3.cast("int").alias("e3"), (100 * same / length).alias("identity")).where(F.col("identity") >= min_identity)
+
+
+def record_summary(composition: DataFrame, calls: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row per record: length, GC, class, confidence, architecture and credited structures."""
+    kinds = evidence.where(~F.col("advisory")).groupBy("seq_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("structures"))
+    out = composition.select("seq_id", "length", "gc_pct").join(calls.select("seq_id", "te_class", "confidence", "architecture"), "seq_id", "left").join(kinds, "seq_id", "left")
+    return out.fillna({"te_class": "none", "confidence": "Candidate", "architecture": "", "structures": ""})

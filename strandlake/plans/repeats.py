@@ -5,14 +5,45 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.derive import derive, duck
+from ..operators import profile
 from ..operators import repeats as ops
-from .sequences import seqs
+from ..operators import rollup
+from .rollup import _FLAGS, flags
+from .sequences import _count, seqs
 
 
 def o11_terminal_direct_repeats(spark, d):
     return ops.terminal_direct_repeats(seqs(spark, d))
 
 
+def _pairs(spark, d):
+    """Starts of a sequence and the next one, less its first bases."""
+    s = seqs(spark, d)
+    nxt = s.select((F.col("seq_id") - 1).alias("seq_id"), F.substring("seq", 1, 80).alias("b"))
+    return s.select("seq_id", F.substring("seq", 1, 80).alias("a")).join(nxt, "seq_id").select(F.col("seq_id").alias("pair_id"), "a", "b")
+
+
+def o12_xdrop_extend(spark, d):
+    return ops.xdrop_extend(_pairs(spark, d), 6)
+
+
+def o13_near_miss_repeats(spark, d):
+    return ops.near_miss_repeats(seqs(spark, d), 99.0)
+
+
+def o14_span_identity(spark, d):
+    return ops.span_identity(_pairs(spark, d))
+
+
+def o17_inverted_repeat_seeds(spark, d):
+    return ops.inverted_repeat_seeds(seqs(spark, d))
+
+
+def o43_record_summary(spark, d):
+    calls = rollup.classify_elements(flags(spark, d))
+    return ops.record_summary(profile.composition(seqs(spark, d)), calls, derive(spark, d, "evidence"))
+
+
 def o16_terminal_inverted_repeats(spark, d):
     return ops.terminal_inverted_repeats(seqs(spark, d), min_tir=4)
 
@@ -75,7 +106,16 @@ _MATRIX = _WORDS.format(k=13) + """, ct AS (SELECT seq_id, w FROM wd GROUP BY AL
     mx AS (SELECT a.seq_id, 'forward' AS orientation, a.bin AS bin_i, b.bin AS bin_j, count(*) AS cnt FROM kp a JOIN kp b ON a.seq_id = b.seq_id AND a.w = b.w AND a.p <= b.p GROUP BY ALL
     UNION ALL SELECT a.seq_id, 'reverse', a.bin, b.bin, count(*) FROM (SELECT * REPLACE (reverse(translate(w, 'ACGT', 'TGCA')) AS w) FROM kp) a JOIN kp b ON a.seq_id = b.seq_id AND a.w = b.w GROUP BY ALL)"""
 
+_PAIR = "pr AS (SELECT a.seq_id AS pair_id, substr(a.seq, 1, 80) AS a, substr(b.seq, 1, 80) AS b FROM seqs a JOIN seqs b ON b.seq_id = a.seq_id + 1)"
+
 ORACLES = {
+    "o12_xdrop_extend": duck(f"""WITH {_PAIR}, o AS (SELECT pair_id, unnest(range(1, least(length(a), length(b)) + 1)) AS i, a, b FROM pr), c AS (SELECT pair_id, i, sum(CASE WHEN substr(a, i, 1) = substr(b, i, 1) THEN 1 ELSE -2 END) OVER (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM o),
+        m AS (SELECT *, greatest(0, max(s) OVER (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING)) AS best FROM c), k AS (SELECT *, max(CAST(s < best - 6 AS INT)) OVER (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS dead FROM m),
+        e AS (SELECT pair_id, arg_max(i, (s, -i)) AS ext, max(s) AS top FROM k WHERE dead = 0 GROUP BY pair_id) SELECT pr.pair_id, CAST(CASE WHEN top > 0 THEN ext ELSE 0 END AS INT) AS ext FROM pr LEFT JOIN e USING (pair_id)""", "seqs"),
+    "o14_span_identity": duck(f"""WITH {_PAIR}, n AS (SELECT *, CAST(least(length(a), length(b)) AS INT) AS len FROM pr), h AS (SELECT pair_id, len, CASE WHEN len > 0 THEN CAST(len - hamming(substr(a, 1, len), substr(b, 1, len)) AS INT) ELSE 0 END AS matches FROM n) SELECT *, CASE WHEN len > 0 THEN 100 * matches / len END AS identity FROM h""", "seqs"),
+    "o43_record_summary": duck(f"""WITH {_FLAGS}, k AS (SELECT seq_id, array_to_string(list_sort(list(DISTINCT kind)), ',') AS structures FROM evidence WHERE NOT advisory GROUP BY seq_id)
+        SELECT seqs.seq_id, length(seq) AS length, CASE WHEN length(seq) > 0 THEN 100 * {_count("GC")} / length(seq) ELSE 0 END AS gc_pct, coalesce(te_class, 'none') AS te_class, coalesce(confidence, 'Candidate') AS confidence, coalesce(architecture, '') AS architecture, coalesce(structures, '') AS structures
+        FROM seqs LEFT JOIN con ON con.seq_id = seqs.seq_id LEFT JOIN k ON k.seq_id = seqs.seq_id""", "seqs", "domain_hits", "evidence"),
     "o16_terminal_inverted_repeats": duck(f"WITH {_TIR} SELECT * FROM tir", "seqs"),
     "o18_tail_scan": duck("""WITH t AS (SELECT seq_id, length(seq) AS n, length(seq) - length(rtrim(seq, 'A')) AS a, length(seq) - length(ltrim(seq, 'T')) AS t FROM seqs)
         SELECT seq_id, 'polyA' AS kind, a AS length, n - a AS start, n AS "end" FROM t WHERE a >= 2 UNION ALL SELECT seq_id, 'polyT', t, 0, t FROM t WHERE t >= 2""", "seqs"),
@@ -94,4 +134,4 @@ ORACLES = {
     "o31_normalised_density": duck(f"WITH {_MATRIX}, pk AS (SELECT *, max(cnt) OVER (PARTITION BY seq_id, orientation) AS peak FROM mx) SELECT *, cnt / peak AS density FROM pk WHERE cnt = peak", "seqs"),
 }
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[:1] == "o" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if k[:1] == "o" and k[1:3].isdigit() and k.startswith(("o1", "o2", "o3", "o43"))}
