@@ -14,8 +14,12 @@ TSD_LENGTH = {"Copia": 5, "Gypsy": 5, "hAT": 8, "Tc1/Mariner": 2}
 def xdrop(a: Column, b: Column, x_drop: int = 30) -> Column:
     """Length of the ungapped extension of two strings from their start: +1 for equal known bases, else -2, up to where
     the score falls x_drop below its best; the first best counts."""
+    return _extended(a, b, F.struct(F.lit(0).alias("i"), F.lit(0).alias("score"), F.lit(0).alias("best"), F.lit(0).alias("ext"), F.lit(True).alias("live")), x_drop)["ext"]
+
+
+def _extended(a: Column, b: Column, state: Column, x_drop: int) -> Column:
+    """State of an extension (i, score, best, ext, live) after the next bases a and b."""
     pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when((x == "") | (y == ""), None).when((x == y) & (x != "N"), 1).otherwise(-2))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("score"), F.lit(0).alias("best"), F.lit(0).alias("ext"), F.lit(True).alias("live"))
 
     def step(acc, d):
         score = acc["score"] + d
@@ -25,7 +29,16 @@ def xdrop(a: Column, b: Column, x_drop: int = 30) -> Column:
             (acc["i"] + 1).alias("i"), score.alias("score"), best.alias("best"), F.when(better, acc["i"] + 1).otherwise(acc["ext"]).alias("ext"), (acc["live"] & (score >= best - x_drop)).alias("live")
         )
 
-    return F.aggregate(F.filter(pairs, lambda d: d.isNotNull()), start, step, lambda acc: acc["ext"])
+    return F.aggregate(F.filter(pairs, lambda d: d.isNotNull()), state, step)
+
+
+def _in_pieces(a: Column, b: Column, state: Column, step, piece: int) -> Column:
+    """Fold step(state, piece of a, piece of b) over the whole common length. Pieces grow with the length (64 at most
+    beyond piece * 64 bases), since taking a piece walks the text up to it."""
+    n = F.least(F.length(a), F.length(b))
+    size = F.greatest(F.lit(piece), F.ceil(n / 64).cast("int"))
+    cut = lambda text, i: F.substring(text, i * size + 1, size)
+    return F.aggregate(F.sequence(F.lit(0), F.floor(n / size).cast("int")), state, lambda acc, i: step(acc, cut(a, i), cut(b, i)))
 
 
 def matches(a: Column, b: Column) -> Column:
@@ -169,15 +182,19 @@ def word_size_per_element(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("seq_id").agg(F.greatest(F.lit(6), F.least(F.lit(13), F.min("length").cast("int") - 3)).alias("k"))
 
 
-def xdrop_extend(pairs: DataFrame, x_drop: int = 30) -> DataFrame:
-    """pairs (pair_id, a, b): how far the two strings extend from their start."""
-    return pairs.select("pair_id", xdrop(F.col("a"), F.col("b"), x_drop).alias("ext"))
+def xdrop_extend(pairs: DataFrame, x_drop: int = 30, piece: int = 256) -> DataFrame:
+    """pairs (pair_id, a, b): how far the two strings extend from their start. Pieces after the drop are not looked at."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("score"), F.lit(0).alias("best"), F.lit(0).alias("ext"), F.lit(True).alias("live"))
+    step = lambda acc, a, b: F.when(acc["live"], _extended(a, b, acc, x_drop)).otherwise(acc)
+    return pairs.select("pair_id", _in_pieces(F.col("a"), F.col("b"), start, step, piece)["ext"].alias("ext"))
 
 
-def span_identity(pairs: DataFrame) -> DataFrame:
+def span_identity(pairs: DataFrame, piece: int = 1024) -> DataFrame:
     """pairs (pair_id, a, b): equal known bases over the shorter length."""
     n = F.least(F.length("a"), F.length("b"))
-    return pairs.select("pair_id", matches(F.col("a"), F.col("b")).alias("matches"), n.alias("len"), F.when(n > 0, 100 * matches(F.col("a"), F.col("b")) / n).alias("identity"))
+    same = _in_pieces(F.col("a"), F.col("b"), F.lit(0), lambda acc, a, b: acc + matches(a, b), piece)
+    counted = pairs.select("pair_id", same.alias("matches"), n.alias("len"))
+    return counted.withColumn("identity", F.when(F.col("len") > 0, 100 * F.col("matches") / F.col("len")))
 
 
 def near_miss_repeats(seqs: DataFrame, min_identity: float = 80.0) -> DataFrame:

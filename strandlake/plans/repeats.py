@@ -17,10 +17,10 @@ def o11_terminal_direct_repeats(spark, d):
 
 
 def _pairs(spark, d):
-    """Starts of a sequence and the next one, less its first bases."""
-    s = seqs(spark, d)
-    nxt = s.select((F.col("seq_id") - 1).alias("seq_id"), F.substring("seq", 1, 80).alias("b"))
-    return s.select("seq_id", F.substring("seq", 1, 80).alias("a")).join(nxt, "seq_id").select(F.col("seq_id").alias("pair_id"), "a", "b")
+    """A sequence and the next one, whole."""
+    s = seqs(spark, d).select("seq_id", "seq")
+    nxt = s.select((F.col("seq_id") - 1).alias("seq_id"), F.col("seq").alias("b"))
+    return s.withColumnRenamed("seq", "a").join(nxt, "seq_id").select(F.col("seq_id").alias("pair_id"), "a", "b")
 
 
 def o12_xdrop_extend(spark, d):
