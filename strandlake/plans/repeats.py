@@ -91,7 +91,7 @@ def o30_word_size_per_element(spark, d):
 
 
 def o31_normalised_density(spark, d):
-    return ops.normalised_density(ops.self_similarity_matrix(seqs(spark, d), k=13, bins=20)).where("density = 1")
+    return ops.normalised_density(ops.self_similarity_matrix(seqs(spark, d), k=13, bins=20))
 
 
 _TIR = """lim AS (SELECT seq_id, least(1000, length(seq) // 2) AS l, seq FROM seqs WHERE length(seq) >= 8),

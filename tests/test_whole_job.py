@@ -1,8 +1,8 @@
 """Registered queries and operators do the whole job: plain loops over small given tables, nothing cut off."""
 
 import random
+from collections import Counter
 
-from pyspark.sql import functions as F
 from strandlake import plans
 
 
@@ -35,3 +35,25 @@ def test_pairs_are_whole_sequences(spark, tmp_path):
         hits = sum(x == y for x, y in pairs)
         assert ext[i] == far and same[i] == (hits, len(pairs), 100 * hits / len(pairs) if pairs else None)
     assert max(ext.values()) > 20_000
+
+
+def test_density_of_every_cell(spark, tmp_path):
+    rng = random.Random(22)
+    unit = bases(rng, 60)
+    texts = [unit * 3 + bases(rng, 100) + unit, bases(rng, 200), "acgt", "ab" * 40]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r)[:4]: (r["cnt"], r["peak"], r["density"]) for r in plans.QUERIES["o31_normalised_density"](spark, str(tmp_path)).select("seq_id", "orientation", "bin_i", "bin_j", "cnt", "peak", "density").collect()}
+    want = Counter()
+    for s, seq in enumerate(map(as_seq, texts)):
+        words = [(p, seq[p : p + 13]) for p in range(len(seq) - 12)]
+        often = Counter(w for _, w in words)
+        for p, v in words:
+            for q, w in words:
+                cell = p * 20 // len(seq), q * 20 // len(seq)
+                if often[v] <= 120 and often[w] <= 120:
+                    want[s, "forward", *cell] += v == w and p <= q
+                    want[s, "reverse", *cell] += v[::-1].translate(str.maketrans("ACGT", "TGCA")) == w
+    want = {k: n for k, n in want.items() if n}
+    peak = {k[:2]: max(n for j, n in want.items() if j[:2] == k[:2]) for k in want}
+    assert got == {k: (n, peak[k[:2]], n / peak[k[:2]]) for k, n in want.items()}
+    assert any(d < 1 for _, _, d in got.values())
