@@ -4,11 +4,13 @@ Base spans (e-mail, IPv4, card and phone numbers) come from patterns that are ch
 without Python: ``split`` gives the stretches between matches, ``regexp_extract_all`` the matches, and running
 lengths the offsets (in code points).
 
-A term reveals a protected entity when the corpus says so. For a term t in the ``window`` words before or after an
-entity e: n(t, e) documents hold both so, n(t) hold t anywhere, n(e) hold e. The term is disclosed where the first
-are ``min_support`` distinct texts at least, P(e | t) = n(t, e) / n(t) >= ``min_share`` and
+A term reveals a protected entity when the corpus says so. Most values stand in one text only, which is no evidence, so
+values are counted in pools too: each value e alone, with those of its owner (domain of an e-mail address, /24 network
+of an IP, first 6 digits of a card, first 4 of a phone number), and with all of its kind. For a term t in the ``window``
+words before or after an entity of pool e: n(t, e) documents hold both so, n(t) hold t anywhere, n(e) hold e. The term
+is disclosed where the first are ``min_support`` distinct texts at least, P(e | t) = n(t, e) / n(t) >= ``min_share`` and
 log2(P(e | t) / P(e)) >= ``min_bits``.
-Disclosed terms are spans of kind ``term`` wherever they stand in the window of that entity; entities are replaced by
+Disclosed terms are spans of kind ``term`` wherever they stand in the window of an entity of that pool; entities are replaced by
 their kind, terms by ``[TERM]`` or, where they are numbers, generalised to their magnitude (digits after the first
 become 0).
 
@@ -111,8 +113,23 @@ def term_hash(term: Column) -> Column:
     return F.xxhash64(ascii_lower(term))
 
 
+def _owner(e: Column) -> Column:
+    """What values of one owner share: the domain of an e-mail address, or the first digits of a number."""
+    return (
+        F.when(e["kind"] == "email", ascii_lower(F.substring_index(e["value"], "@", -1)))
+        .when(e["kind"] == "ip", F.substring_index(e["value"], ".", 3))
+        .otherwise(F.substring(_digits(e["value"]), F.lit(1), F.when(e["kind"] == "card", 6).otherwise(4)))
+    )
+
+
+def pools(e: Column) -> Column:
+    """Hashes of what an entity counts for: its value, its owner, its kind."""
+    return F.array(F.xxhash64(e["kind"], e["value"]), F.xxhash64(e["kind"], F.lit("owner"), _owner(e)), F.xxhash64(e["kind"]))
+
+
 def contexts(found: DataFrame, window: int, reach: int = 400) -> DataFrame:
-    """One row for each word within window words of an entity: doc_id, h, entity, term, start, end.
+    """One row for each word within window words of an entity, and each pool of it: doc_id, h, entity (the pool), term,
+    start, end.
 
     reach: characters looked at on either side (window words seldom take more; a longer word is cut and ignored).
     """
@@ -122,7 +139,7 @@ def contexts(found: DataFrame, window: int, reach: int = 400) -> DataFrame:
     sided = each.select(
         "doc_id",
         "h",
-        F.xxhash64("e.kind", "e.value").alias("entity"),
+        pools(F.col("e")).alias("entity"),
         F.explode(
             F.array(
                 F.struct(before_at.alias("at"), F.substring("text", before_at.cast("int") + 1, (F.col("e.start") - before_at).cast("int")).alias("side"), F.lit(True).alias("before")),
@@ -149,7 +166,8 @@ def contexts(found: DataFrame, window: int, reach: int = 400) -> DataFrame:
     # Punctuation at the ends of a word is no part of the term.
     lead = F.length(F.regexp_extract("w.value", r"^[\p{Punct}]*", 0))
     core = F.regexp_replace("w.value", r"^[\p{Punct}]+|[\p{Punct}]+$", "")
-    return out.select("doc_id", "h", "entity", term_hash(core).alias("term"), (F.col("w.start") + lead).alias("start"), (F.col("w.start") + lead + F.length(core)).alias("end"), F.length(core).alias("n")).where("n > 1").drop("n")
+    placed_terms = out.select("doc_id", "h", "entity", term_hash(core).alias("term"), (F.col("w.start") + lead).alias("start"), (F.col("w.start") + lead + F.length(core)).alias("end"), F.length(core).alias("n")).where("n > 1").drop("n")
+    return placed_terms.withColumn("entity", F.explode("entity"))
 
 
 def disclosed_terms(docs: DataFrame, near: DataFrame, min_support: int, min_share: float, min_bits: float) -> DataFrame:

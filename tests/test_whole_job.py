@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 from strandlake import plans
+from strandlake.llm import pii
 
 
 def bases(rng, n):
@@ -57,3 +58,22 @@ def test_density_of_every_cell(spark, tmp_path):
     peak = {k[:2]: max(n for j, n in want.items() if j[:2] == k[:2]) for k in want}
     assert got == {k: (n, peak[k[:2]], n / peak[k[:2]]) for k, n in want.items()}
     assert any(d < 1 for _, _, d in got.values())
+
+
+def term_spans(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc_id"]: {t[s["start"] : s["end"]] for s in r["term"]} for r in pii.find_pii(docs).collect() for d, t in rows if d == r["doc_id"]}
+
+
+def test_terms_of_values_that_stand_in_one_text_each(spark):
+    rng = random.Random(23)
+    filler = [f"common{i}" for i in range(30)]
+    some = lambda n: " ".join(rng.choices(filler, k=n))
+    rows = [(i, some(30)) for i in range(200)]
+    rows += [(1000 + i, f"{some(12)} Mailbox: p{i}@host{i}.org {some(12)}") for i in range(4)]
+    rows += [(2000 + i, f"{some(12)} Zebulon works q{i}@acme.org {some(12)}") for i in range(4)]
+    rows += [(3000 + i, f"{some(12)} works {some(12)}") for i in range(9)]
+    rows += [(4000, f"{some(12)} once r@else.net {some(12)}")]
+    got = term_spans(spark, rows)
+    assert all(got[1000 + i] == {"Mailbox"} and got[2000 + i] == {"Zebulon"} for i in range(4))
+    assert all(not v for d, v in got.items() if not 1000 <= d < 3000)
