@@ -131,38 +131,59 @@ def contexts(found: DataFrame, window: int, reach: int = 400) -> DataFrame:
     """One row for each word within window words of an entity, and each pool of it: doc_id, h, entity (the pool), term,
     start, end.
 
-    reach: characters looked at on either side (window words seldom take more; a longer word is cut and ignored).
+    reach: characters looked at first; where they do not hold window words and the white space behind them, four times
+    as many, and so on up to the end of the text, so no word is cut or left out. Words before are taken from the turned text.
     """
     entities = F.concat(*(_tagged(k) for k in PATTERNS))
     each = found.select("doc_id", "h", "text", F.explode(entities).alias("e"))
-    before_at = F.greatest(F.lit(0).cast("bigint"), F.col("e.start") - reach)
+    heads = rf"^(?:\s*+\S++){{0,{window}}}+"
+    full = rf"^(?:\s*+\S++){{{window}}}\s"
+    first, last = F.col("e.start"), F.col("e.end")
+
+    def before(n):
+        n = F.least(n, first)
+        return F.reverse(F.substring("text", (first - n).cast("int") + 1, n.cast("int")))
+
+    def after(n):
+        return F.substring("text", last.cast("int") + 1, F.least(n, F.lit((1 << 31) - 1)).cast("int"))
+
+    def head(side, all_of):
+        def wider(acc, _):
+            enough = side(acc["n"]).rlike(full) | all_of(acc["n"])
+            return F.when(acc["done"], acc).otherwise(F.when(enough, F.struct(acc["n"].alias("n"), F.lit(True).alias("done"))).otherwise(F.struct((acc["n"] * 4).alias("n"), F.lit(False).alias("done"))))
+
+        # 12 steps: beyond any length of a string
+        start = F.struct(F.lit(reach).cast("bigint").alias("n"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, wider, lambda acc: F.regexp_extract(side(acc["n"]), heads, 0))
+
     sided = each.select(
         "doc_id",
         "h",
         pools(F.col("e")).alias("entity"),
         F.explode(
             F.array(
-                F.struct(before_at.alias("at"), F.substring("text", before_at.cast("int") + 1, (F.col("e.start") - before_at).cast("int")).alias("side"), F.lit(True).alias("before")),
-                F.struct(F.col("e.end").alias("at"), F.substring("text", F.col("e.end").cast("int") + 1, F.lit(reach)).alias("side"), F.lit(False).alias("before")),
+                F.struct(first.alias("at"), head(before, lambda n: n >= first).alias("side"), F.lit(True).alias("before")),
+                F.struct(last.alias("at"), head(after, lambda n: F.length(after(n)) < n).alias("side"), F.lit(False).alias("before")),
             )
         ).alias("s"),
     ).select("doc_id", "h", "entity", "s.*")
-    # Words and what separates them, in turn: running lengths give the places.
+    # Words and what separates them, in turn: running lengths give the distances from the entity.
     words = F.regexp_extract_all("side", F.lit(r"[^\s]+"), F.lit(0))
     gaps = F.split("side", r"[^\s]+", -1)
     pairs = F.filter(F.zip_with(words, gaps, lambda w, g: F.struct(w.alias("w"), F.length(g).alias("g"))), lambda p: p["w"].isNotNull())
     placed = F.aggregate(
         pairs,
-        F.struct(F.col("at").alias("at"), F.array().cast(SPAN).alias("out")),
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out")),
         lambda acc, p: F.struct(
             (acc["at"] + p["g"] + F.length(p["w"])).alias("at"),
             F.concat(acc["out"], F.array(F.struct((acc["at"] + p["g"]).alias("start"), (acc["at"] + p["g"] + F.length(p["w"])).alias("end"), p["w"].alias("value")))).alias("out"),
         ),
         lambda acc: acc["out"],
     )
-    n = F.size("placed")
-    near = F.when(F.col("before"), F.slice("placed", F.greatest(F.lit(1), n - window + 1), window)).otherwise(F.slice("placed", 1, window))
-    out = sided.select("doc_id", "h", "entity", "before", placed.alias("placed")).select("doc_id", "h", "entity", F.explode(near).alias("w"))
+    turned = lambda w: F.struct((F.col("at") - w["end"]).alias("start"), (F.col("at") - w["start"]).alias("end"), F.reverse(w["value"]).alias("value"))
+    forth = lambda w: F.struct((F.col("at") + w["start"]).alias("start"), (F.col("at") + w["end"]).alias("end"), w["value"].alias("value"))
+    near = F.when(F.col("before"), F.transform("placed", turned)).otherwise(F.transform("placed", forth))
+    out = sided.select("doc_id", "h", "entity", "at", "before", placed.alias("placed")).select("doc_id", "h", "entity", F.explode(near).alias("w"))
     # Punctuation at the ends of a word is no part of the term.
     lead = F.length(F.regexp_extract("w.value", r"^[\p{Punct}]*", 0))
     core = F.regexp_replace("w.value", r"^[\p{Punct}]+|[\p{Punct}]+$", "")

@@ -1,6 +1,8 @@
 """Registered queries and operators do the whole job: plain loops over small given tables, nothing cut off."""
 
 import random
+import re
+import string
 from collections import Counter
 
 from strandlake import plans
@@ -77,3 +79,25 @@ def test_terms_of_values_that_stand_in_one_text_each(spark):
     got = term_spans(spark, rows)
     assert all(got[1000 + i] == {"Mailbox"} and got[2000 + i] == {"Zebulon"} for i in range(4))
     assert all(not v for d, v in got.items() if not 1000 <= d < 3000)
+
+
+def test_windows_are_words_however_long(spark):
+    rng = random.Random(24)
+    rows = [(1, "a@b.org"), (2, "x" * 3000 + " mid " + "é" * 900 + ",c@d.org)" + "z" * 700 + " \U0001f600end")]
+    parts = ["w", "é\U0001f600", "(two)", "l" * 150, "k" * 2000]
+    for i in range(40):
+        side = lambda n: " ".join(rng.choice(parts) + str(rng.randrange(90)) for _ in range(n))
+        rows.append((10 + i, side(rng.randrange(14)) + rng.choice(("", " ", "\n\t ")) + f"(m{i}@h.org)" + rng.choice(("", "  ", ",")) + side(rng.randrange(14))))
+    found = pii.base_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r["doc_id"], r["start"], r["end"]) for r in pii.contexts(found, 8).collect()}
+    want = set()
+    for d, t in rows:
+        for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", t):
+            before = [(w.start(), w[0]) for w in re.finditer(r"\S+", t[: m.start()])][-8:]
+            after = [(m.end() + w.start(), w[0]) for w in re.finditer(r"\S+", t[m.end() :])][:8]
+            for at, w in before + after:
+                core = w.strip(string.punctuation)
+                lead = len(w) - len(w.lstrip(string.punctuation))
+                if len(core) > 1:
+                    want.add((d, at + lead, at + lead + len(core)))
+    assert got == want and max(e - s for _, s, e in got) >= 3000
