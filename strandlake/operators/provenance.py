@@ -17,8 +17,15 @@ def seal(df: DataFrame, key: str, exclude: tuple[str, ...] = VOLATILE) -> DataFr
 
 
 def table_seal(seals: DataFrame, key: str) -> DataFrame:
-    """Per key prefix of a seal (256 shards): rows and a hash that follows their content, not their order."""
-    return seals.groupBy(F.substring("seal", 1, 2).alias("shard")).agg(F.count("*").alias("n"), F.bit_xor(F.conv(F.substring("seal", 3, 13), 16, 10).cast("long")).alias("digest"))
+    """Per key prefix of a seal (256 shards): rows and a hash of the sorted row hashes.
+
+    Equal seals are one entry with their count, so they can't cancel. Hashed level by level: first the entries of each
+    longer prefix (65,536 of them), then those hashes per shard.
+    """
+    listed = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n"), 256)
+    entries = seals.groupBy("seal").agg(F.count("*").alias("n"))
+    ranges = entries.groupBy(F.substring("seal", 1, 4).alias("range")).agg(F.sum("n").alias("n"), listed(F.concat_ws(":", "seal", "n")).alias("h"))
+    return ranges.groupBy(F.substring("range", 1, 2).alias("shard")).agg(F.sum("n").alias("n"), listed(F.concat_ws(":", "range", "h")).alias("digest"))
 
 
 def seal_audit(runs: DataFrame) -> DataFrame:

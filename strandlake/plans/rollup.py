@@ -80,7 +80,7 @@ def o61_seal(spark, d):
 
 
 def o61_table_seal(spark, d):
-    return provenance.table_seal(provenance.seal(_manifest(spark, d), "run_id"), "run_id").select("shard", "n")
+    return provenance.table_seal(provenance.seal(_manifest(spark, d), "run_id"), "run_id")
 
 
 def o62_seal_audit(spark, d):

@@ -1,5 +1,7 @@
 """Registered queries and operators do the whole job: plain loops over small given tables, nothing cut off."""
 
+import datetime
+import hashlib
 import random
 import re
 import string
@@ -7,6 +9,7 @@ from collections import Counter
 
 from strandlake import plans
 from strandlake.llm import pii
+from strandlake.operators import provenance
 
 
 def bases(rng, n):
@@ -101,3 +104,28 @@ def test_windows_are_words_however_long(spark):
                 if len(core) > 1:
                     want.add((d, at + lead, at + lead + len(core)))
     assert got == want and max(e - s for _, s, e in got) >= 3000
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def table_seal(seals):
+    out = {}
+    for shard in {s[:2] for s in seals}:
+        n = Counter(s for s in seals if s[:2] == shard)
+        hashes = {r: sha("\n".join(sorted(f"{s}:{c}" for s, c in n.items() if s[:4] == r))) for r in {s[:4] for s in n}}
+        out[shard] = sum(n.values()), sha("\n".join(sorted(f"{r}:{h}" for r, h in hashes.items())))
+    return out
+
+
+def test_table_seal_counts_equal_seals(spark, tmp_path):
+    orders = [(i, i % 7, "OFP"[i % 3], datetime.date(2020, 1, 1 + i % 28), f"{i % 5}-P") for i in range(900)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    seals = [r["seal"] for r in plans.QUERIES["o61_seal"](spark, str(tmp_path)).collect()]
+    got = {r["shard"]: (r["n"], r["digest"]) for r in plans.QUERIES["o61_table_seal"](spark, str(tmp_path)).collect()}
+    assert got == table_seal(seals) and len(set(seals)) < len(seals)
+    # a pair of equal seals in place of another of the same shard
+    a, b, c = "ab" + "1" * 62, "ab" + "2" * 62, "ab1" + "3" * 61
+    digest = lambda rows: provenance.table_seal(spark.createDataFrame(list(enumerate(rows)), "k int, seal string"), "k").collect()
+    assert digest([a, a, c]) != digest([b, b, c]) and digest([a, c, a]) == digest([c, a, a])
