@@ -9,6 +9,9 @@ when it holds at least ``theta`` of the template's distinct words (containment).
    template; only blocks with such a word are made at all.
 3. Length and positional filters drop pairs that cannot reach ``need`` common words.
 4. The rest is verified on the full sets.
+5. Templates whose words another label's template nearly holds (its siblings: lgpl and gpl, cc-by-nc and cc-by-sa) are
+   told apart: ``told`` of a match says whether the block holds a word of the template that the sibling lacks, for
+   every sibling. ``told_apart`` keeps such matches only; ``license_scan`` itself lists all that reach ``theta``.
 
 Base phrases are consecutive words anywhere in the text. The template list bounds everything that is
 sent to the driver or broadcast; the corpus is never shuffled by word.
@@ -64,7 +67,9 @@ def _ordered_templates(tokens: DataFrame, templates, theta: float) -> tuple[list
     for label, text in templates:
         words = sorted(set(text.split()), key=rank.get)
         need = math.ceil(theta * len(words) - 1e-9)
-        out.append({"label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1]})
+        siblings = [set(other.split()) for name, other in templates if name != label and len(set(words) & set(other.split())) >= need]
+        marks = [[w for w in words if w not in s] for s in siblings]
+        out.append({"label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1], "marks": marks})
     return out, rank
 
 
@@ -90,7 +95,7 @@ def license_scan(
     docs: DataFrame, templates=TEMPLATES, theta: float = 0.8, stride: int = 64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: n_words, n_base, first_word, last_word, base_labels, labels, score and
-    ``matches``, an array of (label, first word of the block, containment)."""
+    ``matches``, an array of (label, first word of the block, containment, told)."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
         "doc_id",
@@ -123,8 +128,8 @@ def license_scan(
 
     index = literal_rows(
         spark,
-        [(w, i, len(t["words"]), t["need"], t["label"], t["words"]) for t in ordered for i, w in enumerate(t["prefix"])],
-        "w string, i int, t_size int, need int, label string, t_words array<string>",
+        [(w, i, len(t["words"]), t["need"], t["label"], t["words"], t["marks"]) for t in ordered for i, w in enumerate(t["prefix"])],
+        "w string, i int, t_size int, need int, label string, t_words array<string>, marks array<array<string>>",
     )
     size = F.size("held")
     found = (
@@ -132,11 +137,12 @@ def license_scan(
         .where((size >= F.col("need")) & (1 + F.least(F.col("t_size") - F.col("i") - 1, size - F.col("j") - 1) >= F.col("need")))
         .withColumn("common", F.size(F.array_intersect("held", "t_words")))
         .where(F.col("common") >= F.col("need"))
+        .withColumn("told", F.forall("marks", lambda m: F.arrays_overlap("held", m)))
         .groupBy("doc_id", "h")
         .agg(
             F.max(F.col("common") / F.col("t_size")).alias("best"),
             F.collect_set("label").alias("found"),
-            F.collect_set(F.struct("label", (F.col("block") * stride).alias("at"), (F.col("common") / F.col("t_size")).alias("containment"))).alias("matches"),
+            F.collect_set(F.struct("label", (F.col("block") * stride).alias("at"), (F.col("common") / F.col("t_size")).alias("containment"), "told")).alias("matches"),
         )
     )
     joined = digest.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.h") == F.col("f.h")), "left")
@@ -151,3 +157,16 @@ def license_scan(
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
         F.array_sort("matches").alias("matches"),
     )
+
+
+def told_apart(scanned: DataFrame) -> DataFrame:
+    """Result of license_scan with labels and score from base phrases and the matches that are told from siblings."""
+    sure = F.filter(F.coalesce("matches", F.array().cast(scanned.schema["matches"].dataType)), lambda m: m["told"])
+    base = F.array_remove(F.split("base_labels", ","), "")
+    return scanned.withColumns(
+        {
+            "labels": F.array_join(F.array_sort(F.array_union(base, F.transform(sure, lambda m: m["label"]))), ","),
+            "score": F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform(sure, lambda m: m["containment"])), F.lit(0.0))),
+            "matches": F.when(F.size(sure) > 0, sure),
+        }
+    )

@@ -10,7 +10,7 @@ from .common import literal_rows, stored, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = license_scan.license_scan(table(spark, sf_dir, "documents"))
+    out = license_scan.told_apart(license_scan.license_scan(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 

@@ -8,7 +8,8 @@ import string
 from collections import Counter
 
 from strandlake import plans
-from strandlake.llm import pii
+from strandlake.llm import license_scan, pii
+from strandlake.llm import queries as llm
 from strandlake.operators import provenance
 
 
@@ -129,3 +130,25 @@ def test_table_seal_counts_equal_seals(spark, tmp_path):
     a, b, c = "ab" + "1" * 62, "ab" + "2" * 62, "ab1" + "3" * 61
     digest = lambda rows: provenance.table_seal(spark.createDataFrame(list(enumerate(rows)), "k int, seal string"), "k").collect()
     assert digest([a, a, c]) != digest([b, b, c]) and digest([a, c, a]) == digest([c, a, a])
+
+
+def test_licenses_are_told_from_their_siblings(spark, tmp_path):
+    want = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+        "Licensed under the GNU Lesser General Public License.": "gpl,lgpl",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa",
+        "Licensed under CC BY 4.0.": "cc-by",
+        "Licensed under CC BY-NC 4.0. Licensed under CC BY-SA 4.0.": "cc-by,cc-by-nc,cc-by-sa",
+        "Released under the MIT License.": "mit",
+        "Nothing.": "",
+        "": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in llm.QUERIES["op1_license_scan"](spark, str(tmp_path)).collect()}
+    assert got == {i: (labels, 1.0 if labels else 0.0) for i, labels in enumerate(want.values())}
+    # every template's own words give its label, and those of no sibling
+    own = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(license_scan.TEMPLATES)], "doc_id long, text string")
+    for r in license_scan.told_apart(license_scan.license_scan(own)).collect():
+        assert {m["label"] for m in r["matches"]} == {license_scan.TEMPLATES[r["doc_id"]][0]}
