@@ -112,10 +112,12 @@ def o96_verdict_matrix(spark, d):
 
 
 def o97_differential_agreement(spark, d):
+    """All lines on both sides; orders without lines are the inputs for which both are empty."""
     items = derive(spark, d, "lineitem")
-    a = items.where("l_quantity > 45").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("int").alias("q"))
-    b = items.where("l_quantity > 45").select("l_orderkey", "l_partkey", F.when(F.col("l_discount") > 0.09, 0).otherwise(F.col("l_quantity").cast("int")).alias("q"))
-    return ops.differential_agreement(a, b, ["l_orderkey"], items)
+    a = items.select("l_orderkey", "l_partkey", F.col("l_quantity").cast("int").alias("q"))
+    b = items.select("l_orderkey", "l_partkey", F.when(F.col("l_discount") > 0.09, 0).otherwise(F.col("l_quantity").cast("int")).alias("q"))
+    inputs = derive(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")).union(items.select("l_orderkey"))
+    return ops.differential_agreement(a, b, ["l_orderkey"], inputs)
 
 
 def o98_call_changes(spark, d):

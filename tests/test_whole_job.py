@@ -152,3 +152,14 @@ def test_licenses_are_told_from_their_siblings(spark, tmp_path):
     own = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(license_scan.TEMPLATES)], "doc_id long, text string")
     for r in license_scan.told_apart(license_scan.license_scan(own)).collect():
         assert {m["label"] for m in r["matches"]} == {license_scan.TEMPLATES[r["doc_id"]][0]}
+
+
+def test_agreement_compares_all_lines(spark, tmp_path):
+    rng = random.Random(25)
+    lines = [(k, rng.randrange(9), float(rng.randrange(1, 51)), rng.randrange(11) / 100) for k in range(60) for _ in range(rng.randrange(4))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in range(60)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    moved = {k for k, _, _, discount in lines if discount > 0.09}
+    keys = {k for k, *_ in lines}
+    got = plans.QUERIES["o97_differential_agreement"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(len(keys - moved), len(moved), 60 - len(keys))] and moved and len(keys) < 60
