@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where it is unset a temporary one serves a single local process (tests); a
+    cluster has to name one, since executors can't see the driver's own folders."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -57,3 +61,9 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     text = json.dumps([{name: value for (name, _), value in zip(fields, row)} for row in rows])
     kind = ",".join(f"{name}:{of}" for name, of in fields)
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+
+
+def packed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Whole rows as one struct ``d`` beside the hash ``h`` of their text, so that no input column clashes with columns
+    that an operator adds; ``select("d.*")`` gives the rows back."""
+    return docs.select(F.struct("*").alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))

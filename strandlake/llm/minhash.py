@@ -4,7 +4,7 @@
    and a SuperMinHash signature: layer j of every element puts ``j + r`` into the slot that the element's
    random permutation names at j; layers stop once no slot can fall any more. For sets of many elements that is
    one or two layers instead of one per slot.
-2. Texts with the same set are one class, kept as its smallest doc_id; only classes go on.
+2. Texts with the same set are one class, whatever their ids; classes are numbered and only they go on.
 3. Classes that share a band of the signature are candidates. Instead of all pairs of a bucket, its members
    are compared with a hub, and later rounds only compare members that no link has joined yet: pairs inside
    a connected group can't change the grouping. Round after round takes other hubs. For members that then still
@@ -19,7 +19,8 @@
 Lineage is cut by tables in the shared folder. Nothing but counts reaches the driver.
 
 Defined results: texts without words (or null) have an empty set and stay alone; rows of equal sets are linked
-whatever their doc_id; a null doc_id has a null component_id and is kept; repeated rows get equal results; an
+whatever their doc_id; rows that share a doc_id but not a text are nodes of their own, each with its own group; a
+null doc_id links like any other row, but has a null component_id and is kept; repeated rows get equal results; an
 empty table gives an empty table; other columns are ignored.
 """
 
@@ -130,7 +131,7 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the set, null where empty) and bands."""
+    """doc_id, text_hash, n_shingles, key (digest of the set, null where empty) and bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -142,22 +143,23 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 hashes.append(band_hashes(super_minhash(s, bands * rows), bands, rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "bands"]
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "key", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, key binary, bands array<long>")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, key binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and its set as bytes of sorted 64-bit hashes."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """key (digest) and the set as bytes of sorted 64-bit hashes, for each text with words."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), k).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "s"])
+            sets = [x.tobytes() for x in (shingle_set(t.as_py(), k) for t in batch.column("text")) if len(x)]
+            keys = [hashlib.blake2b(x, digest_size=16).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, s binary")
+    return docs.select("text").mapInArrow(run, "key binary, s binary")
 
 
 def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,8 +183,8 @@ def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out = batch.select(["hub", "member"]).filter(pa.array(keep, pa.bool_()))
             yield out
 
-    hubs = sets.select(F.col("doc_id").alias("hub"), F.col("s").alias("hub_set"))
-    both = edges.join(sets.withColumnRenamed("doc_id", "member"), "member").join(hubs, "hub")
+    hubs = sets.select(F.col("rep").alias("hub"), F.col("s").alias("hub_set"))
+    both = edges.join(sets.select(F.col("rep").alias("member"), "s"), "member").join(hubs, "hub")
     return both.select("hub", "member", "hub_set", "s").mapInArrow(run, f"hub {kind}, member {kind}")
 
 
@@ -249,7 +251,7 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int, step: float
     gives the n - need + 1 rarest, where need is the least overlap with the smallest partner of that class. Where two
     sets meet, what follows in the shorter rest must still reach the overlap that their own sizes need.
     """
-    elements = stored(_elements(sets.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")), "elements")
+    elements = stored(_elements(sets.join(members, "rep")), "elements")
     frequency = stored(elements.groupBy("e").agg(F.count("*").alias("f")), "frequency")
     ordered = elements.join(frequency, "e").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("o"))
     n = F.size("o")
@@ -270,17 +272,23 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int, step: float
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, rounds: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each document."""
+    """doc_id, n_shingles, component_id and kept for each document, and the text_hash that tells rows of one id apart."""
     slim = docs.select("doc_id", "text")
-    sig = stored(signatures(slim, k, bands, rows), "signatures")
-    classes = stored(sig.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sig.where(F.col("key").isNotNull()).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    banded = stored(reps.select(F.col("doc_id").alias("rep"), F.explode(F.array_distinct("bands")).alias("bucket")), "bands")
+    sig = stored(signatures(slim.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))), k, bands, rows), "signatures")
+    # A class is a distinct set, whatever ids its rows have: it gets a number of its own, fixed by writing the table.
+    by_set = sig.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"))
+    classes = stored(by_set.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    banded = stored(classes.select("rep", F.explode(F.array_distinct("bands")).alias("bucket")), "bands")
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where(F.col("low") < F.col("high"))
     # Members of buckets that hold more than one class, each with its group so far: itself.
     members = stored(banded.join(stored(shared.select("bucket"), "shared"), "bucket"), "members")
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(shingle_sets(slim.join(ids, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "sets")
+    wanted = stored(classes.join(members.select("rep").distinct(), "rep").select("rep", "key", "first_id"), "wanted")
+    # One text of each class is read again: a row of its smallest id; of classes without any id, each distinct text.
+    with_id = slim.join(wanted.where(F.col("first_id").isNotNull()).select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    without = sig.where(F.col("doc_id").isNull()).join(wanted.where(F.col("first_id").isNull()).select("key"), "key").select("text_hash").distinct()
+    hashed = slim.where(F.col("doc_id").isNull()).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(without, "text_hash", "left_semi")
+    texts = with_id.select("text").union(hashed.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text")).select("text"))
+    sets = stored(shingle_sets(texts, k).join(wanted.select("rep", "key"), "key").dropDuplicates(["rep"]).select("rep", "s"), "sets")
     links = groups = None
 
     def grouped():
@@ -322,8 +330,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, b
         pairs = stored(pairs, "pairs")
         if not pairs.isEmpty():
             take(pairs)
-    final = classes if groups is None else classes.join(groups, classes.rep == groups.node, "left")
-    final = stored(final.select("key", (F.col("rep") if groups is None else F.coalesce("component", "rep")).alias("component_id")), "groups")
-    out = sig.select("doc_id", "n_shingles", "key").join(final, "key", "left")
+    if groups is None:
+        final = classes.select("key", F.col("first_id").alias("component_id"))
+    else:
+        grouped_classes = stored(classes.join(groups, classes.rep == groups.node, "left").select("key", "first_id", F.coalesce("component", "rep").alias("g")), "groups")
+        smallest = grouped_classes.groupBy("g").agg(F.min("first_id").alias("component_id"))
+        final = stored(grouped_classes.join(smallest, "g").select("key", "component_id"), "group-ids")
+    out = sig.select("doc_id", "n_shingles", "key", "text_hash").join(final, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
