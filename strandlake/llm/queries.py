@@ -57,8 +57,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda kinds: F.array_join(
         F.concat(*(F.transform(F.array_sort(k), _span(k)) for k in kinds)), ","
     )
-    counts = (F.size(k).cast("long").alias(f"n_{k}") for k in pii.PATTERNS)
-    return out.select("doc_id", *counts, F.sha2(listed(pii.PATTERNS), 256).alias("base_sha256"), listed(pii.KINDS).alias("spans"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select(
+        "doc_id", *counts[:4], F.sha2(listed(pii.PATTERNS), 256).alias("base_sha256"), listed(pii.KINDS).alias("spans"), *counts[4:], sum(F.size(k) for k in pii.KINDS).cast("long").alias("n_spans")
+    )
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

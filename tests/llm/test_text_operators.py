@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 from strandlake.llm import chat_format, license_scan, line_dedup, mixing, pii, toxicity, warc
 from strandlake.llm.queries import _span
@@ -83,6 +84,72 @@ def test_pii_terms_and_sanitising(spark):
             assert "Zebulon" not in clean[d] and "([TERM]) 40000" in clean[d] and "[EMAIL]" in clean[d] and "common" in clean[d]
 
 
+SECRET = r"(?:token|secret|passwd|password|api_key|apikey|api-key|access_key|auth_key|private_key)[\"']? {0,2}[:=] {0,2}[\"']?(?<![A-Za-z0-9+/_.~=-])([A-Za-z0-9+/_.~-]{12,})"
+WORD = r"[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
+
+
+def entities(t):
+    out = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base_spans(t).split(",") if x)]
+    return out + [("secret", *m.span(1)) for m in re.finditer(SECRET, t) if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])]
+
+
+def brute_terms(rows, window=8, min_support=3, min_share=0.5, min_bits=4.0):
+    """Spans of disclosed terms by row, by loops over all words."""
+    near, n_te, n_t, n_e, texts = [], {}, {}, {}, {}
+    for d, t in rows:
+        t, here = t or "", set()
+        for w in set(re.findall(WORD, low(t))):
+            n_t[w] = n_t.get(w, 0) + 1
+        for kind, a, b in entities(t):
+            v = t[a:b]
+            digits = re.sub("[^0-9]", "", v)
+            owner = {"email": low(v.split("@")[-1]), "ip": ".".join(v.split(".")[:3]), "card": digits[:6], "phone": digits[:4], "secret": v}[kind]
+            before = [m.span() for m in re.finditer(WORD, t[:a]) if m.end() < a][-window:]
+            after = [(m.start() + b, m.end() + b) for m in re.finditer(WORD, t[b:]) if m.start()][:window]
+            for s, e in before + after:
+                if e - s > 1:
+                    here |= {(low(t[s:e]), pool, s, e) for pool in ((kind, v), (kind, "owner", owner), (kind,))}
+        near.append(here)
+        for w, pool in {x[:2] for x in here}:
+            n_te[w, pool] = n_te.get((w, pool), 0) + 1
+            texts.setdefault((w, pool), set()).add(t)
+        for pool in {x[1] for x in here}:
+            n_e[pool] = n_e.get(pool, 0) + 1
+    told = {
+        (w, pool) for (w, pool), n in n_te.items() if len(texts[w, pool]) >= min_support and n / n_t[w] >= min_share and np.log2(n / n_t[w] * len(rows) / n_e[pool]) >= min_bits
+    }
+    return [sorted({(s, e) for w, pool, s, e in here if (w, pool) in told}) for here in near]
+
+
+def test_pii_terms_match_brute_force(spark):
+    rng = random.Random(21)
+    filler = [f"word{i}" for i in range(60)] + ["éa", "x", "ΑΣ"]
+    some = lambda n: " ".join(rng.choices(filler, k=n))
+    rows = [(i, some(20)) for i in range(150)] + [(None, None), (500, ""), (501, "zeb@mail.org"), (502, "a" * 30_000 + " lead me@here.org " + "b" * 30_000)]
+    for i in range(6):
+        rows.append((600 + i, f"{some(5)} user=Zebulon,zeb@mail.org {some(9)} x12.3.4.{i} Ōsaka"))
+        rows.append((700 + i, f"{some(3)} badge\t{70 + i}-Kestrel/ {'w' * 61} {'v' * 700} {some(4)} +44 20 555 {1000 + i}, {some(5)} Kestrel"))
+        rows.append((800 + i, f"{some(12)} vault {'api_key' if i % 2 else 'token'} = \"{rng.getrandbits(120):030x}\" falcon {some(3)} token: internationalization"))
+    once = pii.find_pii(spark.createDataFrame(rows, DOCS))
+    got = sorted(((r["doc_id"], [tuple(s) for s in r["term"]], [(s["start"], s["end"]) for s in r["secret"]]) for r in once.collect()), key=str)
+    secrets = [sorted((a, b) for k, a, b in entities(t or "") if k == "secret") for _, t in rows]
+    want = sorted(((d, terms, s) for (d, _), terms, s in zip(rows, brute_terms(rows), secrets)), key=str)
+    assert got == want
+    assert sum(bool(x[1]) for x in want) >= 17 and sum(bool(x[2]) for x in want) == 6
+    # rows that are there three times change nothing
+    again = pii.find_pii(spark.createDataFrame(rows * 3, DOCS))
+    assert sorted(((r["doc_id"], [tuple(s) for s in r["term"]], [(s["start"], s["end"]) for s in r["secret"]]) for r in again.collect()), key=str) == sorted(want * 3, key=str)
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    rows = [(1, "mail zeb@mail.org now", "a", "b", "c", "d"), (2, None, None, None, None, None), (None, "at 10.0.0.1", "a", "b", "c", "d"), (1, "mail zeb@mail.org now", "e", "f", "g", "h")]
+    docs = spark.createDataFrame(rows, DOCS + ", spans string, __h string, h string, d string")
+    clean = pii.sanitise(docs, pii.find_pii(docs))
+    assert clean.columns == docs.columns
+    want = [(r[0], r[1] and r[1].replace("zeb@mail.org", "[EMAIL]").replace("10.0.0.1", "[IP]"), *r[2:]) for r in rows]
+    assert sorted((tuple(r) for r in clean.collect()), key=str) == sorted(want, key=str)
+
+
 def test_chat_formatting(spark):
     nasty = ["\\", "<|>", "</turn>\n", "### user:\n", "\\b\\l\\h", "", "é\U0001f600", "a:b#c<d", None, "\\### Assistant: </turn> ok"]
     rng = random.Random(10)
