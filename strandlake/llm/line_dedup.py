@@ -13,7 +13,8 @@ Texts are only joined to the (small) lists of lines to remove, and only once.
 Lines are compared by a 64-bit hash of their trimmed, lower-cased form with white space runs made one space.
 Blank lines never count. Defined results: null text stays null; a null site counts as a site of its own; a
 document that loses all lines keeps its row with an empty text; repeated rows are treated alike; documents
-without id never own a line; an empty table gives an empty table; other columns pass through.
+without id never own a line; an empty table gives an empty table; other columns pass through, whatever their names, but
+for input columns called ``n_lines`` or ``n_removed``, which the counts replace.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import packed, stored
 
 
 def _line_hash(line):
@@ -52,7 +53,7 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = 6, lg_k: int = 9, margi
 def dedup_lines(docs: DataFrame, min_sites: int = 6, site_col: str = "source", lg_k: int = 9, margin: float = 0.15) -> DataFrame:
     """docs with the boilerplate lines taken out of text; adds n_lines and n_removed."""
     marks = F.transform(F.split("text", "\n"), _line_hash)
-    slim = docs.select("doc_id", F.col(site_col).alias("site"), F.xxhash64("text").alias("h"), F.array_compact(marks).alias("lines"))
+    slim = docs.select("doc_id", F.col(site_col).alias("site"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.array_compact(marks).alias("lines"))
     lines = stored(slim.select("doc_id", "site", "h", F.explode("lines").alias("line")), "lines")
     found = stored(boilerplate_lines(lines, min_sites, lg_k, margin), "boilerplate")
     hot_at = F.lit(lines.count() / 1000)
@@ -65,12 +66,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = 6, site_col: str = "source", l
     # hot lines are gone from this side before its shuffle
     others = flagged.where(~F.col("is_hot")).select("doc_id", "h", "line").join(rest.select("line", "owner"), "line")
     doomed = known.unionByName(others).where(~F.coalesce(F.col("doc_id") == F.col("owner"), F.lit(False)))
-    gone = doomed.groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone"))
-    here = docs.withColumn("__h", F.xxhash64("text")).alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.__h") == F.col("g.h")), "left")
-    parts = F.split("text", "\n")
+    gone = doomed.groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"), "gone")
+    here = packed(docs).join(gone, F.col("d.doc_id").eqNullSafe(F.col("g_id")) & (F.col("h") == F.col("g_h")), "left")
+    parts = F.split("d.text", "\n")
     keep = F.filter(parts, lambda p: ~F.coalesce(F.array_contains("gone", _line_hash(p)), F.lit(False)))
-    out = here.select(*(F.col(f"d.`{c}`") for c in docs.columns), "gone")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(F.array_join(keep, "\n"))
     n_lines = F.coalesce(F.size(F.filter(parts, lambda p: _line_hash(p).isNotNull())), F.lit(0))
     n_gone = F.coalesce(F.when(F.col("gone").isNotNull(), F.size(parts) - F.size(keep)), F.lit(0))
-    return out.withColumns({"n_lines": n_lines, "n_removed": n_gone, "text": text}).select(*docs.columns, "n_lines", "n_removed")
+    out = here.select(F.col("d").withField("text", text).alias("d"), n_lines.alias("n_lines"), n_gone.alias("n_removed"))
+    return out.select(*(F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")

@@ -69,10 +69,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of a second replica in which records were damaged by a rule on their id: of 16, one has its first letter
-    changed, one is cut to half, one is lost, and one stands in the second replica only."""
+    """Audit of a second replica in which a few records were damaged by a rule on their id: of 512, one has its first
+    letter changed, one is cut to half, one is lost, and one stands in the second replica only. Ids and sizes are those
+    read from the records themselves."""
     records = warc.to_records(table(spark, sf_dir, "pages"))
-    fate = F.conv(F.substring("record_id", 32, 1), 16, 10).cast("int")
+    parsed = F.regexp_extract(F.substring_index("record", warc.CRLF * 2, 1), r"<urn:md5:([0-9a-f]*)>", 1)
+    records = records.select("page_id", parsed.alias("record_id"), "record")
+    fate = F.conv(F.substring("record_id", 30, 3), 16, 10).cast("int") % 512
     copy = (
         F.when(fate == 0, F.concat(F.lit("V"), F.substring("record", 2, 1 << 30)))
         .when(fate == 1, F.substring("record", F.lit(1), F.floor(F.length("record") / 2).cast("int")))
@@ -163,7 +166,7 @@ SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, round(tar
 WITH r AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS record_id FROM pages),
 w AS (SELECT page_id, record_id, replace('WARC/1.0~WARC-Type: response~WARC-Record-ID: <urn:md5:' || record_id || '>~WARC-Target-URI: ', '~', chr(13) || chr(10)) || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)
       || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM r),
-m AS (SELECT page_id, record_id, strlen(record) AS length, sha256(record) AS digest, CAST('0x' || record_id[32:32] AS BIGINT) AS fate, strlen(substr(record, 1, length(record) // 2)) AS half FROM w),
+m AS (SELECT page_id, record_id, strlen(record) AS length, sha256(record) AS digest, CAST('0x' || record_id[30:32] AS BIGINT) % 512 AS fate, strlen(substr(record, 1, length(record) // 2)) AS half FROM w),
 f AS (SELECT *, CAST('0x' || md5(record_id || '|' || digest)[1:8] AS BIGINT) % greatest(1, (SELECT ceil(count(*) / 2048.0)::BIGINT FROM m)) AS file FROM m),
 l AS (SELECT *, row_number() OVER o - 1 AS seq, CAST(coalesce(sum(length) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM f WINDOW o AS (PARTITION BY file ORDER BY record_id, digest, page_id))
 SELECT page_id, record_id, file, seq, start, start + length AS "end", CASE fate WHEN 2 THEN 'missing' WHEN 3 THEN 'extra' ELSE 'altered' END AS status FROM l WHERE fate <= 3""",

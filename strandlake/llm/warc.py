@@ -4,6 +4,8 @@
 offset, ``parse_records`` reads record text back. An index row of a replica is (file, seq, start, length, copies,
 digest): what a crawler's index keeps of each record, with the digest of the bytes found there now.
 
+``write_warc`` writes archive files and ``read_warc`` reads WARC files, plain or gzipped, record by record.
+
 ``merkle_tree`` hashes records with their offset ranges into leaves and each ``fan`` neighbours in order into a node,
 level by level inside each file, then over the files in order up to one root. ``audit`` compares the roots of two
 replicas and descends only into branches that differ: a level's nodes are read where their parent differs.
@@ -58,6 +60,43 @@ def parse_records(records: DataFrame) -> DataFrame:
     return records.select("page_id", F.regexp_extract(head, r"<urn:md5:([0-9a-f]*)>", 1).alias("record_id"), field("WARC-Target-URI").alias("url"), body.alias("html"))
 
 
+def write_warc(records: DataFrame, path: str) -> None:
+    """Records (file, seq, record) as archive files: one text part per file number, records in order."""
+    body = F.substring("record", F.lit(1), F.length("record") - 4)  # the two line ends after a record are the separator
+    records.repartition("file").sortWithinPartitions("file", "seq").select("file", body.alias("value")).write.partitionBy("file").option("lineSep", CRLF + CRLF).text(path)
+
+
+def read_warc(spark, path: str) -> DataFrame:
+    """path, start (offset in the unpacked file), type, record_id, url, length and digest of each record's bytes, and its
+    body, for the WARC files under path; bodies are found by their Content-Length, so they may hold anything."""
+    names = ["path", "start", "type", "record_id", "url", "length", "digest", "body"]
+
+    def parse(batches):
+        import gzip
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+                at, rows = 0, []
+                while (at := data.find(b"WARC/1.", at)) >= 0:
+                    stop = data.find(b"\r\n\r\n", at)
+                    if stop < 0:
+                        break
+                    head = dict(line.split(": ", 1) for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
+                    size = int(head.get("Content-Length", 0))
+                    end = min(len(data), stop + 4 + size + 4)
+                    record = data[at:end]
+                    rows.append((name, at, head.get("WARC-Type"), head.get("WARC-Record-ID"), head.get("WARC-Target-URI"), len(record), hashlib.sha256(record).hexdigest(), data[stop + 4 : stop + 4 + size]))
+                    at = end
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=pa.schema([(n, {"start": pa.int64(), "length": pa.int64(), "body": pa.binary()}.get(n, pa.string())) for n in names]))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(parse, "path string, start long, type string, record_id string, url string, length long, digest string, body binary")
+
+
 def lay_out(digests: DataFrame, per_file: int = 2048) -> DataFrame:
     """Deal records (page_id, record_id, length, digest and others) to files: adds copies, file, seq and start."""
     rest = [c for c in digests.columns if c not in ("page_id", "record_id", "length", "digest")]
@@ -98,13 +137,18 @@ def merkle_tree(index: DataFrame, inside: int, over: int, fan: int = 16) -> list
     return levels
 
 
-def audit(first: DataFrame, second: DataFrame, fan: int = 16) -> DataFrame:
-    """page_id, record_id, file, seq, start, end and status of each record that differs between two replicas."""
+def audit(first: DataFrame, second: DataFrame, fan: int = 16, nodes_read: list[int] | None = None) -> DataFrame:
+    """page_id, record_id, file, seq, start, end and status of each record that differs between two replicas.
+
+    nodes_read: a list that takes the number of nodes of the first replica compared on each level, from the root down.
+    """
     inside, over = shape(first, second, fan=fan)
     a, b = merkle_tree(first, inside, over, fan), merkle_tree(second, inside, over, fan)
     branches = None  # at the root: all
     for level in range(inside + over, -1, -1):
         x, y = (t[level] if branches is None else t[level].join(branches, KEYS, "left_semi") for t in (a, b))
+        if nodes_read is not None:
+            nodes_read.append(x.count())
         found = _compare(x, y)
         if level == 0:
             return found.select("page_id", "record_id", "file", F.col("idx").alias("seq"), "start", "end", "status")

@@ -1,5 +1,6 @@
 """Native operators against plain Python on small tables with nulls, ties, repeats, long and empty texts."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -167,7 +168,12 @@ def test_chat_formatting(spark):
         assert back[c]["loss_text"] == "".join(x for r, x in want if r == "assistant")
         roles = [r for r, _ in want]
         assert back[c]["formatted"].count("</turn>\n") == sum(i == 0 or r != roles[i - 1] for i, r in enumerate(roles))
+    for r in chat_format.format_chats(df).collect():
+        assert "".join(s["piece"] for s in r["segments"]) == r["formatted"]
     assert chat_format.format_chats(df.limit(0)).count() == 0
+    long = [(1, i, ("user", "user", "assistant")[i % 3], f"{i}<|>" + "y" * (200_000 if i == 7 else 20)) for i in range(3000)]
+    one = chat_format.read_back(chat_format.format_chats(spark.createDataFrame(long, "conv_id long, turn long, role string, text string"))).collect()[0]
+    assert [tuple(t) for t in one["turns"]] == [r[2:] for r in long] and one["loss_text"] == "".join(r[3] for r in long if r[2] == "assistant")
 
 
 def test_line_dedup(spark):
@@ -175,7 +181,10 @@ def test_line_dedup(spark):
     rows = [(i, f"own line {i}\n{nav}\nedge\nlast {i}" if i % 2 else f"own line {i}\n\n{nav.lower()}", f"s{i % 8}") for i in range(40)]
     rows = [(d, t.replace("edge\n", "edge\n" if d % 8 < 7 and d in (1, 3, 5, 7, 9) else ""), s) for d, t, s in rows]
     rows += [(50, None, "s1"), (51, "", None), (52, nav, None), (None, nav, "s1"), (53, "x\n" * 5000, "s2"), (1, rows[1][1], "s1")]
-    out = line_dedup.dedup_lines(clash(spark, rows, DOCS + ", source string", "n_lines_"), min_sites=6)
+    clashing = spark.createDataFrame([(*r, "a", "b", "c", "d", "e") for r in rows], DOCS + ", source string, gone string, h string, d string, __h string, n_lines string")
+    out = line_dedup.dedup_lines(clashing, min_sites=6)
+    assert out.columns == ["doc_id", "text", "source", "gone", "h", "d", "__h", "n_lines", "n_removed"]
+    assert {tuple(r) for r in out.select("gone", "h", "d", "__h").collect()} == {("a", "b", "c", "d")}
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
     sites, owner = {}, {}
     key = lambda line: re.sub(r"\s+", " ", line.lower()).strip()
@@ -235,10 +244,34 @@ def test_warc_round_trip_and_audit(spark):
     got = {(r["page_id"], r["status"]) for r in warc.audit(index, damaged, fan=4).collect()}
     assert got == {(17, "missing"), (5, "altered"), (99, "altered")}
     assert {(r["page_id"], r["status"]) for r in warc.audit(damaged, index, fan=4).collect()} == {(17, "extra"), (5, "altered"), (99, "altered")}
+    # only the children of nodes that differ are read: three leaves that differ lie in three parents at most
+    read: list[int] = []
+    warc.audit(index, damaged, fan=4, nodes_read=read).count()
+    assert read[0] == 1 and all(n <= 4 * 3 for n in read) and read[-1] <= 12 < index.count() / 10
+    intact: list[int] = []
+    warc.audit(index, index, fan=4, nodes_read=intact).count()
+    assert intact == [1] + [0] * (len(intact) - 1)
     assert warc.audit(index.limit(0), index.limit(0)).count() == 0
     assert warc.audit(index, index.limit(0), fan=4).count() == index.count()
 
 
+def test_warc_files(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"<p>é {i}</p>\r\n\r\nWARC/1.0\r\n" * (i % 3)) for i in range(40)] + [(99, "http://long", "x" * 300_000)]
+    records = warc.to_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    files = records.select(F.pmod("page_id", F.lit(3)).alias("file"), F.col("page_id").alias("seq"), "record")
+    warc.write_warc(files, str(tmp_path / "plain"))
+    whole = b"".join(r["record"].encode() for r in files.orderBy("seq").collect())
+    (tmp_path / "packed").mkdir()
+    (tmp_path / "packed" / "a.warc.gz").write_bytes(gzip.compress(whole[:10_000]) + gzip.compress(whole[10_000:]))
+    want = sorted((f"http://h/{i}" if i < 99 else "http://long", h) for i, _, h in rows)
+    for folder in ("plain", "packed"):
+        back = warc.read_warc(spark, str(tmp_path / folder)).collect()
+        assert sorted((r["url"], bytes(r["body"]).decode()) for r in back) == want
+        assert {r["type"] for r in back} == {"response"} and sum(r["length"] for r in back) == len(whole)
+    starts = sorted((r["start"], r["length"], r["digest"]) for r in back)
+    assert all(hashlib.sha256(whole[a : a + n]).hexdigest() == x for a, n, x in starts)
+
+
 def test_toxicity(spark):
     rng = random.Random(12)
     words = [f"plain{i}" for i in range(200)]
