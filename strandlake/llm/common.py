@@ -56,10 +56,11 @@ def alnum_words(text: Column) -> Column:
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A few rows as a DataFrame without Python workers; schema as in "a int, b array<string>"."""
+    """A few rows as a DataFrame without Python workers; schema as in "a int, b array<string>", with ; between the
+    fields of structs."""
     fields = [field.split(" ", 1) for field in schema.split(", ")]
     text = json.dumps([{name: value for (name, _), value in zip(fields, row)} for row in rows])
-    kind = ",".join(f"{name}:{of}" for name, of in fields)
+    kind = ",".join(f"{name}:{of}" for name, of in fields).replace(";", ",")
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
 
 

@@ -9,9 +9,12 @@ when it holds at least ``theta`` of the template's distinct words (containment).
    template; only blocks with such a word are made at all.
 3. Length and positional filters drop pairs that cannot reach ``need`` common words.
 4. The rest is verified on the full sets.
-5. Templates whose words another label's template nearly holds (its siblings: lgpl and gpl, cc-by-nc and cc-by-sa) are
-   told apart: ``told`` of a match says whether the block holds a word of the template that the sibling lacks, for
-   every sibling. ``told_apart`` keeps such matches only; ``license_scan`` itself lists all that reach ``theta``.
+5. ``told`` of a match says whether the block tells the template from the others. Three rules, each a number of words
+   that the block must or must not hold: ``theta`` of the words that no other label's template has (``mit`` in "released
+   under the mit license"); for every sibling, a template of another label that the template nearly holds (lgpl and gpl),
+   a word that the sibling lacks; and, for every longer template of another label that holds all of this one's words
+   (cc-by and cc-by-nc), not all of what that one has besides. ``told_apart`` keeps such matches only; ``license_scan``
+   itself lists all that reach ``theta``.
 
 Base phrases are consecutive words anywhere in the text. The template list bounds everything that is
 sent to the driver or broadcast; the corpus is never shuffled by word.
@@ -43,13 +46,20 @@ TEMPLATES = (
     ("apache-2.0", "you may not use this file except in compliance with the license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("lgpl", "licensed under the gnu lesser general public license"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose is hereby granted"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal"),
@@ -67,12 +77,22 @@ def _ordered_templates(tokens: DataFrame, templates, theta: float) -> tuple[list
     for label, text in templates:
         words = sorted(set(text.split()), key=rank.get)
         need = math.ceil(theta * len(words) - 1e-9)
-        siblings = [set(other.split()) for name, other in templates if name != label and len(set(words) & set(other.split())) >= need]
-        marks = [[w for w in words if w not in s] for s in siblings]
-        out.append({"label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1], "marks": marks})
+        rules = telling_rules(label, set(words), templates, theta)
+        out.append({"label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1], "rules": rules})
     return out, rank
 
 
+def telling_rules(label: str, words: set[str], templates, theta: float) -> list[tuple[int, int, list[str]]]:
+    """(least, most, words): how many of these words a block that holds the template must hold."""
+    others = [set(text.split()) for name, text in templates if name != label]
+    need = math.ceil(theta * len(words) - 1e-9)
+    own = words - set().union(*others)
+    rules = [(math.ceil(theta * len(own) - 1e-9), len(own), sorted(own))]
+    rules += [(1, len(words - o), sorted(words - o)) for o in others if need <= len(words & o) < len(words)]
+    rules += [(0, len(o - words) - 1, sorted(o - words)) for o in others if words < o]
+    return rules
+
+
 def _places(words: Column, phrase: tuple[str, ...], label: str) -> Column:
     def start(w, i):
         here = w == phrase[0]
@@ -128,8 +148,8 @@ def license_scan(
 
     index = literal_rows(
         spark,
-        [(w, i, len(t["words"]), t["need"], t["label"], t["words"], t["marks"]) for t in ordered for i, w in enumerate(t["prefix"])],
-        "w string, i int, t_size int, need int, label string, t_words array<string>, marks array<array<string>>",
+        [(w, i, len(t["words"]), t["need"], t["label"], t["words"], [{"least": a, "most": b, "words": w} for a, b, w in t["rules"]]) for t in ordered for i, w in enumerate(t["prefix"])],
+        "w string, i int, t_size int, need int, label string, t_words array<string>, rules array<struct<least:int;most:int;words:array<string>>>",
     )
     size = F.size("held")
     found = (
@@ -137,7 +157,7 @@ def license_scan(
         .where((size >= F.col("need")) & (1 + F.least(F.col("t_size") - F.col("i") - 1, size - F.col("j") - 1) >= F.col("need")))
         .withColumn("common", F.size(F.array_intersect("held", "t_words")))
         .where(F.col("common") >= F.col("need"))
-        .withColumn("told", F.forall("marks", lambda m: F.arrays_overlap("held", m)))
+        .withColumn("told", F.forall("rules", lambda r: F.size(F.array_intersect("held", r["words"])).between(r["least"], r["most"])))
         .groupBy("doc_id", "h")
         .agg(
             F.max(F.col("common") / F.col("t_size")).alias("best"),

@@ -102,10 +102,17 @@ QUERIES = {
 
 def _op1_sql() -> str:
     values = ", ".join(f"({n}, '{label}', '{word}', {len(set(text.split()))})" for n, (label, text) in enumerate(license_scan.TEMPLATES) for word in sorted(set(text.split())))
+    rules = ", ".join(
+        f"({n}, {i}, {least}, {most}, '{word}')"
+        for n, (label, text) in enumerate(license_scan.TEMPLATES)
+        for i, (least, most, words) in enumerate(license_scan.telling_rules(label, set(text.split()), license_scan.TEMPLATES, 0.8))
+        for word in words
+    )
     return f"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
 t(n, label, word, size) AS (VALUES {values}),
+r(n, rule, least, most, word) AS (VALUES {rules}),
 w AS (SELECT doc_id, len(words) AS n_words, greatest(0, CAST(ceil(len(words) / 64.0) AS INT) - 2) AS last, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS p FROM docs),
 nexts AS (SELECT *, lead(word) OVER o AS w1, lead(word, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
 base AS (SELECT doc_id, p, CASE WHEN word = 'cc' AND w1 = 'by' THEN 'cc-by' WHEN word = 'general' AND w1 = 'public' AND w2 = 'license' THEN 'gpl'
@@ -114,7 +121,10 @@ b AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_wo
 blocks AS (SELECT DISTINCT doc_id, word, unnest([least(last, p // 64), greatest(0, p // 64 - 1)]) AS block FROM w WHERE word IN (SELECT word FROM t)),
 m AS (SELECT doc_id, block, n, any_value(label) AS label, count(*) / any_value(size) AS c, count(*) AS common, any_value(size) AS size
       FROM blocks JOIN t USING (word) GROUP BY doc_id, block, n),
-found AS (SELECT doc_id, max(c) AS best, list(DISTINCT label) AS labels FROM m WHERE common >= ceil(0.8 * size - 1e-9) GROUP BY doc_id)
+near AS (SELECT * FROM m WHERE common >= ceil(0.8 * size - 1e-9)),
+wrong AS (SELECT DISTINCT doc_id, block, n FROM (SELECT near.doc_id, near.block, near.n, r.rule, r.least, r.most, count(b.word) AS held FROM near JOIN r ON r.n = near.n
+          LEFT JOIN blocks b ON b.doc_id = near.doc_id AND b.block = near.block AND b.word = r.word GROUP BY ALL) WHERE held < least OR held > most),
+found AS (SELECT doc_id, max(c) AS best, list(DISTINCT label) AS labels FROM near ANTI JOIN wrong USING (doc_id, block, n) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(b.n_base, 0) AS n_base, CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word,
        coalesce(array_to_string(b.labels, ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ',') AS labels,

@@ -4,10 +4,15 @@ Folding undoes disguises: compatibility forms, homoglyphs and digit substitution
 per look-alike class (``l``, ``1``, ``i``, ``!`` and ``|`` are one class), lexicon and text alike. A term
 counts where it stands as a whole word and no exception phrase covers it.
 
-The lexicon is learnt: log odds of a word's document frequency in toxic against other labelled documents.
+The lexicon is learnt: log odds of a word's document frequency in toxic against other labelled documents, for words
+whose share of toxic documents is no chance: by the Chernoff bound fewer than ``alpha`` words of the whole vocabulary
+would reach it if labels were drawn at random. Exception phrases are a lexicon word with the word before or after it:
+some are fixed, the others learnt, where the phrase stands in ``min_exception`` documents that are not toxic and its
+share of toxic ones is no higher than that of all documents.
 The weights of a text's matches, as a sum and normalised by its length, feed a logistic model. Both are fitted
 on at most ``max_train`` labelled documents, drawn by hash: a bounded, documented sample; exact copies count
-once. What reaches the driver is the lexicon (``max_terms``) and three numbers per sampled document.
+once. What reaches the driver is the lexicon and as many learnt phrases (``max_terms`` each) and three numbers per sampled
+document.
 Scoring reads each whole text once, without a shuffle.
 
 Defined results: a null or empty text matches nothing and gets the score of such texts; a null doc_id is
@@ -20,7 +25,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
+from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -55,6 +63,7 @@ FOLD = {ord(c): letter for letter, chars in LOOK_ALIKES.items() for c in chars}
 #: Phrases in which a lexicon word says nothing bad.
 EXCEPTIONS = ("clown fish", "circus clown", "trash can", "trash bag", "trash bin", "take out the trash", "pond scum", "soap scum", "idiot proof", "sore loser")
 
+_EDGE = "\"'.,;:()[]{}<>?*_-"
 FEATURES = "weight double, density double, n_hits int, n_words int"
 
 
@@ -80,12 +89,23 @@ def _count_words(batches):
     yield pd.DataFrame([(w, y, n) for (w, y), n in seen.items()], columns=["word", "toxic", "n"])
 
 
-def _automaton(lexicon: dict[str, float]):
+def _count_phrases(batches, lexicon: set[str]):
+    """Document frequency, by label, of the pairs of neighbouring words that hold a lexicon word; spaces stand between."""
+    seen = Counter()
+    for pdf in batches:
+        for text, toxic in zip(pdf["text"], pdf["toxic"]):
+            words = [w.strip(_EDGE) for w in fold(text).split(" ")]
+            seen.update((p, int(toxic)) for p in {f"{a} {b}" for a, b in zip(words, words[1:]) if a and b and (a in lexicon or b in lexicon)} if len(p) < 80)
+    yield pd.DataFrame([(w, y, n) for (w, y), n in seen.items()], columns=["word", "toxic", "n"])
+
+
+def _automaton(model: dict):
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for phrase in EXCEPTIONS:
+    for phrase in (*EXCEPTIONS, *model["exceptions"]):
         a.add_word(fold(phrase), (len(fold(phrase)), 0.0))
+    lexicon: dict[str, float] = model["lexicon"]
     for term, weight in lexicon.items():
         a.add_word(term, (len(term), weight))
     a.make_automaton()
@@ -102,7 +122,13 @@ def matches(automaton, text: str) -> list[tuple[int, int, float]]:
         if (start and written[start - 1].isalnum()) or (end < len(written) and written[end].isalnum()):
             continue
         (hits if weight else shields).append((start, end, weight))
-    return [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e, _ in shields)] if shields else hits
+    if not shields:
+        return hits
+    # phrases in order of their starts, with the furthest end so far: one look-up per hit
+    shields.sort()
+    starts, furthest = [s for s, _, _ in shields], list(accumulate((e for _, e, _ in shields), max))
+    covered = lambda s, e: (i := bisect_right(starts, s)) > 0 and furthest[i - 1] >= e
+    return [h for h in hits if not covered(h[0], h[1])]
 
 
 def features(automaton, text: str) -> tuple[float, float, int, int]:
@@ -127,32 +153,54 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarra
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_terms: int = 2_000, min_share: float = 0.02, min_ratio: float = 8.0) -> dict:
-    """Lexicon and logistic weights, from labelled rows that are not held out.
+def _by_label(counted: DataFrame) -> DataFrame:
+    n = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0))
+    return counted.groupBy("word").agg(n(1).alias("pos"), n(0).alias("neg"))
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_terms: int = 2_000, min_share: float = 0.02, min_ratio: float = 8.0, alpha: float = 0.05, min_exception: int = 5
+) -> dict:
+    """Lexicon, exception phrases and logistic weights, from labelled rows that are not held out.
 
-    A word enters the lexicon if it stands in min_share of the toxic documents (3 at least) and min_ratio times
-    as often there as in the others.
+    A word enters the lexicon if it stands in min_share of the toxic documents (3 at least), min_ratio times as often
+    there as in the others, and its toxic share is significant (see alpha above).
     """
-    spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     train = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")  # max_train rows of two numbers
     train = train.groupBy(F.md5("text").alias("h")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").persist()
+    try:
+        return _fit(train, max_terms, min_share, min_ratio, alpha, min_exception)
+    finally:
+        train.unpersist()
+
+
+def _fit(train: DataFrame, max_terms: int, min_share: float, min_ratio: float, alpha: float, min_exception: int) -> dict:
     size = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
-    model = {"lexicon": {}, "beta": None, "prior": n1 / max(1, n0 + n1)}
+    model = {"lexicon": {}, "exceptions": [], "beta": None, "prior": n1 / max(1, n0 + n1)}
     if not n0 or not n1:
         return model
-    counts = train.mapInPandas(_count_words, "word string, toxic int, n long").groupBy("word").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg")
-    )
-    ratio = ((F.col("pos") + 0.5) / (n1 + 1)) / ((F.col("neg") + 0.5) / (n0 + 1))
-    top = counts.where((F.col("pos") >= max(3, min_share * n1)) & (ratio >= min_ratio)).select("word", F.log(ratio).alias("w")).orderBy(F.desc("w"), "word").limit(max_terms)
-    model["lexicon"] = {r["word"]: r["w"] for r in top.collect()}
+    counts = _by_label(train.mapInPandas(_count_words, "word string, toxic int, n long")).persist()
+    try:
+        ratio = ((F.col("pos") + 0.5) / (n1 + 1)) / ((F.col("neg") + 0.5) / (n0 + 1))
+        n, p = F.col("pos") + F.col("neg"), model["prior"]
+        share = F.col("pos") / n
+        # divergence of the word's toxic share from that of all documents: n times it bounds the log of the chance
+        surprise = n * (share * F.log(share / p) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0))
+        sure = surprise >= float(np.log(max(1, counts.count()) / alpha))
+        top = counts.where((F.col("pos") >= max(3, min_share * n1)) & (ratio >= min_ratio) & sure).select("word", F.log(ratio).alias("w")).orderBy(F.desc("w"), "word").limit(max_terms)
+        model["lexicon"] = {r["word"]: r["w"] for r in top.collect()}
+    finally:
+        counts.unpersist()
     if not model["lexicon"]:
         return model
-    shared = spark.sparkContext.broadcast(model["lexicon"])  # max_terms words
+    phrases = _by_label(train.mapInPandas(partial(_count_phrases, lexicon=set(model["lexicon"])), "word string, toxic int, n long"))
+    tame = phrases.where((F.col("neg") >= min_exception) & (F.col("pos") <= model["prior"] * (F.col("pos") + F.col("neg"))))
+    model["exceptions"] = [r["word"] for r in tame.orderBy(F.desc("neg"), "word").limit(max_terms).collect()]
+    shared = train.sparkSession.sparkContext.broadcast(model)  # max_terms words and phrases
 
     def measure(batches):
         a = _automaton(shared.value)
@@ -161,10 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_terms:
             yield pd.DataFrame({"weight": [r[0] for r in rows], "density": [r[1] for r in rows], "toxic": pdf["toxic"].astype(int).to_numpy()})
 
     sample = train.mapInPandas(measure, "weight double, density double, toxic int").groupBy("weight", "density", "toxic").count().collect()
+    sample.sort(key=lambda r: (r["weight"], r["density"], r["toxic"]))
     x = np.repeat(_design(np.array([r["weight"] for r in sample]), np.array([r["density"] for r in sample])), [r["count"] for r in sample], axis=0)
     y = np.repeat([float(r["toxic"]) for r in sample], [r["count"] for r in sample])
     model["beta"] = _fit_logistic(x, y).tolist()
-    train.unpersist()
     return model
 
 
@@ -180,7 +228,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7, keep: tuple[str,
         import pyarrow as pa
 
         m = shared.value
-        a = _automaton(m["lexicon"]) if m["beta"] else None
+        a = _automaton(m) if m["beta"] else None
         for batch in batches:
             texts = batch.column("text").to_pylist()
             if a is None:

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -44,6 +45,35 @@ def test_license_scan(spark):
     assert license_scan.license_scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_licenses_are_told_apart(spark):
+    notices = {
+        "Licensed under CC BY 4.0": "cc-by",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa",
+        "licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+        "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        "Licensed under the GNU General Public License": "gpl",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+        "licensed under the GNU Lesser General Public License": "gpl,lgpl",
+        "Released under the MIT License.": "mit",
+        "The film was released last week under an export license of the ministry": "",
+        "They may not use this road except in compliance with the rules and the license of the town": "",
+        "subject to the terms of the public license of the city": "",
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+        "licensed under the trade license, version 2.0 of 1970": "",
+        "this is free software released into the public park": "",
+    }
+    rows = list(enumerate(notices))
+    got = {r["doc_id"]: r["labels"] for r in license_scan.told_apart(license_scan.license_scan(spark.createDataFrame(rows, DOCS))).collect()}
+    assert {t: got[i] for i, t in rows} == notices
+    # each template is found by its own words, under no label but its own and those that base phrases give
+    rows = list(enumerate(text for _, text in license_scan.TEMPLATES))
+    for r in license_scan.told_apart(license_scan.license_scan(spark.createDataFrame(rows, DOCS))).collect():
+        own = license_scan.TEMPLATES[r["doc_id"]][0]
+        assert set(r["labels"].split(",")) == {own} | (set(r["base_labels"].split(",")) - {""}), (own, r["labels"])
+
+
 def luhn(digits):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
@@ -298,5 +328,58 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def brute_hits(text, model):
+    """Places of lexicon words: every window of the text against every word, then every phrase against every hit."""
+    folded, written = toxicity.fold(text), toxicity.plain(text)
+
+    def places(term):
+        at = [i for i in range(len(folded) - len(term) + 1) if folded[i : i + len(term)] == term]
+        return [(i, i + len(term)) for i in at if not (i and written[i - 1].isalnum()) and not (i + len(term) < len(written) and written[i + len(term)].isalnum())]
+
+    shields = [p for phrase in (*toxicity.EXCEPTIONS, *model["exceptions"]) for p in places(toxicity.fold(phrase))]
+    return sorted((s, e, w) for term, w in model["lexicon"].items() for s, e in places(term) if not any(a <= s and e <= b for a, b in shields))
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    rng = random.Random(30)
+    words, bad = [f"plain{i}" for i in range(150)] + ["É", "straße"], ["moron", "vermin", "scum"]
+    rows, labels = [], []
+    for i in range(700):
+        text, toxic = rng.choices(words, k=rng.randint(5, 50)), i % 4 == 0
+        for _ in range(2 * toxic):
+            text.insert(rng.randrange(len(text)), rng.choice(bad))
+        if i % 45 == 1 and not toxic:
+            text.insert(rng.randrange(len(text)), "vermin control")  # an everyday phrase with a lexicon word
+        text += ["rare"] * (i in (0, 8, 12, 16))  # in four toxic documents by chance
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    rows += [(2000 + n, t) for n, t in enumerate(["", None, "m0r0n", "MORON! moronic vermin control vermin", "vermin controls", "ѕсum soap scum scum", "scum " * 5000, "scum-control (vermin) control"])]
+    rows += rows[:3] + [(None, "moron")]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    train = [(t, y) for (_, t), (i, y) in zip(rows, labels) if zlib.crc32(str(i).encode()) % 3 != 1]
+    holds = lambda w, t: w in [toxicity.fold(x) for x in t.split()]
+    n1, n0 = sum(y for _, y in train), sum(1 - y for _, y in train)
+    assert set(model["lexicon"]) == {toxicity.fold(b) for b in bad}
+    for w, weight in model["lexicon"].items():
+        pos, neg = sum(y for t, y in train if holds(w, t)), sum(1 - y for t, y in train if holds(w, t))
+        assert abs(weight - np.log((pos + 0.5) / (n1 + 1) / ((neg + 0.5) / (n0 + 1)))) < 1e-9
+    assert toxicity.fold("vermin control") in model["exceptions"]
+    automaton = toxicity._automaton(model)
+    got = {}
+    for r in toxicity.score(docs, model).collect():
+        got.setdefault(r["doc_id"], []).append((round(r["score"], 9), r["n_hits"], r["predicted"], r["held_out"]))
+    for d, t in rows:
+        hits = brute_hits(t or "", model)
+        assert sorted(toxicity.matches(automaton, t or "")) == hits
+        total, n = sum(w for *_, w in hits), len(re.findall("[ \n]", t)) + 1 if t else 0
+        z = model["beta"] @ np.array([1, np.log1p(total), np.log1p(100 * total / max(20, n))])
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        assert (round(float(p), 9), len(hits), int(p >= 0.7), d is not None and zlib.crc32(str(d).encode()) % 3 == 1) in got[d]
+    assert {d: got[d][0][1] for d in range(2002, 2008)} == {2002: 1, 2003: 2, 2004: 1, 2005: 2, 2006: 5000, 2007: 2}
+    caught = [got[i][0][2] == y for i, y in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(caught) / len(caught) > 0.95 and {len(v) for v in (got[0], got[1], got[2])} == {2}
+
+
 def test_hashes_of_an_empty_list():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
