@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from strandlake.llm import decontaminate, line_dedup, minhash, mixing, toxicity
-from strandlake.llm.common import stored, table
+from strandlake.llm.common import packed, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,15 +21,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that repeat across sources; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    """Documents without the lines that repeat across sources; n_chars follows the text. Documents that lose all they had
+    go; those that were blank before are left as they are."""
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest id."""
-    rejected = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates: the one of smallest id. Rows are told apart by id and text."""
+    groups = minhash.near_duplicates(docs.select(*COLUMNS))
+    rejected = groups.where("not kept").select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_h")).distinct()
+    rows = packed(docs.select(*COLUMNS))
+    return rows.join(rejected, (F.col("d.doc_id") == F.col("r_id")) & (F.col("h") == F.col("r_h")), "left_anti").select("d.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
