@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profile import count_of, pieces, reverse_complement
+from .profile import count_of, cut, pieces, reverse_complement
 
 #: Bases that a nucleotide code stands for.
 COVERS = {
@@ -37,10 +37,12 @@ def _append(words: Column, bases: Column) -> Column:
     return F.flatten(F.transform(words, lambda w: F.transform(bases, lambda b: F.concat(w, b))))
 
 
-def primer_sites(primers: DataFrame, seqs: DataFrame, max_mm: int = 2, tp: int = 5, min_anneal: int = 18, max_primer: int = 60) -> DataFrame:
+def primer_sites(primers: DataFrame, seqs: DataFrame, max_mm: int = 2, tp: int = 5, min_anneal: int = 18, max_primer: int = 60, size: int = 1000) -> DataFrame:
     """Binding sites: pair_id, primer (F/R), seq_id, orientation, at, end, mm, anneal_len, tail5.
 
-    The strict 3' end is an equi-join key: the last tp bases, spelled out where they are degenerate. On the reverse
+    The last tp bases of a primer must match, and of the rest of its core at most max_mm may differ: of max_mm + 1 blocks
+    of that rest one stands unchanged (pigeonhole). The 3' end with each block is a join key, spelled out where it is
+    degenerate; a place meets a primer only on such a key, and gets the bases around it after that. On the reverse
     strand the reverse complement of the primer is sought, its 3' end first. Verified over the core, then extended 5'
     within the mismatch budget; of each primer, template and strand only the longest annealing length is kept.
     Primers are up to max_primer bases long.
@@ -49,28 +51,61 @@ def primer_sites(primers: DataFrame, seqs: DataFrame, max_mm: int = 2, tp: int =
     oriented = each.select("pair_id", "primer", F.explode(F.array(F.struct(F.lit("+").alias("orientation"), F.col("p").alias("w")), F.struct(F.lit("-").alias("orientation"), reverse_complement(F.col("p")).alias("w")))).alias("x")).select("pair_id", "primer", "x.*")
     plus = F.col("orientation") == "+"
     n = F.length("w")
-    core = F.greatest(F.lit(1), F.least(F.lit(min_anneal), n))
-    seed = F.when(plus, F.substring("w", n - tp + 1, F.lit(tp))).otherwise(F.substring("w", 1, tp))
-    keyed = oriented.where(n >= tp).select("pair_id", "primer", "orientation", "w", n.alias("n"), core.alias("core"), F.explode(concrete(seed, tp)).alias("seed"))
-    seeds = keyed.groupBy("seed").agg(F.collect_list(F.struct("pair_id", "primer", "orientation", "w", "n", "core")).alias("primers"))  # at most 4 ** tp rows
-    # every place with as many bases around it as a primer may need, cut from short pieces
-    cut = pieces(seqs, 500, max_primer, max_primer + tp)
-    inside = F.sequence(F.col("at") - F.col("low"), F.least(F.col("at") - F.col("low") + 499, F.length("bases") - tp))
-    around = lambda i: F.struct(
-        (F.col("low") + i).alias("q"), F.substring("bases", i + 1, F.lit(tp)).alias("seed"), F.greatest(F.lit(0), i - max_primer).alias("o"), F.substring("bases", F.greatest(F.lit(0), i - max_primer) + 1, F.lit(2 * max_primer + tp)).alias("near")
-    )
-    hits = cut.where(F.length("bases") - tp >= F.col("at") - F.col("low")).select("seq_id", F.col("n").alias("m"), "low", F.explode(F.transform(inside, around)).alias("h")).select("seq_id", "m", "h.q", "h.seed", (F.col("low") + F.col("h.o")).alias("from"), "h.near")
-    found = hits.join(seeds, "seed").select("seq_id", "m", "q", "from", "near", F.explode("primers").alias("x")).select("seq_id", "m", "q", "from", "near", "x.*")
+    oriented = oriented.where(n >= tp).withColumn("n", n).withColumn("core", F.greatest(F.lit(tp), F.least(F.lit(min_anneal), n)))
+    cores = [r[0] for r in oriented.select("core").distinct().orderBy("core").collect()]  # lengths from tp to min_anneal
+    probes = []  # core, number of the block, its range from the 3' end, orientation
+    for core in cores:
+        cuts = [tp + (core - tp) * i // (max_mm + 1) for i in range(max_mm + 2)]
+        probes += [(core, i, cuts[i], cuts[i + 1], o) for i in range(max_mm + 1) for o in "+-"]
+
+    def key(text, three, no):
+        """Key of probe no where the 3' end's tp bases start at place three of the text."""
+        _, _, a, b, o = probes[no]
+        block = cut(text, three + tp - b, F.lit(b - a)) if o == "+" else cut(text, three + a, F.lit(b - a))
+        return block, cut(text, three, F.lit(tp))
+
+    keyed = None
+    for no, (core, i, a, b, o) in enumerate(probes):
+        block, three = key("w", F.col("n") - tp if o == "+" else F.lit(0), no)
+        mine = oriented.where((F.col("core") == core) & (F.col("orientation") == o))
+        spelled = mine.select("pair_id", "primer", "orientation", "w", "n", "core", F.lit(i).alias("block"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.explode(concrete(F.concat(block, three), b - a + tp)).alias("k"))
+        spelled = spelled.withColumn("k", F.xxhash64(F.lit(no), "k"))
+        keyed = spelled if keyed is None else keyed.unionByName(spelled)
+    if keyed is None:
+        return primers.sparkSession.createDataFrame([], "pair_id long, primer string, seq_id long, orientation string, at long, end long, mm int, anneal_len int, tail5 int")
+
+    longest = max(cores)
+    base = pieces(seqs, size, longest, longest + tp)
+    own = F.col("at") - F.col("low")
+
+    def places(no):
+        core, _, a, b, o = probes[no]
+        first, last = (F.greatest(own, F.lit(b - tp)), F.length("bases") - tp) if o == "+" else (own, F.length("bases") - F.lit(max(b, tp)))
+        last = F.least(own + size - 1, last)
+        return F.when(
+            last >= first, F.transform(F.sequence(first, last), lambda i: F.struct((F.col("low") + i).alias("q"), F.xxhash64(F.lit(no), F.concat(*key("bases", i, no))).alias("k")))
+        ).otherwise(F.array().cast("array<struct<q:int,k:bigint>>"))
+
+    probed = base.select("seq_id", "at", F.explode(F.flatten(F.array(*(places(no) for no in range(len(probes)))))).alias("h")).select("seq_id", "at", "h.*")
+    met = probed.join(keyed, "k").drop("k")
+    around = pieces(seqs, size, max_primer, max_primer + tp).select("seq_id", F.col("n").alias("m"), "at", F.col("low").alias("from"), F.col("bases").alias("near"))
+    found = met.join(around, ["seq_id", "at"])
     left = F.when(plus, F.col("q") + tp - F.col("n")).otherwise(F.col("q"))
     # as much of the primer as lies on the template; the core must
     low, high = F.greatest(F.lit(0), left), F.least(F.col("m"), left + F.col("n"))
     site = found.select("*", left.alias("left"), low.alias("low"), high.alias("high")).where(F.col("high") - F.col("low") >= F.col("core"))
     word = F.substring("w", F.col("low") - F.col("left") + 1, F.col("high") - F.col("low"))
-    bases = F.substring("near", F.col("low") - F.col("from") + 1, F.col("high") - F.col("low"))
+    bases = cut("near", F.col("low") - F.col("from"), F.col("high") - F.col("low"))
     turned = lambda c: F.when(plus, F.reverse(c)).otherwise(c)  # 3' end first
-    checked = site.select("pair_id", "primer", "seq_id", "orientation", "left", "n", "core", (F.col("high") - F.col("low")).alias("fit"), mismatches(turned(word), turned(bases)).alias("bad"))
+    checked = site.select("pair_id", "primer", "seq_id", "orientation", "left", "n", "core", "block", "a", "b", (F.col("high") - F.col("low")).alias("fit"), mismatches(turned(word), turned(bases)).alias("bad"))
     in_core = F.size(F.filter("bad", lambda b: b <= F.col("core")))
-    good = checked.where(in_core <= max_mm)
+    differs = lambda low, high: F.exists("bad", lambda x: (x > low) & (x <= high))
+    # its own key, and none of an earlier block: a place is kept once
+    first = ~differs(F.lit(0), F.lit(tp)) & ~differs(F.col("a"), F.col("b"))
+    for i in range(max_mm):
+        start, stop = (tp + F.floor((F.col("core") - tp) * j / (max_mm + 1)) for j in (i, i + 1))
+        first = first & ((F.col("block") <= i) | differs(start, stop))
+    good = checked.where((in_core <= max_mm) & first)
     reach = F.when(F.size("bad") > max_mm, F.get("bad", F.lit(max_mm)) - 1).otherwise(F.col("fit"))
     reached = good.withColumn("anneal_len", F.least("fit", reach)).withColumn("mm", F.size(F.filter("bad", lambda b: b <= F.col("anneal_len"))))
     best = F.max("anneal_len").over(Window.partitionBy("pair_id", "primer", "seq_id", "orientation"))

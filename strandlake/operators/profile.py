@@ -1,6 +1,7 @@
 """Sequence profiles: composition, windows, gates, open reading frames, codons and k-mers.
 
-Sequences are rows (seq_id, seq); long contigs go through chunk_contigs, whose chunks overlap.
+Sequences are rows (seq_id, seq) of ASCII letters; long contigs go through chunk_contigs or pieces, whose cuts overlap.
+Cuts are taken from the bytes: a substring of a string walks the text up to it, one of bytes does not.
 """
 
 from __future__ import annotations
@@ -25,11 +26,16 @@ def count_of(seq: Column, chars: str) -> Column:
     return (F.length(seq) - F.length(F.translate(seq, chars, ""))).cast("long")
 
 
+def cut(seq: Column | str, start: Column, length: Column) -> Column:
+    """length letters of an ASCII text from place start (from 0)."""
+    return F.substring(F.col(seq).cast("binary") if isinstance(seq, str) else seq.cast("binary"), (start + 1).cast("int"), length.cast("int")).cast("string")
+
+
 def chunk_contigs(seqs: DataFrame, size: int, overlap: int) -> DataFrame:
     """seq_id, chunk_no, start0, bases: pieces of size bases that share overlap bases with the next."""
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("seq") - 1 - overlap), F.lit(size)))
     return seqs.where(F.length("seq") > 0).select("seq_id", "seq", at.alias("a")).select(
-        "seq_id", (F.col("a") / size).cast("int").alias("chunk_no"), F.col("a").cast("long").alias("start0"), F.substring("seq", F.col("a") + 1, F.lit(size + overlap)).alias("bases")
+        "seq_id", (F.col("a") / size).cast("int").alias("chunk_no"), F.col("a").cast("long").alias("start0"), cut("seq", F.col("a"), F.lit(size + overlap)).alias("bases")
     )
 
 
@@ -37,15 +43,19 @@ def pieces(seqs: DataFrame, size: int, left: int, right: int) -> DataFrame:
     """seq_id, n (length of the sequence), at, low, bases: places at .. at + size - 1 with left and right more bases
     around them, as far as there are any; bases start at low. Substrings of a piece are cheap, those of a contig not."""
     at = F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(size)))
-    cut = seqs.where(F.length("seq") > 0).select("seq_id", "seq", F.length("seq").alias("n"), at.alias("at")).withColumn("low", F.greatest(F.lit(0), F.col("at") - left))
-    return cut.select("seq_id", "n", "at", "low", F.substring("seq", F.col("low") + 1, F.col("at") - F.col("low") + size + right).alias("bases"))
+    placed = seqs.where(F.length("seq") > 0).select("seq_id", "seq", F.length("seq").alias("n"), at.alias("at")).withColumn("low", F.greatest(F.lit(0), F.col("at") - left))
+    return placed.select("seq_id", "n", "at", "low", cut("seq", F.col("low"), F.col("at") - F.col("low") + size + right).alias("bases"))
+
+
+def words_of(bases: str, k: int) -> Column:
+    """Every word of k letters of a text of at least k letters, in order."""
+    return F.transform(F.sequence(F.lit(0), F.length(bases) - k), lambda i: cut(bases, i, F.lit(k)))
 
 
 def words(seqs: DataFrame, k: int, size: int = 1000) -> DataFrame:
     """seq_id, n, pos, word of every k letters of each sequence."""
-    cut = pieces(seqs, size, 0, k - 1).where(F.length("bases") >= k)
-    listed = F.transform(F.sequence(F.lit(1), F.length("bases") - k + 1), lambda i: F.substring("bases", i, F.lit(k)))
-    return cut.select("seq_id", "n", "at", F.posexplode(listed).alias("i", "word")).select("seq_id", "n", (F.col("at") + F.col("i")).alias("pos"), "word")
+    long_enough = pieces(seqs, size, 0, k - 1).where(F.length("bases") >= k)
+    return long_enough.select("seq_id", "n", "at", F.posexplode(words_of("bases", k)).alias("i", "word")).select("seq_id", "n", (F.col("at") + F.col("i")).alias("pos"), "word")
 
 
 def upper(c: Column | str) -> Column:
@@ -87,26 +97,53 @@ def nucleotide_gate(seqs: DataFrame, molecule: str = "dna") -> DataFrame:
     return seqs.select("seq_id", (dna if molecule == "dna" else amino).alias("ratio"), reason.isNull().alias("ok"), reason.alias("reason"))
 
 
-def codons(seqs: DataFrame) -> DataFrame:
-    """Every codon of the six frames: seq_id, strand, frame, pos (on the strand), codon."""
-    triple = F.struct(F.lit("+").alias("strand"), "pos", F.col("word").alias("codon"))
-    turned = F.struct(F.lit("-").alias("strand"), (F.col("n") - 3 - F.col("pos")).alias("pos"), reverse_complement(F.col("word")).alias("codon"))
-    every = words(seqs, 3).select("seq_id", "n", F.explode(F.array(triple, turned)).alias("x")).select("seq_id", "n", "x.*")
-    return every.withColumn("frame", F.col("pos") % 3 + 1)
-
-
-def orf_table(seqs: DataFrame, min_aa: int = 40) -> DataFrame:
+def orf_table(seqs: DataFrame, min_aa: int = 40, size: int = 3000) -> DataFrame:
     """Open reading frames from the first ATG after a stop to the next stop, or to the end (open_end).
 
-    Gaps and islands: the stops before a codon number its segment.
+    Each piece is read in six frames and split at its stops by one pattern; frames between two stops of a piece are
+    whole. What lies before the first and after the last stop of a piece makes two rows; those of neighbouring pieces
+    without a stop between them are one segment. So a window sees 6 rows per piece, not a row per base.
     """
-    order = Window.partitionBy("seq_id", "strand", "frame").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stop = F.col("codon").isin(*STOPS).cast("int")
-    segments = codons(seqs).withColumn("stop", stop).withColumn("segment", F.sum("stop").over(order) - F.col("stop"))
-    found = segments.groupBy("seq_id", "strand", "frame", "n", "segment").agg(F.min(F.when(F.col("codon") == "ATG", F.col("pos"))).alias("s"), F.max("pos").alias("last"), F.max("stop").alias("closed"))
-    end = F.col("last") + 3
-    aa = ((end - F.col("s")) / 3).cast("int") - F.col("closed")
-    out = found.where(F.col("s").isNotNull()).withColumn("length_aa", aa).where(F.col("length_aa") >= min_aa)
+    stop = "|".join(STOPS)
+    base = pieces(seqs, size, 0, 2).where(F.length("bases") >= 3)
+    strands = F.array(
+        F.struct(F.lit("+").alias("strand"), F.col("at").alias("b"), F.col("bases").alias("x")),
+        F.struct(F.lit("-").alias("strand"), (F.col("n") - F.col("at") - F.length("bases")).alias("b"), reverse_complement(F.col("bases")).alias("x")),
+    )
+    both = base.select("seq_id", "n", F.explode(strands).alias("s")).select("seq_id", "n", "s.*")
+    framed = both.select("seq_id", "n", "strand", "x", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("c"), "b").select(
+        "seq_id", "n", "strand", (F.col("b") + F.col("c")).alias("b"), cut("x", F.col("c"), F.length("x") - F.col("c")).alias("x")
+    )
+    split = framed.where(F.length("x") >= 3).select(
+        "seq_id", "n", "strand", (F.col("b") % 3 + 1).alias("frame"), "b", F.filter(F.regexp_extract_all("x", F.lit(rf"\G(?:(?!{stop})...)*+(?:{stop})?"), F.lit(0)), lambda x: x != "").alias("parts")
+    )
+
+    def place(acc, part):
+        atg = F.length(F.regexp_extract(part, r"^(?:(?!ATG)...)*+", 0))
+        found = F.struct(
+            F.when(atg < F.length(part), acc["at"] + atg).alias("s"), (acc["at"] + F.length(part)).alias("e"), part.rlike(f"(?:{stop})$").alias("stop")
+        )
+        return F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+
+    none = F.array().cast("array<struct<s:int,e:int,stop:boolean>>")
+    placed = F.aggregate("parts", F.struct(F.col("b").cast("int").alias("at"), none.alias("out")), place, lambda acc: acc["out"])
+    read = split.where(F.size("parts") > 0).select("seq_id", "n", "strand", "frame", "b", placed.alias("p"))
+    inner = F.filter(F.slice("p", F.lit(2), F.size("p")), lambda x: x["stop"] & ((x["e"] - x["s"]) / 3 - 1 >= min_aa))
+    head, tail = F.get("p", F.lit(0)), F.element_at("p", F.lit(-1))
+    cut_ = read.select("seq_id", "n", "strand", "frame", "b", head["stop"].cast("int").alias("stop"), head.alias("head"), F.when((F.size("p") > 1) & ~tail["stop"], tail["s"]).alias("tail"), inner.alias("inner"))
+    order = Window.partitionBy("seq_id", "strand", "frame").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = cut_.withColumn("g", F.sum("stop").over(order))
+    ends = F.array(
+        F.struct((F.col("g") - F.col("stop")).alias("segment"), F.col("head.s").alias("s"), F.when(F.col("stop") == 1, F.col("head.e")).alias("e")),
+        F.struct(F.when(F.col("stop") == 1, F.col("g")).alias("segment"), F.col("tail").alias("s"), F.lit(None).cast("int").alias("e")),
+    )
+    open_ = numbered.select("seq_id", "n", "strand", "frame", F.explode(ends).alias("x")).where("x.segment is not null")
+    across = open_.groupBy("seq_id", "n", "strand", "frame", "x.segment").agg(F.min("x.s").alias("s"), F.max("x.e").alias("e")).where("s is not null")
+    last = F.col("n") - (F.col("n") - F.col("frame") + 1) % 3  # where the frame's last whole codon ends
+    across = across.select("seq_id", "n", "strand", "frame", "s", F.coalesce("e", last).cast("int").alias("end"), F.col("e").isNotNull().cast("int").alias("closed"))
+    whole = cut_.select("seq_id", "n", "strand", "frame", F.explode("inner").alias("x")).select("seq_id", "n", "strand", "frame", "x.s", F.col("x.e").alias("end"), F.lit(1).alias("closed"))
+    end = F.col("end")
+    out = whole.unionByName(across).withColumn("length_aa", ((end - F.col("s")) / 3).cast("int") - F.col("closed")).where(F.col("length_aa") >= min_aa)
     forward = F.col("strand") == "+"
     return out.select(
         "seq_id", "strand", "frame", F.when(forward, F.col("s")).otherwise(F.col("n") - end).alias("start"), F.when(forward, end).otherwise(F.col("n") - F.col("s")).alias("end"), (end - F.col("s")).alias("length_nt"), "length_aa", (F.col("closed") == 0).alias("open_end")
@@ -121,14 +158,22 @@ def longest_orfs(orfs: DataFrame, k: int = 12) -> DataFrame:
     return ranked.where(F.col("orf_idx") < k)
 
 
-def codon_usage(orfs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Counts of each codon over the frames, with its amino acid (X where a base is not known)."""
-    bases = F.substring("seq", F.col("start") + 1, F.col("length_nt"))
-    sense = F.when(F.col("strand") == "-", reverse_complement(bases)).otherwise(bases)
-    split = F.transform(F.sequence(F.lit(0), F.floor(F.col("length_nt") / 3).cast("int") - 1), lambda i: F.substring("s", i * 3 + 1, F.lit(3)))
-    counted = orfs.join(seqs.select("seq_id", "seq"), "seq_id").select(sense.alias("s"), "length_nt").select(F.explode(split).alias("codon")).groupBy("codon").agg(F.count("*").alias("cnt"))
+def codon_usage(orfs: DataFrame, seqs: DataFrame, size: int = 3000) -> DataFrame:
+    """Counts of each codon over the frames, with its amino acid (X where a base is not known).
+
+    A frame meets the pieces of its sequence that it lies on; a codon belongs to the piece in which its first base lies.
+    """
+    cells = F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))
+    dealt = orfs.select("seq_id", "strand", "start", "end", F.explode(cells).alias("cell")).withColumn("at", (F.col("cell") * size).cast("int"))
+    first = F.when(F.col("start") >= F.col("at"), F.col("start")).otherwise(F.col("at") + F.pmod(F.col("start") - F.col("at"), F.lit(3)))
+    count = F.ceil((F.least(F.col("end"), F.col("at") + size) - first) / 3)
+    here = dealt.join(pieces(seqs, size, 0, 2).select("seq_id", "at", "bases"), ["seq_id", "at"]).where(count > 0)
+    listed = F.regexp_extract_all(cut("bases", first - F.col("at"), count * 3), F.lit("..."), F.lit(0))
+    counted = here.select("strand", F.explode(listed).alias("codon")).groupBy("strand", "codon").agg(F.count("*").alias("cnt"))
+    sense = F.when(F.col("strand") == "-", reverse_complement(F.col("codon"))).otherwise(F.col("codon"))
     table = F.create_map(*(F.lit(x) for item in CODONS.items() for x in item))
-    return counted.select("codon", F.coalesce(F.element_at(table, F.col("codon")), F.lit("X")).alias("aa"), "cnt")
+    out = counted.groupBy(sense.alias("codon")).agg(F.sum("cnt").alias("cnt"))
+    return out.select("codon", F.coalesce(F.element_at(table, F.col("codon")), F.lit("X")).alias("aa"), "cnt")
 
 
 def low_complexity_flag(spans: DataFrame) -> DataFrame:
@@ -146,6 +191,13 @@ def kmer_index(seqs: DataFrame, k: int) -> DataFrame:
     return words(seqs, k).where(~F.contains("word", F.lit("N"))).select("seq_id", "pos", F.col("word").alias("kmer"))
 
 
+def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
+    """kmer, n (places), first_pos (smallest place) and records of each k-mer without N: counted per record first, so that
+    a k-mer reaches the last aggregation once per record and task."""
+    per_record = kmer_index(seqs, k).groupBy("seq_id", "kmer").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    return per_record.groupBy("kmer").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"), F.count("*").alias("records"))
+
+
 def duplicate_inputs(seqs: DataFrame) -> DataFrame:
     """Hashes of sequences that several records share: how many records, and the smallest id."""
     return seqs.groupBy(F.sha2("seq", 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("seq_id").alias("first_id")).where("n > 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profile import count_of, reverse_complement, words
+from .profile import count_of, cut, reverse_complement, words
 
 #: Superfamily and the length of the target site it duplicates.
 TSD_LENGTH = {"Copia": 5, "Gypsy": 5, "hAT": 8, "Tc1/Mariner": 2}
@@ -34,11 +34,11 @@ def _extended(a: Column, b: Column, state: Column, x_drop: int) -> Column:
 
 def _in_pieces(a: Column, b: Column, state: Column, step, piece: int) -> Column:
     """Fold step(state, piece of a, piece of b) over the whole common length. Pieces grow with the length (64 at most
-    beyond piece * 64 bases), since taking a piece walks the text up to it."""
+    beyond piece * 64 bases)."""
     n = F.least(F.length(a), F.length(b))
     size = F.greatest(F.lit(piece), F.ceil(n / 64).cast("int"))
-    cut = lambda text, i: F.substring(text, i * size + 1, size)
-    return F.aggregate(F.sequence(F.lit(0), F.floor(n / size).cast("int")), state, lambda acc, i: step(acc, cut(a, i), cut(b, i)))
+    part = lambda text, i: cut(text, i * size, size)
+    return F.aggregate(F.sequence(F.lit(0), F.floor(n / size).cast("int")), state, lambda acc, i: step(acc, part(a, i), part(b, i)))
 
 
 def matches(a: Column, b: Column) -> Column:
@@ -46,24 +46,35 @@ def matches(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y) & (x != "N") & (x != "")), lambda m: m))
 
 
+def end_words(seqs: DataFrame, k: int, window: int, least: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Words without N in the first and in the last window bases of each sequence (half of it, if shorter): seq_id, n, w,
+    word, p5 and seq_id, word, p3. Only the two windows are cut into words."""
+    w = F.least(F.lit(window), F.floor(F.length("seq") / 2).cast("int"))
+    ends = seqs.select("seq_id", F.length("seq").alias("n"), w.alias("w"), cut("seq", F.lit(0), w).alias("head"), cut("seq", F.length("seq") - w, w).alias("tail")).where(F.col("w") >= max(least, 1))
+    fine = ~F.contains("word", F.lit("N"))
+    five = words(ends.select("seq_id", F.col("head").alias("seq")), k).where(fine).select("seq_id", "word", F.col("pos").alias("p5"))
+    three = words(ends.select("seq_id", F.col("tail").alias("seq")), k).where(fine).select("seq_id", "word", "pos")
+    sizes = ends.select("seq_id", "n", "w")
+    return five, three.join(sizes, "seq_id").select("seq_id", "n", "w", "word", (F.col("n") - F.col("w") + F.col("pos")).alias("p3"))
+
+
 def terminal_direct_repeats(seqs: DataFrame, k: int = 13, min_ltr: int = 80, min_anchors: int = 4, window: int = 6000, min_identity: float = 80.0) -> DataFrame:
     """The direct repeat of each sequence's two ends: spans, length, identity, and whether it falls short of the floor
     (advisory) or fills the window (lower_bound).
 
-    k-mers of the ends are joined per sequence; the strongest diagonal wins, ties to the one met first.
+    k-mers of the ends are joined per sequence; the strongest diagonal wins, ties to the one met first. What a sequence
+    of one repeated word makes is bounded by the square of the window.
     """
-    w = F.least(F.lit(window), F.floor(F.col("n") / 2))
-    placed = words(seqs, k).where(~F.contains("word", F.lit("N")) & (w >= min_ltr)).withColumn("w", w)
-    five = placed.where(F.col("pos") + k <= F.col("w")).select("seq_id", "n", "w", "word", F.col("pos").alias("p5"))
-    three = placed.where(F.col("pos") >= F.col("n") - F.col("w")).select("seq_id", "word", F.col("pos").alias("p3"))
+    five, three = end_words(seqs, k, window, min_ltr)
     anchors = five.join(three, ["seq_id", "word"]).where(F.col("p3") > F.col("p5") + min_ltr).withColumn("d", F.col("p3") - F.col("p5"))
-    diagonals = anchors.groupBy("seq_id", "d").agg(F.count("*").alias("c"), F.min(F.struct("p3", "p5")).alias("first"))
+    # one row per diagonal; its places are a set of at most window numbers
+    diagonals = anchors.groupBy("seq_id", "n", "w", "d").agg(F.count("*").alias("c"), F.min(F.struct("p3", "p5")).alias("first"), F.collect_set("p5").alias("places"))
     best = diagonals.groupBy("seq_id").agg(F.max_by("d", F.struct("c", -F.col("first.p3"), -F.col("first.p5"))).alias("best"))
-    near = anchors.join(best, "seq_id").where(F.abs(F.col("d") - F.col("best")) <= 3)
-    seeds = near.groupBy("seq_id", "n", "w", "best").agg(F.countDistinct("p5").alias("distinct_p5"), F.count("*").alias("c"), F.min("p5").alias("lo"), (F.max("p5") + k).alias("hi"))
+    near = diagonals.join(best, "seq_id").where(F.abs(F.col("d") - F.col("best")) <= 3).groupBy("seq_id", "n", "w", "best").agg(F.sum("c").alias("c"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    seeds = near.select("seq_id", "n", "w", "best", F.size("places").alias("distinct_p5"), "c", F.array_min("places").alias("lo"), (F.array_max("places") + k).alias("hi"))
     seeds = seeds.where(F.col("c") >= min_anchors)
     both = seeds.join(seqs.select("seq_id", "seq"), "seq_id")
-    piece = lambda start, end: F.substring("seq", (start + 1).cast("int"), (end - start).cast("int"))
+    piece = lambda start, end: cut("seq", start, end - start)
     lo, hi, d = F.col("lo"), F.col("hi"), F.col("best")
     left_room, right_room = F.least(lo, F.lit(window)), F.greatest(F.lit(0), F.least(d - hi, F.col("n") - d - hi, F.lit(window)))
     left = xdrop(F.reverse(piece(lo - left_room, lo)), F.reverse(piece(lo + d - left_room, lo + d)))
@@ -135,16 +146,19 @@ def chance_length_profile(hits: DataFrame, floor: int) -> DataFrame:
 def self_similarity_matrix(seqs: DataFrame, k: int = 13, bins: int = 300, max_occ: int = 120) -> DataFrame:
     """Counts of equal k-mers by pair of position bins, forward (a place before or at the other) and reverse.
 
-    k-mers of more than max_occ places in a sequence are masked; that bounds what any key of the join makes.
+    k-mers of more than max_occ places in a sequence are masked. Places are counted by word and bin first, and bins are
+    joined, so that a key of the join has as many rows as the word has bins.
     """
-    rows = words(seqs, k).withColumn("bin", F.floor(F.col("pos") * bins / F.col("n")).cast("int"))
-    counts = rows.groupBy("seq_id", "word").agg(F.count("*").alias("c"))
-    kept = rows.join(counts.where(F.col("c") <= max_occ), ["seq_id", "word"])
-    a = kept.select("seq_id", "word", F.col("pos").alias("p"), F.col("bin").alias("bin_i"))
-    b = kept.select("seq_id", "word", F.col("pos").alias("q"), F.col("bin").alias("bin_j"))
-    forward = a.join(b, ["seq_id", "word"]).where(F.col("p") <= F.col("q")).select("seq_id", F.lit("forward").alias("orientation"), "bin_i", "bin_j")
-    turned = a.withColumn("word", reverse_complement(F.col("word"))).join(b, ["seq_id", "word"]).select("seq_id", F.lit("reverse").alias("orientation"), "bin_i", "bin_j")
-    return forward.unionByName(turned).groupBy("seq_id", "orientation", "bin_i", "bin_j").agg(F.count("*").alias("cnt"))
+    binned = words(seqs, k).groupBy("seq_id", "word", F.floor(F.col("pos") * bins / F.col("n")).cast("int").alias("bin")).agg(F.count("*").alias("c"))
+    totals = binned.groupBy("seq_id", "word").agg(F.sum("c").alias("all")).where(F.col("all") <= max_occ)
+    kept = binned.join(totals.drop("all"), ["seq_id", "word"])
+    a = kept.select("seq_id", "word", F.col("bin").alias("bin_i"), F.col("c").alias("c_i"))
+    b = kept.select("seq_id", "word", F.col("bin").alias("bin_j"), F.col("c").alias("c_j"))
+    # places of one bin pair with themselves and each other once
+    pairs = F.when(F.col("bin_i") == F.col("bin_j"), (F.col("c_i") * (F.col("c_i") + 1) / 2).cast("long")).otherwise(F.col("c_i") * F.col("c_j"))
+    forward = a.join(b, ["seq_id", "word"]).where(F.col("bin_i") <= F.col("bin_j")).select("seq_id", F.lit("forward").alias("orientation"), "bin_i", "bin_j", pairs.alias("cnt"))
+    turned = a.withColumn("word", reverse_complement(F.col("word"))).join(b, ["seq_id", "word"]).select("seq_id", F.lit("reverse").alias("orientation"), "bin_i", "bin_j", (F.col("c_i") * F.col("c_j")).alias("cnt"))
+    return forward.unionByName(turned).groupBy("seq_id", "orientation", "bin_i", "bin_j").agg(F.sum("cnt").alias("cnt"))
 
 
 def masked_words(seqs: DataFrame, k: int = 13, max_occ: int = 120) -> DataFrame:
@@ -205,19 +219,16 @@ def near_miss_repeats(seqs: DataFrame, min_identity: float = 80.0) -> DataFrame:
 def inverted_repeat_seeds(seqs: DataFrame, k: int = 11, window: int = 1200, min_anchors: int = 3, max_len: int = 1000, min_identity: float = 80.0) -> DataFrame:
     """Inverted repeats of the two ends from shared words of one end and the other's reverse complement; the strongest
     anti-diagonal (place + mirrored place) wins, ties to the smaller."""
-    w = F.least(F.lit(window), F.floor(F.col("n") / 2))
-    placed = words(seqs, k).where(~F.contains("word", F.lit("N"))).withColumn("w", w)
-    five = placed.where(F.col("pos") + k <= F.col("w")).select("seq_id", "n", "word", F.col("pos").alias("i"))
-    three = placed.where(F.col("pos") >= F.col("n") - F.col("w")).select("seq_id", reverse_complement(F.col("word")).alias("word"), F.col("pos").alias("p3"))
-    anchors = five.join(three, ["seq_id", "word"]).withColumn("s", F.col("i") + F.col("p3") + k)
-    sums = anchors.groupBy("seq_id", "s").agg(F.count("*").alias("c"))
+    five, three = end_words(seqs, k, window)
+    anchors = five.join(three.withColumn("word", reverse_complement(F.col("word"))), ["seq_id", "word"]).withColumn("s", F.col("p5") + F.col("p3") + k)
+    sums = anchors.groupBy("seq_id", "n", "s").agg(F.count("*").alias("c"), F.min("p5").alias("low"), F.max("p5").alias("high"))
     best = sums.groupBy("seq_id").agg(F.max_by("s", F.struct("c", -F.col("s"))).alias("best"))
-    near = anchors.join(best, "seq_id").where(F.abs(F.col("s") - F.col("best")) <= 4)
-    spans = near.groupBy("seq_id", "n", "best").agg(F.count("*").alias("c"), F.min("i").alias("s5"), (F.max("i") + k).alias("e5")).where(F.col("c") >= min_anchors)
+    near = sums.join(best, "seq_id").where(F.abs(F.col("s") - F.col("best")) <= 4)
+    spans = near.groupBy("seq_id", "n", "best").agg(F.sum("c").alias("c"), F.min("low").alias("s5"), (F.max("high") + k).alias("e5")).where(F.col("c") >= min_anchors)
     s3, e3 = F.col("best") - F.col("e5"), F.col("best") - F.col("s5")
     length = F.col("e5") - F.col("s5")
     found = spans.where(length.between(10, max_len) & (s3 >= F.col("e5")) & (e3 <= F.col("n"))).join(seqs.select("seq_id", "seq"), "seq_id")
-    piece = lambda start: F.substring("seq", (start + 1).cast("int"), length.cast("int"))
+    piece = lambda start: cut("seq", start, length)
     same = matches(piece(F.col("s5")), reverse_complement(piece(s3)))
     return found.select("seq_id", "s5", "e5", s3.cast("int").alias("s3"), e3.cast("int").alias("e3"), (100 * same / length).alias("identity")).where(F.col("identity") >= min_identity)
 

@@ -56,7 +56,7 @@ def o8_low_complexity_flag(spark, d):
 
 
 def o9_kmer_index(spark, d):
-    return profile.kmer_index(seqs(spark, d), 7).groupBy("kmer").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.countDistinct("seq_id").alias("records"))
+    return profile.kmer_counts(seqs(spark, d), 7)
 
 
 def o10_duplicate_inputs(spark, d):
