@@ -42,6 +42,8 @@ TABLES = {
             ELSE 'Class II' END AS call_b,
         CASE d.n_chars % 9 WHEN 0 THEN 'locus' WHEN 1 THEN 'genome' ELSE 'element' END AS record_scope, d.n_chars
         FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
+    "copies": """SELECT seq_id * 2 AS seq_id, seq FROM seqs UNION ALL SELECT seq_id * 2 + 1, substr(seq, 1, 12) || substr(seq, 13, 588) || substr(seq, 601, 400) || replace(substr(seq, 13, 588), 'GAC', 'GTC') || substr(seq, 1, seq_id % 9) FROM seqs WHERE length(seq) >= 1000""",
+    "arms": """SELECT seq_id, CAST(seq_id % 20 AS INT) AS s5, CAST(seq_id % 20 + 100 AS INT) AS e5, CAST(length(seq) - 140 - seq_id % 30 AS INT) AS s3, CAST(length(seq) - 40 - seq_id % 30 AS INT) AS e3 FROM seqs WHERE length(seq) >= 400""",
     "primers": """SELECT item_id AS pair_id, substr(seq, 1, 20) AS fwd, reverse(translate(substr(seq, length(seq) - 19, 20), 'ACGT', 'TGCA')) AS rev, length(seq) AS target
         FROM passages WHERE length(seq) >= 70""",
 }
@@ -56,6 +58,8 @@ NEEDS = {
     "orfs": ["orders"],
     "exons": ["conversations"],
     "cases": ["labels", "documents"],
+    "arms": ["seqs"],
+    "copies": ["seqs"],
     "primers": ["passages"],
 }
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .profile import cut, pieces
+
 #: Prefixes of a class / family label and the kind it belongs to.
 KINDS = (("Simple_repeat", "tandem"), ("Satellite", "tandem"), ("Low_complexity", "tandem"), ("rRNA", "other"), ("tRNA", "other"), ("snRNA", "other"))
 
@@ -124,12 +126,22 @@ def complete_gene_model(model: DataFrame, cds: DataFrame) -> DataFrame:
     """
     exons = model.where("kind = 'exon'").select("seq_id", "start", "end", "derived")
     c = cds.select("seq_id", F.col("start").alias("c_start"), F.col("end").alias("c_end")).distinct()
-    inside = c.join(exons, "seq_id").where((F.col("start") <= F.col("c_start")) & (F.col("end") >= F.col("c_end"))).select("seq_id", "c_start", "c_end")
+    # an exon that holds the CDS overlaps it: met in the cell where the overlap starts
+    held = range_join(c.select("seq_id", F.col("c_start").alias("start"), F.col("c_end").alias("end")), exons.select("seq_id", "start", "end"), ["seq_id"], 4096)
+    inside = held.where((F.col("r_start") <= F.col("start")) & (F.col("r_end") >= F.col("end"))).select("seq_id", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
     outside = c.join(inside.distinct(), ["seq_id", "c_start", "c_end"], "left_anti")
     gaps = model.where("kind = 'intron'").select("seq_id", F.col("start").alias("i_start"), F.col("end").alias("i_end"))
-    near = outside.join(gaps, "seq_id", "left").groupBy("seq_id", "c_start", "c_end").agg(
-        F.max(F.when(F.col("i_end") <= F.col("c_start"), F.col("i_end"))).alias("left"), F.min(F.when(F.col("i_start") >= F.col("c_end"), F.col("i_start"))).alias("right")
-    )
+    blank = F.lit(None).cast("long")
+    # one pass over ends and CDS in order gives the last end before, one over starts the next start after
+    ends = gaps.select("seq_id", F.col("i_end").alias("at"), F.lit(0).alias("o"), F.col("i_end").alias("v"), blank.alias("c_start"), blank.alias("c_end"))
+    ends = ends.unionByName(outside.select("seq_id", F.col("c_start").alias("at"), F.lit(1).alias("o"), blank.alias("v"), "c_start", "c_end"))
+    up = Window.partitionBy("seq_id").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
+    left = ends.withColumn("left", F.last("v", ignorenulls=True).over(up)).where("o = 1").select("seq_id", "c_start", "c_end", "left")
+    starts = gaps.select("seq_id", F.col("i_start").alias("at"), F.lit(1).alias("o"), F.col("i_start").alias("v"), blank.alias("c_start"), blank.alias("c_end"))
+    starts = starts.unionByName(outside.select("seq_id", F.col("c_end").alias("at"), F.lit(0).alias("o"), blank.alias("v"), "c_start", "c_end"))
+    down = Window.partitionBy("seq_id").orderBy("at", "o").rowsBetween(0, Window.unboundedFollowing)
+    right = starts.withColumn("right", F.first("v", ignorenulls=True).over(down)).where("o = 0").select("seq_id", "c_start", "c_end", "right")
+    near = left.join(right, ["seq_id", "c_start", "c_end"])
     added = near.select("seq_id", F.coalesce("left", "c_start").alias("start"), F.coalesce("right", "c_end").alias("end"), F.lit(True).alias("derived"))
     all_exons = exons.unionByName(added).dropDuplicates(["seq_id", "start", "end"])
     given = model.where("kind = 'intron' AND NOT derived").select("seq_id", "start", "end", "derived", "kind")
@@ -174,26 +186,41 @@ def flanks_and_gaps(features: DataFrame, lengths: DataFrame) -> DataFrame:
     return spans.select("seq_id", "s.*").where(F.col("end") > F.col("start"))
 
 
-def splice_motifs(gaps: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Donor and acceptor dinucleotides of introns inside their sequence, read on the transcribed strand."""
-    piece = lambda at: F.substring("seq", at.cast("int"), F.lit(2))
-    left, right = piece(F.col("start") + 1), piece(F.col("end") - 1)
+def splice_motifs(gaps: DataFrame, seqs: DataFrame, size: int = 4096) -> DataFrame:
+    """Donor and acceptor dinucleotides of introns inside their sequence, read on the transcribed strand. An intron meets
+    the two pieces of its sequence that hold its ends."""
+    cell = lambda c: (F.floor(c / size) * size).cast("int")
+    around = pieces(seqs, size, 0, 1)
+    first = around.select("seq_id", F.col("at").alias("a5"), F.col("bases").alias("b5"))
+    last = around.select("seq_id", "n", F.col("at").alias("a3"), F.col("bases").alias("b3"))
+    dealt = gaps.where((F.col("end") - F.col("start") >= 4) & (F.col("start") >= 0)).withColumns({"a5": cell(F.col("start")), "a3": cell(F.col("end") - 2)})
+    joined = dealt.join(first, ["seq_id", "a5"]).join(last, ["seq_id", "a3"]).where(F.col("end") <= F.col("n"))
+    left, right = cut("b5", F.col("start") - F.col("a5"), F.lit(2)), cut("b3", F.col("end") - 2 - F.col("a3"), F.lit(2))
     turned = lambda c: F.reverse(F.translate(c, "ACGT", "TGCA"))
-    joined = gaps.join(seqs.select("seq_id", "seq"), "seq_id").where((F.col("end") - F.col("start") >= 4) & (F.col("end") <= F.length("seq")))
     donor = F.when(F.col("strand") == "-", turned(right)).otherwise(left)
     acceptor = F.when(F.col("strand") == "-", turned(left)).otherwise(right)
     out = joined.select("seq_id", "start", "end", "strand", donor.alias("donor"), acceptor.alias("acceptor"))
     return out.withColumn("canonical", F.concat_ws("-", "donor", "acceptor").isin("GT-AG", "GC-AG", "AT-AC"))
 
 
-def extract_regions(regions: DataFrame, seqs: DataFrame, flank: int = 0) -> DataFrame:
-    """The bases of regions with flanks, clipped to the sequence, read on the region's strand."""
-    joined = regions.join(seqs.select("seq_id", "seq"), "seq_id").where((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("seq")))
-    low, high = F.greatest(F.lit(0).cast("long"), F.col("start") - flank), F.least(F.length("seq").cast("long"), F.col("end") + flank)
-    bases = F.substring("seq", (low + 1).cast("int"), (high - low).cast("int"))
+def extract_regions(regions: DataFrame, seqs: DataFrame, flank: int = 0, size: int = 4096) -> DataFrame:
+    """The bases of regions with flanks, clipped to the sequence, read on the region's strand. A region meets the pieces
+    that it lies on, each gives its part, and the parts are joined in order. Regions are told apart by all their columns."""
+    lengths = seqs.select("seq_id", F.length("seq").cast("long").alias("n"))
+    inside = regions.join(lengths, "seq_id").where((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("n")))
+    low, high = F.greatest(F.lit(0).cast("long"), F.col("start") - flank), F.least(F.col("n"), F.col("end") + flank)
+    clipped = (F.col("start") < flank) | (F.col("end") + flank > F.col("n"))
+    keys = ["region_id", "seq_id", "low", "high", "strand", "clipped"]
+    asked = inside.select("region_id", "seq_id", low.alias("low"), high.alias("high"), "strand", clipped.alias("clipped")).groupBy(*keys).agg(F.count("*").alias("times"))
+    cells = F.explode(F.sequence(F.floor(F.col("low") / size), F.floor((F.col("high") - 1) / size)))
+    dealt = asked.withColumn("cell", cells).withColumn("at", (F.col("cell") * size).cast("int"))
+    here = dealt.join(pieces(seqs, size, 0, 0).select("seq_id", "at", "bases"), ["seq_id", "at"])
+    first, last = F.greatest(F.col("low") - F.col("at"), F.lit(0)), F.least(F.col("high") - F.col("at"), F.lit(size))
+    parts = here.select(*keys, "times", F.struct("at", cut("bases", first, last - first).alias("x")).alias("p")).groupBy(*keys, "times").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    bases = F.array_join(F.col("p.x"), "")
     bases = F.when(F.col("strand") == "-", F.reverse(F.translate(bases, "ACGT", "TGCA"))).otherwise(bases)
-    clipped = (F.col("start") < flank) | (F.col("end") + flank > F.length("seq"))
-    return joined.select("region_id", "seq_id", low.alias("start"), high.alias("end"), "strand", bases.alias("bases"), clipped.alias("clipped"))
+    out = parts.select("region_id", "seq_id", F.col("low").alias("start"), F.col("high").alias("end"), "strand", bases.alias("bases"), "clipped", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("t"))
+    return out.drop("t")
 
 
 def resolve_contig_names(regions: DataFrame, molecules: DataFrame) -> DataFrame:
@@ -203,7 +230,10 @@ def resolve_contig_names(regions: DataFrame, molecules: DataFrame) -> DataFrame:
     """
     plain = lambda c: F.regexp_replace(F.regexp_replace(F.upper(F.trim(c)), "^CHR", ""), "^MT$", "M")
     names = F.array_distinct(F.array_compact(F.transform(F.array("chr_name", "ucsc_name", "accession"), lambda c: F.when(F.trim(c) != "", plain(c)))))
-    alias = molecules.select("assembly", "accession", "length", F.explode(names).alias("__name")).dropDuplicates(["assembly", "__name"])
+    alias = molecules.select("assembly", "accession", "length", F.posexplode(names).alias("__rank", "__name"))
+    # where molecules share an alias, the one that has it as its first kind of name, then the smallest accession
+    first = F.min_by(F.struct("accession", "length"), F.struct("__rank", F.coalesce("accession", F.lit("")), "length"))
+    alias = alias.groupBy("assembly", "__name").agg(first.alias("m")).select("assembly", "__name", "m.accession", "m.length")
     found = regions.withColumn("__name", plain(F.col("chrom"))).join(alias, ["assembly", "__name"], "left")
     reason = F.when(F.col("accession").isNull(), "unknown contig").when(F.col("end") > F.col("length"), "past the end")
     return found.select("region_id", "assembly", "chrom", "start", "end", "accession", reason.alias("reason"))

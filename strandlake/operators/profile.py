@@ -186,6 +186,14 @@ def low_complexity_flag(spans: DataFrame) -> DataFrame:
     return out.withColumn("simple", simple)
 
 
+def is_simple(bases: Column) -> Column:
+    """Whether a text is of low complexity: short, of one base mostly, or of few different 4-mers."""
+    n = F.length(bases)
+    top = F.greatest(*(count_of(bases, b) for b in "ACGT"))
+    four = F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), n - 4), lambda i: cut(bases, i, F.lit(4)))))
+    return F.when(n < 8, True).when(top / n > 0.7, True).otherwise(four < F.greatest(F.lit(4.0), 0.05 * (n - 3)))
+
+
 def kmer_index(seqs: DataFrame, k: int) -> DataFrame:
     """seq_id, kmer, pos of each k-mer without N."""
     return words(seqs, k).where(~F.contains("word", F.lit("N"))).select("seq_id", "pos", F.col("word").alias("kmer"))

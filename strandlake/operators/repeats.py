@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import lgamma
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profile import count_of, cut, reverse_complement, words
+from .profile import count_of, cut, is_simple, pieces, reverse_complement, words
 
 #: Superfamily and the length of the target site it duplicates.
 TSD_LENGTH = {"Copia": 5, "Gypsy": 5, "hAT": 8, "Tc1/Mariner": 2}
@@ -84,8 +86,7 @@ def terminal_direct_repeats(seqs: DataFrame, k: int = 13, min_ltr: int = 80, min
     s3, e3 = F.col("s5") + d, F.col("e5") + d
     out = out.where((length >= min_ltr) & (F.col("distinct_p5") >= F.greatest(F.lit(min_anchors), F.ceil((length - k + 1) * 0.01))))
     same = matches(piece(F.col("s5"), F.col("e5")), piece(s3, e3))
-    top = F.greatest(*(count_of(piece(F.col("s5"), F.col("e5")), b) for b in "ACGT"))
-    out = out.select("seq_id", "s5", "e5", s3.alias("s3"), e3.alias("e3"), length.alias("ltr_len"), (100 * same / length).alias("identity"), (F.col("e5") >= F.col("w")).alias("lower_bound"), (top / length > 0.7).alias("simple"))
+    out = out.select("seq_id", "s5", "e5", s3.alias("s3"), e3.alias("e3"), length.alias("ltr_len"), (100 * same / length).alias("identity"), (F.col("e5") >= F.col("w")).alias("lower_bound"), is_simple(piece(F.col("s5"), F.col("e5"))).alias("simple"))
     return out.where(~F.col("simple")).select("*", (F.col("identity") < min_identity).alias("advisory")).drop("simple")
 
 
@@ -116,16 +117,23 @@ def tail_scan(seqs: DataFrame, min_run: int = 8) -> DataFrame:
     return seqs.select("seq_id", F.explode(rows).alias("r")).select("seq_id", "r.*").where(F.col("length") >= min_run)
 
 
-def target_site_duplications(elements: DataFrame, seqs: DataFrame, low: int = 2, high: int = 12) -> DataFrame:
+def target_site_duplications(elements: DataFrame, seqs: DataFrame, low: int = 2, high: int = 12, size: int = 4096) -> DataFrame:
     """elements (seq_id, start, end, expect): the direct repeat that flanks each, of the expected length or else the
-    longest; none where a flank is missing."""
-    e = elements.join(seqs.select("seq_id", "seq"), "seq_id").where((F.col("start") >= low) & (F.col("end") + low <= F.length("seq")))
-    flank = lambda at, size: F.substring("seq", (at + 1).cast("int"), size)
-    fits = lambda size: (F.col("start") >= size) & (F.col("end") + size <= F.length("seq")) & (flank(F.col("start") - size, size) == flank(F.col("end"), size)) & ~F.contains(flank(F.col("end"), size), F.lit("N"))
+    longest; none where a flank is missing. Elements meet the pieces of their sequence that hold their ends."""
+    cell = lambda c: (F.floor(F.col(c) / size) * size).cast("int")
+    around = pieces(seqs, size, high, high).select("seq_id", "n", "at", "low", "bases")
+    before = around.select("seq_id", F.col("at").alias("a5"), F.col("low").alias("low5"), F.col("bases").alias("b5"))
+    after = around.select("seq_id", "n", F.col("at").alias("a3"), F.col("low").alias("low3"), F.col("bases").alias("b3"))
+    dealt = elements.where(F.col("start") >= low).withColumns({"a5": cell("start"), "a3": cell("end")})
+    e = dealt.join(before, ["seq_id", "a5"]).join(after, ["seq_id", "a3"]).where(F.col("end") + low <= F.col("n"))
+    room = F.least(F.lit(high), F.col("start"))
+    e = e.select("seq_id", "start", "end", "expect", cut("b5", F.col("start") - room - F.col("low5"), room).alias("up"), cut("b3", F.col("end") - F.col("low3"), F.lit(high)).alias("down"))
+    up, down = lambda n: cut("up", F.length("up") - n, n), lambda n: cut("down", F.lit(0), n)
+    fits = lambda n: (n <= F.least(F.length("up"), F.length("down"))) & (up(n) == down(n)) & ~F.contains(down(n), F.lit("N"))
     lengths = F.filter(F.sequence(F.lit(low), F.lit(high)), fits)
-    size = F.when(F.array_contains("lengths", F.col("expect")), F.col("expect")).otherwise(F.array_max("lengths"))
-    found = e.withColumn("lengths", lengths).where(F.size("lengths") > 0).withColumn("length", size)
-    return found.select("seq_id", "start", "end", "length", flank(F.col("end"), F.col("length")).alias("motif"), (F.col("length") == F.col("expect")).alias("matched_expected"))
+    length = F.when(F.array_contains("lengths", F.col("expect")), F.col("expect")).otherwise(F.array_max("lengths"))
+    found = e.withColumn("lengths", lengths).where(F.size("lengths") > 0).withColumn("length", length)
+    return found.select("seq_id", "start", "end", "length", down(F.col("length")).alias("motif"), F.coalesce(F.col("length") == F.col("expect"), F.lit(False)).alias("matched_expected"))
 
 
 def tsd_congruence(tsd: DataFrame) -> DataFrame:
@@ -173,23 +181,37 @@ def normalised_density(matrix: DataFrame) -> DataFrame:
 
 
 def chance_floor(seqs: DataFrame, k: int = 13, bins: int = 300) -> DataFrame:
-    """Chance that two places hold the same k-mer, and the expected matches in all and per cell."""
-    n = F.length("seq")
-    same = sum((F.pow(count_of(F.col("seq"), b) / n, F.lit(2.0)) for b in "ACGT"), F.lit(0.0))
-    places = (n - k + 1).cast("double")
-    total = F.pow(same, F.lit(float(k))) * places * places
-    return seqs.where(n >= k).select("seq_id", F.pow(same, F.lit(float(k))).alias("p_same"), total.alias("total"), (total / (bins * bins)).alias("per_bin"))
+    """Chance that two places hold the same base (of the known bases) and the same k-mer, and the matches that a sequence
+    without repeats would show: in all (each pair of places once) and per cell."""
+    n = F.length("seq").cast("double")
+    known = F.greatest(F.lit(1), count_of(F.col("seq"), "ACGT"))
+    same = sum((F.pow(count_of(F.col("seq"), b) / known, F.lit(2.0)) for b in "ACGT"), F.lit(0.0))
+    word = F.pow(same, F.lit(float(k)))
+    return seqs.where(n >= k).select("seq_id", same.alias("p_base"), word.alias("p_word"), (word * n * n / 2).alias("total"), (word * n * n / (bins * bins)).alias("per_bin"))
 
 
 def significant_cells(floor: DataFrame, bins: int = 300, most: int = 64) -> DataFrame:
-    """The smallest count whose Poisson tail times the number of cells is under 1 (most, if none)."""
-    start = F.struct(F.lit(1.0).alias("tail"), F.exp(-F.col("per_bin")).alias("pmf"), F.lit(None).cast("int").alias("found"))
+    """The smallest count whose Poisson tail times the number of cells is under 1; ``most`` where no smaller one is, which
+    is where the search ends.
+
+    Tails are summed from their small end, so that they keep their precision; means of most or more need no sum: the
+    tail at most is about a half there.
+    """
+    mean, top = F.col("per_bin"), most + 192
+    logs = F.array(*(F.lit(lgamma(c + 1)) for c in range(top)))
+    pmf = F.transform(F.sequence(F.lit(0), F.lit(top - 1)), lambda c: F.exp(c * F.log(mean) - mean - F.get(logs, c)))
+    # suffix sums up to the first count, from the far end, whose tail is no longer under 1
+    start = F.struct(F.lit(0.0).alias("tail"), F.lit(top).alias("m"), F.lit(True).alias("live"))
 
-    def step(acc, c):
-        found = F.coalesce(acc["found"], F.when(acc["tail"] * (bins * bins) < 1, c - 1))
-        return F.struct((acc["tail"] - acc["pmf"]).alias("tail"), (acc["pmf"] * F.col("per_bin") / c).alias("pmf"), found.alias("found"))
+    def step(acc, i):
+        tail = acc["tail"] + F.get("pmf", i)
+        live = acc["live"] & (tail * (bins * bins) < 1)
+        return F.struct(tail.alias("tail"), F.when(live, i).otherwise(acc["m"]).alias("m"), live.alias("live"))
 
-    return floor.select("seq_id", F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(most + 1)), start, step)["found"], F.lit(most)).alias("threshold"))
+    searched = F.aggregate(F.sequence(F.lit(top - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["m"])
+    threshold = F.when(mean <= 0, 1).when(mean >= most, most).otherwise(F.least(F.lit(most), F.col("m")))
+    safe = floor.select("seq_id", "per_bin", F.when((mean > 0) & (mean < most), pmf).alias("pmf"))
+    return safe.select("seq_id", "per_bin", searched.alias("m")).select("seq_id", threshold.cast("int").alias("threshold"))
 
 
 def word_size_per_element(evidence: DataFrame) -> DataFrame:
@@ -218,19 +240,20 @@ def near_miss_repeats(seqs: DataFrame, min_identity: float = 80.0) -> DataFrame:
 
 def inverted_repeat_seeds(seqs: DataFrame, k: int = 11, window: int = 1200, min_anchors: int = 3, max_len: int = 1000, min_identity: float = 80.0) -> DataFrame:
     """Inverted repeats of the two ends from shared words of one end and the other's reverse complement; the strongest
-    anti-diagonal (place + mirrored place) wins, ties to the smaller."""
+    anti-diagonal (place + mirrored place) wins, ties to the one whose word stands last in the sequence, then first in
+    its head."""
     five, three = end_words(seqs, k, window)
-    anchors = five.join(three.withColumn("word", reverse_complement(F.col("word"))), ["seq_id", "word"]).withColumn("s", F.col("p5") + F.col("p3") + k)
-    sums = anchors.groupBy("seq_id", "n", "s").agg(F.count("*").alias("c"), F.min("p5").alias("low"), F.max("p5").alias("high"))
-    best = sums.groupBy("seq_id").agg(F.max_by("s", F.struct("c", -F.col("s"))).alias("best"))
+    anchors = five.join(three.withColumn("word", reverse_complement(F.col("word"))), ["seq_id", "word"]).where(F.col("p3") > F.col("p5")).withColumn("s", F.col("p5") + F.col("p3") + k)
+    sums = anchors.groupBy("seq_id", "n", "s").agg(F.count("*").alias("c"), F.min("p5").alias("low"), F.max("p5").alias("high"), F.max("p3").alias("last"))
+    best = sums.groupBy("seq_id").agg(F.max_by("s", F.struct("c", "last", -F.col("s"))).alias("best"), F.max("c").alias("top")).where(F.col("top") >= min_anchors).drop("top")
     near = sums.join(best, "seq_id").where(F.abs(F.col("s") - F.col("best")) <= 4)
-    spans = near.groupBy("seq_id", "n", "best").agg(F.sum("c").alias("c"), F.min("low").alias("s5"), (F.max("high") + k).alias("e5")).where(F.col("c") >= min_anchors)
+    spans = near.groupBy("seq_id", "n", "best").agg(F.sum("c").alias("c"), F.min("low").alias("s5"), (F.max("high") + k).alias("e5"))
     s3, e3 = F.col("best") - F.col("e5"), F.col("best") - F.col("s5")
     length = F.col("e5") - F.col("s5")
-    found = spans.where(length.between(10, max_len) & (s3 >= F.col("e5")) & (e3 <= F.col("n"))).join(seqs.select("seq_id", "seq"), "seq_id")
+    found = spans.where(length.between(10, max_len)).join(seqs.select("seq_id", "seq"), "seq_id")
     piece = lambda start: cut("seq", start, length)
     same = matches(piece(F.col("s5")), reverse_complement(piece(s3)))
-    return found.select("seq_id", "s5", "e5", s3.cast("int").alias("s3"), e3.cast("int").alias("e3"), (100 * same / length).alias("identity")).where(F.col("identity") >= min_identity)
+    return found.select("seq_id", "s5", "e5", s3.cast("int").alias("s3"), e3.cast("int").alias("e3"), (100 * same / length).alias("identity"), is_simple(piece(F.col("s5"))).alias("simple")).where((F.col("identity") >= min_identity) & ~F.col("simple")).drop("simple")
 
 
 def record_summary(composition: DataFrame, calls: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -43,6 +43,14 @@ CONFIDENCE = """CASE
     ELSE 'Candidate' END"""
 
 
+#: Width of the cells that spans of an element are dealt to before they are joined.
+CELL = 4096
+
+
+def _cells(start: str, end: str) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(start) / CELL), F.floor((F.greatest(F.col(end), F.col(start) + 1) - 1) / CELL)))
+
+
 def dedup_domain_hits(hits: DataFrame) -> DataFrame:
     """Of overlapping hits of one domain and strand the best, greedily by score: a hit that only overlaps a dropped one
     stays. The fold runs inside overlap islands, which are small."""
@@ -140,8 +148,9 @@ def completeness_ledger(flags: DataFrame) -> DataFrame:
 
 def coding_frames(hits: DataFrame, orfs: DataFrame) -> DataFrame:
     """Distinct frames that host an element's domains: the first that contains the hit on its strand."""
-    o = orfs.select("seq_id", "strand", "orf_key", F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    near = hits.join(o, ["seq_id", "strand"], "left").withColumn("host", F.when((F.col("o_start") <= F.col("start")) & (F.col("end") <= F.col("o_end")), F.col("orf_key")))
+    o = orfs.select("seq_id", "strand", "orf_key", F.col("start").alias("o_start"), F.col("end").alias("o_end"), _cells("start", "end").alias("__cell"))
+    # a frame that contains the hit covers the cell in which the hit starts
+    near = hits.withColumn("__cell", F.floor(F.col("start") / CELL)).join(o, ["seq_id", "strand", "__cell"], "left").withColumn("host", F.when((F.col("o_start") <= F.col("start")) & (F.col("end") <= F.col("o_end")), F.col("orf_key")))
     placed = near.groupBy("seq_id", "hit_id").agg(F.min("host").alias("host"))
     out = placed.groupBy("seq_id").agg(F.countDistinct("host").alias("frames"), F.count_if(F.col("host").isNull()).alias("unplaced"))
     state = F.when(F.col("frames") == 0, "not assessed").when((F.col("frames") == 1) & (F.col("unplaced") == 0), "single reading frame").otherwise("split across reading frames")
@@ -149,9 +158,11 @@ def coding_frames(hits: DataFrame, orfs: DataFrame) -> DataFrame:
 
 
 def encloses(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Pairs of an element's spans: does the outer one (o_id) hold the inner one (i_id)?"""
-    j = outer.select("seq_id", "o_id", F.col("start").alias("o_start"), F.col("end").alias("o_end")).join(inner.select("seq_id", "i_id", "start", "end"), "seq_id")
-    return j.select("o_id", "i_id", ((F.col("o_start") <= F.col("start")) & (F.col("end") <= F.col("o_end"))).alias("encloses"))
+    """Per inner span (i_id): how many outer spans of its element (o_id) hold it, and whether any does."""
+    o = outer.select("seq_id", "o_id", F.col("start").alias("o_start"), F.col("end").alias("o_end"), _cells("start", "end").alias("__cell"))
+    j = inner.select("seq_id", "i_id", "start", "end", F.floor(F.col("start") / CELL).alias("__cell")).join(o, ["seq_id", "__cell"], "left")
+    holds = F.coalesce((F.col("o_start") <= F.col("start")) & (F.col("end") <= F.col("o_end")), F.lit(False))
+    return j.groupBy("seq_id", "i_id").agg(F.count_if(holds).alias("n_enclosing")).withColumn("encloses", F.col("n_enclosing") > 0)
 
 
 def explain_call(calls: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -168,17 +179,30 @@ def unsearched_scope(orfs: DataFrame, scans: DataFrame, budget: int = 12) -> Dat
     return n.join(scans.select("seq_id", F.lit(True).alias("ran")).distinct(), "seq_id", "left").select("seq_id", "unscanned", F.coalesce("ran", F.lit(False)).alias("ran"))
 
 
-def ontology_term(calls: DataFrame) -> DataFrame:
-    """The sequence ontology term a call may claim; without the evidence for it a more general one.
-
-    Fixed values: names of ontology terms."""
-    t = F.col("te_class")
-    term = (
-        F.when(t.isin("LTR/Copia", "LTR/Gypsy", "LTR/unclassified"), "LTR_retrotransposon")
-        .when(t == "LINE", "LINE_element")
-        .when(t == "DIRS", "DIRS_YR_retrotransposon")
-        .when(t == "DNA/non-autonomous", "terminal_inverted_repeat_element")
-        .when(t.startswith("DNA/"), "DNA_transposon")
-        .otherwise("repeat_region")
-    )
-    return calls.select("seq_id", term.alias("so_term"))
+#: Beginnings of a class and the ontology term that it may claim.
+TERMS = (
+    ("LTR/", "LTR_retrotransposon"),
+    ("LINE", "LINE_element"),
+    ("SINE", "SINE_element"),
+    ("DIRS", "YR_retrotransposon"),
+    ("DNA/", "terminal_inverted_repeat_element"),
+    ("HEL", "helitron"),
+)
+
+
+def ontology_term(calls: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The sequence ontology term that a call may claim by its ledger (tier, present, missing); without the evidence for
+    it a more general one: nothing coding is a repeat_region, so is an LTR element without RT, and a transposase whose
+    inverted repeats are missing is a DNA_transposon."""
+    t = F.coalesce("te_class", F.lit("none"))
+    listed = lambda c: F.split(F.coalesce(c, F.lit("")), ",")
+    term = F.lit("repeat_region")
+    for prefix, name in reversed(TERMS):
+        claimed = F.lit(name)
+        if name == "terminal_inverted_repeat_element":
+            claimed = F.when(F.array_contains(listed("missing"), "TIR"), "DNA_transposon").otherwise(name)
+        elif name == "LTR_retrotransposon":
+            claimed = F.when(F.array_contains(listed("present"), "RT"), name).otherwise("repeat_region")
+        term = F.when(t.startswith(prefix), claimed).otherwise(term)
+    bare = t.isin("", "none") | F.contains(t, F.lit("structural-only")) | F.contains(F.coalesce("tier", F.lit("")), F.lit("structural-only"))
+    return calls.join(ledger.select("seq_id", "tier", "present", "missing"), "seq_id", "left").select("seq_id", "te_class", F.when(bare, "repeat_region").otherwise(term).alias("so_term"))

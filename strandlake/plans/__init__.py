@@ -1,7 +1,7 @@
 """All registered queries of the library and their DuckDB SQL."""
 
-from . import evaluate, intervals, repeats, rollup, sequences
+from . import evaluate, intervals, repeats, rollup, sequences, structure
 
-MODULES = (intervals, evaluate, sequences, rollup, repeats)
+MODULES = (intervals, evaluate, sequences, rollup, repeats, structure)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

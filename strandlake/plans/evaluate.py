@@ -187,9 +187,9 @@ ORACLES = {
         SELECT round(corr(rx, ry), 9) AS rho, round(corr(x, y), 9) AS r FROM r""",
     "o96_verdict_matrix": """WITH c AS (SELECT p_brand AS tool, regexp_replace(lower(p_name || '.'), '[.]', '', 'g') AS t FROM part)
         SELECT tool, CASE WHEN t IN ('small ring', 'red widget') THEN t WHEN split_part(t, ' ', 1) IN ('small', 'large', 'red') THEN split_part(t, ' ', 1) ELSE 'unknown' END AS verdict, count(*) AS n FROM c GROUP BY ALL""",
-    "o97_differential_agreement": """WITH a AS (SELECT l_orderkey AS k, l_partkey, CAST(l_quantity AS INT) AS q, count(*) AS m FROM lineitem WHERE l_quantity > 45 GROUP BY ALL), b AS (SELECT l_orderkey AS k, l_partkey, CASE WHEN l_discount > 0.09 THEN 0 ELSE CAST(l_quantity AS INT) END AS q, count(*) AS m FROM lineitem WHERE l_quantity > 45 GROUP BY ALL),
+    "o97_differential_agreement": """WITH a AS (SELECT l_orderkey AS k, l_partkey, CAST(l_quantity AS INT) AS q, count(*) AS m FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey AS k, l_partkey, CASE WHEN l_discount > 0.09 THEN 0 ELSE CAST(l_quantity AS INT) END AS q, count(*) AS m FROM lineitem GROUP BY ALL),
         j AS (SELECT coalesce(a.k, b.k) AS k, count(*) FILTER (WHERE a.m IS DISTINCT FROM b.m) AS different FROM a FULL JOIN b ON a.k = b.k AND a.l_partkey = b.l_partkey AND a.q = b.q GROUP BY 1)
-        SELECT count(*) FILTER (WHERE different = 0) AS agreed, count(*) FILTER (WHERE different > 0) AS disagreed, count(*) FILTER (WHERE different IS NULL) AS both_empty FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) LEFT JOIN j USING (k)""",
+        SELECT count(*) FILTER (WHERE different = 0) AS agreed, count(*) FILTER (WHERE different > 0) AS disagreed, count(*) FILTER (WHERE different IS NULL) AS both_empty FROM (SELECT o_orderkey AS k FROM orders UNION SELECT l_orderkey FROM lineitem) LEFT JOIN j USING (k)""",
     "o98_call_changes": f"""WITH {_BOTH}, s AS (SELECT CASE WHEN h0 IS NULL THEN 'no earlier run' WHEN h1 IS NULL THEN 'no later run' WHEN h0 <> h1 THEN 'input changed' WHEN c0 IS NOT DISTINCT FROM c1 THEN 'unchanged' ELSE 'moved' END AS state, c0, c1 FROM j)
         SELECT state, CASE WHEN state IN ('unchanged', 'moved') THEN c0 END AS before, CASE WHEN state IN ('unchanged', 'moved') THEN c1 END AS after, count(*) AS n FROM s GROUP BY ALL""",
     "o99_orphan_results": """WITH r AS (SELECT l_partkey AS accession, count(*) AS n_results, count(*) FILTER (WHERE l_discount > 0.01) AS n_cases FROM lineitem GROUP BY 1)

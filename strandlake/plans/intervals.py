@@ -34,7 +34,7 @@ def o50_landscape_composition(spark, d):
 
 
 def o51_split_hits_by_kind(spark, d):
-    return ops.split_hits_by_kind(hits(spark, d)).groupBy("bucket", "class_family").agg(F.count("*").alias("n"))
+    return ops.split_hits_by_kind(hits(spark, d)).select("row_key", "row_no", "class_family", "bucket")
 
 
 def exons(spark, d):
@@ -76,7 +76,7 @@ def o56_extract_regions(spark, d):
 def o57_resolve_contig_names(spark, d):
     molecules = derive(spark, d, "supplier").select((F.col("s_nationkey") % 5).alias("assembly"), F.concat(F.lit("chr"), F.col("s_suppkey")).alias("chr_name"), F.lit("").alias("ucsc_name"), F.col("s_name").alias("accession"), F.lit(15000).cast("long").alias("length"))
     regions = hits(spark, d).select(F.concat_ws("-", "row_key", "row_no").alias("region_id"), (F.col("query") % 7).alias("assembly"), F.concat(F.when(F.col("row_no") % 2 == 0, "CHR").otherwise(""), F.col("query")).alias("chrom"), F.col("q_start").alias("start"), F.col("q_end").alias("end"))
-    return ops.resolve_contig_names(regions, molecules).groupBy("assembly", "reason").agg(F.count("*").alias("n"), F.countDistinct("accession").alias("accessions"))
+    return ops.resolve_contig_names(regions, molecules).select("region_id", "assembly", "accession", "reason")
 
 
 def o58_splice_motifs(spark, d):
@@ -111,7 +111,7 @@ ORACLES = {
     "o49_repeat_kind_totals": duck(f"WITH {_LANDSCAPE} SELECT kind, CAST(sum(bp) AS BIGINT) AS bp, count(*) AS families, CAST(sum(n) AS BIGINT) AS n FROM kinds GROUP BY kind", "repeat_hits"),
     "o50_landscape_composition": duck(f"""WITH {_LANDSCAPE}, parts AS (SELECT CASE WHEN kind = 'te' THEN split_part(class_family, '/', 1) ELSE kind END AS part, CAST(sum(bp) AS BIGINT) AS bp FROM kinds GROUP BY 1),
         every AS (SELECT * FROM parts UNION ALL SELECT 'unannotated', greatest(0, genome_bp - (SELECT CAST(sum(bp) AS BIGINT) FROM parts)) FROM g) SELECT part, bp, bp / genome_bp AS share FROM every, g""", "repeat_hits"),
-    "o51_split_hits_by_kind": duck("""SELECT CASE WHEN class_family = 'Unknown' THEN 'unclassed' WHEN class_family IN ('Simple_repeat', 'rRNA') THEN 'non_te' ELSE 'te' END AS bucket, class_family, count(*) AS n FROM repeat_hits GROUP BY ALL""", "repeat_hits"),
+    "o51_split_hits_by_kind": duck("""SELECT CASE WHEN class_family = 'Unknown' THEN 'unclassed' WHEN class_family IN ('Simple_repeat', 'rRNA') THEN 'non_te' ELSE 'te' END AS bucket, class_family, row_key, row_no FROM repeat_hits""", "repeat_hits"),
     "o52_build_gene_model": duck(f"""WITH {_EX}, f AS (SELECT seq_id, start, "end", CASE WHEN role = 'system' THEN 2 WHEN seq_id % 2 = 0 THEN 1 ELSE 3 END AS r FROM ex),
         e AS (SELECT DISTINCT f.seq_id, start, "end", m > 1 AS derived FROM f JOIN (SELECT seq_id, min(r) AS m FROM f GROUP BY seq_id) p ON f.seq_id = p.seq_id AND r = m), {_GAPS.format(name="i", source="e")}
         SELECT seq_id, start, "end", derived, 'exon' AS kind FROM e UNION ALL SELECT seq_id, start, "end", true, 'intron' FROM i""", "exons"),
@@ -126,8 +126,8 @@ ORACLES = {
     "o56_extract_regions": duck("""WITH r AS (SELECT orf_key AS region_id, seq_id, start % 500 AS start, start % 500 + "end" - start AS "end", strand FROM orfs), j AS (SELECT r.*, seq, length(seq) AS n FROM r JOIN seqs USING (seq_id) WHERE start < "end" AND "end" <= length(seq)),
         k AS (SELECT *, greatest(0, start - 25) AS lo, least(n, "end" + 25) AS hi FROM j)
         SELECT region_id, seq_id, lo AS start, hi AS "end", strand, CASE WHEN strand = '-' THEN reverse(translate(substr(seq, lo + 1, hi - lo), 'ACGT', 'TGCA')) ELSE substr(seq, lo + 1, hi - lo) END AS bases, start < 25 OR "end" + 25 > n AS clipped FROM k""", "orfs", "seqs"),
-    "o57_resolve_contig_names": duck("""WITH m AS (SELECT s_nationkey % 5 AS assembly, CAST(s_suppkey AS VARCHAR) AS name, s_name AS accession FROM supplier), r AS (SELECT query % 7 AS assembly, CAST(query AS VARCHAR) AS name, q_end FROM repeat_hits),
-        j AS (SELECT r.assembly, accession, CASE WHEN accession IS NULL THEN 'unknown contig' WHEN q_end > 15000 THEN 'past the end' END AS reason FROM r LEFT JOIN m ON r.assembly = m.assembly AND r.name = m.name) SELECT assembly, reason, count(*) AS n, count(DISTINCT accession) AS accessions FROM j GROUP BY ALL""", "repeat_hits"),
+    "o57_resolve_contig_names": duck("""WITH m AS (SELECT s_nationkey % 5 AS assembly, CAST(s_suppkey AS VARCHAR) AS name, s_name AS accession FROM supplier), r AS (SELECT row_key || '-' || row_no AS region_id, query % 7 AS assembly, CAST(query AS VARCHAR) AS name, q_end FROM repeat_hits),
+        j AS (SELECT region_id, r.assembly, accession, CASE WHEN accession IS NULL THEN 'unknown contig' WHEN q_end > 15000 THEN 'past the end' END AS reason FROM r LEFT JOIN m ON r.assembly = m.assembly AND r.name = m.name) SELECT region_id, assembly, accession, reason FROM j""", "repeat_hits"),
     "o58_splice_motifs": duck(f"""WITH {_EX}, {_GAPS.format(name="i", source="ex")}, j AS (SELECT i.*, CASE WHEN i.seq_id % 2 = 0 THEN '+' ELSE '-' END AS strand, substr(seq, start + 1, 2) AS l, substr(seq, "end" - 1, 2) AS r FROM i JOIN seqs USING (seq_id) WHERE "end" - start >= 4 AND "end" <= length(seq)),
         k AS (SELECT seq_id, start, "end", strand, CASE WHEN strand = '-' THEN reverse(translate(r, 'ACGT', 'TGCA')) ELSE l END AS donor, CASE WHEN strand = '-' THEN reverse(translate(l, 'ACGT', 'TGCA')) ELSE r END AS acceptor FROM j)
         SELECT *, donor || '-' || acceptor IN ('GT-AG', 'GC-AG', 'AT-AC') AS canonical FROM k""", "exons", "seqs"),

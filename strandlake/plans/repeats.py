@@ -28,7 +28,7 @@ def o12_xdrop_extend(spark, d):
 
 
 def o13_near_miss_repeats(spark, d):
-    return ops.near_miss_repeats(seqs(spark, d), 99.0)
+    return ops.near_miss_repeats(derive(spark, d, "copies"), 99.0)
 
 
 def o14_span_identity(spark, d):
@@ -79,7 +79,7 @@ def o27_masked_words(spark, d):
 
 
 def o28_chance_floor(spark, d):
-    return ops.chance_floor(seqs(spark, d), k=4, bins=20).select("seq_id", *(F.round(c, 6).alias(c) for c in ("p_same", "total", "per_bin")))
+    return ops.chance_floor(seqs(spark, d), k=4, bins=20).select("seq_id", *(F.round(c, 6).alias(c) for c in ("p_base", "p_word", "total", "per_bin")))
 
 
 def o29_significant_cells(spark, d):
@@ -106,10 +106,10 @@ _MATRIX = _WORDS.format(k=13) + """, ct AS (SELECT seq_id, w FROM wd GROUP BY AL
     mx AS (SELECT a.seq_id, 'forward' AS orientation, a.bin AS bin_i, b.bin AS bin_j, count(*) AS cnt FROM kp a JOIN kp b ON a.seq_id = b.seq_id AND a.w = b.w AND a.p <= b.p GROUP BY ALL
     UNION ALL SELECT a.seq_id, 'reverse', a.bin, b.bin, count(*) FROM (SELECT * REPLACE (reverse(translate(w, 'ACGT', 'TGCA')) AS w) FROM kp) a JOIN kp b ON a.seq_id = b.seq_id AND a.w = b.w GROUP BY ALL)"""
 
-_PAIR = "pr AS (SELECT a.seq_id AS pair_id, substr(a.seq, 1, 80) AS a, substr(b.seq, 1, 80) AS b FROM seqs a JOIN seqs b ON b.seq_id = a.seq_id + 1)"
+_PAIR = "pr AS (SELECT a.seq_id AS pair_id, a.seq AS a, b.seq AS b FROM seqs a JOIN seqs b ON b.seq_id = a.seq_id + 1)"
 
 ORACLES = {
-    "o12_xdrop_extend": duck(f"""WITH {_PAIR}, o AS (SELECT pair_id, unnest(range(1, least(length(a), length(b)) + 1)) AS i, a, b FROM pr), c AS (SELECT pair_id, i, sum(CASE WHEN substr(a, i, 1) = substr(b, i, 1) THEN 1 ELSE -2 END) OVER (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM o),
+    "o12_xdrop_extend": duck(f"""WITH {_PAIR}, o AS (SELECT pair_id, unnest(range(1, l + 1)) AS i, unnest(string_split(substr(a, 1, l), '')) AS x, unnest(string_split(substr(b, 1, l), '')) AS y FROM (SELECT *, least(length(a), length(b)) AS l FROM pr) WHERE l > 0), c AS (SELECT pair_id, i, sum(CASE WHEN x = y THEN 1 ELSE -2 END) OVER (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS s FROM o),
         m AS (SELECT *, greatest(0, max(s) OVER (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING)) AS best FROM c), k AS (SELECT *, max(CAST(s < best - 6 AS INT)) OVER (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS dead FROM m),
         e AS (SELECT pair_id, arg_max(i, (s, -i)) AS ext, max(s) AS top FROM k WHERE dead = 0 GROUP BY pair_id) SELECT pr.pair_id, CAST(CASE WHEN top > 0 THEN ext ELSE 0 END AS INT) AS ext FROM pr LEFT JOIN e USING (pair_id)""", "seqs"),
     "o14_span_identity": duck(f"""WITH {_PAIR}, n AS (SELECT *, CAST(least(length(a), length(b)) AS INT) AS len FROM pr), h AS (SELECT pair_id, len, CASE WHEN len > 0 THEN CAST(len - hamming(substr(a, 1, len), substr(b, 1, len)) AS INT) ELSE 0 END AS matches FROM n) SELECT *, CASE WHEN len > 0 THEN 100 * matches / len END AS identity FROM h""", "seqs"),
@@ -129,9 +129,12 @@ ORACLES = {
     "o27_self_similarity_matrix": duck(f"WITH {_MATRIX} SELECT * FROM mx", "seqs"),
     "o27_masked_words": duck(f"WITH {_WORDS.format(k=6)}, ct AS (SELECT seq_id, w, count(*) AS c FROM wd GROUP BY ALL HAVING count(*) > 20) SELECT seq_id, count(*) AS masked_kmers, CAST(sum(c) AS BIGINT) AS masked_positions FROM ct GROUP BY seq_id", "seqs"),
     "o28_chance_floor": duck(f"""WITH c AS (SELECT seq_id, length(seq) AS n, {" + ".join(f"pow((length(seq) - length(translate(seq, '{b}', ''))) / length(seq), 2)" for b in "ACGT")} AS s FROM seqs WHERE length(seq) >= 4)
-        SELECT seq_id, round(pow(s, 4), 6) AS p_same, round(pow(s, 4) * (n - 3) * (n - 3), 6) AS total, round(pow(s, 4) * (n - 3) * (n - 3) / 400, 6) AS per_bin FROM c""", "seqs"),
+        SELECT seq_id, round(s, 6) AS p_base, round(pow(s, 4), 6) AS p_word, round(pow(s, 4) * n * n / 2, 6) AS total, round(pow(s, 4) * n * n / 400, 6) AS per_bin FROM c""", "seqs"),
+    "o29_significant_cells": duck(f"""WITH c AS (SELECT seq_id, CAST(length(seq) AS DOUBLE) AS n, {" + ".join(f"pow((length(seq) - length(translate(seq, '{b}', ''))) / length(seq), 2)" for b in "ACGT")} AS s FROM seqs WHERE length(seq) >= 8), m AS (SELECT seq_id, pow(s, 8) * n * n / 400 AS mean FROM c),
+        t AS (SELECT seq_id, c, sum(exp(c * ln(mean) - mean - lgamma(c + 1))) OVER (PARTITION BY seq_id ORDER BY c DESC ROWS UNBOUNDED PRECEDING) AS tail FROM (SELECT *, unnest(range(0, 256)) AS c FROM m WHERE mean < 64)), x AS (SELECT seq_id, min(c) AS m FROM t WHERE tail * 400 < 1 GROUP BY seq_id)
+        SELECT m.seq_id, CAST(CASE WHEN mean >= 64 THEN 64 ELSE least(64, x.m) END AS INT) AS threshold FROM m LEFT JOIN x ON x.seq_id = m.seq_id""", "seqs"),
     "o30_word_size_per_element": duck("SELECT seq_id, CAST(greatest(6, least(13, min(length) - 3)) AS INT) AS k FROM evidence GROUP BY seq_id", "evidence"),
-    "o31_normalised_density": duck(f"WITH {_MATRIX}, pk AS (SELECT *, max(cnt) OVER (PARTITION BY seq_id, orientation) AS peak FROM mx) SELECT *, cnt / peak AS density FROM pk WHERE cnt = peak", "seqs"),
+    "o31_normalised_density": duck(f"WITH {_MATRIX}, pk AS (SELECT *, max(cnt) OVER (PARTITION BY seq_id, orientation) AS peak FROM mx) SELECT *, cnt / peak AS density FROM pk", "seqs"),
 }
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[:1] == "o" and k[1:3].isdigit() and k.startswith(("o1", "o2", "o3", "o43"))}

@@ -34,7 +34,7 @@ def o35_classify_elements(spark, d):
 
 
 def o36_confidence_tier(spark, d):
-    return rollup.classify_elements(flags(spark, d)).groupBy("te_class", "confidence").agg(F.count("*").alias("n"))
+    return rollup.classify_elements(flags(spark, d)).select("seq_id", "te_class", "confidence")
 
 
 def o37_completeness_ledger(spark, d):
@@ -51,7 +51,7 @@ def o40_encloses(spark, d):
 
 
 def o41_order_string(spark, d):
-    return rollup.classify_elements(flags(spark, d)).groupBy("architecture").agg(F.count("*").alias("n"))
+    return rollup.classify_elements(flags(spark, d)).select("seq_id", "architecture")
 
 
 def o42_explain_call(spark, d):
@@ -67,7 +67,8 @@ def o45_composite_flag(spark, d):
 
 
 def o46_ontology_term(spark, d):
-    return rollup.ontology_term(rollup.classify_elements(flags(spark, d))).groupBy("so_term").agg(F.count("*").alias("n"))
+    f = flags(spark, d)
+    return rollup.ontology_term(rollup.classify_elements(f), rollup.completeness_ledger(f))
 
 
 def _manifest(spark, d):
@@ -119,21 +120,23 @@ ORACLES = {
     "o33_representative_hit": duck(f"WITH {_REP} SELECT * FROM rep", "domain_hits"),
     "o34_architecture_order": duck(f"WITH {_REP}, {_ORD} SELECT * FROM ord", "domain_hits"),
     "o35_classify_elements": duck(f"WITH {_FLAGS} SELECT seq_id, class, te_class, is_erv FROM con", "domain_hits", "evidence"),
-    "o36_confidence_tier": duck(f"WITH {_FLAGS} SELECT te_class, confidence, count(*) AS n FROM con GROUP BY ALL", "domain_hits", "evidence"),
+    "o36_confidence_tier": duck(f"WITH {_FLAGS} SELECT seq_id, te_class, confidence FROM con", "domain_hits", "evidence"),
     "o37_completeness_ledger": duck(f"""WITH {_FLAGS}, ex AS (SELECT *, list_filter({_EXP}, lambda c: c <> '') AS e FROM con), pm AS (SELECT *, list_filter(e, lambda c: {_OWN}) AS p, list_filter(e, lambda c: NOT {_OWN}) AS m FROM ex)
         SELECT seq_id, array_to_string(e, ',') AS expected, array_to_string(p, ',') AS present, array_to_string(m, ',') AS missing, CASE WHEN (rt OR tpase) AND len(m) = 0 THEN 'intact' WHEN rt OR tpase THEN 'partial' WHEN n_domains > 0 THEN 'coding fragment' WHEN ltr OR tir THEN 'structural-only' ELSE 'none' END AS tier FROM pm""", "domain_hits", "evidence"),
     "o38_coding_frames": duck("""WITH h AS (SELECT hit_id, seq_id % 1000 AS seq_id, strand, start, "end" FROM domain_hits), p AS (SELECT h.seq_id, hit_id, min(orf_key) FILTER (WHERE o.start <= h.start AND h."end" <= o."end") AS host FROM h LEFT JOIN orfs o ON o.seq_id = h.seq_id AND o.strand = h.strand GROUP BY ALL),
         f AS (SELECT seq_id, count(DISTINCT host) AS frames, count(*) FILTER (WHERE host IS NULL) AS unplaced FROM p GROUP BY seq_id) SELECT *, CASE WHEN frames = 0 THEN 'not assessed' WHEN frames = 1 AND unplaced = 0 THEN 'single reading frame' ELSE 'split across reading frames' END AS state FROM f""", "domain_hits", "orfs"),
-    "o40_encloses": duck("""SELECT e.start AS o_id, hit_id AS i_id, e.start <= h.start AND h."end" <= e."end" AS encloses FROM evidence e JOIN domain_hits h ON e.seq_id = h.seq_id WHERE kind IN ('LTR', 'TIR')""", "domain_hits", "evidence"),
-    "o41_order_string": duck(f"WITH {_FLAGS} SELECT architecture, count(*) AS n FROM con GROUP BY ALL", "domain_hits", "evidence"),
+    "o40_encloses": duck("""SELECT h.seq_id, hit_id AS i_id, count(e.seq_id) AS n_enclosing, count(e.seq_id) > 0 AS encloses FROM domain_hits h LEFT JOIN evidence e ON e.seq_id = h.seq_id AND kind IN ('LTR', 'TIR') AND e.start <= h.start AND h."end" <= e."end" GROUP BY h.seq_id, hit_id""", "domain_hits", "evidence"),
+    "o41_order_string": duck(f"WITH {_FLAGS} SELECT seq_id, architecture FROM con", "domain_hits", "evidence"),
     "o42_explain_call": duck(f"""WITH {_FLAGS}, k AS (SELECT seq_id, array_to_string(list_sort(list(DISTINCT kind)), ', ') AS kinds FROM evidence WHERE NOT advisory GROUP BY seq_id)
         SELECT con.seq_id, 'Classified as ' || te_class || ' (' || lower(confidence) || '). Structural: ' || coalesce(kinds, 'none') || '. Domains: ' || CASE WHEN architecture = '' THEN 'none' ELSE architecture END || '.' AS explanation FROM con LEFT JOIN k ON k.seq_id = con.seq_id""", "domain_hits", "evidence"),
     "o44_unsearched_scope": duck("SELECT seq_id, greatest(0, count(*) - 12) AS unscanned, seq_id IN (SELECT seq_id FROM domain_hits) AS ran FROM orfs GROUP BY seq_id", "domain_hits", "orfs"),
     "o45_composite_flag": duck(f"WITH {_FLAGS} SELECT seq_id, rt AND tpase AS composite, tp_conflict FROM flags", "domain_hits", "evidence"),
-    "o46_ontology_term": duck(f"""WITH {_FLAGS} SELECT CASE WHEN te_class IN ('LTR/Copia', 'LTR/Gypsy', 'LTR/unclassified') THEN 'LTR_retrotransposon' WHEN te_class = 'LINE' THEN 'LINE_element' WHEN te_class = 'DIRS' THEN 'DIRS_YR_retrotransposon' WHEN te_class = 'DNA/non-autonomous' THEN 'terminal_inverted_repeat_element'
-        WHEN te_class LIKE 'DNA/%' THEN 'DNA_transposon' ELSE 'repeat_region' END AS so_term, count(*) AS n FROM con GROUP BY 1""", "domain_hits", "evidence"),
+    "o46_ontology_term": duck(f"""WITH {_FLAGS}, ex AS (SELECT *, list_filter({_EXP}, lambda c: c <> '') AS e FROM con), pm AS (SELECT *, list_filter(e, lambda c: {_OWN}) AS p, list_filter(e, lambda c: NOT {_OWN}) AS m FROM ex),
+        t AS (SELECT *, (rt OR tpase OR n_domains > 0 OR NOT (ltr OR tir)) AS coded FROM pm) SELECT seq_id, te_class, CASE WHEN te_class = 'none' OR contains(te_class, 'structural-only') OR NOT coded THEN 'repeat_region' WHEN starts_with(te_class, 'LTR/') THEN CASE WHEN list_contains(p, 'RT') THEN 'LTR_retrotransposon' ELSE 'repeat_region' END
+        WHEN starts_with(te_class, 'LINE') THEN 'LINE_element' WHEN starts_with(te_class, 'SINE') THEN 'SINE_element' WHEN starts_with(te_class, 'DIRS') THEN 'YR_retrotransposon' WHEN starts_with(te_class, 'DNA/') THEN CASE WHEN list_contains(m, 'TIR') THEN 'DNA_transposon' ELSE 'terminal_inverted_repeat_element' END WHEN starts_with(te_class, 'HEL') THEN 'helitron' ELSE 'repeat_region' END AS so_term FROM t""", "domain_hits", "evidence"),
     "o61_seal": f"SELECT o_orderkey AS run_id, {_S} AS seal FROM orders",
-    "o61_table_seal": f"SELECT substr({_S}, 1, 2) AS shard, count(*) AS n FROM orders GROUP BY 1",
+    "o61_table_seal": f"""WITH s AS (SELECT {_S} AS seal FROM orders), e AS (SELECT seal, count(*) AS n, seal || ':' || count(*) AS entry FROM s GROUP BY seal), r AS (SELECT substr(seal, 1, 4) AS range, sum(n) AS n, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS h FROM e GROUP BY 1)
+        SELECT substr(range, 1, 2) AS shard, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(range || ':' || h, chr(10) ORDER BY range || ':' || h)) AS digest FROM r GROUP BY 1""",
     "o62_seal_audit": """WITH s AS (SELECT o_custkey AS i, sha256('input=' || o_custkey || chr(31) || 'params=' || o_orderstatus) AS s FROM orders), a AS (SELECT i, count(DISTINCT s) AS m FROM s GROUP BY i), b AS (SELECT s, count(DISTINCT i) AS m FROM s GROUP BY s)
         SELECT (SELECT count(*) FROM a) AS inputs, (SELECT count(*) FROM a WHERE m > 1) AS unstable, (SELECT count(*) FROM b) AS seals, (SELECT count(*) FROM b WHERE m > 1) AS shared""",
     "o65_run_status": """WITH u AS (SELECT l_suppkey AS genome, l_partkey AS unit, bool_or(l_linestatus = 'F') AS ok FROM lineitem GROUP BY ALL) SELECT genome, count(*) AS total, count(*) FILTER (WHERE ok) AS finished, count(*) FILTER (WHERE NOT ok) AS pending FROM u GROUP BY genome""",

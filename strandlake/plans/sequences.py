@@ -34,7 +34,9 @@ def o3_invalid_positions(spark, d):
 
 
 def o4_nucleotide_gate(spark, d):
-    return profile.nucleotide_gate(raw(spark, d), "protein")
+    """Records through both gates, and the derived sequences through that for DNA."""
+    gates = [profile.nucleotide_gate(s, m).withColumn("gate", F.lit(name)) for s, m, name in ((raw(spark, d), "protein", "protein"), (raw(spark, d), "dna", "dna"), (seqs(spark, d), "dna", "derived"))]
+    return gates[0].unionByName(gates[1]).unionByName(gates[2])
 
 
 def o5_orf_table(spark, d):
@@ -158,8 +160,9 @@ ORACLES = {
     "o2_gc_windows": duck(f"""WITH w AS (SELECT seq_id, CAST(a // 100 AS INT) AS bin, substr(seq, a + 1, 100) AS x FROM (SELECT *, unnest(range(0, length(seq), 100)) AS a FROM seqs WHERE length(seq) > 0)) SELECT seq_id, bin, {_count("GC", "x")} AS gc, {_count("ACGT", "x")} AS acgt FROM w""", "seqs"),
     "o3_invalid_positions": f"""WITH {_RAW}, c AS (SELECT seq_id, unnest(string_split(seq, '')) AS char, generate_subscripts(string_split(seq, ''), 1) - 1 AS pos FROM raw), r AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY pos) AS rn FROM c WHERE NOT contains('ACGTURYSWKMBDHVN', char))
         SELECT seq_id, CAST(pos AS INT) AS pos, char FROM r WHERE rn <= 50""",
-    "o4_nucleotide_gate": f"""WITH {_RAW}, r AS (SELECT seq_id, length(seq) AS n, CASE WHEN length(seq) > 0 THEN {_count("ACGTUN")} / length(seq) ELSE 0 END AS dna, CASE WHEN length(seq) > 0 THEN {_count("ACDEFGHIKLMNPQRSTVWYBJOUXZ*")} / length(seq) ELSE 0 END AS ratio FROM raw),
-        q AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN dna > 0.9 THEN 'looks like nucleotides' WHEN ratio < 0.9 THEN 'not amino acids' END AS reason FROM r) SELECT seq_id, ratio, reason IS NULL AS ok, reason FROM q""",
+    "o4_nucleotide_gate": duck(f"""WITH {_RAW}, r AS (SELECT seq_id, length(seq) AS n, CASE WHEN length(seq) > 0 THEN {_count("ACGTUN")} / length(seq) ELSE 0 END AS dna, CASE WHEN length(seq) > 0 THEN {_count("ACDEFGHIKLMNPQRSTVWYBJOUXZ*")} / length(seq) ELSE 0 END AS ratio FROM raw),
+        q AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN dna > 0.9 THEN 'looks like nucleotides' WHEN ratio < 0.9 THEN 'not amino acids' END AS reason FROM r), v AS (SELECT 'dna' AS gate, seq_id, n, dna FROM r UNION ALL SELECT 'derived', seq_id, length(seq), CASE WHEN length(seq) > 0 THEN {_count("ACGTUN")} / length(seq) ELSE 0 END FROM seqs),
+        u AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN dna < 0.5 THEN 'not nucleotides' END AS reason FROM v) SELECT 'protein' AS gate, seq_id, ratio, reason IS NULL AS ok, reason FROM q UNION ALL SELECT gate, seq_id, dna, reason IS NULL, reason FROM u""", "seqs"),
     "o5_orf_table": duck(f"WITH {_CODONS} SELECT * FROM orf WHERE length_aa >= 40", "seqs"),
     "o6_longest_orfs": duck(f"""WITH {_CODONS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY seq_id ORDER BY length_aa DESC, strand, frame, start) - 1 AS INT) AS orf_idx, CAST(greatest(0, count(*) OVER (PARTITION BY seq_id) - 12) AS INT) AS unscanned FROM orf WHERE length_aa >= 20)
         SELECT seq_id, orf_idx, strand, frame, start, length_aa, unscanned FROM r WHERE orf_idx < 12""", "seqs"),
