@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_dir, stored
+
+__all__ = ["SPACE_WORD", "alnum_words", "ascii_lower", "literal_rows", "packed", "shared_dir", "stored", "table"]
+
 #: Characters that separate words in contracts that count space-delimited words.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: What stands between words of letters, digits and non-ASCII characters.
@@ -20,31 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset a temporary one serves a single local process (tests); a
-    cluster has to name one, since executors can't see the driver's own folders."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of df: write it as Parquet into the shared folder and read it again.
-
-    The files survive lost executors and go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """lower() with the one non-ASCII letter that lowers to ASCII (the Kelvin sign) set aside first."""
     return F.lower(F.replace(text, F.lit("K"), F.lit("µ")))
