@@ -14,9 +14,10 @@ def read_fasta(spark: SparkSession, path: str, molecule: str = "dna") -> DataFra
 
     A file without any ``>`` is one record named input_sequence; what stands before the first header is dropped.
     """
-    rows = spark.read.option("lineSep", "\n>").text(path).withColumn("file", F.input_file_name())
+    rows = spark.read.option("lineSep", "\n>").text(path).withColumn("file", F.col("_metadata.file_path"))
     clean = F.regexp_replace("value", "\r\n?", "\n")
-    at = F.monotonically_increasing_id()
+    # the order within a file, whatever splits it is read in
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
     rows = rows.select("file", at.alias("i"), clean.alias("v"))
     firsts = rows.groupBy("file").agg(F.min("i").alias("first"), F.max(F.regexp_like("v", F.lit("(?m)^>")).cast("int")).alias("marked"), F.count("*").alias("n"))
     joined = rows.join(firsts, "file")
@@ -37,15 +38,20 @@ def read_repeat_table(spark: SparkSession, path: str) -> DataFrame:
 
     Lines whose first token is no number or that have fewer than 11 tokens are skipped; a malformed row drops alone.
     """
-    parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).where(F.get("p", F.lit(0)).rlike("^[0-9]+$") & (F.size("p") >= 11))
-    t = parts.select(*(F.get("p", F.lit(i)).alias(c) for i, c in enumerate(OUT_COLUMNS)))
+    return parse_repeat_lines(spark.read.text(path), [])
+
+
+def parse_repeat_lines(lines: DataFrame, keep: list[str]) -> DataFrame:
+    """Hits of the lines (value) of a repeat annotation table, with the columns named in keep."""
+    parts = lines.select(*keep, F.split(F.trim("value"), r"\s+").alias("p")).where(F.get("p", F.lit(0)).rlike("^[0-9]+$") & (F.size("p") >= 11))
+    t = parts.select(*keep, *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate(OUT_COLUMNS)))
     number = lambda c: F.regexp_replace(c, "[()]", "").try_cast("int")
     minus = F.col("strand") == "C"
     start, left = F.when(minus, number("c3")).otherwise(number("c1")), F.when(minus, number("c1")).otherwise(number("c3"))
     end = number("c2")
     length = end + left
     out = t.select(
-        "query", (F.col("begin").try_cast("int") - 1).alias("q_start"), F.col("end").try_cast("int").alias("q_end"), F.when(minus, "-").otherwise("+").alias("strand"), "family", "class_family", F.col("score").try_cast("int").alias("score"),
+        *keep, "query", (F.col("begin").try_cast("int") - 1).alias("q_start"), F.col("end").try_cast("int").alias("q_end"), F.when(minus, "-").otherwise("+").alias("strand"), "family", "class_family", F.col("score").try_cast("int").alias("score"),
         *(F.col(c).try_cast("double").alias(c) for c in ("divergence", "pct_del", "pct_ins")),
         start.alias("cons_start"), end.alias("cons_end"), left.alias("cons_left"), length.alias("cons_length"), F.when(length > 0, F.round(100 * (end - start + 1) / length, 1)).alias("cons_coverage_pct"), "fragment_id",
     )
@@ -54,7 +60,9 @@ def read_repeat_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sam_splice(spark: SparkSession, path: str) -> DataFrame:
     """Exon and intron blocks of the first kept alignment of each query: skipped operations N split exons."""
-    lines = spark.read.text(path).where(~F.startswith("value", F.lit("@"))).withColumn("i", F.monotonically_increasing_id()).select("i", F.split("value", "\t").alias("p"))
+    # files in the order of their names, lines in their order within them
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    lines = spark.read.text(path).withColumn("i", place).where(~F.startswith("value", F.lit("@"))).select("i", F.split("value", "\t").alias("p"))
     rows = lines.where(F.size("p") >= 6).select("i", F.get("p", F.lit(0)).alias("query"), F.get("p", F.lit(1)).cast("int").alias("flag"), F.get("p", F.lit(2)).alias("ref"), F.get("p", F.lit(3)).cast("int").alias("pos"), F.get("p", F.lit(5)).alias("cigar"))
     rows = rows.where(F.col("flag").bitwiseAND(4 | 0x100 | 0x800) == 0)
     first = rows.groupBy("query").agg(F.min_by(F.struct("flag", "ref", "pos", "cigar"), "i").alias("r")).select("query", "r.*")

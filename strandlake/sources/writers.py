@@ -24,6 +24,43 @@ def gff3_lines(features: DataFrame) -> DataFrame:
     return features.repartitionByRange("seq_id", "start").sortWithinPartitions("seq_id", "start", F.desc("end")).select(line.alias("value"))
 
 
+#: Ontology terms of structural features, and accessions of terms.
+STRUCTURES = {
+    "LTR": "long_terminal_repeat",
+    "TIR": "terminal_inverted_repeat",
+    "TSD": "target_site_duplication",
+    "PBS": "primer_binding_site",
+    "PPT": "RR_tract",
+    "polyA": "sequence_feature",
+    "polyT": "sequence_feature",
+    "polyA-signal": "polyA_signal_sequence",
+}
+
+
+def annotation_features(calls: DataFrame, lengths: DataFrame, evidence: DataFrame, hits: DataFrame) -> DataFrame:
+    """Feature rows of elements for gff3_lines: the element under the term that its evidence admits, its structures and its
+    domains as children.
+
+    calls: seq_id, te_class, so_term; lengths: seq_id, length; evidence as structural_evidence gives it (repeats that are
+    advisory make no feature; both copies of a repeat and both ends of a site duplication make one each); hits: seq_id,
+    hit_id, domain, strand, score, start, end.
+    """
+    none = F.lit(None).cast("string")
+    own = F.concat(F.lit("TE_"), F.col("seq_id").cast("string"))
+    columns = ["seq_id", "kind", "start", "end", "strand", "score", "id", "parent", "name"]
+    element = calls.join(lengths, "seq_id").select("seq_id", F.col("so_term").alias("kind"), F.lit(0).alias("start"), F.col("length").cast("int").alias("end"), none.alias("strand"), F.lit(None).cast("double").alias("score"), own.alias("id"), none.alias("parent"), F.col("te_class").alias("name"))
+    inner = F.split(F.coalesce("detail", F.lit("")), " ")
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    start, end, n = F.col("start"), F.col("end"), F.col("length")
+    two = F.when(F.col("kind").isin("LTR", "TIR"), F.array(span(start, F.get(inner, F.lit(0)).try_cast("int")), span(F.get(inner, F.lit(1)).try_cast("int"), end))).when(F.col("kind") == "TSD", F.array(span(start, start + n), span(end - n, end)))
+    term = F.element_at(F.create_map(*(F.lit(x) for item in STRUCTURES.items() for x in item)), F.col("kind"))
+    shown = evidence.where(F.col("kind").isin(*STRUCTURES) & (~F.col("advisory") | (F.col("kind") == "polyA-signal"))).join(calls.select("seq_id"), "seq_id", "left_semi")
+    parts = shown.select("seq_id", "kind", term.alias("term"), F.explode(F.coalesce(two, F.array(span(start, end)))).alias("s"))
+    structures = parts.select("seq_id", F.col("term").alias("kind"), "s.start", "s.end", none.alias("strand"), F.lit(None).cast("double").alias("score"), F.concat_ws(".", own, "kind", F.col("s.start").cast("string")).alias("id"), own.alias("parent"), F.col("kind").alias("name"))
+    domains = hits.join(calls.select("seq_id"), "seq_id", "left_semi").select("seq_id", F.lit("polypeptide_domain").alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "strand", F.col("score").cast("double").alias("score"), F.concat_ws(".", own, F.lit("d"), F.col("hit_id").cast("string")).alias("id"), own.alias("parent"), F.col("domain").alias("name"))
+    return element.unionByName(structures).unionByName(domains).select(*columns)
+
+
 def write_gff3(features: DataFrame, path: str) -> None:
     gff3_lines(features).write.text(path)
 

@@ -1,4 +1,4 @@
-"""Incremental landscape: new annotation files become hits once, and a changed run refuses to go on."""
+"""Incremental landscape: new annotation files become sums per unit once, and a changed run refuses to go on."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.intervals import interval_islands
+from ..sources.readers import parse_repeat_lines
+
 
 def check_signature(spark: SparkSession, folder: str, signature: dict[str, str]) -> None:
     """Keep the signature of a run beside its output; raise where it differs from the one kept."""
@@ -21,14 +24,47 @@ def check_signature(spark: SparkSession, folder: str, signature: dict[str, str])
     spark.createDataFrame(rows, "k string, v string").coalesce(1).write.parquet(path)
 
 
+def unit_sums(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of hit lines (unit, value): rows, merged bases and divergence by unit and class, and each unit's length, each of
+    its contigs as long as its last hit reaches. Units are whole contigs, so that their sums add up."""
+    hits = parse_repeat_lines(lines, ["unit"])
+    width = F.abs(F.col("q_end") - F.col("q_start"))
+    keys = ["unit", "class_family"]
+    rows = hits.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("divergence") * width).alias("weighted"), F.sum(width).alias("width"))
+    islands = interval_islands(hits.select(*keys, "query", F.col("q_start").alias("start"), F.col("q_end").alias("end")), [*keys, "query"])
+    bases = islands.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("bp"))
+    lengths = hits.groupBy("unit", "query").agg(F.max("q_end").alias("length")).groupBy("unit").agg(F.sum("length").alias("length"))
+    units = lines.select("unit").distinct().join(lengths, "unit", "left").withColumn("length", F.coalesce("length", F.lit(0)).cast("long"))
+    return rows.join(bases, keys), units
+
+
 def incremental_landscape(spark: SparkSession, incoming: str, folder: str, signature: dict[str, str]) -> StreamingQuery:
-    """Read every new file in incoming once and add its hit lines (unit, line) to folder/hits; exactly once by the
-    stream's checkpoint and the batch number in the output path."""
+    """Read every new file in incoming once. Its hit lines (unit, value) go to folder/hits, its sums to folder/sums and its
+    unit (the file's name) to folder/units: exactly once, by the stream's checkpoint and the batch number in the paths."""
     check_signature(spark, folder, signature)
     schema = StructType([StructField("value", StringType())])
-    lines = spark.readStream.schema(schema).text(incoming).select(F.col("value"), F.input_file_name().alias("unit"))
+    lines = spark.readStream.schema(schema).text(incoming).select(F.col("value"), F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("unit"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.where(F.trim("value").rlike(r"^[0-9]+\s")).write.mode("overwrite").parquet(f"{folder}/hits/batch={number}")
+        sums, units = unit_sums(batch)
+        for name, rows in (("hits", batch.where(F.trim("value").rlike(r"^[0-9]+\s"))), ("sums", sums), ("units", units)):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
     return lines.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/_checkpoint").trigger(availableNow=True).start()
+
+
+def progress(spark: SparkSession, folder: str, units: DataFrame) -> DataFrame:
+    """One row: units (unit) in all, finished and pending."""
+    done = spark.read.parquet(f"{folder}/units").select("unit", F.lit(1).alias("ok")).distinct()
+    out = units.select("unit").distinct().join(done, "unit", "left").agg(F.count("*").alias("total"), F.count("ok").alias("finished"))
+    return out.withColumn("pending", F.col("total") - F.col("finished"))
+
+
+def landscape(spark: SparkSession, folder: str, units: DataFrame) -> DataFrame:
+    """class_family, n, bp, divergence and percent over all units, from their sums; fails while units are pending."""
+    left = progress(spark, folder, units).first()["pending"]
+    if left:
+        raise ValueError(f"{left} units are not finished")
+    genome = spark.read.parquet(f"{folder}/units").agg(F.sum("length").alias("genome_bp"))
+    sums = spark.read.parquet(f"{folder}/sums").groupBy("class_family").agg(*(F.sum(c).alias(c) for c in ("n", "bp", "weighted", "width")))
+    return sums.crossJoin(F.broadcast(genome)).select("class_family", "n", "bp", (F.col("weighted") / F.col("width")).alias("divergence"), (100 * F.col("bp") / F.col("genome_bp")).alias("percent"))
