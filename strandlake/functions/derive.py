@@ -43,6 +43,10 @@ TABLES = {
         CASE d.n_chars % 9 WHEN 0 THEN 'locus' WHEN 1 THEN 'genome' ELSE 'element' END AS record_scope, d.n_chars
         FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
     "copies": """SELECT seq_id * 2 AS seq_id, seq FROM seqs UNION ALL SELECT seq_id * 2 + 1, substr(seq, 1, 12) || substr(seq, 13, 588) || substr(seq, 601, 400) || replace(substr(seq, 13, 588), 'GAC', 'GTC') || substr(seq, 1, seq_id % 9) FROM seqs WHERE length(seq) >= 1000""",
+    "case_rows": """SELECT c_custkey AS case_id, CAST(floor(c_custkey / 10) AS BIGINT) AS accession, CASE c_custkey % 7 WHEN 0 THEN concat(c_custkey, '..', c_custkey + 500) WHEN 1 THEN concat('complement(join(', c_custkey, '..', c_custkey + 9, ',', c_custkey + 20, '..', c_custkey + 30, '))') END AS coords,
+        CASE c_custkey % 5 WHEN 0 THEN 'urgent family' WHEN 1 THEN 'High, the medium' WHEN 2 THEN 'low' ELSE lower(c_mktsegment) END AS expected_superfamily FROM customer""",
+    "case_features": """SELECT CAST(floor(o_custkey / 10) AS BIGINT) AS accession, o_orderkey AS feature, CASE o_orderkey % 6 WHEN 0 THEN 'mobile_element' WHEN 1 THEN 'LTR' WHEN 2 THEN 'misc_feature' ELSE 'gene' END AS kind, o_orderkey * 31 % 50000 AS start, o_orderkey * 31 % 50000 + o_orderkey % 900 AS "end",
+        CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, concat(o_orderpriority, ' element') AS name FROM orders""",
     "arms": """SELECT seq_id, CAST(seq_id % 20 AS INT) AS s5, CAST(seq_id % 20 + 100 AS INT) AS e5, CAST(length(seq) - 140 - seq_id % 30 AS INT) AS s3, CAST(length(seq) - 40 - seq_id % 30 AS INT) AS e3 FROM seqs WHERE length(seq) >= 400""",
     "primers": """SELECT item_id AS pair_id, substr(seq, 1, 20) AS fwd, reverse(translate(substr(seq, length(seq) - 19, 20), 'ACGT', 'TGCA')) AS rev, length(seq) AS target
         FROM passages WHERE length(seq) >= 70""",
@@ -58,6 +62,8 @@ NEEDS = {
     "orfs": ["orders"],
     "exons": ["conversations"],
     "cases": ["labels", "documents"],
+    "case_rows": ["customer"],
+    "case_features": ["orders"],
     "arms": ["seqs"],
     "copies": ["seqs"],
     "primers": ["passages"],

@@ -105,7 +105,8 @@ def terminal_inverted_repeats(seqs: DataFrame, min_tir: int = 10, max_tir: int =
 
     best = ends.withColumn("r", F.aggregate(F.slice(pairs, F.lit(1), F.col("limit")), start, step)).where("r.len > 0")
     arm = F.substring("a", F.lit(1), F.col("r.len"))
-    simple = F.greatest(*(count_of(arm, b) for b in "ACGT")) / F.col("r.len") > 0.7
+    # arms under 8 bases are only asked for their bases
+    simple = (F.greatest(*(count_of(arm, b) for b in "ACGT")) / F.col("r.len") > 0.7) | ((F.col("r.len") >= 8) & is_simple(arm))
     return best.where(~simple).select("seq_id", F.col("r.len").alias("tir_len"), (100 * F.col("r.hits") / F.col("r.len")).alias("identity"), (F.col("r.len") == F.col("limit")).alias("lower_bound"))
 
 
@@ -256,8 +257,14 @@ def inverted_repeat_seeds(seqs: DataFrame, k: int = 11, window: int = 1200, min_
     return found.select("seq_id", "s5", "e5", s3.cast("int").alias("s3"), e3.cast("int").alias("e3"), (100 * same / length).alias("identity"), is_simple(piece(F.col("s5"))).alias("simple")).where((F.col("identity") >= min_identity) & ~F.col("simple")).drop("simple")
 
 
-def record_summary(composition: DataFrame, calls: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row per record: length, GC, class, confidence, architecture and credited structures."""
+def record_summary(composition: DataFrame, calls: DataFrame, evidence: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row per record: length, whether all its characters are nucleotide codes, GC, class, confidence, tier,
+    architecture, number of domains and credited structures."""
     kinds = evidence.where(~F.col("advisory")).groupBy("seq_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("structures"))
-    out = composition.select("seq_id", "length", "gc_pct").join(calls.select("seq_id", "te_class", "confidence", "architecture"), "seq_id", "left").join(kinds, "seq_id", "left")
-    return out.fillna({"te_class": "none", "confidence": "Candidate", "architecture": "", "structures": ""})
+    coded = sum((F.col(c) for c in ("a", "c", "g", "t", "n")), F.col("ambiguous"))
+    base = composition.select("seq_id", "length", ((F.col("length") > 0) & (coded == F.col("length"))).alias("valid"), "gc_pct")
+    called = calls.select("seq_id", "te_class", "confidence", "architecture").join(ledger.select("seq_id", "tier"), "seq_id", "left")
+    out = base.join(called, "seq_id", "left").join(kinds, "seq_id", "left")
+    n = F.size(F.filter(F.split(F.coalesce("architecture", F.lit("")), "-"), lambda c: c != "")).cast("long")
+    out = out.withColumn("n_domains", n).fillna({"te_class": "none", "confidence": "Candidate", "tier": "none", "architecture": "", "structures": ""})
+    return out.select("seq_id", "length", "valid", "gc_pct", "te_class", "confidence", "tier", "architecture", "n_domains", "structures")

@@ -8,8 +8,8 @@ from ..functions.derive import derive, duck
 from ..operators import profile
 from ..operators import repeats as ops
 from ..operators import rollup
-from .rollup import _FLAGS, flags
-from .sequences import _count, seqs
+from .rollup import _EXP, _FLAGS, _OWN, flags
+from .sequences import _RAW, _count, raw, seqs
 
 
 def o11_terminal_direct_repeats(spark, d):
@@ -40,8 +40,8 @@ def o17_inverted_repeat_seeds(spark, d):
 
 
 def o43_record_summary(spark, d):
-    calls = rollup.classify_elements(flags(spark, d))
-    return ops.record_summary(profile.composition(seqs(spark, d)), calls, derive(spark, d, "evidence"))
+    f = flags(spark, d)
+    return ops.record_summary(profile.composition(raw(spark, d)), rollup.classify_elements(f), derive(spark, d, "evidence"), rollup.completeness_ledger(f))
 
 
 def o16_terminal_inverted_repeats(spark, d):
@@ -99,7 +99,8 @@ _TIR = """lim AS (SELECT seq_id, least(1000, length(seq) // 2) AS l, seq FROM se
     u AS (SELECT seq_id, l, unnest(range(1, l + 1)) AS n, unnest(a) AS x, unnest(b) AS y FROM ab), c AS (SELECT seq_id, l, n, x, sum(CAST(x = y AS INT)) OVER (PARTITION BY seq_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS m FROM u),
     best AS (SELECT seq_id, any_value(l) AS l, arg_max(n, (3 * m - 2 * n, -n)) AS len, arg_max(m, (3 * m - 2 * n, -n)) AS hits FROM c WHERE n >= 4 AND 100 * m >= 80 * n GROUP BY seq_id),
     top AS (SELECT seq_id, max(k) AS k FROM (SELECT c.seq_id, x, count(*) AS k FROM c JOIN best ON best.seq_id = c.seq_id AND n <= len GROUP BY ALL) GROUP BY seq_id),
-    tir AS (SELECT best.seq_id, CAST(len AS INT) AS tir_len, CAST(100 * hits AS BIGINT) / len AS identity, len = l AS lower_bound FROM best JOIN top USING (seq_id) WHERE k / len <= 0.7)"""
+    tir AS (SELECT best.seq_id, CAST(len AS INT) AS tir_len, CAST(100 * hits AS BIGINT) / len AS identity, len = best.l AS lower_bound FROM best JOIN top USING (seq_id) JOIN lim USING (seq_id)
+        WHERE k / len <= 0.7 AND NOT (len >= 8 AND len(list_distinct(list_transform(range(1, len - 2), lambda i: substr(seq, i, 4)))) < greatest(4, 0.05 * (len - 3))))"""
 _WORDS = """pc AS (SELECT seq_id, length(seq) AS n, a, substr(seq, a + 1, 999 + {k}) AS b FROM (SELECT *, unnest(range(0, length(seq), 1000)) AS a FROM seqs)),
     wd AS (SELECT seq_id, n, a + i AS p, substr(b, i + 1, {k}) AS w FROM (SELECT *, unnest(range(0, length(b) - {k} + 1)) AS i FROM pc))"""
 _MATRIX = _WORDS.format(k=13) + """, ct AS (SELECT seq_id, w FROM wd GROUP BY ALL HAVING count(*) <= 120), kp AS (SELECT wd.seq_id, p, wd.w, CAST(floor(p * 20 / n) AS INT) AS bin FROM wd JOIN ct ON wd.seq_id = ct.seq_id AND wd.w = ct.w),
@@ -113,9 +114,10 @@ ORACLES = {
         m AS (SELECT *, greatest(0, max(s) OVER (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING)) AS best FROM c), k AS (SELECT *, max(CAST(s < best - 6 AS INT)) OVER (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS dead FROM m),
         e AS (SELECT pair_id, arg_max(i, (s, -i)) AS ext, max(s) AS top FROM k WHERE dead = 0 GROUP BY pair_id) SELECT pr.pair_id, CAST(CASE WHEN top > 0 THEN ext ELSE 0 END AS INT) AS ext FROM pr LEFT JOIN e USING (pair_id)""", "seqs"),
     "o14_span_identity": duck(f"""WITH {_PAIR}, n AS (SELECT *, CAST(least(length(a), length(b)) AS INT) AS len FROM pr), h AS (SELECT pair_id, len, CASE WHEN len > 0 THEN CAST(len - hamming(substr(a, 1, len), substr(b, 1, len)) AS INT) ELSE 0 END AS matches FROM n) SELECT *, CASE WHEN len > 0 THEN 100 * matches / len END AS identity FROM h""", "seqs"),
-    "o43_record_summary": duck(f"""WITH {_FLAGS}, k AS (SELECT seq_id, array_to_string(list_sort(list(DISTINCT kind)), ',') AS structures FROM evidence WHERE NOT advisory GROUP BY seq_id)
-        SELECT seqs.seq_id, length(seq) AS length, CASE WHEN length(seq) > 0 THEN 100 * {_count("GC")} / length(seq) ELSE 0 END AS gc_pct, coalesce(te_class, 'none') AS te_class, coalesce(confidence, 'Candidate') AS confidence, coalesce(architecture, '') AS architecture, coalesce(structures, '') AS structures
-        FROM seqs LEFT JOIN con ON con.seq_id = seqs.seq_id LEFT JOIN k ON k.seq_id = seqs.seq_id""", "seqs", "domain_hits", "evidence"),
+    "o43_record_summary": duck(f"""WITH {_FLAGS}, {_RAW}, ex AS (SELECT *, list_filter({_EXP}, lambda c: c <> '') AS e FROM con), pm AS (SELECT *, list_filter(e, lambda c: NOT {_OWN}) AS m FROM ex), k AS (SELECT seq_id, array_to_string(list_sort(list(DISTINCT kind)), ',') AS structures FROM evidence WHERE NOT advisory GROUP BY seq_id),
+        r AS (SELECT seq_id, length(seq) AS length, {_count("ACGT")} AS known, {_count("GC")} AS gc, {_count("ACGTNRYSWKMBDHV")} AS coded FROM raw)
+        SELECT r.seq_id, length, coalesce(length > 0 AND coded = length, false) AS valid, CASE WHEN known > 0 THEN 100 * gc / known ELSE 0 END AS gc_pct, coalesce(te_class, 'none') AS te_class, coalesce(confidence, 'Candidate') AS confidence, CASE WHEN te_class IS NULL THEN 'none' WHEN (rt OR tpase) AND len(m) = 0 THEN 'intact' WHEN rt OR tpase THEN 'partial' WHEN n_domains > 0 THEN 'coding fragment' WHEN ltr OR tir THEN 'structural-only' ELSE 'none' END AS tier,
+        coalesce(architecture, '') AS architecture, coalesce(n_domains, 0) AS n_domains, coalesce(structures, '') AS structures FROM r LEFT JOIN pm ON pm.seq_id = r.seq_id LEFT JOIN k ON k.seq_id = r.seq_id""", "domain_hits", "evidence"),
     "o16_terminal_inverted_repeats": duck(f"WITH {_TIR} SELECT * FROM tir", "seqs"),
     "o18_tail_scan": duck("""WITH t AS (SELECT seq_id, length(seq) AS n, length(seq) - length(rtrim(seq, 'A')) AS a, length(seq) - length(ltrim(seq, 'T')) AS t FROM seqs)
         SELECT seq_id, 'polyA' AS kind, a AS length, n - a AS start, n AS "end" FROM t WHERE a >= 2 UNION ALL SELECT seq_id, 'polyT', t, 0, t FROM t WHERE t >= 2""", "seqs"),

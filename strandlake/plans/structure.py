@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.derive import derive, duck
-from ..operators import params, repeats, rollup
+from ..operators import cases, params, repeats, rollup
 from ..operators import structure as ops
+from .repeats import _TIR
 from .rollup import hits
 from .sequences import seqs
 
@@ -67,6 +68,10 @@ def o39_subgenomic_architecture(spark, d):
     return ops.subgenomic_architecture(calls, spans, h)
 
 
+def o59_match_features_to_cases(spark, d):
+    return cases.match_features_to_cases(derive(spark, d, "case_rows"), derive(spark, d, "case_features"))
+
+
 def o63_detector_parameters(spark, d):
     """The thresholds attached to a count of the frames that the first of them admits."""
     n = derive(spark, d, "orfs").agg(F.count_if((F.col("end") - F.col("start")) / 3 - 1 >= params.value("orf_min_aa")).alias("orfs"))
@@ -114,6 +119,17 @@ _SEEDS = f"""se AS (SELECT seq_id, length(seq) AS n, least(1200, length(seq) //
     sr AS (SELECT *, 100 * len(list_filter(list_zip(string_split(a, ''), string_split(b, '')), lambda x: x[1] = x[2])) / (e5 - s5) AS identity FROM sq),
     seeded AS (SELECT seq_id, CAST(s5 AS INT) AS s5, CAST(e5 AS INT) AS e5, CAST(best - e5 AS INT) AS s3, CAST(best - s5 AS INT) AS e3, identity FROM sr WHERE identity >= 80 AND NOT ({_simple("a")}))"""
 
+_PBS = f"""pl AS (SELECT seq_id, e5, substr(seq, e5 + 1, 44) AS t FROM ar), pi AS (SELECT *, unnest(range(0, length(t) - 17)) AS i FROM pl), ph AS (SELECT seq_id, e5, i, substr(t, i + 1, 18) AS motif, 18 - hamming(substr(t, i + 1, 18), '{ops.PRIMING["tRNA-Lys3"]}') AS same FROM pi),
+    pb AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY same DESC, i) AS rn FROM ph), pbs AS (SELECT seq_id, CAST(e5 + i AS INT) AS start, CAST(e5 + i + 18 AS INT) AS "end", CASE WHEN same / 18 >= 0.72 THEN 'tRNA-Lys3' ELSE 'undetermined' END AS priming_trna, 'tRNA-Lys3' AS best_match, round(100 * same / 18, 1) AS identity, same / 18 >= 0.72 AS confident, motif
+    FROM pb WHERE rn = 1 AND same / 18 >= 0.55)"""
+_PPT = """tt AS (SELECT *, unnest(range(9, least(s3, 30) + 1)) AS length FROM ar), tu AS (SELECT seq_id, s3, length, substr(seq, s3 - length + 1, length) AS motif FROM tt), tv AS (SELECT *, length - length(regexp_replace(motif, '[AG]', '', 'g')) AS pure FROM tu),
+    tw AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY length DESC) AS rn FROM tv WHERE length - pure <= 2 AND regexp_matches(motif, '^[AG][AG]') AND pure >= 0.82 * length),
+    ppt AS (SELECT seq_id, CAST(s3 - length AS INT) AS start, CAST(s3 AS INT) AS "end", CAST(length AS INT) AS length, round(pure / length, 2) AS purine_frac, motif FROM tw WHERE rn = 1)"""
+_SIGNAL = f"""hx(motif, variant, rank) AS (VALUES {_HEX}), xp AS (SELECT *, unnest(range(0, greatest(0, e3 - s3 - 6) + 1)) AS o FROM ar), xh AS (SELECT xp.*, hx.*, substr(seq, s5 + o + 1, 6) AS mirror, CASE WHEN s3 + o + 66 <= n THEN substr(seq, s3 + o + 27, 40) END AS win FROM xp JOIN hx ON hx.motif = substr(seq, s3 + o + 1, 6)),
+    xq AS (SELECT *, length(win) - length(replace(win, 'T', '')) AS t_count, length(win) - length(translate(win, 'GT', '')) AS gt FROM xh), xr AS (SELECT *, CASE WHEN win IS NULL THEN '{ops.NO_RECORD}' WHEN gt / 40 >= 0.65 AND t_count >= 4 THEN 'found' ELSE 'absent' END AS dse_state FROM xq),
+    xb AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY dse_state <> 'found', rank, o) AS rn FROM xr), pas AS (SELECT seq_id, CAST(s3 + o AS INT) AS start, CAST(s3 + o + 6 AS INT) AS "end", motif, variant, dse_state, round(gt / 40, 2) AS gt_frac, t_count, mirror AS five_prime_copy_motif, mirror = motif AS in_both, dse_state = 'found' AND mirror = motif AS confident
+    FROM xb WHERE rn = 1 AND dse_state <> 'absent')"""
+
 ORACLES = {
     "o11_terminal_direct_repeats": duck(f"WITH {_LTR.format(source='seqs')} SELECT *, identity < 80 AS advisory FROM ltr", "seqs"),
     "o13_near_miss_repeats": duck(f"WITH {_LTR.format(source='copies')} SELECT *, true AS advisory, 99.0::DOUBLE AS threshold FROM ltr WHERE identity < 99", "copies"),
@@ -123,16 +139,34 @@ ORACLES = {
         SELECT * EXCLUDE (pair), mismatches <= 1 AS within_tolerance, CASE WHEN mismatches = 0 THEN 'canonical' WHEN pair IN {ops.MOTIFS} THEN 'non-canonical' ELSE 'none' END AS tier, CASE WHEN mismatches = 0 OR pair IN {ops.MOTIFS} THEN pair END AS motif FROM m""", "arms", "seqs"),
     "o21_tsd_refine": duck(f"""WITH {_FLANK}, g AS (SELECT seq_id, s, e, any_value(seq) AS seq, max(l) AS l, list(l) AS all_l, [5, 5, NULL, 2, NULL][seq_id % 5 + 1] AS want FROM m GROUP BY seq_id, s, e),
         r AS (SELECT *, coalesce(want <> l AND list_contains(all_l, want), false) AS refined FROM g) SELECT seq_id, s AS start, e AS "end", CASE WHEN refined THEN want ELSE l END AS length, substr(seq, e + 1, CASE WHEN refined THEN want ELSE l END) AS motif, refined FROM r""", "orfs", "seqs"),
-    "o22_primer_binding_site": duck(f"""WITH {_ARMS}, l AS (SELECT seq_id, e5, substr(seq, e5 + 1, 44) AS t FROM ar), i AS (SELECT *, unnest(range(0, length(t) - 17)) AS i FROM l), h AS (SELECT seq_id, e5, i, substr(t, i + 1, 18) AS motif, 18 - hamming(substr(t, i + 1, 18), '{ops.PRIMING["tRNA-Lys3"]}') AS same FROM i),
-        b AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY same DESC, i) AS rn FROM h) SELECT seq_id, CAST(e5 + i AS INT) AS start, CAST(e5 + i + 18 AS INT) AS "end", CASE WHEN same / 18 >= 0.72 THEN 'tRNA-Lys3' ELSE 'undetermined' END AS priming_trna, 'tRNA-Lys3' AS best_match, round(100 * same / 18, 1) AS identity, same / 18 >= 0.72 AS confident, motif
-        FROM b WHERE rn = 1 AND same / 18 >= 0.55""", "arms", "seqs"),
-    "o23_polypurine_tract": duck(f"""WITH {_ARMS}, t AS (SELECT *, unnest(range(9, least(s3, 30) + 1)) AS length FROM ar), u AS (SELECT seq_id, s3, length, substr(seq, s3 - length + 1, length) AS motif FROM t), v AS (SELECT *, length - length(regexp_replace(motif, '[AG]', '', 'g')) AS pure FROM u),
-        w AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY length DESC) AS rn FROM v WHERE length - pure <= 2 AND regexp_matches(motif, '^[AG][AG]') AND pure >= 0.82 * length)
-        SELECT seq_id, CAST(s3 - length AS INT) AS start, CAST(s3 AS INT) AS "end", CAST(length AS INT) AS length, round(pure / length, 2) AS purine_frac, motif FROM w WHERE rn = 1""", "arms", "seqs"),
-    "o24_polya_signal": duck(f"""WITH {_ARMS}, hx(motif, variant, rank) AS (VALUES {_HEX}), p AS (SELECT *, unnest(range(0, greatest(0, e3 - s3 - 6) + 1)) AS o FROM ar), h AS (SELECT p.*, hx.*, substr(seq, s5 + o + 1, 6) AS mirror, CASE WHEN s3 + o + 66 <= n THEN substr(seq, s3 + o + 27, 40) END AS win FROM p JOIN hx ON hx.motif = substr(seq, s3 + o + 1, 6)),
-        q AS (SELECT *, length(win) - length(replace(win, 'T', '')) AS t_count, length(win) - length(translate(win, 'GT', '')) AS gt FROM h), r AS (SELECT *, CASE WHEN win IS NULL THEN '{ops.NO_RECORD}' WHEN gt / 40 >= 0.65 AND t_count >= 4 THEN 'found' ELSE 'absent' END AS dse_state FROM q),
-        b AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY dse_state <> 'found', rank, o) AS rn FROM r) SELECT seq_id, CAST(s3 + o AS INT) AS start, CAST(s3 + o + 6 AS INT) AS "end", motif, variant, dse_state, round(gt / 40, 2) AS gt_frac, t_count, mirror AS five_prime_copy_motif, mirror = motif AS in_both, dse_state = 'found' AND mirror = motif AS confident
-        FROM b WHERE rn = 1 AND dse_state <> 'absent'""", "arms", "seqs"),
+    "o22_primer_binding_site": duck(f"WITH {_ARMS}, {_PBS} SELECT * FROM pbs", "arms", "seqs"),
+    "o23_polypurine_tract": duck(f"WITH {_ARMS}, {_PPT} SELECT * FROM ppt", "arms", "seqs"),
+    "o24_polya_signal": duck(f"WITH {_ARMS}, {_SIGNAL} SELECT * FROM pas", "arms", "seqs"),
+    "o25_structural_evidence": duck(f"""WITH {_LTR.format(source="copies")}, acc AS (SELECT * FROM ltr WHERE identity >= 80), rest AS (SELECT * FROM copies WHERE seq_id NOT IN (SELECT seq_id FROM acc)), {_TIR.replace("FROM seqs", "FROM rest").replace("length(seq) >= 8", "length(seq) >= 20").replace("n >= 4", "n >= 10")},
+        rest2 AS (SELECT * FROM rest WHERE seq_id NOT IN (SELECT seq_id FROM tir)), {_SEEDS.format(source="rest2")},
+        rep AS (SELECT seq_id, 'LTR' AS kind, s5 AS start, e3 AS "end", ltr_len AS length, identity, identity < 80 AS advisory, lower_bound, e5 || ' ' || s3 AS detail FROM ltr
+            UNION ALL SELECT tir.seq_id, 'TIR', 0, length(seq), tir_len, identity, false, lower_bound, tir_len || ' ' || (length(seq) - tir_len) FROM tir JOIN copies ON copies.seq_id = tir.seq_id
+            UNION ALL SELECT seq_id, 'TIR', s5, e3, e5 - s5, identity, false, false, e5 || ' ' || s3 FROM seeded),
+        tl AS (SELECT rep.seq_id, start AS s, "end" AS e, seq, length(seq) AS n, unnest(range(2, 13)) AS l FROM rep JOIN copies ON copies.seq_id = rep.seq_id WHERE NOT advisory),
+        td AS (SELECT seq_id, s, e, max(l) AS l, any_value(seq) AS seq FROM tl WHERE s >= l AND e + l <= n AND substr(seq, s - l + 1, l) = substr(seq, e + 1, l) GROUP BY seq_id, s, e),
+        ar AS (SELECT acc.*, seq, length(seq) AS n FROM acc JOIN copies ON copies.seq_id = acc.seq_id), {_PBS}, {_PPT}, {_SIGNAL},
+        tails AS (SELECT seq_id, length(seq) AS n, length(seq) - length(rtrim(seq, 'A')) AS a, length(seq) - length(ltrim(seq, 'T')) AS t FROM copies),
+        every AS (SELECT rep.*, CASE WHEN advisory THEN NULL WHEN td.l IS NOT NULL THEN 'found' WHEN start < 2 OR "end" + 2 > length(copies.seq) THEN '{ops.NO_RECORD}' ELSE 'absent' END AS state FROM rep JOIN copies ON copies.seq_id = rep.seq_id LEFT JOIN td ON td.seq_id = rep.seq_id AND td.s = start AND td.e = "end"
+            UNION ALL SELECT seq_id, 'TSD', s - l, e + l, l, NULL, false, false, substr(seq, e + 1, l), NULL FROM td
+            UNION ALL SELECT seq_id, 'PBS', start, "end", 18, identity, false, false, priming_trna || ' ' || motif, NULL FROM pbs
+            UNION ALL SELECT seq_id, 'PPT', start, "end", length, 100 * purine_frac, false, false, motif, NULL FROM ppt
+            UNION ALL SELECT seq_id, 'polyA-signal', start, "end", 6, NULL, true, false, motif || ' ' || variant || ' ' || dse_state, NULL FROM pas
+            UNION ALL SELECT seq_id, 'polyA', n - a, n, a, NULL, false, false, NULL, NULL FROM tails WHERE a >= 8 UNION ALL SELECT seq_id, 'polyT', 0, t, t, NULL, false, false, NULL, NULL FROM tails WHERE t >= 8)
+        SELECT seq_id, kind, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end", CAST(length AS INT) AS length, round(CAST(identity AS DOUBLE), 6) AS identity, advisory, lower_bound, detail, state FROM every""", "copies"),
+    "o59_match_features_to_cases": duck("""WITH c AS (SELECT *, regexp_extract(coalesce(coords, ''), '^([0-9]+)[.][.]([0-9]+)', 1) AS plain FROM case_rows), f AS (SELECT * FROM case_features WHERE kind <> 'gene' AND "end" - start > 200),
+        o AS (SELECT * FROM c WHERE coords IS NULL), w AS (SELECT DISTINCT case_id, accession, unnest(string_split_regex(lower(expected_superfamily), '[^a-z0-9]+')) AS word FROM o), h AS (SELECT DISTINCT accession, feature, start, "end", strand, unnest(string_split_regex(lower(name), '[^a-z0-9]+')) AS word FROM f),
+        m AS (SELECT case_id, w.accession, feature, start, "end", strand, count(*) AS n FROM w JOIN h ON w.accession = h.accession AND w.word = h.word WHERE length(w.word) > 2 AND w.word NOT IN ('family', 'the') GROUP BY ALL),
+        b AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, feature) AS rn FROM m), named AS (SELECT * FROM b WHERE rn = 1), z AS (SELECT accession, count(*) AS n, arg_min(start, feature) AS s, arg_min("end", feature) AS e, arg_min(strand, feature) AS st FROM f GROUP BY accession),
+        lf AS (SELECT case_id, o.accession, z.n, s, e, st FROM o LEFT JOIN z ON z.accession = o.accession WHERE case_id NOT IN (SELECT case_id FROM named)), q AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY case_id) AS k FROM lf WHERE n > 1),
+        fr AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY "end" - start DESC, feature) AS k FROM f WHERE NOT EXISTS (SELECT 1 FROM named x WHERE x.accession = f.accession AND x.start = f.start AND x."end" = f."end"))
+        SELECT case_id, CASE WHEN plain <> '' THEN case_id - 1 ELSE case_id - 1 END AS start, CASE WHEN plain <> '' THEN case_id + 500 ELSE case_id + 30 END AS "end", CASE WHEN plain = '' THEN '-' END AS strand, CASE WHEN plain <> '' THEN 'corpus span' ELSE 'corpus joined location' END AS method FROM c WHERE coords IS NOT NULL
+        UNION ALL SELECT case_id, start, "end", strand, 'name match of ' || n || ' words' FROM named UNION ALL SELECT case_id, s, e, st, 'only feature' FROM lf WHERE n = 1 UNION ALL SELECT case_id, NULL, NULL, NULL, 'no delimiting feature' FROM lf WHERE n IS NULL
+        UNION ALL SELECT q.case_id, fr.start, fr."end", fr.strand, CASE WHEN fr.start IS NULL THEN 'all features taken' ELSE 'by size, weak' END FROM q LEFT JOIN fr ON fr.accession = q.accession AND fr.k = q.k""", "case_rows", "case_features"),
     "o39_subgenomic_architecture": duck(f"""WITH h AS (SELECT seq_id % 500 AS seq_id, domain, strand, start, "end" FROM domain_hits), l AS (SELECT seq_id % 500 AS seq_id, min(start) AS low, max("end") AS high FROM evidence WHERE kind = 'LTR' GROUP BY 1),
         p AS (SELECT seq_id, count(*) FILTER (WHERE domain IN {(*ops.BODY, "ENV")} AND strand = '-') > count(*) FILTER (WHERE domain IN {(*ops.BODY, "ENV")} AND strand <> '-') AS minus, min(start) FILTER (WHERE domain = 'ENV') AS el, max("end") FILTER (WHERE domain = 'ENV') AS eh FROM h GROUP BY seq_id),
         b AS (SELECT p.*, low, high, min(start) AS bl, max("end") AS bh FROM p JOIN l USING (seq_id) JOIN h USING (seq_id) WHERE seq_id % 3 > 0 AND el IS NOT NULL AND domain IN {ops.BODY} AND CASE WHEN minus THEN start >= eh ELSE "end" <= el END GROUP BY ALL),
