@@ -21,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows that each make much work: dealt out by key where the table's files give fewer tasks than there are cores. A
+    large table is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of df: write it as Parquet into the shared folder and read it again.
 

@@ -7,16 +7,18 @@ from math import lgamma
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profile import count_of, cut, is_simple, pieces, reverse_complement, words
+from .profile import count_of, cut, is_simple, pieces, reverse_complement, words, words_of
 
 #: Superfamily and the length of the target site it duplicates.
 TSD_LENGTH = {"Copia": 5, "Gypsy": 5, "hAT": 8, "Tc1/Mariner": 2}
 
 
-def xdrop(a: Column, b: Column, x_drop: int = 30) -> Column:
+def xdrop(a: Column, b: Column, x_drop: int = 30, piece: int = 128) -> Column:
     """Length of the ungapped extension of two strings from their start: +1 for equal known bases, else -2, up to where
-    the score falls x_drop below its best; the first best counts."""
-    return _extended(a, b, F.struct(F.lit(0).alias("i"), F.lit(0).alias("score"), F.lit(0).alias("best"), F.lit(0).alias("ext"), F.lit(True).alias("live")), x_drop)["ext"]
+    the score falls x_drop below its best; the first best counts. Pieces after the drop are not looked at."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("score"), F.lit(0).alias("best"), F.lit(0).alias("ext"), F.lit(True).alias("live"))
+    step = lambda acc, x, y: F.when(acc["live"], _extended(x, y, acc, x_drop)).otherwise(acc)
+    return _in_pieces(a, b, start, step, piece)["ext"]
 
 
 def _extended(a: Column, b: Column, state: Column, x_drop: int) -> Column:
@@ -48,16 +50,24 @@ def matches(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y) & (x != "N") & (x != "")), lambda m: m))
 
 
-def end_words(seqs: DataFrame, k: int, window: int, least: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Words without N in the first and in the last window bases of each sequence (half of it, if shorter): seq_id, n, w,
-    word, p5 and seq_id, word, p3. Only the two windows are cut into words."""
+def end_words(seqs: DataFrame, k: int, window: int, least: int = 0, turned: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Words without N that the first and the last window bases of a sequence (half of it, if shorter) share, with their
+    places: seq_id, word, p5 and seq_id, n, w, word, p3. turned: words of the last are read on the other strand.
+
+    Only the two windows are cut into words, and they are compared where the sequence is: of most sequences few words, or
+    none, go on to be joined.
+    """
     w = F.least(F.lit(window), F.floor(F.length("seq") / 2).cast("int"))
-    ends = seqs.select("seq_id", F.length("seq").alias("n"), w.alias("w"), cut("seq", F.lit(0), w).alias("head"), cut("seq", F.length("seq") - w, w).alias("tail")).where(F.col("w") >= max(least, 1))
-    fine = ~F.contains("word", F.lit("N"))
-    five = words(ends.select("seq_id", F.col("head").alias("seq")), k).where(fine).select("seq_id", "word", F.col("pos").alias("p5"))
-    three = words(ends.select("seq_id", F.col("tail").alias("seq")), k).where(fine).select("seq_id", "word", "pos")
-    sizes = ends.select("seq_id", "n", "w")
-    return five, three.join(sizes, "seq_id").select("seq_id", "n", "w", "word", (F.col("n") - F.col("w") + F.col("pos")).alias("p3"))
+    ends = seqs.select("seq_id", F.length("seq").alias("n"), w.alias("w"), cut("seq", F.lit(0), w).alias("head"), cut("seq", F.length("seq") - w, w).alias("tail")).where(F.col("w") >= max(least, k))
+    last = F.transform(words_of("tail", k), reverse_complement) if turned else words_of("tail", k)
+    # rows are made, so that a list of words is worked out once
+    listed = ends.select("seq_id", "n", "w", F.inline(F.array(F.struct(words_of("head", k).alias("h"), last.alias("t")))))
+    both = F.filter(F.array_intersect("h", "t"), lambda x: ~F.contains(x, F.lit("N")))
+    listed = listed.select("seq_id", "n", "w", "h", "t", F.inline(F.array(F.struct(both.alias("shared"))))).where(F.size("shared") > 0)
+    place = lambda c: F.explode(F.filter(F.transform(c, lambda x, i: F.struct(i.alias("i"), x.alias("word"))), lambda x: F.array_contains("shared", x["word"])))
+    five = listed.select("seq_id", place("h").alias("x")).select("seq_id", "x.word", F.col("x.i").alias("p5"))
+    three = listed.select("seq_id", "n", "w", place("t").alias("x")).select("seq_id", "n", "w", "x.word", (F.col("n") - F.col("w") + F.col("x.i")).alias("p3"))
+    return five, three
 
 
 def terminal_direct_repeats(seqs: DataFrame, k: int = 13, min_ltr: int = 80, min_anchors: int = 4, window: int = 6000, min_identity: float = 80.0) -> DataFrame:
@@ -79,8 +89,13 @@ def terminal_direct_repeats(seqs: DataFrame, k: int = 13, min_ltr: int = 80, min
     piece = lambda start, end: cut("seq", start, end - start)
     lo, hi, d = F.col("lo"), F.col("hi"), F.col("best")
     left_room, right_room = F.least(lo, F.lit(window)), F.greatest(F.lit(0), F.least(d - hi, F.col("n") - d - hi, F.lit(window)))
-    left = xdrop(F.reverse(piece(lo - left_room, lo)), F.reverse(piece(lo + d - left_room, lo + d)))
-    right = xdrop(piece(hi, hi + right_room), piece(hi + d, hi + d + right_room))
+    sides = F.struct(
+        F.reverse(piece(lo - left_room, lo)).alias("a"), F.reverse(piece(lo + d - left_room, lo + d)).alias("b"), piece(hi, hi + right_room).alias("x"), piece(hi + d, hi + d + right_room).alias("y")
+    )
+    # rows are made, so that the four stretches are cut once
+    both = both.select("seq_id", "seq", "n", "w", "distinct_p5", "best", "lo", "hi", F.inline(F.array(sides)))
+    both = both.select("seq_id", "seq", "n", "w", "distinct_p5", "best", "lo", "hi", F.inline(F.array(F.struct(xdrop(F.col("a"), F.col("b")).alias("left"), xdrop(F.col("x"), F.col("y")).alias("right")))))
+    left, right = F.col("left"), F.col("right")
     out = both.select("seq_id", "seq", "n", "w", "distinct_p5", "best", (lo - left).cast("int").alias("s5"), (hi + right).cast("int").alias("e5"))
     length = F.col("e5") - F.col("s5")
     s3, e3 = F.col("s5") + d, F.col("e5") + d
@@ -220,10 +235,8 @@ def word_size_per_element(evidence: DataFrame) -> DataFrame:
 
 
 def xdrop_extend(pairs: DataFrame, x_drop: int = 30, piece: int = 256) -> DataFrame:
-    """pairs (pair_id, a, b): how far the two strings extend from their start. Pieces after the drop are not looked at."""
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("score"), F.lit(0).alias("best"), F.lit(0).alias("ext"), F.lit(True).alias("live"))
-    step = lambda acc, a, b: F.when(acc["live"], _extended(a, b, acc, x_drop)).otherwise(acc)
-    return pairs.select("pair_id", _in_pieces(F.col("a"), F.col("b"), start, step, piece)["ext"].alias("ext"))
+    """pairs (pair_id, a, b): how far the two strings extend from their start."""
+    return pairs.select("pair_id", xdrop(F.col("a"), F.col("b"), x_drop, piece).alias("ext"))
 
 
 def span_identity(pairs: DataFrame, piece: int = 1024) -> DataFrame:
@@ -243,8 +256,8 @@ def inverted_repeat_seeds(seqs: DataFrame, k: int = 11, window: int = 1200, min_
     """Inverted repeats of the two ends from shared words of one end and the other's reverse complement; the strongest
     anti-diagonal (place + mirrored place) wins, ties to the one whose word stands last in the sequence, then first in
     its head."""
-    five, three = end_words(seqs, k, window)
-    anchors = five.join(three.withColumn("word", reverse_complement(F.col("word"))), ["seq_id", "word"]).where(F.col("p3") > F.col("p5")).withColumn("s", F.col("p5") + F.col("p3") + k)
+    five, three = end_words(seqs, k, window, turned=True)
+    anchors = five.join(three, ["seq_id", "word"]).where(F.col("p3") > F.col("p5")).withColumn("s", F.col("p5") + F.col("p3") + k)
     sums = anchors.groupBy("seq_id", "n", "s").agg(F.count("*").alias("c"), F.min("p5").alias("low"), F.max("p5").alias("high"), F.max("p3").alias("last"))
     best = sums.groupBy("seq_id").agg(F.max_by("s", F.struct("c", "last", -F.col("s"))).alias("best"), F.max("c").alias("top")).where(F.col("top") >= min_anchors).drop("top")
     near = sums.join(best, "seq_id").where(F.abs(F.col("s") - F.col("best")) <= 4)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.derive import derive, duck
+from ..functions.tables import spread
 from ..operators import profile
 from ..operators import repeats as ops
 from ..operators import rollup
@@ -28,7 +29,7 @@ def o12_xdrop_extend(spark, d):
 
 
 def o13_near_miss_repeats(spark, d):
-    return ops.near_miss_repeats(derive(spark, d, "copies"), 99.0)
+    return ops.near_miss_repeats(spread(derive(spark, d, "copies"), "seq_id"), 99.0)
 
 
 def o14_span_identity(spark, d):

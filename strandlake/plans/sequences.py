@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.derive import derive, duck
+from ..functions.tables import spread
 from ..operators import pcr, profile
 
 
 def seqs(spark, d):
-    return derive(spark, d, "seqs")
+    return spread(derive(spark, d, "seqs"), "seq_id")
 
 
 def raw(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.derive import derive, duck
+from ..functions.tables import spread
 from ..operators import cases, params, repeats, rollup
 from ..operators import structure as ops
 from .repeats import _TIR
@@ -48,7 +49,7 @@ def o24_polya_signal(spark, d):
 
 def elements(spark, d):
     """The sequences, and elements made of them: 600 bases, 400 between, and a copy of the 600 in which GAC is GTC."""
-    return derive(spark, d, "copies")
+    return spread(derive(spark, d, "copies"), "seq_id")
 
 
 def o25_structural_evidence(spark, d):
