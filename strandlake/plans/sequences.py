@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.derive import derive, duck
-from ..functions.tables import spread
+from ..functions.tables import spread, stored
 from ..operators import pcr, profile
 
 
@@ -87,7 +87,7 @@ def o70_cap_flags(spark, d):
 
 
 def _on_target(spark, d):
-    amps = products(spark, d)
+    amps = stored(products(spark, d), "products")  # read twice below
     loci = amps.where(~F.col("single_primer")).groupBy("pair_id").agg(F.min("source").alias("source")).select("pair_id", "source", F.lit(0).cast("long").alias("start"), F.lit(5000).cast("long").alias("end"))
     return pcr.genome_on_target(amps, loci)
 

@@ -3,7 +3,6 @@
 import datetime
 import hashlib
 import random
-import re
 from collections import Counter
 
 from strandlake import plans
