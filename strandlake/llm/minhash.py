@@ -276,8 +276,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, b
     slim = docs.select("doc_id", "text")
     sig = stored(signatures(slim.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))), k, bands, rows), "signatures")
     # A class is a distinct set, whatever ids its rows have: it gets a number of its own, fixed by writing the table.
-    by_set = sig.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands"))
-    classes = stored(by_set.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    # Numbers follow the smallest ids, so that the hub of a bucket is its earliest document: later ones derive from it.
+    by_set = stored(sig.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands")), "sets-found")
+    order = (F.col("first_id").asc_nulls_last(), F.col("key"))
+    classes = stored(by_set.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rep", F.monotonically_increasing_id()), "classes")
     banded = stored(classes.select("rep", F.explode(F.array_distinct("bands")).alias("bucket")), "bands")
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where(F.col("low") < F.col("high"))
     # Members of buckets that hold more than one class, each with its group so far: itself.
