@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, line_dedup, minhash, mixing, pii, topk, toxicity, warc
+from . import chat_format, decontaminate, license_scan, line_dedup, minhash, mixing, pii, runs, topk, toxicity, warc
 from .common import literal_rows, stored, table
 
 
@@ -94,9 +94,37 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def with_made_runs(docs: DataFrame) -> DataFrame:
+    """docs in which every tenth text, by the hash of its id, runs periodically from a place of its own on."""
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    some = docs.withColumn("w", F.when(h % 10 == 0, words)).withColumns({"n": F.size("w").cast("long"), "g": F.floor(h / 10)})
+    some = some.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    some = some.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    made = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", at(i).cast("int"))), " ")
+    return some.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(with_made_runs(table(spark, sf_dir, "documents")))
+    wins = lambda a, r: r["length"] * a["period"] > a["length"] * r["period"]
+    best = F.when(F.size("runs") > 0, F.reduce("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(wins(a, r), r).otherwise(a)))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = out.withColumn("best", best)
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_toxicity, op3_line_dedup, op4_chat_format, op5_decontaminate, op6_topk, op7_pii, op8_mixing, op9_warc, op10_minhash)
+    for f in (op1_license_scan, op2_toxicity, op3_line_dedup, op4_chat_format, op5_decontaminate, op6_topk, op7_pii, op8_mixing, op9_warc, op10_minhash, op13_periodic_runs)
 }
 
 
