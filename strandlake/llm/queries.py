@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, line_dedup, minhash, mixing, pii, runs, topk, toxicity, warc
+from . import chat_format, collocations, decontaminate, license_scan, line_dedup, minhash, mixing, pii, runs, topk, toxicity, warc
 from .common import literal_rows, stored, table
 
 
@@ -94,6 +94,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def with_made_runs(docs: DataFrame) -> DataFrame:
     """docs in which every tenth text, by the hash of its id, runs periodically from a place of its own on."""
     words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
@@ -124,7 +128,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_toxicity, op3_line_dedup, op4_chat_format, op5_decontaminate, op6_topk, op7_pii, op8_mixing, op9_warc, op10_minhash, op13_periodic_runs)
+    for f in (op1_license_scan, op2_toxicity, op3_line_dedup, op4_chat_format, op5_decontaminate, op6_topk, op7_pii, op8_mixing, op9_warc, op10_minhash, op12_collocations, op13_periodic_runs)
 }
 
 
@@ -200,6 +204,21 @@ v AS (SELECT *, (budget - full_before) / (all_weight - weight_before) AS v FROM
 t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(CAST(cap AS DOUBLE), weight * (SELECT coalesce(arg_min(v, cap / weight) FILTER (WHERE v <= cap / weight), max(cap / weight)) FROM v)) AS target FROM v),
 q AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS done FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, round(target) - (done - size))) + greatest(0, least(size, round(target) - (done - size) - source_size)) AS BIGINT) AS taken FROM q""",
+    "op12_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+q AS (SELECT lang, d, generate_subscripts(pieces, 1) AS i, unnest(pieces) AS piece FROM p),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM q),
+g AS (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, CAST(len(w) AS BIGINT) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 100),
+cuts AS (SELECT c.*, k, l.f AS l, r.f AS r, n.n AS n, (1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f) AS score
+         FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:c.k] JOIN f r ON r.lang = c.lang AND r.g = c.g[c.k + 1:] JOIN n ON n.lang = c.lang),
+best AS (SELECT lang, g, a, n, arg_min(struct_pack(score := score, l := l, r := r), struct_pack(score := score, k := k)) AS x FROM cuts GROUP BY ALL),
+inside AS (SELECT DISTINCT c.lang, c.g FROM c JOIN (SELECT lang, a, g[i:i + k - 1] AS g FROM (SELECT *, unnest(range(1, CAST(len(g) AS BIGINT) - k + 2)) AS i FROM c, range(2, 5) t(k) WHERE len(g) > k)) o ON o.lang = c.lang AND o.g = c.g AND 100 * o.a >= 100 * c.a),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY x.score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, x.l AS l, x.r AS r, n, CAST(x.score AS BIGINT) AS score
+      FROM best ANTI JOIN inside USING (lang, g))
+SELECT * FROM r WHERE rank <= 2000""",
     "op9_warc": r"""
 WITH r AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS record_id FROM pages),
 w AS (SELECT page_id, record_id, replace('WARC/1.0~WARC-Type: response~WARC-Record-ID: <urn:md5:' || record_id || '>~WARC-Target-URI: ', '~', chr(13) || chr(10)) || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)
