@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
+from .filters import bloom, holds
 from .minhash import mix
 
 _U = np.uint64
@@ -43,8 +44,6 @@ _GAP = _BREAK | _SPACE
 SLICE, CHUNK, HELD = 1 << 20, 1 << 21, 1 << 22
 #: Bytes of text for each hash partition of the summaries, and the most partitions.
 PER_PARTITION, PARTITIONS = 1 << 22, 1 << 16
-FILTER_BITS = 26
-
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     both = []
@@ -111,21 +110,13 @@ class Words:
             yield k, inside, h[inside]
 
 
-def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    found = np.ones(len(h), bool)
-    for shift in (0, 19, 38):
-        at = (h >> _U(shift)) & _U((1 << FILTER_BITS) - 1)
-        found &= (bits[at >> _U(6)] >> (at & _U(63))) & _U(1) == 1
-    return found
-
-
 def admitted(words: Words, most: int, bits: np.ndarray | None, least: int = 1):
     """As phrases(), without those that hold a pair (or word) that the filter does not know, from least words on."""
     known = None
     for k, first, h in words.phrases(most):
         if bits is not None and k == 2:
             known = np.zeros(len(words.hash) + 1, bool)
-            known[first] = _holds(bits, h)
+            known[first] = holds(bits, h)
         if bits is not None and k > 2:
             all_known = np.logical_and.reduce([known[first + i] for i in range(k - 1)])
             first, h = first[all_known], h[all_known]
@@ -228,16 +219,6 @@ def survivors(parts: DataFrame, threshold: int) -> DataFrame:
     return whole.select("part", "total", "cut", "keys", "counts").mapInArrow(run, "h long")
 
 
-def _filter_of(hashes: DataFrame):
-    """A Bloom filter of hashes as a broadcast bit array of fixed size."""
-    at = F.explode(F.array(*(F.shiftrightunsigned("h", s).bitwiseAND((1 << FILTER_BITS) - 1) for s in (0, 19, 38)))).alias("at")
-    one = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
-    words = hashes.select(at).groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(one).alias("w")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), _U)
-    bits[words.column("i").to_numpy()] = words.column("w").to_numpy().view(_U)
-    return hashes.sparkSession.sparkContext.broadcast(bits)
-
-
 def exact_counts(docs: DataFrame, most: int, known) -> DataFrame:
     """lang, phrase, k and f of the words and phrases that the filter knows, and the words of each language as k = 0."""
 
@@ -258,7 +239,7 @@ def exact_counts(docs: DataFrame, most: int, known) -> DataFrame:
             for text, n in zip(*np.unique(words.text, return_counts=True)):
                 n_words[words.langs[text]] = n_words.get(words.langs[text], 0) + int(n)
             for k, first, h in admitted(words, most, bits):
-                here = _holds(bits, h)
+                here = holds(bits, h)
                 new, at, n = np.unique(h[here], return_index=True, return_counts=True)
                 for key, i in zip(new.tolist(), first[here][at].tolist()):
                     if key not in said:
@@ -284,9 +265,9 @@ def frequent_phrases(docs: DataFrame, most: int = 5, threshold: int = 100, text_
     capacity, partitions = 4 * size // threshold + 1, min(PARTITIONS, math.ceil(size / PER_PARTITION) or 1)
     found = stored(survivors(summaries(slim, 1, min(2, most), capacity, partitions), threshold), "pairs")
     if most > 2:
-        known = _filter_of(found)
+        known = bloom(found)
         found = found.union(stored(survivors(summaries(slim, 3, most, capacity, partitions, known), threshold), "phrases"))
-    return stored(exact_counts(slim, most, _filter_of(found)).where((F.col("f") >= threshold) | (F.col("k") == 0)), "counts")
+    return stored(exact_counts(slim, most, bloom(found)).where((F.col("f") >= threshold) | (F.col("k") == 0)), "counts")
 
 
 def collocations(docs: DataFrame, threshold: int = 100, most: int = 5, share: int = 100, top: int = 2000) -> DataFrame:

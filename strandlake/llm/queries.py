@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, collocations, decontaminate, license_scan, line_dedup, minhash, mixing, pii, runs, topk, toxicity, warc
+from . import chat_format, collocations, decontaminate, license_scan, line_dedup, minhash, mixing, pii, runs, suffixes, topk, toxicity, warc
 from .common import literal_rows, stored, table
 
 
@@ -94,6 +94,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.cut_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -128,7 +133,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_toxicity, op3_line_dedup, op4_chat_format, op5_decontaminate, op6_topk, op7_pii, op8_mixing, op9_warc, op10_minhash, op12_collocations, op13_periodic_runs)
+    for f in (op1_license_scan, op2_toxicity, op3_line_dedup, op4_chat_format, op5_decontaminate, op6_topk, op7_pii, op8_mixing, op9_warc, op10_minhash, op11_suffix_dedup, op12_collocations, op13_periodic_runs)
 }
 
 
@@ -208,16 +213,17 @@ SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, round(tar
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
 q AS (SELECT lang, d, generate_subscripts(pieces, 1) AS i, unnest(pieces) AS piece FROM p),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM q),
-g AS (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, CAST(len(w) AS BIGINT) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(w) >= k)),
-f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g),
+g AS (SELECT lang, len(w) AS m, unnest(range(1, len(w) + 1)) AS i, w FROM w WHERE len(w) > 0),
+f AS MATERIALIZED (SELECT lang, p, count(*) AS f, any_value(k) AS k FROM (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS p, k FROM g, range(1, 6) t(k) WHERE i + k - 1 <= m) GROUP BY lang, p HAVING count(*) >= 100),
 n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
-c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 100),
-cuts AS (SELECT c.*, k, l.f AS l, r.f AS r, n.n AS n, (1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f) AS score
-         FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:c.k] JOIN f r ON r.lang = c.lang AND r.g = c.g[c.k + 1:] JOIN n ON n.lang = c.lang),
-best AS (SELECT lang, g, a, n, arg_min(struct_pack(score := score, l := l, r := r), struct_pack(score := score, k := k)) AS x FROM cuts GROUP BY ALL),
-inside AS (SELECT DISTINCT c.lang, c.g FROM c JOIN (SELECT lang, a, g[i:i + k - 1] AS g FROM (SELECT *, unnest(range(1, CAST(len(g) AS BIGINT) - k + 2)) AS i FROM c, range(2, 5) t(k) WHERE len(g) > k)) o ON o.lang = c.lang AND o.g = c.g AND 100 * o.a >= 100 * c.a),
-r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY x.score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, x.l AS l, x.r AS r, n, CAST(x.score AS BIGINT) AS score
-      FROM best ANTI JOIN inside USING (lang, g))
+c AS MATERIALIZED (SELECT lang, p, k AS size, f AS a, string_split(p, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+cuts AS (SELECT cut.lang, cut.p, cut.a, cut.k, l.f AS l, r.f AS r, n.n AS n, (1000::HUGEINT * cut.a * n.n) // (l.f::HUGEINT * r.f) AS score FROM cut
+         JOIN f l ON l.lang = cut.lang AND l.p = array_to_string(cut.w[1:cut.k], ' ') JOIN f r ON r.lang = cut.lang AND r.p = array_to_string(cut.w[cut.k + 1:], ' ') JOIN n ON n.lang = cut.lang),
+best AS (SELECT lang, p, a, n, score, l, r FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, a, w, size, k, unnest(range(1, size - k + 2)) AS i FROM c, range(2, 5) t(k) WHERE size > k),
+inside AS (SELECT DISTINCT c.lang, c.p FROM inner_ o JOIN c ON c.lang = o.lang AND c.p = array_to_string(o.w[o.i:o.i + o.k - 1], ' ') WHERE 100 * o.a >= 100 * c.a),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM best ANTI JOIN inside USING (lang, p))
 SELECT * FROM r WHERE rank <= 2000""",
     "op9_warc": r"""
 WITH r AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS record_id FROM pages),
