@@ -41,7 +41,7 @@ _SPACE[[0x20, 0x09]] = True
 _GAP = _BREAK | _SPACE
 
 #: Bytes of text that are tokenised at once; grams that are counted at once; counters a task holds before it passes them on.
-SLICE, CHUNK, HELD = 1 << 20, 1 << 21, 1 << 22
+SLICE, CHUNK, HELD = 1 << 20, 1 << 20, 1 << 21
 #: Bytes of text for each hash partition of the summaries, and the most partitions.
 PER_PARTITION, PARTITIONS = 1 << 22, 1 << 16
 
