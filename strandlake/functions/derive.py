@@ -42,6 +42,21 @@ TABLES = {
             ELSE 'Class II' END AS call_b,
         CASE d.n_chars % 9 WHEN 0 THEN 'locus' WHEN 1 THEN 'genome' ELSE 'element' END AS record_scope, d.n_chars
         FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
+    "corpus_rows": """SELECT doc_id AS case_id, CAST(floor(doc_id / 2) AS BIGINT) AS accession, CASE WHEN n_chars % 13 = 0 THEN 'containing' ELSE lang END AS panel, CASE WHEN n_chars % 13 = 0 THEN 'genome' WHEN n_chars % 5 = 1 THEN 'locus' ELSE 'element' END AS record_scope,
+        CASE n_chars % 8 WHEN 0 THEN 'Class I, LTR retrotransposon' WHEN 1 THEN 'Class I (non-LTR)' WHEN 2 THEN 'Class I: SINE' WHEN 3 THEN ' Class II / TIR ' WHEN 4 THEN 'Not a TE (host gene)' WHEN 5 THEN 'Class II' WHEN 6 THEN 'falls outside the Wicker scheme' END AS expected_class,
+        CASE n_chars % 23 WHEN 0 THEN 'Copia (Ty1)' WHEN 1 THEN 'Ty3/gypsy (family Huck)' WHEN 2 THEN ' Jockey' WHEN 3 THEN 'RTE/BovB' WHEN 4 THEN 'Tc1/Mariner-related MITE' WHEN 5 THEN 'hAT' WHEN 6 THEN 'P-element family' WHEN 7 THEN 'HML-2' WHEN 8 THEN 'copia-like' WHEN 9 THEN '' WHEN 10 THEN 'hAT' WHEN 11 THEN 'Copia (Ty1)' END AS expected_superfamily
+        FROM documents""",
+    "result_rows": """SELECT CASE WHEN doc_id % 29 = 0 THEN -doc_id - 1 ELSE doc_id END AS case_id,
+        CASE n_chars % 11 WHEN 0 THEN 'LTR/Copia' WHEN 1 THEN 'LTR/Gypsy' WHEN 2 THEN 'LINE' WHEN 3 THEN 'DNA/hAT' WHEN 4 THEN 'retro/partial' WHEN 5 THEN 'repeat/structural-only' WHEN 6 THEN 'unclassified' WHEN 7 THEN 'SINE / Alu' WHEN 8 THEN 'Helitron' WHEN 9 THEN 'odd' END AS te_class,
+        CASE n_chars % 7 WHEN 0 THEN 'Class I' WHEN 1 THEN 'Class II' WHEN 2 THEN 'unclassified' END AS class,
+        CASE (n_chars + doc_id) % 17 WHEN 0 THEN 'Copia (Ty1)' WHEN 1 THEN 'Gypsy (Ty3) · chromovirus' WHEN 2 THEN 'hAT' WHEN 3 THEN 'Tc1/Mariner' WHEN 4 THEN 'LINE (non-LTR)' WHEN 5 THEN 'LTR retroelement fragment (GAG, PR; RT/pol not detected)' WHEN 6 THEN '2 domain(s) detected; no transposable-element assignment'
+            WHEN 7 THEN 'no clear TE signature' WHEN 8 THEN 'hAT-like' WHEN 9 THEN 'retrotransposon (partial)' WHEN 10 THEN 'Copia (Ty1)' END AS superfamily,
+        CASE n_chars % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Moderate' WHEN 2 THEN 'Candidate' END AS confidence,
+        CASE n_chars % 6 WHEN 0 THEN concat(doc_id + 1, '-', doc_id + n_chars) WHEN 1 THEN 'NOT APPLICABLE (no span)' WHEN 2 THEN concat(doc_id + 2, '-', doc_id + n_chars) END AS coords_applied, CASE WHEN n_chars % 6 = 2 AND doc_id % 2 = 0 THEN n_chars - 1 ELSE n_chars END AS input_length
+        FROM documents WHERE doc_id % 19 <> 0""",
+    "first_inputs": "SELECT CAST(floor(doc_id / 2) AS BIGINT) AS accession, CASE WHEN doc_id % 7 <> 1 THEN md5(concat(lang, doc_id % 4)) END AS residue_sha, CASE WHEN doc_id % 5 <> 2 THEN md5(source) END AS fetch_sha FROM documents WHERE doc_id % 31 > 1",
+    "second_calls": """SELECT CAST(floor(doc_id / 2) AS BIGINT) AS accession, CASE WHEN doc_id % 2 = 0 THEN 'plain' ELSE 'sensitive' END AS mode, CASE n_chars % 7 WHEN 0 THEN 'LTR' WHEN 1 THEN 'LINE' WHEN 2 THEN 'SINE' WHEN 3 THEN 'TIR' WHEN 4 THEN 'OTHER' ELSE 'NO_CALL' END AS call,
+        CASE WHEN doc_id % 9 <> 4 THEN md5(concat(lang, doc_id % 4)) END AS residue_sha, CASE WHEN doc_id % 6 <> 3 THEN md5(source) END AS fetch_sha FROM documents WHERE doc_id % 3 <> 2""",
     "copies": """SELECT seq_id * 2 AS seq_id, seq FROM seqs UNION ALL SELECT seq_id * 2 + 1, substr(seq, 1, 12) || substr(seq, 13, 588) || substr(seq, 601, 400) || replace(substr(seq, 13, 588), 'GAC', 'GTC') || substr(seq, 1, seq_id % 9) FROM seqs WHERE length(seq) >= 1000""",
     "case_rows": """SELECT c_custkey AS case_id, CAST(floor(c_custkey / 10) AS BIGINT) AS accession, CASE c_custkey % 7 WHEN 0 THEN concat(c_custkey, '..', c_custkey + 500) WHEN 1 THEN concat('complement(join(', c_custkey, '..', c_custkey + 9, ',', c_custkey + 20, '..', c_custkey + 30, '))') END AS coords,
         CASE c_custkey % 5 WHEN 0 THEN 'urgent family' WHEN 1 THEN 'High, the medium' WHEN 2 THEN 'low' ELSE lower(c_mktsegment) END AS expected_superfamily FROM customer""",
@@ -62,6 +77,10 @@ NEEDS = {
     "orfs": ["orders"],
     "exons": ["conversations"],
     "cases": ["labels", "documents"],
+    "corpus_rows": ["documents"],
+    "result_rows": ["documents"],
+    "first_inputs": ["documents"],
+    "second_calls": ["documents"],
     "case_rows": ["customer"],
     "case_features": ["orders"],
     "arms": ["seqs"],

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the two-sided 95 % quantile of the normal distribution.
 Z = 1.959963985
-#: Labels and the token each stands for.
-TOKENS = {"Class I": "RETRO", "Class II": "DNA", "none": "NOT_TE"}
 
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column, Column]:
@@ -56,19 +54,6 @@ def scores_by_panel_and_tier(cases: DataFrame, call: str = "call_a") -> DataFram
     return sets.select(level.alias("level"), F.coalesce("panel", "tier", F.lit("all")).alias("name"), *_scores(F.col("g"), F.col("a"), F.col("c")))
 
 
-def normalise_labels(cases: DataFrame) -> DataFrame:
-    """Tokens of the expected and observed labels; ``mapped`` is false where a label is in no table."""
-    table = F.create_map(*(F.lit(x) for item in TOKENS.items() for x in item))
-    out = cases.select("*", F.element_at(table, F.col("expected")).alias("expected_token"), F.element_at(table, F.col("call_a")).alias("observed_token"))
-    good = F.col("expected_token").isNotNull() & (F.col("call_a").isNull() | F.col("observed_token").isNotNull())
-    return out.withColumn("mapped", good)
-
-
-def stratify_cases(cases: DataFrame) -> DataFrame:
-    """single_element_input where the record is one element, else the reason why it is not scored with those."""
-    return cases.withColumn("stratum", F.when(F.col("record_scope") == "element", "single_element_input").when(F.col("record_scope") == "locus", "locus: span not applied").otherwise("whole record"))
-
-
 def confusion(cases: DataFrame, call: str = "call_a") -> DataFrame:
     return cases.groupBy("expected", F.coalesce(call, F.lit("abstained")).alias("observed")).agg(F.count("*").alias("n"))
 

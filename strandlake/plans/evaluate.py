@@ -12,15 +12,7 @@ def cases(spark, d):
     return derive(spark, d, "cases")
 
 
-def o78_normalise_labels(spark, d):
-    return ops.normalise_labels(cases(spark, d)).select("accession", "expected_token", "observed_token", "mapped")
-
-
-def o79_stratify_cases(spark, d):
-    return ops.stratify_cases(cases(spark, d)).select("accession", "stratum")
-
-
-def o80_accuracy_with_abstention(spark, d):
+def o80_accuracy_by_panel(spark, d):
     return ops.accuracy_with_abstention(cases(spark, d), "call_a", ("panel",))
 
 
@@ -30,7 +22,7 @@ def o81_wilson_interval(spark, d):
     return n.select("l_suppkey", "n", "k", p.alias("p"), lo.alias("lo"), hi.alias("hi"))
 
 
-def o82_scores_by_panel_and_tier(spark, d):
+def o82_scores_of_one_level(spark, d):
     return ops.scores_by_panel_and_tier(cases(spark, d))
 
 
@@ -58,7 +50,7 @@ def o87_representability_check(spark, d):
     return ops.representability_check(cases(spark, d))
 
 
-def o88_paired_comparison(spark, d):
+def o88_calls_side_by_side(spark, d):
     return ops.paired_comparison(cases(spark, d))
 
 
@@ -71,7 +63,7 @@ def _hashes(spark, d, shift):
     return docs.select(F.col("doc_id").alias("accession"), F.sha2(F.concat("text", F.when(F.col("doc_id") % 7 == shift, "N").otherwise("")), 256).alias("sha256"), F.when(F.col("n_chars") % 5 > shift, F.col("lang")).alias("call"))
 
 
-def o90_input_identity_check(spark, d):
+def o90_hashes_side_by_side(spark, d):
     return ops.input_identity_check(_hashes(spark, d, 1), _hashes(spark, d, 2))
 
 
@@ -130,7 +122,7 @@ def o99_orphan_results(spark, d):
     return ops.orphan_results(results, known)
 
 
-def o100_accuracy_report(spark, d):
+def o100_report_of_one_level(spark, d):
     return ops.accuracy_report(cases(spark, d))
 
 
@@ -149,7 +141,6 @@ def _scores(select, source, group, call="call_a"):
 
 _HASH = "SELECT doc_id AS accession, sha256(text || CASE WHEN doc_id % 7 = {0} THEN 'N' ELSE '' END) AS h, CASE WHEN n_chars % 5 > {0} THEN lang END AS call FROM documents WHERE doc_id % 10 <> {0}"
 _BOTH = f"x AS ({_HASH.format(1)}), y AS ({_HASH.format(2)}), j AS (SELECT coalesce(x.accession, y.accession) AS accession, x.h AS h0, y.h AS h1, x.call AS c0, y.call AS c1 FROM x FULL JOIN y ON x.accession = y.accession)"
-_TOKEN = "CASE {0} WHEN 'Class I' THEN 'RETRO' WHEN 'Class II' THEN 'DNA' WHEN 'none' THEN 'NOT_TE' END"
 _PAIRED = """SELECT panel AS mode, count(*) AS n, count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS a_only, count(*) FILTER (WHERE NOT a AND b) AS b_only, count(*) FILTER (WHERE NOT a AND NOT b) AS neither,
     count(*) FILTER (WHERE call_a IS NULL AND b) AS abstention_cost, count(*) FILTER (WHERE call_a IS NULL AND call_b IS NOT NULL AND NOT b) AS abstention_gain, count(*) FILTER (WHERE call_a IS NOT NULL AND NOT a) AS a_errors, count(*) FILTER (WHERE call_b IS NOT NULL AND NOT b) AS b_errors
     FROM (SELECT *, coalesce(call_a = expected, false) AS a, coalesce(call_b = expected, false) AS b FROM cases) GROUP BY panel"""
@@ -160,11 +151,9 @@ _W = _wilson("k", "n")
 _WD = _wilson("k + v", "n")
 
 ORACLES = {
-    "o78_normalise_labels": duck(f"SELECT accession, {_TOKEN.format('expected')} AS expected_token, {_TOKEN.format('call_a')} AS observed_token, true AS mapped FROM cases", "cases"),
-    "o79_stratify_cases": duck("SELECT accession, CASE record_scope WHEN 'element' THEN 'single_element_input' WHEN 'locus' THEN 'locus: span not applied' ELSE 'whole record' END AS stratum FROM cases", "cases"),
-    "o80_accuracy_with_abstention": duck(_scores("panel", "cases", "GROUP BY panel"), "cases"),
+    "o80_accuracy_by_panel": duck(_scores("panel", "cases", "GROUP BY panel"), "cases"),
     "o81_wilson_interval": f"SELECT l_suppkey, n, k, {_W[0]} AS p, {_W[1]} AS lo, {_W[2]} AS hi FROM (SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS k FROM lineitem GROUP BY l_suppkey)",
-    "o82_scores_by_panel_and_tier": duck(_scores("level, name", "(SELECT 'all' AS level, 'all' AS name, * FROM cases UNION ALL SELECT 'panel', panel, * FROM cases UNION ALL SELECT 'tier', tier, * FROM cases)", "GROUP BY level, name"), "cases"),
+    "o82_scores_of_one_level": duck(_scores("level, name", "(SELECT 'all' AS level, 'all' AS name, * FROM cases UNION ALL SELECT 'panel', panel, * FROM cases UNION ALL SELECT 'tier', tier, * FROM cases)", "GROUP BY level, name"), "cases"),
     "o83_confusion": duck("SELECT expected, coalesce(call_a, 'abstained') AS observed, count(*) AS n FROM cases GROUP BY ALL", "cases"),
     "o84_negative_controls": duck("SELECT panel, count(*) AS n, count(*) FILTER (WHERE call_a IS NULL OR call_a = 'none') AS correct, count(*) FILTER (WHERE call_a <> 'none') AS false_positives FROM cases WHERE expected = 'none' GROUP BY panel", "cases"),
     "o84_false_positives": duck("SELECT accession, panel, call_a AS observed FROM cases WHERE expected = 'none' AND call_a <> 'none'", "cases"),
@@ -172,10 +161,10 @@ ORACLES = {
         UNION ALL SELECT 'representable only', expected, call_a FROM cases WHERE record_scope = 'element' AND expected <> 'none')""", "GROUP BY view"), "cases"),
     "o86_incorrect_and_excluded": duck("SELECT accession, panel, expected, call_a AS observed, CASE WHEN record_scope <> 'element' THEN 'excluded: ' || record_scope WHEN call_a IS NULL THEN 'abstained' ELSE 'incorrect' END AS reason FROM cases WHERE record_scope <> 'element' OR call_a IS NULL OR call_a <> expected", "cases"),
     "o87_representability_check": duck("SELECT count(call_a) AS committed, count(*) FILTER (WHERE call_a NOT IN ('Class I', 'Class II', 'none')) AS outside FROM cases", "cases"),
-    "o88_paired_comparison": duck(_PAIRED, "cases"),
+    "o88_calls_side_by_side": duck(_PAIRED, "cases"),
     "o89_mcnemar_exact": duck(f"""WITH p AS ({_PAIRED}), t AS (SELECT mode, a_only AS b, b_only AS c, a_only + b_only AS n, unnest(range(0, least(a_only, b_only) + 1)) AS i FROM p)
         SELECT mode, b, c, round(least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 9) AS p FROM t GROUP BY mode, b, c""", "cases"),
-    "o90_input_identity_check": f"WITH {_BOTH} SELECT accession, CASE WHEN h0 IS NULL OR h1 IS NULL THEN 'unverifiable' WHEN h0 = h1 THEN 'verified' ELSE 'mismatch' END AS verdict FROM j",
+    "o90_hashes_side_by_side": f"WITH {_BOTH} SELECT accession, CASE WHEN h0 IS NULL OR h1 IS NULL THEN 'unverifiable' WHEN h0 = h1 THEN 'verified' ELSE 'mismatch' END AS verdict FROM j",
     "o91_calibration": duck(f"SELECT tier, n, k AS correct, {_W[0]} AS accuracy, {_W[1]} AS lo, {_W[2]} AS hi FROM (SELECT tier, count(*) AS n, count(*) FILTER (WHERE expected <> 'none' AND call_a = expected) AS k FROM cases WHERE call_a <> 'none' GROUP BY tier)", "cases"),
     "o92_assay_concordance": f"WITH {_ASSAY} SELECT * FROM c",
     "o92_concordance_summary": f"""WITH {_ASSAY}, s AS (SELECT list_sort(list(abs(difference)) FILTER (WHERE difference IS NOT NULL)) AS v FROM c)
@@ -194,7 +183,7 @@ ORACLES = {
         SELECT state, CASE WHEN state IN ('unchanged', 'moved') THEN c0 END AS before, CASE WHEN state IN ('unchanged', 'moved') THEN c1 END AS after, count(*) AS n FROM s GROUP BY ALL""",
     "o99_orphan_results": """WITH r AS (SELECT l_partkey AS accession, count(*) AS n_results, count(*) FILTER (WHERE l_discount > 0.01) AS n_cases FROM lineitem GROUP BY 1)
         SELECT *, CASE WHEN n_cases = 0 THEN 'no case' ELSE 'surplus' END AS reason FROM r WHERE n_cases < n_results""",
-    "o100_accuracy_report": duck(f"""WITH p AS ({_scores("panel", "cases", "GROUP BY panel")}) SELECT *, CAST(row_number() OVER (ORDER BY n_gradable DESC, panel) AS INT) AS place FROM p
+    "o100_report_of_one_level": duck(f"""WITH p AS ({_scores("panel", "cases", "GROUP BY panel")}) SELECT *, CAST(row_number() OVER (ORDER BY n_gradable DESC, panel) AS INT) AS place FROM p
         UNION ALL SELECT *, 1048576 FROM ({_scores("panel", "(SELECT 'elements only' AS panel, expected, call_a FROM cases WHERE expected <> 'none')", "GROUP BY panel")})
         UNION ALL SELECT *, 1048577 FROM ({_scores("panel", "(SELECT 'all panels' AS panel, expected, call_a FROM cases)", "GROUP BY panel")})""", "cases"),
 }
