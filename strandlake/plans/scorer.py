@@ -135,7 +135,7 @@ ORACLES = {
         ("abstention_cost", "reason IS NULL AND a_abstained AND b_right"), ("abstention_gain", "reason IS NULL AND a_abstained AND NOT b_right AND b_call <> 'NO_CALL'"), ("a_errors", "reason IS NULL AND a_wrong"), ("b_errors", "reason IS NULL AND b_wrong"),
         ("a_errors_with_controls", "coalesce(reason, 'negative control') = 'negative control' AND a_wrong"), ("b_errors_with_controls", "coalesce(reason, 'negative control') = 'negative control' AND b_wrong"),
         ("a_outside", "coalesce(reason, 'negative control') = 'negative control' AND a_call = 'OTHER'"), ("b_outside", "coalesce(reason, 'negative control') = 'negative control' AND b_call = 'OTHER'")))} FROM pairs GROUP BY mode)
-        SELECT *, CASE WHEN paired > 0 THEN round((both + a_only) / paired, 4) END AS a_accuracy, CASE WHEN paired > 0 THEN round((both + b_only) / paired, 4) END AS b_accuracy FROM c""", *_BASE, "first_inputs", "second_calls"),
+        SELECT *, CASE WHEN paired > 0 THEN round((c."both" + a_only) / paired, 4) END AS a_accuracy, CASE WHEN paired > 0 THEN round((c."both" + b_only) / paired, 4) END AS b_accuracy FROM c""", *_BASE, "first_inputs", "second_calls"),
 }
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[:1] == "o" and k[1:3].isdigit()}
