@@ -20,6 +20,8 @@ empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,7 +36,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 GRAM = 64
 #: Anchors in a bucket, about; bytes hashed at once.
-BUCKET, SLICE = 1 << 16, 1 << 20
+BUCKET, SLICE = 1 << 15, 1 << 20
 END = b"\xff"  # stands in no UTF-8 text
 _BYTE = mix(np.arange(256, dtype=_U) + _U(77))
 
@@ -62,23 +64,29 @@ def gram_hashes(text: bytes, k: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+def _sliding(best, x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum or maximum of width values from each place on."""
+    span = 1
+    while span * 2 <= width:
+        x, span = best(x[:-span], x[span:]), span * 2
+    return best(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
+
+
 def anchors(text: bytes, length: int, gram: int = GRAM):
     """(hash, place, first window, last window) of the anchors of a text."""
     if len(text) < length:
         return (np.zeros(0, _U), *(np.zeros(0, np.int64) for _ in range(3)))
     g = gram_hashes(text, gram)
-    least, width, span = g, length - gram + 1, 1
-    while span * 2 <= width:
-        least, span = np.minimum(least[:-span], least[span:]), span * 2
-    if span < width:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    width = length - gram + 1
+    least = _sliding(np.minimum, g, width)
     # A new anchor serves where the least hash changes, and after a window that begins at its own.
     own = g[: len(least)] == least
     first = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | own[:-1])))
     last = np.append(first[1:], len(least)) - 1
     h = least[first]
     # Its place is the next of that hash: places that are least of some window are few.
-    few = np.flatnonzero(np.isin(g, h))
+    none = np.zeros(width - 1, _U)
+    few = np.flatnonzero(g == _sliding(np.maximum, np.concatenate((none, least, none)), width))
     at = np.searchsorted(few, last)
     while (other := g[few[at]] != h).any():
         at += other
@@ -230,7 +238,10 @@ def _place(t: bytes, at: np.ndarray) -> np.ndarray:
 
 
 def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """t, p, i, j, prefix (backwards) and suffix of each anchor whose bytes may stand elsewhere too; it serves windows i to j."""
+    """t, p, i, j, prefix (backwards) and suffix of each anchor whose bytes may stand elsewhere too; it serves windows i to j.
+
+    Where a task meets the same prefix and suffix again, its windows repeat: they come as rows without prefix and suffix,
+    and only the first place goes on to be sorted. A passage of many documents is so one row for each task."""
     back = length - GRAM
 
     def hashed(batches):
@@ -245,13 +256,25 @@ def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
         kind = pa.schema([("t", pa.binary()), ("p", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("prefix", pa.binary()), ("suffix", pa.binary())])
 
         def rows():
+            first: dict[bytes, tuple | None] = {}
             for t, text in _each_text(batches):
                 h, p, i, j = anchors(text, length)
                 of = np.flatnonzero(holds(bits, h))
-                p = p[of].tolist()
-                prefix = [text[at - back : at][::-1] if at >= back else text[:at][::-1] + END for at in p]
-                suffix = [text[at : at + length] if at + length <= len(text) else text[at:] + END for at in p]
-                yield [t] * len(p), p, i[of].tolist(), j[of].tolist(), prefix, suffix
+                out = []
+                for at, low, high in zip(p[of].tolist(), i[of].tolist(), j[of].tolist()):
+                    prefix = text[at - back : at][::-1] if at >= back else text[:at][::-1] + END
+                    suffix = text[at : at + length] if at + length <= len(text) else text[at:] + END
+                    key = hashlib.blake2b(prefix + suffix, digest_size=16, salt=len(prefix).to_bytes(4, "little")).digest()
+                    if key not in first:
+                        first[key] = (t, at, low, high)
+                        out.append((t, at, low, high, prefix, suffix))
+                        continue
+                    if first[key]:
+                        out.append((*first[key], None, None))
+                        first[key] = None
+                    out.append((t, at, low, high, None, None))
+                if out:
+                    yield tuple(zip(*out))
 
         yield from _in_batches(rows(), kind)
 
@@ -261,7 +284,8 @@ def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
 def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     """t, i, j: in the text of md5 t, every string of length bytes that starts at i to j stands elsewhere too."""
     back = length - GRAM
-    found = stored(shared_anchors(texts, length), "anchors")
+    told = stored(shared_anchors(texts, length), "anchors")
+    found = told.where("suffix IS NOT NULL")
     wide = (length + 7) // 8 * 8, (back + 7) // 8 * 8
     forth = neighbours(found, "suffix", "prefix", wide[0], wide[1]).select("t", "p", F.col("most").alias("r"), F.col("full").alias("l_full"))
     aback = neighbours(found, "prefix", "suffix", wide[1], wide[0]).select("t", "p", F.col("most").alias("l"), F.col("full").alias("r_full"))
@@ -271,6 +295,7 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     both = both.withColumns({"low": F.greatest("i", F.col("p") - F.col("l"), F.col("until") + 1), "high": F.least("j", F.col("p") + F.col("r") - length, F.col("since") - 1)})
     both = stored(both.select("t", "p", "i", "j", "since", "until", "low", "high"), "decided")
     sure = both.select("t", F.col("since").alias("i"), "j").where("i <= j").union(both.select("t", "i", F.col("until").alias("j")).where("i <= j"))
+    sure = sure.union(told.where("suffix IS NULL").select("t", "i", "j"))
     return sure.union(_open_windows(found, both.where("low <= high").select("t", "p", "low", "high"), length))
 
 
@@ -289,23 +314,41 @@ def _open_windows(found: DataFrame, open_: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(h)).view(np.int64) if h else [], pa.int64())], names=["h"])
 
     known = bloom(own.mapInArrow(hashed, "h long"))
+    gram = F.xxhash64(F.substring("suffix", 1, GRAM)).alias("h")
+    grams = bloom(own.select(gram))
     kind = pa.schema([("t", pa.binary()), ("p", pa.int64()), ("w", pa.binary()), ("none", pa.binary())])
 
     def alike(batches):
         bits = known.value
 
         def rows():
+            first: dict[bytes, tuple | None] = {}
             for batch in batches:
+                batch = batch.filter(pa.array(holds(grams.value, batch.column("h").to_numpy(zero_copy_only=False).view(_U))))
                 for t, p, i, j, a, b in zip(*(batch.column(c).to_pylist() for c in ("t", "p", "i", "j", "prefix", "suffix"))):
                     text = _windows(a, b, p, i, j, length)
-                    at = np.flatnonzero(holds(bits, gram_hashes(text, length))).tolist()
-                    yield [t] * len(at), [i + k for k in at], [text[k : k + length] for k in at], [b""] * len(at)
+                    out = []
+                    for k in np.flatnonzero(holds(bits, gram_hashes(text, length))).tolist():
+                        w = text[k : k + length]
+                        key = hashlib.blake2b(w, digest_size=16).digest()
+                        if key not in first:
+                            first[key] = (t, i + k)
+                            out.append((t, i + k, w, b""))
+                            continue
+                        if first[key]:
+                            out.append((*first[key], None, None))
+                            first[key] = None
+                        out.append((t, i + k, None, None))
+                    if out:
+                        yield tuple(zip(*out))
 
         yield from _in_batches(rows(), kind)
 
-    windows = stored(found.mapInArrow(alike, "t binary, p long, w binary, none binary"), "open-windows")
-    met = neighbours(windows, "w", "none", (length + 7) // 8 * 8, 8)
-    return met.where(F.col("most") == length).select("t", F.col("p").alias("i"), F.col("p").alias("j"))
+    # As among anchors, what a task meets twice is told at once and its first place goes on.
+    windows = stored(found.select("*", gram).mapInArrow(alike, "t binary, p long, w binary, none binary"), "open-windows")
+    met = neighbours(windows.where("w IS NOT NULL"), "w", "none", (length + 7) // 8 * 8, 8)
+    both = met.where(F.col("most") == length).select("t", "p").union(windows.where("w IS NULL").select("t", "p"))
+    return both.select("t", F.col("p").alias("i"), F.col("p").alias("j"))
 
 
 def cut_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
