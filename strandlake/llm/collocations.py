@@ -41,7 +41,7 @@ _SPACE[[0x20, 0x09]] = True
 _GAP = _BREAK | _SPACE
 
 #: Bytes of text that are tokenised at once; grams that are counted at once; counters a task holds before it passes them on.
-SLICE, CHUNK, HELD = 1 << 20, 1 << 20, 1 << 21
+SLICE, CHUNK, HELD = 1 << 20, 1 << 20, 3 << 19
 #: Bytes of text for each hash partition of the summaries, and the most partitions.
 PER_PARTITION, PARTITIONS = 1 << 22, 1 << 16
 
@@ -219,8 +219,10 @@ def survivors(parts: DataFrame, threshold: int) -> DataFrame:
     return whole.select("part", "total", "cut", "keys", "counts").mapInArrow(run, "h long")
 
 
-def exact_counts(docs: DataFrame, most: int, known) -> DataFrame:
-    """lang, phrase, k and f of the words and phrases that the filter knows, and the words of each language as k = 0."""
+def exact_counts(docs: DataFrame, most: int, threshold: int, partitions: int, known) -> DataFrame:
+    """lang, phrase, k and f of the words and phrases that the filter knows and that reach the threshold, and the words of
+    each language as k = 0. Tasks pass their counts on as lists, one for each hash partition."""
+    fields = [("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64())]
 
     def run(batches):
         powers: dict = {}
@@ -231,8 +233,13 @@ def exact_counts(docs: DataFrame, most: int, known) -> DataFrame:
 
         def passed_on():
             rows = [(*said[h], f) for h, f in zip(keys.tolist(), counts.tolist())] + [(x, "", 0, n) for x, n in n_words.items()]
-            lang, phrase, k, f = zip(*rows) if rows else ((),) * 4
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(k, pa.int32()), pa.array(f, pa.int64())], names=["lang", "phrase", "k", "f"])
+            # By letters, so that a phrase meets its like of every task.
+            part = np.array([int.from_bytes(hashlib.blake2b(f"{x[0]} {x[1]}".encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % partitions for x in rows], np.int64)
+            order = np.argsort(part, kind="stable")
+            parts, at = np.unique(part[order], return_index=True)
+            ends = pa.array(np.append(at, len(rows)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array([rows[i][c] for i in order.tolist()], kind)) for c, (_, kind) in enumerate(fields)]
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), *lists], names=["part", *(n for n, _ in fields)])
 
         for piece in slices(batches):
             words = Words(*piece, powers)
@@ -249,10 +256,29 @@ def exact_counts(docs: DataFrame, most: int, known) -> DataFrame:
             if len(said) >= HELD // 8:
                 yield passed_on()
                 keys, counts, said, n_words = keys[:0], counts[:0], {}, {}
-        yield passed_on()
+        if n_words:
+            yield passed_on()
+
+    def merged(batches):
+        part, sums = None, {}
+
+        def whole():
+            rows = [(*key, f) for key, f in sums.items() if f >= threshold or not key[2]]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
+
+        for batch in batches:
+            for i, p in enumerate(batch.column("part").to_pylist()):
+                if p != part and sums:
+                    yield whole()
+                    sums = {}
+                part = p
+                for lang, phrase, k, f in zip(*(batch.column(n)[i].as_py() for n, _ in fields)):
+                    sums[lang, phrase, k] = sums.get((lang, phrase, k), 0) + f
+        if sums:
+            yield whole()
 
-    rows = docs.mapInArrow(run, "lang string, phrase string, k int, f long")
-    return rows.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+    lists = docs.mapInArrow(run, "part long, lang array<string>, phrase array<string>, k array<int>, f array<long>")
+    return lists.repartition("part").sortWithinPartitions("part").mapInArrow(merged, "lang string, phrase string, k int, f long")
 
 
 def frequent_phrases(docs: DataFrame, most: int = 5, threshold: int = 100, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -267,7 +293,7 @@ def frequent_phrases(docs: DataFrame, most: int = 5, threshold: int = 100, text_
     if most > 2:
         known = bloom(found)
         found = found.union(stored(survivors(summaries(slim, 3, most, capacity, partitions, known), threshold), "phrases"))
-    return stored(exact_counts(slim, most, bloom(found)).where((F.col("f") >= threshold) | (F.col("k") == 0)), "counts")
+    return stored(exact_counts(slim, most, threshold, partitions, bloom(found)), "counts")
 
 
 def collocations(docs: DataFrame, threshold: int = 100, most: int = 5, share: int = 100, top: int = 2000) -> DataFrame:
