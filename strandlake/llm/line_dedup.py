@@ -6,8 +6,8 @@
    sketch's error get an exact distinct count from their (line, site) pairs.
 3. Boilerplate stays in the document of smallest id that holds it and goes from every other document.
 
-Look-ups of hot lines are not shuffled: lines with more than a thousandth of all line rows number at most a
-thousand and are broadcast; the others go by a join on the hash in which no key is hot.
+Look-ups of hot lines are not shuffled: lines with more than a thousandth of all line rows, boilerplate or not, number
+at most a thousand and are broadcast; the others go by a join on the hash in which no key is hot.
 Texts are only joined to the (small) lists of lines to remove, and only once.
 
 Lines are compared by a 64-bit hash of their trimmed, lower-cased form with white space runs made one space.
@@ -30,8 +30,9 @@ def _line_hash(line):
     return F.when(clean != "", F.xxhash64(clean))
 
 
-def boilerplate_lines(lines: DataFrame, min_sites: int = 6, lg_k: int = 9, margin: float = 0.15) -> DataFrame:
-    """line, owner and n_rows of the lines on at least min_sites distinct sites.
+def boilerplate_lines(lines: DataFrame, min_sites: int = 6, lg_k: int = 9, margin: float = 0.15, hot_at: float = float("inf")) -> DataFrame:
+    """line, owner and n_rows of the lines on at least min_sites distinct sites, and, with a null owner, of all others that
+    more than hot_at rows hold. ``boilerplate`` tells them apart.
 
     lines: line (hash), site, doc_id. lg_k: log2 of the sketch's registers; margin: relative width of the band
     around the threshold that is counted exactly (about three standard errors of the sketch).
@@ -39,15 +40,17 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = 6, lg_k: int = 9, margi
     site = F.coalesce(F.concat(F.lit("="), F.col("site").cast("string")), F.lit("null"))
     spread = lines.groupBy("line").agg(F.hll_sketch_agg(site, lg_k).alias("sketch"), F.count("*").alias("n_rows"), F.min("doc_id").alias("owner"))
     spread = stored(
-        spread.where(F.col("n_rows") >= min_sites).select("line", "n_rows", "owner", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - margin)),
+        spread.where(F.col("n_rows") >= min_sites).select("line", "n_rows", "owner", F.hll_sketch_estimate("sketch").alias("sites")).where((F.col("sites") >= min_sites * (1 - margin)) | (F.col("n_rows") > hot_at)),
         "line-spread",
     )
-    near = spread.where(F.col("sites") <= min_sites * (1 + margin))
+    near = spread.where(F.col("sites").between(min_sites * (1 - margin), min_sites * (1 + margin)))
     # (line, site) pairs are made distinct map-side before the join, so that hot lines are small there too.
     pairs = lines.select("line", site.alias("site")).distinct()
     exact = pairs.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     sure = spread.where(F.col("sites") > min_sites * (1 + margin)).select("line", "owner", "n_rows")
-    return sure.unionByName(near.select("line", "owner", "n_rows").join(exact.select("line"), "line", "left_semi"))
+    found = sure.unionByName(near.select("line", "owner", "n_rows").join(exact.select("line"), "line", "left_semi")).withColumn("boilerplate", F.lit(True))
+    hot = spread.where(F.col("n_rows") > hot_at).select("line", F.lit(None).cast(spread.schema["owner"].dataType).alias("owner"), "n_rows", F.lit(False).alias("boilerplate"))
+    return found.unionByName(hot.join(found.select("line"), "line", "left_anti"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 6, site_col: str = "source", lg_k: int = 9, margin: float = 0.15) -> DataFrame:
@@ -55,16 +58,13 @@ def dedup_lines(docs: DataFrame, min_sites: int = 6, site_col: str = "source", l
     marks = F.transform(F.split("text", "\n"), _line_hash)
     slim = docs.select("doc_id", F.col(site_col).alias("site"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.array_compact(marks).alias("lines"))
     lines = stored(slim.select("doc_id", "site", "h", F.explode("lines").alias("line")), "lines")
-    found = stored(boilerplate_lines(lines, min_sites, lg_k, margin), "boilerplate")
-    hot_at = F.lit(lines.count() / 1000)
-    hot, rest = found.where(F.col("n_rows") > hot_at), found.where(F.col("n_rows") <= hot_at)
-    flagged = (
-        lines.join(F.broadcast(hot.select("line", "owner")), "line", "left")  # a thousand rows at most
-        .select("doc_id", "h", "line", "owner", F.col("owner").isNotNull().alias("is_hot"))
-    )
-    known = flagged.where("is_hot").select("doc_id", "h", "line", "owner")
-    # hot lines are gone from this side before its shuffle
-    others = flagged.where(~F.col("is_hot")).select("doc_id", "h", "line").join(rest.select("line", "owner"), "line")
+    hot_at = lines.count() / 1000
+    found = stored(boilerplate_lines(lines, min_sites, lg_k, margin, hot_at), "boilerplate")
+    hot, rest = found.where(F.col("n_rows") > hot_at), found.where((F.col("n_rows") <= hot_at) & F.col("boilerplate"))
+    flagged = lines.join(F.broadcast(hot.select("line", "owner", "boilerplate")), "line", "left")  # a thousand rows at most
+    known = flagged.where("boilerplate").select("doc_id", "h", "line", "owner")
+    # hot lines of either kind are gone from this side before its shuffle
+    others = flagged.where("boilerplate IS NULL").select("doc_id", "h", "line").join(rest.select("line", "owner"), "line")
     doomed = known.unionByName(others).where(~F.coalesce(F.col("doc_id") == F.col("owner"), F.lit(False)))
     gone = doomed.groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"), "gone")
     here = packed(docs).join(gone, F.col("d.doc_id").eqNullSafe(F.col("g_id")) & (F.col("h") == F.col("g_h")), "left")
