@@ -80,22 +80,22 @@ def _words(text: str) -> list[str]:
     return [w.translate(FOLD) for w in re.findall(r"[^\W_]+", plain(text))]
 
 
-def _count_words(batches):
-    """Document frequency of each folded word, by label, within a partition."""
+def _count_words(batches, letters: tuple[int, int]):
+    """Document frequency of each folded word of so many letters, by label, within a partition."""
     seen = Counter()
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
-            seen.update((w, int(toxic)) for w in set(_words(text)) if 2 < len(w) < 40)
+            seen.update((w, int(toxic)) for w in set(_words(text)) if letters[0] <= len(w) <= letters[1])
     yield pd.DataFrame([(w, y, n) for (w, y), n in seen.items()], columns=["word", "toxic", "n"])
 
 
-def _count_phrases(batches, lexicon: set[str]):
+def _count_phrases(batches, lexicon: set[str], longest: int):
     """Document frequency, by label, of the pairs of neighbouring words that hold a lexicon word; spaces stand between."""
     seen = Counter()
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
             words = [w.strip(_EDGE) for w in fold(text).split(" ")]
-            seen.update((p, int(toxic)) for p in {f"{a} {b}" for a, b in zip(words, words[1:]) if a and b and (a in lexicon or b in lexicon)} if len(p) < 80)
+            seen.update((p, int(toxic)) for p in {f"{a} {b}" for a, b in zip(words, words[1:]) if a and b and (a in lexicon or b in lexicon)} if len(p) <= longest)
     yield pd.DataFrame([(w, y, n) for (w, y), n in seen.items()], columns=["word", "toxic", "n"])
 
 
@@ -159,12 +159,15 @@ def _by_label(counted: DataFrame) -> DataFrame:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_terms: int = 2_000, min_share: float = 0.02, min_ratio: float = 8.0, alpha: float = 0.05, min_exception: int = 5
-) -> dict:
+    docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_terms: int = 2_000, min_share: float = 0.02, min_ratio: float = 8.0, alpha: float = 0.05, min_exception: int = 5,
+    letters: tuple[int, int] = (3, 39), longest_exception: int = 79,
+) -> dict:
     """Lexicon, exception phrases and logistic weights, from labelled rows that are not held out.
 
     A word enters the lexicon if it stands in min_share of the toxic documents (3 at least), min_ratio times as often
-    there as in the others, and its toxic share is significant (see alpha above).
+    there as in the others, and its toxic share is significant (see alpha above). letters: the fewest and most letters of a
+    word that may enter; longest_exception: the most letters of an exception phrase. Longer words and phrases are junk that
+    no two texts share by meaning; they count in a text's length, but teach nothing.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -172,18 +175,18 @@ def fit(
     train = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")  # max_train rows of two numbers
     train = train.groupBy(F.md5("text").alias("h")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").persist()
     try:
-        return _fit(train, max_terms, min_share, min_ratio, alpha, min_exception)
+        return _fit(train, max_terms, min_share, min_ratio, alpha, min_exception, letters, longest_exception)
     finally:
         train.unpersist()
 
 
-def _fit(train: DataFrame, max_terms: int, min_share: float, min_ratio: float, alpha: float, min_exception: int) -> dict:
+def _fit(train: DataFrame, max_terms: int, min_share: float, min_ratio: float, alpha: float, min_exception: int, letters: tuple[int, int], longest_exception: int) -> dict:
     size = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     model = {"lexicon": {}, "exceptions": [], "beta": None, "prior": n1 / max(1, n0 + n1)}
     if not n0 or not n1:
         return model
-    counts = _by_label(train.mapInPandas(_count_words, "word string, toxic int, n long")).persist()
+    counts = _by_label(train.mapInPandas(partial(_count_words, letters=letters), "word string, toxic int, n long")).persist()
     try:
         ratio = ((F.col("pos") + 0.5) / (n1 + 1)) / ((F.col("neg") + 0.5) / (n0 + 1))
         n, p = F.col("pos") + F.col("neg"), model["prior"]
@@ -197,7 +200,7 @@ def _fit(train: DataFrame, max_terms: int, min_share: float, min_ratio: float, a
         counts.unpersist()
     if not model["lexicon"]:
         return model
-    phrases = _by_label(train.mapInPandas(partial(_count_phrases, lexicon=set(model["lexicon"])), "word string, toxic int, n long"))
+    phrases = _by_label(train.mapInPandas(partial(_count_phrases, lexicon=set(model["lexicon"]), longest=longest_exception), "word string, toxic int, n long"))
     tame = phrases.where((F.col("neg") >= min_exception) & (F.col("pos") <= model["prior"] * (F.col("pos") + F.col("neg"))))
     model["exceptions"] = [r["word"] for r in tame.orderBy(F.desc("neg"), "word").limit(max_terms).collect()]
     shared = train.sparkSession.sparkContext.broadcast(model)  # max_terms words and phrases

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from strandlake.llm import collocations, queries, runs, suffixes
+from strandlake.llm import collocations, line_dedup, queries, runs, suffixes
 
 LONG = "doc_id long, text string"
 
@@ -161,3 +161,14 @@ def test_made_runs_follow_the_rule(spark):
         a = g % 90
         p = 1 + (90 - a) // (3 + g % 8)
         assert r.text.split(" ") == (w if keep else [w[i] if i < a else w[a + (i - a) % p] for i in range(90)])
+
+
+def test_hot_lines_on_few_sites_stay(spark):
+    rows = [(i, f"hot on three sites\nown {i}\n" + ("everywhere" if i % 2 else "rare"), f"s{i % 3 if i % 2 == 0 else i % 9}") for i in range(3000)]
+    rows = [(i, t if s in ("s0", "s1", "s2") else t.replace("hot on three sites\n", ""), s) for i, t, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"), F.col("source").alias("site"), "doc_id")
+    found = {r.line: r.boilerplate for r in line_dedup.boilerplate_lines(lines, hot_at=3).collect()}
+    assert found == {"hot on three sites": False, "rare": False, "everywhere": True}
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert out == {i: t.replace("\neverywhere", "") if i > 1 else t for i, t, _ in rows}
