@@ -5,32 +5,74 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.profile import cut
+
 #: Columns of a repeat annotation line, in order.
 OUT_COLUMNS = ("score", "divergence", "pct_del", "pct_ins", "query", "begin", "end", "left", "strand", "family", "class_family", "c1", "c2", "c3", "fragment_id")
 
 
-def read_fasta(spark: SparkSession, path: str, molecule: str = "dna") -> DataFrame:
-    """seq_id, description, seq of each FASTA record; one text row per record, so a record is never split.
+def fasta_lines(spark: SparkSession, path: str, molecule: str = "dna") -> DataFrame:
+    """file, record (number in its file), header, at (place of the line in its record), bases: a row per line of residues.
 
-    A file without any ``>`` is one record named input_sequence; what stands before the first header is dropped.
+    Lines end in LF, CRLF or CR. Only counts per line and per block of a file (what one task reads of it) are summed in
+    order, so that a record may be as long as a chromosome and spread over many tasks. A file without any ``>`` is one
+    record; what stands before the first header is dropped.
     """
-    rows = spark.read.option("lineSep", "\n>").text(path).withColumn("file", F.col("_metadata.file_path"))
-    clean = F.regexp_replace("value", "\r\n?", "\n")
     # the order within a file, whatever splits it is read in
-    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
-    rows = rows.select("file", at.alias("i"), clean.alias("v"))
-    firsts = rows.groupBy("file").agg(F.min("i").alias("first"), F.max(F.regexp_like("v", F.lit("(?m)^>")).cast("int")).alias("marked"), F.count("*").alias("n"))
-    joined = rows.join(firsts, "file")
-    head = (F.col("i") == F.col("first")) & ~F.startswith("v", F.lit(">"))
-    bare = head & (F.col("n") == 1) & (F.col("marked") == 0)
-    body = F.when(bare, F.concat(F.lit("input_sequence\n"), "v")).when(F.startswith("v", F.lit(">")), F.substring("v", 2, 1 << 30)).otherwise(F.col("v"))
-    kept = joined.where(bare | ~head).select(body.alias("v"))
-    header = F.trim(F.substring_index("v", "\n", 1))
-    seq = F.upper(F.regexp_replace(F.substring("v", F.length(F.substring_index("v", "\n", 1)) + 2, F.lit(1 << 30).cast("int")), r"\s", ""))
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), "value")
+    is_head = F.startswith("value", F.lit(">"))
+    bases = F.upper(F.regexp_replace("value", r"\s", ""))
     if molecule == "dna":
-        seq = F.translate(seq, "U", "T")
-    named = kept.select(F.when(header == "", "record").otherwise(header).alias("header"), seq.alias("seq")).where((F.col("seq") != "") | (F.col("header") != "record"))
-    return named.select(F.substring_index("header", " ", 1).alias("seq_id"), F.trim(F.regexp_replace("header", r"^\S+", "")).alias("description"), "seq")
+        bases = F.translate(bases, "U", "T")
+    rows = rows.select("file", "block", "i", F.when(is_head, F.trim(F.substring("value", 2, 1 << 30))).alias("head"), F.when(~is_head, bases).alias("bases")).withColumn("n", F.coalesce(F.length("bases"), F.lit(0)).cast("long"))
+    within = Window.partitionBy("file", "block").orderBy("i")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("heads", F.count("head").over(within)).withColumn("done", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    rows = rows.withColumn("done", F.col("done") - F.coalesce(F.max(F.when(F.col("head").isNotNull(), F.col("done"))).over(within), F.lit(0)))
+    last = F.max_by("head", F.when(F.col("head").isNotNull(), F.col("i")))
+    tail = F.max_by(F.col("done") + F.col("n"), "i")
+    blocks = rows.groupBy("file", "block").agg(F.count("head").alias("n_heads"), last.alias("last_head"), tail.alias("tail"))
+    # What each block starts with: the record that is open, and how much of it the blocks before hold.
+    order = Window.partitionBy("file").orderBy("block")
+    every = Window.partitionBy("file")
+    blocks = blocks.withColumns({"so_far": F.sum("n_heads").over(order), "of_file": F.sum("n_heads").over(every)})
+    blocks = blocks.withColumn("sum_tail", F.sum("tail").over(Window.partitionBy("file", "so_far").orderBy("block")))
+    first = order.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "of_file", (F.col("so_far") - F.col("n_heads")).alias("heads0"), F.last("last_head", True).over(first).alias("head0"), F.coalesce(F.lag("sum_tail").over(order), F.lit(0)).alias("open"))
+    j = rows.join(blocks, ["file", "block"])
+    own = Window.partitionBy("file", "block").orderBy("i")
+    header = F.when(F.col("heads") > 0, F.last("head", True).over(own)).otherwise(F.coalesce("head0", F.lit("input_sequence")))
+    out = j.select("file", (F.col("heads0") + F.col("heads")).alias("record"), header.alias("header"), (F.col("done") + F.when(F.col("heads") > 0, 0).otherwise(F.col("open"))).cast("long").alias("at"), "bases", "of_file")
+    # A header is kept as a line without bases, so that empty records stay.
+    out = out.where((F.col("record") > 0) | (F.col("of_file") == 0))
+    return out.select("file", "record", F.when(F.col("header") == "", "record").otherwise(F.col("header")).alias("header"), "at", F.coalesce("bases", F.lit("")).alias("bases"))
+
+
+def _named(records: DataFrame, *columns: str) -> DataFrame:
+    return records.select(F.substring_index("header", " ", 1).alias("seq_id"), F.trim(F.regexp_replace("header", r"^\S+", "")).alias("description"), *columns)
+
+
+def read_fasta(spark: SparkSession, path: str, molecule: str = "dna") -> DataFrame:
+    """seq_id, description, seq of each FASTA record, one row per record; long ones are better read as chunks."""
+    lines = fasta_lines(spark, path, molecule)
+    parts = F.array_sort(F.collect_list(F.struct("at", "bases")))
+    whole = lines.groupBy("file", "record", "header").agg(F.array_join(F.transform(parts, lambda x: x["bases"]), "").alias("seq"))
+    return _named(whole.where((F.col("seq") != "") | ~F.col("header").isin("record", "input_sequence")), "seq")
+
+
+def read_fasta_chunks(spark: SparkSession, path: str, size: int, overlap: int, molecule: str = "dna") -> DataFrame:
+    """seq_id, description, chunk_no, start0, bases: records cut while they are read, into pieces of size bases that share
+    overlap bases with the next. Each line goes to the chunks that it touches, so that no row is longer than a chunk."""
+    lines = fasta_lines(spark, path, molecule).where(F.length("bases") > 0)
+    to = F.col("at") + F.length("bases")
+    ks = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col("at") - overlap) / size)), F.floor((to - 1) / size))
+    dealt = lines.withColumn("k", F.explode(ks)).withColumn("low", F.greatest("at", F.col("k") * size)).withColumn("high", F.least(to, (F.col("k") + 1) * size + overlap))
+    dealt = dealt.where("low < high").select("file", "record", "header", "k", "low", cut("bases", F.col("low") - F.col("at"), F.col("high") - F.col("low")).alias("part"))
+    parts = F.array_sort(F.collect_list(F.struct("low", "part")))
+    chunks = dealt.groupBy("file", "record", "header", "k").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("bases"))
+    # What only repeats the end of the chunk before is no chunk of its own.
+    chunks = chunks.where((F.col("k") == 0) | (F.length("bases") > overlap))
+    return _named(chunks, F.col("k").cast("int").alias("chunk_no"), (F.col("k") * size).alias("start0"), "bases")
 
 
 def read_repeat_table(spark: SparkSession, path: str) -> DataFrame:
