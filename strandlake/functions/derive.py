@@ -19,8 +19,8 @@ TABLES = {
     "repeat_hits": """SELECT l_suppkey AS query, l_partkey * 10 AS q_start, l_partkey * 10 + CAST(l_quantity AS BIGINT) AS q_end,
         CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand, p_brand AS family,
         CASE p_type WHEN 'ECONOMY' THEN 'LINE/L1' WHEN 'STANDARD' THEN 'LTR/Gypsy' WHEN 'PROMO' THEN 'DNA/hAT' WHEN 'SMALL' THEN 'Simple_repeat'
-            WHEN 'MEDIUM' THEN 'Unknown' ELSE 'rRNA' END AS class_family,
-        CAST(round(l_extendedprice * 100) AS BIGINT) AS score, CAST(round(l_discount * 100) AS BIGINT) AS divergence,
+            WHEN 'MEDIUM' THEN CASE l_partkey % 4 WHEN 0 THEN 'scRNA' WHEN 1 THEN 'Unspecified' WHEN 2 THEN 'Satellite/centr' ELSE 'Unknown' END ELSE CASE l_partkey % 3 WHEN 0 THEN 'RC/Helitron' WHEN 1 THEN 'LINEage' ELSE 'rRNA' END END AS class_family,
+        CAST(round(l_extendedprice * 100) AS BIGINT) AS score, CAST(round(l_discount * 100) AS BIGINT) AS divergence, CASE WHEN l_partkey % 5 > 0 THEN CAST(l_quantity AS BIGINT) END AS coverage,
         CASE WHEN l_linestatus = 'O' THEN l_orderkey % 500 END AS fragment_id, l_orderkey AS row_key, l_linenumber AS row_no
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "domain_hits": """SELECT event_id AS hit_id, user_id * 50 + event_id % 41 AS seq_id,

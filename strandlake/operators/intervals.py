@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from .profile import cut, pieces
 
-#: Prefixes of a class / family label and the kind it belongs to.
-KINDS = (("Simple_repeat", "tandem"), ("Satellite", "tandem"), ("Low_complexity", "tandem"), ("rRNA", "other"), ("tRNA", "other"), ("snRNA", "other"))
+# Heads of a class / family label by the kind they belong to; every other head is "other". Labels that a view
+# of hits lists apart, compared whole.
+TE_HEADS = ("LTR", "LINE", "SINE", "DNA", "RC", "Retroposon")
+TANDEM_HEADS = ("Simple_repeat", "Low_complexity", "Satellite")
+NON_TE = ("Low_complexity", "Simple_repeat", "Satellite")
+UNCLASSED = ("Unknown", "Unspecified")
 
 
 def _merged(df: DataFrame, keys: list[str], by: list[str], gap: int) -> DataFrame:
@@ -42,16 +46,18 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], width: int, h
 
 
 def merge_fragments(hits: DataFrame) -> DataFrame:
-    """Rows of one fragment_id, family, query and strand become one hit; rows without an id pass."""
+    """Rows of one fragment_id, family, query and strand become one hit; rows without an id pass. The coverage of the
+    family's model (percent, null where unknown) is summed, to 100 at most, where fragments are joined."""
     keys = ["query", "fragment_id", "family", "strand"]
     best = F.max_by(F.struct("score", "divergence", "class_family"), F.struct("score", "divergence", "class_family"))
+    covered = F.when(F.count("*") > 1, F.round(F.least(F.lit(100.0), F.sum("coverage").cast("double")), 1)).otherwise(F.max("coverage").cast("double"))
     joined = (
         hits.where(F.col("fragment_id").isNotNull())
         .groupBy(*keys)
-        .agg(F.min("q_start").alias("q_start"), F.max("q_end").alias("q_end"), best.alias("b"), F.count("*").alias("n_fragments"))
-        .select(*keys, "q_start", "q_end", "b.*", "n_fragments")
+        .agg(F.min("q_start").alias("q_start"), F.max("q_end").alias("q_end"), best.alias("b"), covered.alias("coverage"), F.count("*").alias("n_fragments"))
+        .select(*keys, "q_start", "q_end", "b.*", "coverage", "n_fragments")
     )
-    alone = hits.where(F.col("fragment_id").isNull()).select(*keys, "q_start", "q_end", "score", "divergence", "class_family", F.lit(1).cast("long").alias("n_fragments"))
+    alone = hits.where(F.col("fragment_id").isNull()).select(*keys, "q_start", "q_end", "score", "divergence", "class_family", F.col("coverage").cast("double").alias("coverage"), F.lit(1).cast("long").alias("n_fragments"))
     return joined.unionByName(alone)
 
 
@@ -80,16 +86,27 @@ def landscape_totals(hits: DataFrame) -> DataFrame:
 
 
 def kind_of(label: Column) -> Column:
-    out = F.lit("te")
-    for prefix, kind in reversed(KINDS):
-        out = F.when(label.startswith(prefix), kind).otherwise(out)
-    return out
+    """te, tandem or other, by the exact head of a class / family label: what is not known as an element is none."""
+    head = F.substring_index(F.trim(F.coalesce(label, F.lit(""))), "/", 1)
+    return F.when(head.isin(*TANDEM_HEADS), "tandem").when(head.isin(*TE_HEADS), "te").otherwise("other")
 
 
 def repeat_kind_totals(landscape: DataFrame) -> DataFrame:
     return landscape.groupBy(kind_of(F.col("class_family")).alias("kind")).agg(F.sum("bp").alias("bp"), F.count("*").alias("families"), F.sum("n").alias("n"))
 
 
+def landscape_summary(hits: DataFrame) -> DataFrame:
+    """One row: hits, genome, merged bases of each kind, percent masked and percent of elements, and a warning where no
+    family of elements was found: a limit of what was searched, no finding about the genome."""
+    land = repeat_landscape(hits).withColumn("kind", kind_of(F.col("class_family")))
+    bp = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("bp"))), F.lit(0)).alias(f"{kind}_bp")
+    sums = land.agg(bp("te"), bp("tandem"), bp("other"), F.count_if(F.col("kind") == "te").alias("te_families"))
+    percent = lambda c: F.when(F.col("genome_bp") > 0, F.round(100 * F.col(c) / F.col("genome_bp"), 3))
+    warning = F.when(F.col("te_families") == 0, "No family of transposable elements was found: a limit of what was searched, not a finding about the genome")
+    one = landscape_totals(hits).crossJoin(genome_length(hits)).crossJoin(sums)  # one row each
+    return one.select("total_hits", "genome_bp", "union_bp", percent("union_bp").alias("masked_percent"), "te_bp", percent("te_bp").alias("te_percent"), "tandem_bp", "other_bp", "te_families", warning.alias("warning"))
+
+
 def landscape_composition(landscape: DataFrame, genome: DataFrame) -> DataFrame:
     """Bases by class of transposable element, tandem, other, and what no repeat covers."""
     label = F.when(kind_of(F.col("class_family")) == "te", F.substring_index("class_family", "/", 1)).otherwise(kind_of(F.col("class_family")))
@@ -99,8 +116,9 @@ def landscape_composition(landscape: DataFrame, genome: DataFrame) -> DataFrame:
 
 
 def split_hits_by_kind(hits: DataFrame) -> DataFrame:
-    unclassed = F.lower(F.substring_index("class_family", "/", 1)).isin("unknown", "unspecified")
-    return hits.withColumn("bucket", F.when(unclassed, "unclassed").when(kind_of(F.col("class_family")) == "te", "te").otherwise("non_te"))
+    """bucket of each hit: non_te and unclassed are a few whole labels, all else is shown among the elements."""
+    label = F.coalesce("class_family", F.lit(""))
+    return hits.withColumn("bucket", F.when(label.isin(*UNCLASSED), "unclassed").when(label.isin(*NON_TE), "non_te").otherwise("te"))
 
 
 def introns(exons: DataFrame) -> DataFrame:

@@ -28,6 +28,14 @@ def o49_repeat_kind_totals(spark, d):
     return ops.repeat_kind_totals(ops.repeat_landscape(hits(spark, d)))
 
 
+def o49_landscape_summary(spark, d):
+    return ops.landscape_summary(hits(spark, d))
+
+
+def o49_summary_without_elements(spark, d):
+    return ops.landscape_summary(hits(spark, d).where(ops.kind_of(F.col("class_family")) != "te"))
+
+
 def o50_landscape_composition(spark, d):
     h = hits(spark, d)
     return ops.landscape_composition(ops.repeat_landscape(h), ops.genome_length(h))
@@ -69,7 +77,8 @@ def o55_flanks_and_gaps(spark, d):
 
 
 def o56_extract_regions(spark, d):
-    h = derive(spark, d, "orfs").select(F.col("orf_key").alias("region_id"), (F.col("seq_id")).alias("seq_id"), (F.col("start") % 500).alias("start"), (F.col("start") % 500 + F.col("end") - F.col("start")).alias("end"), "strand")
+    h = derive(spark, d, "orfs").select(F.col("orf_key").alias("region_id"), (F.col("seq_id")).alias("seq_id"), "start", "end", "strand")
+    h = h.join(derive(spark, d, "seqs").select("seq_id", F.greatest(F.length("seq") - 400, F.lit(1)).alias("span")), "seq_id").withColumn("at", F.col("start") % F.col("span")).select("region_id", "seq_id", F.col("at").alias("start"), (F.col("at") + F.col("end") - F.col("start")).alias("end"), "strand")
     return ops.extract_regions(h, derive(spark, d, "seqs"), flank=25)
 
 
@@ -89,29 +98,34 @@ def o60_nearest_library_coverage(spark, d):
     return ops.nearest_library_coverage(p)
 
 
-_ISLANDS = """{name} AS (SELECT {keys}, min(s) AS s, max(e) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM
+_ISLANDS = """{name} AS (SELECT {keys}, min(s) AS s, max(e) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS island FROM
     (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM {source})) GROUP BY {keys}, island)"""
 _PLACED = "placed AS (SELECT *, least(q_start, q_end) AS s, greatest(q_start, q_end) AS e FROM repeat_hits)"
 _FAMILY = _ISLANDS.format(name="fam", keys="class_family, query", source="placed")
+_KIND = "CASE WHEN regexp_matches(class_family, '^(LTR|LINE|SINE|DNA|RC|Retroposon)(/|$)') THEN 'te' WHEN regexp_matches(class_family, '^(Simple_repeat|Low_complexity|Satellite)(/|$)') THEN 'tandem' ELSE 'other' END"
 _LANDSCAPE = f"""{_PLACED}, {_FAMILY}, g AS (SELECT CAST(sum(m) AS BIGINT) AS genome_bp FROM (SELECT max(q_end) AS m FROM repeat_hits GROUP BY query)),
 b AS (SELECT class_family, CAST(sum(e - s) AS BIGINT) AS bp FROM fam GROUP BY class_family),
 land AS (SELECT class_family, count(*) AS n, any_value(bp) AS bp, CAST(sum(divergence * (e - s)) AS BIGINT) / CAST(sum(e - s) AS BIGINT) AS divergence, 100 * any_value(bp) / any_value(genome_bp) AS percent
     FROM placed JOIN b USING (class_family), g GROUP BY class_family),
-kinds AS (SELECT *, CASE WHEN starts_with(class_family, 'Simple_repeat') THEN 'tandem' WHEN starts_with(class_family, 'rRNA') THEN 'other' ELSE 'te' END AS kind FROM land)"""
+kinds AS (SELECT *, {_KIND} AS kind FROM land)"""
 _GAPS = """{name} AS (SELECT * FROM (SELECT seq_id, "end" AS start, lead(start) OVER (PARTITION BY seq_id ORDER BY start, "end") AS "end" FROM {source}) WHERE "end" > start)"""
 _EX = 'ex AS (SELECT * FROM exons WHERE "end" > start)'
 
 ORACLES = {
     "o47_merge_fragments": duck("""SELECT query, fragment_id, family, strand, min(q_start) AS q_start, max(q_end) AS q_end, arg_max(score, (score, divergence, class_family)) AS score,
-        arg_max(divergence, (score, divergence, class_family)) AS divergence, arg_max(class_family, (score, divergence, class_family)) AS class_family, count(*) AS n_fragments
-        FROM repeat_hits WHERE fragment_id IS NOT NULL GROUP BY ALL UNION ALL SELECT query, fragment_id, family, strand, q_start, q_end, score, divergence, class_family, 1 FROM repeat_hits WHERE fragment_id IS NULL""", "repeat_hits"),
+        arg_max(divergence, (score, divergence, class_family)) AS divergence, arg_max(class_family, (score, divergence, class_family)) AS class_family, CASE WHEN count(*) > 1 THEN round(least(100.0::DOUBLE, sum(coverage)), 1) ELSE max(coverage) END AS coverage, count(*) AS n_fragments
+        FROM repeat_hits WHERE fragment_id IS NOT NULL GROUP BY ALL UNION ALL SELECT query, fragment_id, family, strand, q_start, q_end, score, divergence, class_family, coverage, 1 FROM repeat_hits WHERE fragment_id IS NULL""", "repeat_hits"),
     "o48_repeat_landscape": duck(f"WITH {_LANDSCAPE} SELECT * FROM land", "repeat_hits"),
     "o48_landscape_totals": duck(f"""WITH {_PLACED}, {_FAMILY}, {_ISLANDS.format(name="uni", keys="query", source="placed")}
         SELECT (SELECT count(*) FROM placed) AS total_hits, (SELECT CAST(sum(e - s) AS BIGINT) FROM fam) AS sum_family_bp, (SELECT CAST(sum(e - s) AS BIGINT) FROM uni) AS union_bp""", "repeat_hits"),
     "o49_repeat_kind_totals": duck(f"WITH {_LANDSCAPE} SELECT kind, CAST(sum(bp) AS BIGINT) AS bp, count(*) AS families, CAST(sum(n) AS BIGINT) AS n FROM kinds GROUP BY kind", "repeat_hits"),
+    **{name: duck(f"""WITH hits AS (SELECT * FROM repeat_hits WHERE {which}), {_LANDSCAPE.replace("repeat_hits", "hits")}, {_ISLANDS.format(name="uni", keys="query", source="placed")}, u AS (SELECT CAST(sum(e - s) AS BIGINT) AS union_bp FROM uni),
+        k AS (SELECT CAST(coalesce(sum(bp) FILTER (WHERE kind = 'te'), 0) AS BIGINT) AS te_bp, CAST(coalesce(sum(bp) FILTER (WHERE kind = 'tandem'), 0) AS BIGINT) AS tandem_bp, CAST(coalesce(sum(bp) FILTER (WHERE kind = 'other'), 0) AS BIGINT) AS other_bp, count(*) FILTER (WHERE kind = 'te') AS te_families FROM kinds)
+        SELECT (SELECT count(*) FROM hits) AS total_hits, genome_bp, union_bp, round(100 * union_bp / genome_bp, 3) AS masked_percent, te_bp, round(100 * te_bp / genome_bp, 3) AS te_percent, tandem_bp, other_bp, te_families,
+        CASE WHEN te_families = 0 THEN 'No family of transposable elements was found: a limit of what was searched, not a finding about the genome' END AS warning FROM g, u, k""", "repeat_hits") for name, which in (("o49_landscape_summary", "true"), ("o49_summary_without_elements", f"{_KIND} <> 'te'"))},
     "o50_landscape_composition": duck(f"""WITH {_LANDSCAPE}, parts AS (SELECT CASE WHEN kind = 'te' THEN split_part(class_family, '/', 1) ELSE kind END AS part, CAST(sum(bp) AS BIGINT) AS bp FROM kinds GROUP BY 1),
         every AS (SELECT * FROM parts UNION ALL SELECT 'unannotated', greatest(0, genome_bp - (SELECT CAST(sum(bp) AS BIGINT) FROM parts)) FROM g) SELECT part, bp, bp / genome_bp AS share FROM every, g""", "repeat_hits"),
-    "o51_split_hits_by_kind": duck("""SELECT CASE WHEN class_family = 'Unknown' THEN 'unclassed' WHEN class_family IN ('Simple_repeat', 'rRNA') THEN 'non_te' ELSE 'te' END AS bucket, class_family, row_key, row_no FROM repeat_hits""", "repeat_hits"),
+    "o51_split_hits_by_kind": duck("""SELECT CASE WHEN class_family IN ('Unknown', 'Unspecified') THEN 'unclassed' WHEN class_family IN ('Low_complexity', 'Simple_repeat', 'Satellite') THEN 'non_te' ELSE 'te' END AS bucket, class_family, row_key, row_no FROM repeat_hits""", "repeat_hits"),
     "o52_build_gene_model": duck(f"""WITH {_EX}, f AS (SELECT seq_id, start, "end", CASE WHEN role = 'system' THEN 2 WHEN seq_id % 2 = 0 THEN 1 ELSE 3 END AS r FROM ex),
         e AS (SELECT DISTINCT f.seq_id, start, "end", m > 1 AS derived FROM f JOIN (SELECT seq_id, min(r) AS m FROM f GROUP BY seq_id) p ON f.seq_id = p.seq_id AND r = m), {_GAPS.format(name="i", source="e")}
         SELECT seq_id, start, "end", derived, 'exon' AS kind FROM e UNION ALL SELECT seq_id, start, "end", true, 'intron' FROM i""", "exons"),
@@ -123,7 +137,7 @@ ORACLES = {
     "o55_flanks_and_gaps": duck(f"""WITH {_EX}, len AS (SELECT seq_id, max("end") + 10 AS length FROM ex GROUP BY seq_id), p AS (SELECT seq_id, start AS s, "end" AS e FROM ex WHERE turn > 0), {_ISLANDS.format(name="u", keys="seq_id", source="p")},
         r AS (SELECT u.*, length, lag(e) OVER w AS l, lead(s) OVER w AS n FROM u JOIN len USING (seq_id) WINDOW w AS (PARTITION BY seq_id ORDER BY s))
         SELECT seq_id, coalesce(l, 0) AS start, s AS "end", CASE WHEN l IS NULL THEN 'flank5' ELSE 'hole' END AS kind FROM r WHERE s > coalesce(l, 0) UNION ALL SELECT seq_id, e, length, 'flank3' FROM r WHERE n IS NULL AND length > e""", "exons"),
-    "o56_extract_regions": duck("""WITH r AS (SELECT orf_key AS region_id, seq_id, start % 500 AS start, start % 500 + "end" - start AS "end", strand FROM orfs), j AS (SELECT r.*, seq, length(seq) AS n FROM r JOIN seqs USING (seq_id) WHERE start < "end" AND "end" <= length(seq)),
+    "o56_extract_regions": duck("""WITH r AS (SELECT orf_key AS region_id, seq_id, start % greatest(length(seq) - 400, 1) AS start, start % greatest(length(seq) - 400, 1) + "end" - start AS "end", strand FROM orfs JOIN seqs USING (seq_id)), j AS (SELECT r.*, seq, length(seq) AS n FROM r JOIN seqs USING (seq_id) WHERE start < "end" AND "end" <= length(seq)),
         k AS (SELECT *, greatest(0, start - 25) AS lo, least(n, "end" + 25) AS hi FROM j)
         SELECT region_id, seq_id, lo AS start, hi AS "end", strand, CASE WHEN strand = '-' THEN reverse(translate(substr(seq, lo + 1, hi - lo), 'ACGT', 'TGCA')) ELSE substr(seq, lo + 1, hi - lo) END AS bases, start < 25 OR "end" + 25 > n AS clipped FROM k""", "orfs", "seqs"),
     "o57_resolve_contig_names": duck("""WITH m AS (SELECT s_nationkey % 5 AS assembly, CAST(s_suppkey AS VARCHAR) AS name, s_name AS accession FROM supplier), r AS (SELECT row_key || '-' || row_no AS region_id, query % 7 AS assembly, CAST(query AS VARCHAR) AS name, q_end FROM repeat_hits),
