@@ -263,19 +263,20 @@ def _rates(counts: DataFrame, *by: str) -> DataFrame:
     return counts.select(*by, "n", "n_gradable", "n_answered", "n_correct", p.alias("accuracy"), lo.alias("ci95_low"), hi.alias("ci95_high"), declined.alias("abstention_rate"))
 
 
-_SUMS = [F.count("*").alias("n")] + [F.count_if(c).alias(f"n_{c}") for c in ("gradable", "answered", "correct")]
+def _sums() -> list[Column]:
+    return [F.count("*").alias("n"), *(F.count_if(c).alias(f"n_{c}") for c in ("gradable", "answered", "correct"))]
 
 
 def accuracy_by_level(scored: DataFrame, *by: str) -> DataFrame:
     """Accuracy with abstention of each level, for each group of by."""
-    return _rates(by_level(scored, *by).groupBy(*by, "level").agg(*_SUMS), *by, "level")
+    return _rates(by_level(scored, *by).groupBy(*by, "level").agg(*_sums()), *by, "level")
 
 
 def scores_by_panel_and_tier(strata: DataFrame) -> DataFrame:
     """Each level over all cases, by panel and by tier of confidence, in one pass. Panels are those of the corpus: one
     whose cases are all stratified shows n = 0. n_stratified counts those."""
     scored = normalise_labels(strata.where("stratum = 'scored'"))
-    sets = by_level(scored, "panel", F.coalesce("confidence", F.lit("none")).alias("tier")).groupingSets([["level"], ["level", "panel"], ["level", "tier"]], "level", "panel", "tier").agg(*_SUMS, F.grouping("panel").alias("gp"), F.grouping("tier").alias("gt"))
+    sets = by_level(scored, "panel", F.coalesce("confidence", F.lit("none")).alias("tier")).groupingSets([["level"], ["level", "panel"], ["level", "tier"]], "level", "panel", "tier").agg(*_sums(), F.grouping("panel").alias("gp"), F.grouping("tier").alias("gt"))
     scope = F.when(F.col("gp") == 0, "panel").when(F.col("gt") == 0, "tier").otherwise("all")
     found = sets.select("level", scope.alias("scope"), F.when(scope == "panel", F.col("panel")).when(scope == "tier", F.col("tier")).otherwise("all").alias("name"), "n", "n_gradable", "n_answered", "n_correct")
     levels = F.explode(F.array(*map(F.lit, LEVELS))).alias("level")
@@ -298,7 +299,7 @@ def superfamily_sensitivity(scored: DataFrame) -> DataFrame:
     each = s.select("*", F.inline(F.array(*(F.struct(F.lit(v).alias("view"), w.alias("want")) for v, w in views.items()))))
     gradable, answered = F.col("want").isNotNull(), ~F.col("abstained_at_superfamily")
     rows = each.select("view", gradable.alias("gradable"), (gradable & answered).alias("answered"), (gradable & answered & (F.col("want") == F.col("said_superfamily"))).alias("correct"))
-    return _rates(rows.groupBy("view").agg(*_SUMS), "view")
+    return _rates(rows.groupBy("view").agg(*_sums()), "view")
 
 
 def accuracy_report(strata: DataFrame) -> DataFrame:
