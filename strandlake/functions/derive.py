@@ -24,9 +24,10 @@ TABLES = {
         CASE WHEN l_linestatus = 'O' THEN l_orderkey % 500 END AS fragment_id, l_orderkey AS row_key, l_linenumber AS row_no
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "domain_hits": """SELECT event_id AS hit_id, user_id * 50 + event_id % 41 AS seq_id,
-        CASE event_id % 11 WHEN 0 THEN 'GAG' WHEN 1 THEN 'PR' WHEN 2 THEN 'INT' WHEN 3 THEN 'RT' WHEN 4 THEN 'RNaseH' WHEN 5 THEN 'ENV'
-            WHEN 6 THEN 'TPase' WHEN 7 THEN 'CHR' WHEN 8 THEN 'EN' WHEN 9 THEN 'ORF1' ELSE 'YR' END AS domain,
-        CASE WHEN event_id % 11 = 6 THEN event_type ELSE 'core' END AS class,
+        CASE event_id % 12 WHEN 0 THEN 'GAG' WHEN 1 THEN 'PR' WHEN 2 THEN 'INT' WHEN 3 THEN 'RT' WHEN 4 THEN 'RNaseH' WHEN 5 THEN 'ENV'
+            WHEN 6 THEN 'TPase' WHEN 7 THEN 'CHR' WHEN 8 THEN 'EN' WHEN 9 THEN 'ORF1' WHEN 10 THEN 'YR' ELSE 'HEL' END AS domain,
+        CASE WHEN event_id % 12 <> 6 THEN 'core' ELSE CASE CAST(floor(event_id / 12) AS BIGINT) % 7 WHEN 0 THEN 'dna:hAT-C dimer' WHEN 1 THEN 'dna:Tc1-Mariner' WHEN 2 THEN 'dna:CACTA' WHEN 3 THEN 'dna:MULE' WHEN 4 THEN 'dna:IS4' WHEN 5 THEN 'dna:DDE' ELSE 'dna:other' END END AS class,
+        CASE WHEN event_id % 12 = 0 THEN CASE event_id % 36 WHEN 0 THEN 'Gag_p24' WHEN 12 THEN 'zf-CCHC_5' ELSE 'PEG10_N-capsid' END ELSE 'other' END AS model,
         CAST(round(value * 100) AS BIGINT) AS score, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand,
         event_id * 7919 % 86400 AS start, event_id * 7919 % 86400 + 200 + event_id % 300 AS "end" FROM events""",
     "evidence": """SELECT c_custkey * 5 + CAST(c_nationkey AS BIGINT) AS seq_id, CASE c_custkey % 7 WHEN 0 THEN 'LTR' WHEN 1 THEN 'TIR' WHEN 2 THEN 'polyA' WHEN 3 THEN 'TSD' WHEN 4 THEN 'TIR' WHEN 5 THEN 'LTR' ELSE 'polyT' END AS kind,

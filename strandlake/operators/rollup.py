@@ -13,6 +13,12 @@ CODE_ORDER = ("ORF1", "GAG", "PR", "EN", "RT", "RNaseH", "INT", "YR", "CHR", "EN
 #: Fixed value: length from which an inverted repeat stands for itself.
 LONE_TIR = 20
 
+# What the class of a transposase holds and the group it names, first that fits; models of a capsid or
+# matrix, which a nucleocapsid finger is not; names of ledger entries that are no domains.
+GROUPS = (("hAT", "hAT"), ("Tc1-Mariner", "Tc1-Mariner"), ("CACTA", "CACTA"), ("MULE", "MULE"), ("IS4", "IS4-like"), ("DDE", "DDE"))
+GAG_CORE = ("Gag_p24", "Gag_p24_C", "Gag_p10", "PEG10_N-capsid")
+TAIL, TIR5, TIR3 = "3′ tail (poly-A / poly-T)", "TIR (5′)", "TIR (3′)"
+
 _RETRO = "orf1 OR (domains LIKE '%EN,%') OR rnaseh OR gag OR pr OR env"
 #: The class of an element from its flags, first rule that holds.
 TE_CLASS = f"""CASE
@@ -24,7 +30,8 @@ TE_CLASS = f"""CASE
     WHEN rt AND NOT ltr AND NOT intg AND NOT ({_RETRO}) THEN 'retro/unassigned'
     WHEN rt AND NOT ltr AND NOT intg THEN 'LINE'
     WHEN rt THEN 'LTR/unclassified'
-    WHEN tpase THEN 'DNA/' || tp_class
+    WHEN tpase THEN 'DNA/' || tp_group
+    WHEN hel THEN 'unclassified'
     WHEN n_domains > 0 AND ltr THEN 'LTR/partial'
     WHEN gag OR env OR intg OR orf1 THEN 'retro/partial'
     WHEN n_domains > 0 THEN 'unclassified'
@@ -35,6 +42,7 @@ TE_CLASS = f"""CASE
 CLASS = """CASE WHEN te_class IN ('retro/unassigned', 'unclassified', 'LTR/partial', 'retro/partial', 'LTR/structural-only', 'repeat/structural-only', 'none') THEN 'unclassified'
     WHEN te_class LIKE 'DNA/%' THEN 'Class II' ELSE 'Class I' END"""
 CONFIDENCE = """CASE
+    WHEN NOT domains_ok THEN 'Candidate'
     WHEN tp_conflict AND tpase AND NOT rt THEN 'Candidate'
     WHEN te_class IN ('LTR/Copia', 'LTR/Gypsy') AND rt AND ltr AND n_domains >= 2 THEN CASE WHEN tpase THEN 'Moderate' ELSE 'High' END
     WHEN te_class = 'LINE' THEN CASE WHEN poly THEN 'Moderate' ELSE 'Candidate' END
@@ -79,11 +87,13 @@ def architecture_order(reps: DataFrame, a: str, b: str) -> DataFrame:
     return j.select("seq_id", same.alias("resolvable"), F.when(same, first).alias("a_before_b"))
 
 
-def element_flags(hits: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row per element that has a hit or credited evidence: all that the rules read."""
+def element_flags(hits: DataFrame, evidence: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row per element that has a hit or credited evidence: all that the rules read. failed: seq_id of elements whose
+    domain scan did not run (domains_ok is false there: what is not found was not looked for)."""
     has = lambda code: F.coalesce(F.bool_or(F.col("domain") == code), F.lit(False))
     coded = hits.groupBy("seq_id").agg(
-        *(has(c).alias(n) for c, n in (("RT", "rt"), ("INT", "intg"), ("TPase", "tpase"), ("YR", "yr"), ("CHR", "chromo"), ("ENV", "env"), ("GAG", "gag"), ("PR", "pr"), ("RNaseH", "rnaseh"), ("ORF1", "orf1"))),
+        *(has(c).alias(n) for c, n in (("RT", "rt"), ("INT", "intg"), ("TPase", "tpase"), ("YR", "yr"), ("CHR", "chromo"), ("ENV", "env"), ("GAG", "gag"), ("PR", "pr"), ("RNaseH", "rnaseh"), ("ORF1", "orf1"), ("HEL", "hel"))),
+        F.bool_or(F.col("model").isin(*GAG_CORE)).alias("gag_core"),
         F.countDistinct("domain").alias("n_domains"),
         F.concat(F.array_join(F.array_sort(F.collect_set("domain")), ","), F.lit(",")).alias("domains"),
         F.max_by("class", F.when(F.col("domain") == "TPase", F.struct("score", -F.col("hit_id")))).alias("tp_class"),
@@ -97,10 +107,19 @@ def element_flags(hits: DataFrame, evidence: DataFrame) -> DataFrame:
     )
     reps = representative_hit(hits)
     order = architecture_order(reps, "INT", "RT").select("seq_id", F.col("resolvable").alias("readable"), F.col("a_before_b").alias("int_first"))
+    # an endonuclease counts as the element's own where it is read before the reverse transcriptase on one strand
+    lead = F.when(F.col("strand") == "-", -F.col("end")).otherwise(F.col("start"))
+    at = lambda code, name: reps.where(F.col("domain") == code).select("seq_id", F.col("strand").alias(f"{name}_strand"), lead.alias(f"{name}_at"))
+    en = at("EN", "en").join(at("RT", "rt"), "seq_id").select("seq_id", ((F.col("en_strand") == F.col("rt_strand")) & (F.col("en_at") < F.col("rt_at"))).alias("en_ok"))
     tp = reps.where("domain = 'TPase'").select("seq_id", F.col("start").alias("tp_start"), F.col("end").alias("tp_end"))
-    joined = coded.join(marks, "seq_id", "full").join(order, "seq_id", "left").join(tp, "seq_id", "left")
-    flags = [c for c, t in joined.dtypes if t == "boolean" and c not in ("readable", "int_first")]
-    out = joined.select("seq_id", "domains", "tp_class", "tir_len", "readable", "int_first", "arms", "tp_start", "tp_end", F.coalesce("n_domains", F.lit(0).cast("long")).alias("n_domains"), *(F.coalesce(c, F.lit(False)).alias(c) for c in flags))
+    joined = coded.join(marks, "seq_id", "full").join(order, "seq_id", "left").join(tp, "seq_id", "left").join(en, "seq_id", "left")
+    none = F.lit(True).alias("domains_ok")
+    if failed is not None:
+        joined = joined.join(failed.select("seq_id", F.lit(False).alias("__ok")).distinct(), "seq_id", "left")
+        none = F.coalesce("__ok", F.lit(True)).alias("domains_ok")
+    flags = [c for c, t in joined.dtypes if t == "boolean" and c not in ("readable", "int_first", "__ok")]
+    group = F.coalesce(*(F.when(F.col("tp_class").contains(x), g) for x, g in GROUPS), F.lit("unclassified")).alias("tp_group")
+    out = joined.select("seq_id", "domains", "tp_class", group, none, "tir_len", "readable", "int_first", "arms", "tp_start", "tp_end", F.coalesce("n_domains", F.lit(0).cast("long")).alias("n_domains"), *(F.coalesce(c, F.lit(False)).alias(c) for c in flags))
     encloses = (F.col("arms.start") <= F.col("tp_start")) & (F.col("tp_end") <= F.col("arms.end"))
     return out.withColumn("tir_ok", F.col("tir") & F.coalesce(encloses, F.lit(True))).drop("arms", "tp_start", "tp_end")
 
@@ -120,30 +139,63 @@ def order_string(codes: Column) -> Column:
 
 
 def completeness_ledger(flags: DataFrame) -> DataFrame:
-    """Expected, present and missing modules by the kind of element, and a tier that follows from them."""
+    """Expected, present and missing modules by the kind of element, and a tier that follows from them.
+
+    An endonuclease counts only before the reverse transcriptase (en_ok), both arms of an inverted repeat only around the
+    transposase (tir_ok); the top tiers of retroelements take a capsid or matrix (gag_core). Elements without anything
+    have tier and kind ``none``.
+    """
     codes = F.split(F.coalesce("domains", F.lit("")), ",")
     listed = lambda *names: F.array(*map(F.lit, names))
-    retro = F.col("rt") & (F.col("ltr") | F.col("intg"))
-    dirs = F.col("rt") & F.col("yr") & ~F.col("intg")
+    some = lambda flag, *names: F.when(flag, listed(*names)).otherwise(F.slice(listed(""), 1, 0))
+    rt, intg, ltr, env, core = (F.col(c) for c in ("rt", "intg", "ltr", "env", "gag_core"))
+    dirs, retro = rt & F.col("yr") & ~intg, rt & (ltr | intg)
+    own = F.filter(listed(*CODE_ORDER), lambda c: F.array_contains(codes, c))
     expected = (
         F.when(dirs, listed("GAG", "RT", "RNaseH", "YR"))
-        .when(retro & F.col("env"), listed("GAG", "PR", "RT", "RNaseH", "INT", "ENV"))
-        .when(retro, listed("GAG", "PR", "RT", "RNaseH", "INT"))
-        .when(F.col("rt"), listed("ORF1", "EN", "RT", "tail"))
-        .when(F.col("tpase"), listed("TPase", "TIR"))
-        .otherwise(F.filter(listed(*CODE_ORDER), lambda c: F.array_contains(codes, c)))
+        .when(retro, F.concat(listed("GAG", "PR", "RT", "RNaseH", "INT"), some(env, "ENV")))
+        .when(rt, listed("ORF1", "EN", "RT", TAIL))
+        .when(F.col("tpase"), listed("TPase", TIR5, TIR3))
+        .otherwise(own)
     )
-    owned = F.concat(codes, F.when(F.col("poly"), listed("tail")).otherwise(F.slice(listed(""), 1, 0)), F.when(F.col("tir_ok"), listed("TIR")).otherwise(F.slice(listed(""), 1, 0)))
-    out = flags.select("seq_id", "n_domains", "rt", "tpase", "ltr", "tir", expected.alias("expected"), owned.alias("owned"))
+    line = rt & ~dirs & ~retro
+    domains = F.filter(codes, lambda c: (c != "EN") | ~line)
+    owned = F.concat(domains, some(line & F.col("en_ok"), "EN"), some(F.col("poly"), TAIL), some(F.col("tir_ok"), TIR5, TIR3))
+    out = flags.select("*", expected.alias("expected"), owned.alias("owned"))
     out = out.withColumn("present", F.array_intersect("expected", "owned")).withColumn("missing", F.array_except("expected", "owned"))
+    whole, held = F.size("missing") == 0, lambda c: F.array_contains("present", c)
+    readable = ltr & intg & F.coalesce("readable", F.lit(False))
+    full = "intact / autonomous-consistent"
     tier = (
-        F.when((F.col("rt") | F.col("tpase")) & (F.size("missing") == 0), "intact")
-        .when(F.col("rt") | F.col("tpase"), "partial")
+        F.when(dirs, F.when(core & whole, full).otherwise("partial (DIRS core present: RT + tyrosine recombinase)"))
+        .when(
+            retro,
+            F.when(core & intg & whole & ltr & readable, full)
+            .when(core & intg & ltr, "near-complete")
+            .when(core & intg & env, "coding core present (gag + pol; env); LTRs not confirmed")
+            .when(core & intg, "coding core present (gag + pol); LTRs not confirmed")
+            .when(core & ltr, "partial (gag + RT core present; integrase not confirmed)")
+            .when(intg & ~whole, "partial (pol core present)")
+            .when(intg, "partial (pol core present; gag capsid/matrix not confirmed)")
+            .otherwise("fragment"),
+        )
+        .when(rt, F.when(whole, full).when(held("ORF1") & held("EN"), "near-complete (ORF1 + ORF2 endonuclease and RT recovered)").when(held("ORF1") | held("EN"), "partial (LINE coding core incomplete)").otherwise("partial (RT only)"))
+        .when(F.col("tpase"), F.when(whole, full).otherwise("partial (transposase present)"))
+        .when(F.col("n_domains") > 0, F.concat(F.lit("coding fragment ("), F.array_join("present", "–"), F.when(ltr | F.col("tir"), " detected; RT/pol not confirmed)").otherwise(" detected; no structural context)")))
+        .when(ltr | F.col("tir"), "structural-only (terminal repeats, no coding domain detected)")
+        .otherwise("none")
+    )
+    kind = (
+        F.when(dirs, "DIRS-group retroelement (tyrosine recombinase)")
+        .when(retro, F.when(ltr & env, "ERV (env-bearing LTR retroelement)").when(ltr, "LTR retroelement").otherwise("retroelement (LTR not confirmed)"))
+        .when(rt, "non-LTR retroelement (LINE-like)")
+        .when(F.col("tpase"), F.when(F.col("tir_ok"), "DNA transposon").otherwise("DNA transposon (terminal repeats not confirmed)"))
+        .when(ltr, "LTR retroelement")
+        .when(F.col("tir"), "DNA transposon")
         .when(F.col("n_domains") > 0, "coding fragment")
-        .when(F.col("ltr") | F.col("tir"), "structural-only")
         .otherwise("none")
     )
-    return out.select("seq_id", F.array_join("expected", ",").alias("expected"), F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"), tier.alias("tier"))
+    return out.select("seq_id", F.array_join("expected", ",").alias("expected"), F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"), tier.alias("tier"), kind.alias("kind"))
 
 
 def coding_frames(hits: DataFrame, orfs: DataFrame) -> DataFrame:
@@ -200,7 +252,7 @@ def ontology_term(calls: DataFrame, ledger: DataFrame) -> DataFrame:
     for prefix, name in reversed(TERMS):
         claimed = F.lit(name)
         if name == "terminal_inverted_repeat_element":
-            claimed = F.when(F.array_contains(listed("missing"), "TIR"), "DNA_transposon").otherwise(name)
+            claimed = F.when(F.array_contains(listed("missing"), TIR5), "DNA_transposon").otherwise(name)
         elif name == "LTR_retrotransposon":
             claimed = F.when(F.array_contains(listed("present"), "RT"), name).otherwise("repeat_region")
         term = F.when(t.startswith(prefix), claimed).otherwise(term)

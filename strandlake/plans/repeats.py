@@ -9,7 +9,7 @@ from ..functions.tables import spread
 from ..operators import profile
 from ..operators import repeats as ops
 from ..operators import rollup
-from .rollup import _EXP, _FLAGS, _OWN, flags
+from .rollup import _FLAGS, _LEDGER, flags
 from .sequences import _RAW, _count, raw, seqs
 
 
@@ -115,10 +115,10 @@ ORACLES = {
         m AS (SELECT *, greatest(0, max(s) OVER (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING)) AS best FROM c), k AS (SELECT *, max(CAST(s < best - 6 AS INT)) OVER (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS dead FROM m),
         e AS (SELECT pair_id, arg_max(i, (s, -i)) AS ext, max(s) AS top FROM k WHERE dead = 0 GROUP BY pair_id) SELECT pr.pair_id, CAST(CASE WHEN top > 0 THEN ext ELSE 0 END AS INT) AS ext FROM pr LEFT JOIN e USING (pair_id)""", "seqs"),
     "o14_span_identity": duck(f"""WITH {_PAIR}, n AS (SELECT *, CAST(least(length(a), length(b)) AS INT) AS len FROM pr), h AS (SELECT pair_id, len, CASE WHEN len > 0 THEN CAST(len - hamming(substr(a, 1, len), substr(b, 1, len)) AS INT) ELSE 0 END AS matches FROM n) SELECT *, CASE WHEN len > 0 THEN 100 * matches / len END AS identity FROM h""", "seqs"),
-    "o43_record_summary": duck(f"""WITH {_FLAGS}, {_RAW}, ex AS (SELECT *, list_filter({_EXP}, lambda c: c <> '') AS e FROM con), pm AS (SELECT *, list_filter(e, lambda c: NOT {_OWN}) AS m FROM ex), k AS (SELECT seq_id, array_to_string(list_sort(list(DISTINCT kind)), ',') AS structures FROM evidence WHERE NOT advisory GROUP BY seq_id),
+    "o43_record_summary": duck(f"""WITH {_FLAGS}, {_LEDGER}, {_RAW}, k AS (SELECT seq_id, array_to_string(list_sort(list(DISTINCT kind)), ',') AS structures FROM evidence WHERE NOT advisory GROUP BY seq_id),
         r AS (SELECT seq_id, length(seq) AS length, {_count("ACGT")} AS known, {_count("GC")} AS gc, {_count("ACGTNRYSWKMBDHV")} AS coded FROM raw)
-        SELECT r.seq_id, length, coalesce(length > 0 AND coded = length, false) AS valid, CASE WHEN known > 0 THEN 100 * gc / known ELSE 0 END AS gc_pct, coalesce(te_class, 'none') AS te_class, coalesce(confidence, 'Candidate') AS confidence, CASE WHEN te_class IS NULL THEN 'none' WHEN (rt OR tpase) AND len(m) = 0 THEN 'intact' WHEN rt OR tpase THEN 'partial' WHEN n_domains > 0 THEN 'coding fragment' WHEN ltr OR tir THEN 'structural-only' ELSE 'none' END AS tier,
-        coalesce(architecture, '') AS architecture, coalesce(n_domains, 0) AS n_domains, coalesce(structures, '') AS structures FROM r LEFT JOIN pm ON pm.seq_id = r.seq_id LEFT JOIN k ON k.seq_id = r.seq_id""", "domain_hits", "evidence"),
+        SELECT r.seq_id, length, coalesce(length > 0 AND coded = length, false) AS valid, CASE WHEN known > 0 THEN 100 * gc / known ELSE 0 END AS gc_pct, coalesce(te_class, 'none') AS te_class, coalesce(confidence, 'Candidate') AS confidence, coalesce(tier, 'none') AS tier,
+        coalesce(architecture, '') AS architecture, coalesce(n_domains, 0) AS n_domains, coalesce(structures, '') AS structures FROM r LEFT JOIN led ON led.seq_id = r.seq_id LEFT JOIN k ON k.seq_id = r.seq_id""", "domain_hits", "evidence"),
     "o16_terminal_inverted_repeats": duck(f"WITH {_TIR} SELECT * FROM tir", "seqs"),
     "o18_tail_scan": duck("""WITH t AS (SELECT seq_id, length(seq) AS n, length(seq) - length(rtrim(seq, 'A')) AS a, length(seq) - length(ltrim(seq, 'T')) AS t FROM seqs)
         SELECT seq_id, 'polyA' AS kind, a AS length, n - a AS start, n AS "end" FROM t WHERE a >= 2 UNION ALL SELECT seq_id, 'polyT', t, 0, t FROM t WHERE t >= 2""", "seqs"),

@@ -26,7 +26,9 @@ def o34_architecture_order(spark, d):
 
 
 def flags(spark, d):
-    return rollup.element_flags(hits(spark, d), derive(spark, d, "evidence"))
+    """Flags of all elements; every thirteenth domain scan did not run and has no hits."""
+    failed = derive(spark, d, "evidence").where("seq_id % 13 = 0").select("seq_id")
+    return rollup.element_flags(hits(spark, d).where("seq_id % 13 <> 0"), derive(spark, d, "evidence"), failed)
 
 
 def o35_classify_elements(spark, d):
@@ -105,24 +107,41 @@ def o66_runtime_model(spark, d):
 _REP = """rep AS (SELECT seq_id, domain, hit_id, class, score, strand, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, domain ORDER BY score DESC, hit_id) AS rn FROM domain_hits) WHERE rn = 1)"""
 _ORD = """ord AS (SELECT a.seq_id, a.strand = b.strand AND (a."end" <= b.start OR b."end" <= a.start) AS resolvable, CASE WHEN a.strand = b.strand AND (a."end" <= b.start OR b."end" <= a.start) THEN CASE WHEN a.strand = '-' THEN a."end" > b."end" ELSE a.start < b.start END END AS a_before_b
     FROM rep a JOIN rep b ON a.seq_id = b.seq_id AND a.domain = 'INT' AND b.domain = 'RT')"""
-_FLAGS = f"""{_REP}, {_ORD}, cod AS (SELECT seq_id, bool_or(domain = 'RT') AS rt, bool_or(domain = 'INT') AS intg, bool_or(domain = 'TPase') AS tpase, bool_or(domain = 'YR') AS yr, bool_or(domain = 'CHR') AS chromo, bool_or(domain = 'ENV') AS env, bool_or(domain = 'GAG') AS gag, bool_or(domain = 'PR') AS pr,
-        bool_or(domain = 'RNaseH') AS rnaseh, bool_or(domain = 'ORF1') AS orf1, count(DISTINCT domain) AS n_domains, array_to_string(list_sort(list(DISTINCT domain)), ',') || ',' AS domains, count(DISTINCT class) FILTER (WHERE domain = 'TPase') > 1 AS tp_conflict FROM domain_hits GROUP BY seq_id),
+_FLAGS = f"""dh AS (SELECT * FROM domain_hits WHERE seq_id % 13 <> 0), {_REP.replace("FROM domain_hits", "FROM dh")}, {_ORD}, cod AS (SELECT seq_id, bool_or(domain = 'RT') AS rt, bool_or(domain = 'INT') AS intg, bool_or(domain = 'TPase') AS tpase, bool_or(domain = 'YR') AS yr, bool_or(domain = 'CHR') AS chromo, bool_or(domain = 'ENV') AS env, bool_or(domain = 'GAG') AS gag, bool_or(domain = 'PR') AS pr,
+        bool_or(domain = 'RNaseH') AS rnaseh, bool_or(domain = 'ORF1') AS orf1, bool_or(domain = 'EN') AS en, bool_or(domain = 'HEL') AS hel, bool_or(model IN ('Gag_p24', 'PEG10_N-capsid')) AS core, list(DISTINCT domain) AS found, count(DISTINCT domain) AS n_domains, count(DISTINCT class) FILTER (WHERE domain = 'TPase') > 1 AS tp_conflict FROM dh GROUP BY seq_id),
     mark AS (SELECT seq_id, bool_or(kind = 'LTR') AS ltr, bool_or(kind = 'TIR') AS tir, bool_or(kind IN ('polyA', 'polyT')) AS poly, max(length) FILTER (WHERE kind = 'TIR') AS tir_len, arg_min(start, (start, "end")) FILTER (WHERE kind = 'TIR') AS a_start, arg_min("end", (start, "end")) FILTER (WHERE kind = 'TIR') AS a_end FROM evidence WHERE NOT advisory GROUP BY seq_id),
-    fl AS (SELECT coalesce(cod.seq_id, mark.seq_id) AS seq_id, {", ".join(f"coalesce({c}, false) AS {c}" for c in ("rt", "intg", "tpase", "yr", "chromo", "env", "gag", "pr", "rnaseh", "orf1", "tp_conflict", "ltr", "tir", "poly"))}, coalesce(n_domains, 0) AS n_domains, domains, tir_len, a_start, a_end FROM cod FULL JOIN mark ON cod.seq_id = mark.seq_id),
-    flags AS (SELECT fl.*, resolvable AS readable, a_before_b AS int_first, t.class AS tp_class, tir AND coalesce(a_start <= t.start AND t."end" <= a_end, true) AS tir_ok FROM fl LEFT JOIN ord ON ord.seq_id = fl.seq_id LEFT JOIN rep t ON t.seq_id = fl.seq_id AND t.domain = 'TPase'),
-    te AS (SELECT *, {rollup.TE_CLASS} AS te_class FROM flags), con AS (SELECT *, {rollup.CLASS} AS class, {rollup.CONFIDENCE} AS confidence, rt AND ltr AND env AND NOT (yr AND NOT intg) AS is_erv,
-        array_to_string(list_filter({list(rollup.CODE_ORDER)}, lambda c: contains(',' || coalesce(domains, ''), ',' || c || ',')), '-') AS architecture FROM te)"""
+    fl AS (SELECT coalesce(cod.seq_id, mark.seq_id) AS seq_id, {", ".join(f"coalesce({c}, false) AS {c}" for c in ("rt", "intg", "tpase", "yr", "chromo", "env", "gag", "pr", "rnaseh", "orf1", "en", "hel", "core", "tp_conflict", "ltr", "tir", "poly"))}, coalesce(n_domains, 0) AS n_domains, coalesce(found, []) AS found, tir_len, a_start, a_end FROM cod FULL JOIN mark ON cod.seq_id = mark.seq_id),
+    ahead AS (SELECT a.seq_id, a.strand = b.strand AND CASE a.strand WHEN '+' THEN a.start < b.start ELSE a."end" > b."end" END AS en_ok FROM rep a JOIN rep b ON a.seq_id = b.seq_id AND a.domain = 'EN' AND b.domain = 'RT'),
+    flags AS (SELECT fl.*, coalesce(en_ok, false) AS en_ok, coalesce(resolvable, false) AS readable, a_before_b AS int_first, t.class AS tp_class, tir AND coalesce(a_start <= t.start AND t."end" <= a_end, true) AS tir_ok, fl.seq_id IN (SELECT seq_id FROM evidence WHERE seq_id % 13 = 0) AS unscanned
+        FROM fl LEFT JOIN ord ON ord.seq_id = fl.seq_id LEFT JOIN ahead ON ahead.seq_id = fl.seq_id LEFT JOIN rep t ON t.seq_id = fl.seq_id AND t.domain = 'TPase'),
+    con AS (SELECT *, rt AND ltr AND env AND (intg OR NOT yr) AS is_erv, array_to_string(list_filter(['ORF1', 'GAG', 'PR', 'EN', 'RT', 'RNaseH', 'INT', 'YR', 'CHR', 'ENV', 'TPase', 'HEL'], lambda c: list_contains(found, c)), '-') AS architecture,
+        CASE WHEN te_class LIKE 'DNA/%' THEN 'Class II' WHEN te_class IN ('DIRS', 'LINE', 'LTR/Copia', 'LTR/Gypsy', 'LTR/unclassified') THEN 'Class I' ELSE 'unclassified' END AS class,
+        CASE WHEN unscanned THEN 'Candidate' WHEN rt AND NOT (yr AND NOT intg) AND intg AND ltr AND readable THEN CASE WHEN n_domains >= 2 AND NOT tpase THEN 'High' ELSE 'Moderate' END
+            WHEN te_class = 'LINE' THEN CASE WHEN poly THEN 'Moderate' ELSE 'Candidate' END WHEN NOT rt AND tpase AND tp_conflict THEN 'Candidate' WHEN rt AND (ltr OR tir) OR tpase AND (ltr OR tir_ok) THEN 'Moderate' WHEN (rt OR tpase) AND n_domains >= 2 THEN 'Moderate' ELSE 'Candidate' END AS confidence
+        FROM (SELECT *, CASE WHEN rt THEN CASE WHEN yr AND NOT intg THEN 'DIRS' WHEN intg AND ltr THEN CASE WHEN NOT readable THEN 'LTR/unclassified' WHEN int_first THEN 'LTR/Copia' ELSE 'LTR/Gypsy' END WHEN intg OR ltr OR chromo THEN 'LTR/unclassified' WHEN orf1 OR en OR rnaseh OR gag OR pr OR env THEN 'LINE' ELSE 'retro/unassigned' END
+            WHEN tpase THEN 'DNA/' || CASE tp_class WHEN 'dna:hAT-C dimer' THEN 'hAT' WHEN 'dna:IS4' THEN 'IS4-like' WHEN 'dna:other' THEN 'unclassified' ELSE split_part(tp_class, ':', 2) END
+            WHEN hel THEN 'unclassified' WHEN n_domains > 0 THEN CASE WHEN ltr THEN 'LTR/partial' WHEN gag OR env OR intg OR orf1 THEN 'retro/partial' ELSE 'unclassified' END
+            WHEN ltr THEN 'LTR/structural-only' WHEN tir THEN CASE WHEN tir_len >= 20 THEN 'DNA/non-autonomous' ELSE 'repeat/structural-only' END ELSE 'none' END AS te_class FROM flags))"""
+_LEDGER = """exp AS (SELECT *, CASE WHEN rt THEN CASE WHEN yr AND NOT intg THEN 'dirs' WHEN ltr OR intg THEN 'retro' ELSE 'line' END WHEN tpase THEN 'dna' ELSE 'rest' END AS way FROM con),
+    ex AS (SELECT *, list_filter(CASE way WHEN 'dirs' THEN ['GAG', 'RT', 'RNaseH', 'YR'] WHEN 'retro' THEN CASE WHEN env THEN ['GAG', 'PR', 'RT', 'RNaseH', 'INT', 'ENV'] ELSE ['GAG', 'PR', 'RT', 'RNaseH', 'INT'] END WHEN 'line' THEN ['ORF1', 'EN', 'RT', '3′ tail (poly-A / poly-T)'] WHEN 'dna' THEN ['TPase', 'TIR (5′)', 'TIR (3′)'] ELSE string_split(architecture, '-') END, lambda c: c <> '') AS e FROM exp),
+    pr1 AS (SELECT *, list_filter(e, lambda c: CASE WHEN c LIKE 'TIR%' THEN tir_ok WHEN c LIKE '3%' THEN poly WHEN c = 'EN' AND way = 'line' THEN en_ok ELSE list_contains(found, c) END) AS p FROM ex),
+    pm AS (SELECT *, list_filter(e, lambda c: NOT list_contains(p, c)) AS m FROM pr1),
+    led AS (SELECT *, CASE way WHEN 'dirs' THEN CASE WHEN core AND m = [] THEN 'intact / autonomous-consistent' ELSE 'partial (DIRS core present: RT + tyrosine recombinase)' END
+        WHEN 'retro' THEN CASE WHEN core AND intg AND ltr THEN CASE WHEN m = [] AND readable THEN 'intact / autonomous-consistent' ELSE 'near-complete' END WHEN core AND intg THEN 'coding core present (gag + pol' || CASE WHEN env THEN '; env' ELSE '' END || '); LTRs not confirmed'
+            WHEN core THEN 'partial (gag + RT core present; integrase not confirmed)' WHEN intg THEN CASE WHEN m = [] THEN 'partial (pol core present; gag capsid/matrix not confirmed)' ELSE 'partial (pol core present)' END ELSE 'fragment' END
+        WHEN 'line' THEN CASE WHEN m = [] THEN 'intact / autonomous-consistent' WHEN orf1 AND en_ok THEN 'near-complete (ORF1 + ORF2 endonuclease and RT recovered)' WHEN orf1 OR en_ok THEN 'partial (LINE coding core incomplete)' ELSE 'partial (RT only)' END
+        WHEN 'dna' THEN CASE WHEN tir_ok THEN 'intact / autonomous-consistent' ELSE 'partial (transposase present)' END
+        ELSE CASE WHEN n_domains > 0 THEN 'coding fragment (' || array_to_string(p, '–') || CASE WHEN ltr OR tir THEN ' detected; RT/pol not confirmed)' ELSE ' detected; no structural context)' END WHEN ltr OR tir THEN 'structural-only (terminal repeats, no coding domain detected)' ELSE 'none' END END AS tier,
+        CASE way WHEN 'dirs' THEN 'DIRS-group retroelement (tyrosine recombinase)' WHEN 'retro' THEN CASE WHEN NOT ltr THEN 'retroelement (LTR not confirmed)' WHEN env THEN 'ERV (env-bearing LTR retroelement)' ELSE 'LTR retroelement' END WHEN 'line' THEN 'non-LTR retroelement (LINE-like)'
+        WHEN 'dna' THEN CASE WHEN tir_ok THEN 'DNA transposon' ELSE 'DNA transposon (terminal repeats not confirmed)' END ELSE CASE WHEN ltr THEN 'LTR retroelement' WHEN tir THEN 'DNA transposon' WHEN n_domains > 0 THEN 'coding fragment' ELSE 'none' END END AS kind FROM pm)"""
 _S = "sha256('input=' || o_custkey || chr(31) || 'params=' || o_orderstatus || chr(31) || 'run_type=' || o_orderpriority)"
-_EXP = "CASE WHEN rt AND yr AND NOT intg THEN ['GAG', 'RT', 'RNaseH', 'YR'] WHEN rt AND (ltr OR intg) AND env THEN ['GAG', 'PR', 'RT', 'RNaseH', 'INT', 'ENV'] WHEN rt AND (ltr OR intg) THEN ['GAG', 'PR', 'RT', 'RNaseH', 'INT'] WHEN rt THEN ['ORF1', 'EN', 'RT', 'tail'] WHEN tpase THEN ['TPase', 'TIR'] ELSE string_split(architecture, '-') END"
-_OWN = "contains(',' || coalesce(domains, '') || CASE WHEN poly THEN 'tail,' ELSE '' END || CASE WHEN tir_ok THEN 'TIR,' ELSE '' END, ',' || c || ',')"
 
 ORACLES = {
     "o33_representative_hit": duck(f"WITH {_REP} SELECT * FROM rep", "domain_hits"),
     "o34_architecture_order": duck(f"WITH {_REP}, {_ORD} SELECT * FROM ord", "domain_hits"),
     "o35_classify_elements": duck(f"WITH {_FLAGS} SELECT seq_id, class, te_class, is_erv FROM con", "domain_hits", "evidence"),
     "o36_confidence_tier": duck(f"WITH {_FLAGS} SELECT seq_id, te_class, confidence FROM con", "domain_hits", "evidence"),
-    "o37_completeness_ledger": duck(f"""WITH {_FLAGS}, ex AS (SELECT *, list_filter({_EXP}, lambda c: c <> '') AS e FROM con), pm AS (SELECT *, list_filter(e, lambda c: {_OWN}) AS p, list_filter(e, lambda c: NOT {_OWN}) AS m FROM ex)
-        SELECT seq_id, array_to_string(e, ',') AS expected, array_to_string(p, ',') AS present, array_to_string(m, ',') AS missing, CASE WHEN (rt OR tpase) AND len(m) = 0 THEN 'intact' WHEN rt OR tpase THEN 'partial' WHEN n_domains > 0 THEN 'coding fragment' WHEN ltr OR tir THEN 'structural-only' ELSE 'none' END AS tier FROM pm""", "domain_hits", "evidence"),
+    "o37_completeness_ledger": duck(f"WITH {_FLAGS}, {_LEDGER} SELECT seq_id, array_to_string(e, ',') AS expected, array_to_string(p, ',') AS present, array_to_string(m, ',') AS missing, tier, kind FROM led", "domain_hits", "evidence"),
     "o38_coding_frames": duck("""WITH h AS (SELECT hit_id, seq_id % 1000 AS seq_id, strand, start, "end" FROM domain_hits), p AS (SELECT h.seq_id, hit_id, min(orf_key) FILTER (WHERE o.start <= h.start AND h."end" <= o."end") AS host FROM h LEFT JOIN orfs o ON o.seq_id = h.seq_id AND o.strand = h.strand GROUP BY ALL),
         f AS (SELECT seq_id, count(DISTINCT host) AS frames, count(*) FILTER (WHERE host IS NULL) AS unplaced FROM p GROUP BY seq_id) SELECT *, CASE WHEN frames = 0 THEN 'not assessed' WHEN frames = 1 AND unplaced = 0 THEN 'single reading frame' ELSE 'split across reading frames' END AS state FROM f""", "domain_hits", "orfs"),
     "o40_encloses": duck("""SELECT h.seq_id, hit_id AS i_id, count(e.seq_id) AS n_enclosing, count(e.seq_id) > 0 AS encloses FROM domain_hits h LEFT JOIN evidence e ON e.seq_id = h.seq_id AND kind IN ('LTR', 'TIR') AND e.start <= h.start AND h."end" <= e."end" GROUP BY h.seq_id, hit_id""", "domain_hits", "evidence"),
@@ -131,9 +150,8 @@ ORACLES = {
         SELECT con.seq_id, 'Classified as ' || te_class || ' (' || lower(confidence) || '). Structural: ' || coalesce(kinds, 'none') || '. Domains: ' || CASE WHEN architecture = '' THEN 'none' ELSE architecture END || '.' AS explanation FROM con LEFT JOIN k ON k.seq_id = con.seq_id""", "domain_hits", "evidence"),
     "o44_unsearched_scope": duck("SELECT seq_id, greatest(0, count(*) - 12) AS unscanned, seq_id IN (SELECT seq_id FROM domain_hits) AS ran FROM orfs GROUP BY seq_id", "domain_hits", "orfs"),
     "o45_composite_flag": duck(f"WITH {_FLAGS} SELECT seq_id, rt AND tpase AS composite, tp_conflict FROM flags", "domain_hits", "evidence"),
-    "o46_ontology_term": duck(f"""WITH {_FLAGS}, ex AS (SELECT *, list_filter({_EXP}, lambda c: c <> '') AS e FROM con), pm AS (SELECT *, list_filter(e, lambda c: {_OWN}) AS p, list_filter(e, lambda c: NOT {_OWN}) AS m FROM ex),
-        t AS (SELECT *, (rt OR tpase OR n_domains > 0 OR NOT (ltr OR tir)) AS coded FROM pm) SELECT seq_id, te_class, CASE WHEN te_class = 'none' OR contains(te_class, 'structural-only') OR NOT coded THEN 'repeat_region' WHEN starts_with(te_class, 'LTR/') THEN CASE WHEN list_contains(p, 'RT') THEN 'LTR_retrotransposon' ELSE 'repeat_region' END
-        WHEN starts_with(te_class, 'LINE') THEN 'LINE_element' WHEN starts_with(te_class, 'SINE') THEN 'SINE_element' WHEN starts_with(te_class, 'DIRS') THEN 'YR_retrotransposon' WHEN starts_with(te_class, 'DNA/') THEN CASE WHEN list_contains(m, 'TIR') THEN 'DNA_transposon' ELSE 'terminal_inverted_repeat_element' END WHEN starts_with(te_class, 'HEL') THEN 'helitron' ELSE 'repeat_region' END AS so_term FROM t""", "domain_hits", "evidence"),
+    "o46_ontology_term": duck(f"""WITH {_FLAGS}, {_LEDGER} SELECT seq_id, te_class, CASE WHEN te_class IN ('none', 'LTR/structural-only', 'repeat/structural-only') OR tier LIKE 'structural-only%' THEN 'repeat_region' WHEN starts_with(te_class, 'LTR/') THEN CASE WHEN list_contains(p, 'RT') THEN 'LTR_retrotransposon' ELSE 'repeat_region' END
+        WHEN te_class = 'LINE' THEN 'LINE_element' WHEN te_class = 'DIRS' THEN 'YR_retrotransposon' WHEN starts_with(te_class, 'DNA/') THEN CASE WHEN list_contains(m, 'TIR (5′)') THEN 'DNA_transposon' ELSE 'terminal_inverted_repeat_element' END ELSE 'repeat_region' END AS so_term FROM led""", "domain_hits", "evidence"),
     "o61_seal": f"SELECT o_orderkey AS run_id, {_S} AS seal FROM orders",
     "o61_table_seal": f"""WITH s AS (SELECT {_S} AS seal FROM orders), e AS (SELECT seal, count(*) AS n, seal || ':' || count(*) AS entry FROM s GROUP BY seal), r AS (SELECT substr(seal, 1, 4) AS range, sum(n) AS n, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS h FROM e GROUP BY 1)
         SELECT substr(range, 1, 2) AS shard, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(range || ':' || h, chr(10) ORDER BY range || ':' || h)) AS digest FROM r GROUP BY 1""",
