@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from .profile import cut, pieces
 
 # Heads of a class / family label by the kind they belong to; every other head is "other". Labels that a view
@@ -170,21 +171,30 @@ def complete_gene_model(model: DataFrame, cds: DataFrame) -> DataFrame:
 def cross_check_introns(a: DataFrame, b: DataFrame, tol: int = 2) -> DataFrame:
     """Introns of two models matched one to one, in order, where both ends lie within tol; per record the counts.
 
-    Candidates come from a band join on the start; the greedy choice is a fold over a record's few candidates.
+    Candidates come from a band join on the start: an intron has (2 tol + 1)**2 of them at most. Taking pairs in order of
+    their places, each unless one of its introns is taken, is the same as rounds in which every pair that comes first for
+    both of its introns is taken and the other pairs of these introns go; a round sees the pairs of one intron at a time,
+    so that records may be of any size.
     """
     left = a.select("seq_id", F.col("start").alias("a_start"), F.col("end").alias("a_end")).distinct()
     right = b.select("seq_id", F.col("start").alias("b_start"), F.col("end").alias("b_end")).distinct()
     cell = lambda c: F.floor(F.col(c) / (tol + 1))
     near = left.withColumn("cell", F.explode(F.array(cell("a_start") - 1, cell("a_start"), cell("a_start") + 1))).join(right.withColumn("cell", cell("b_start")), ["seq_id", "cell"])
     near = near.where((F.abs(F.col("a_start") - F.col("b_start")) <= tol) & (F.abs(F.col("a_end") - F.col("b_end")) <= tol))
-    listed = near.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("a_start", "a_end", "b_start", "b_end"))).alias("pairs"))
-    none = F.array().cast("array<struct<a_start:bigint,a_end:bigint,b_start:bigint,b_end:bigint>>")
-    taken = F.aggregate(
-        "pairs",
-        none,
-        lambda acc, p: F.when(F.exists(acc, lambda t: ((t["a_start"] == p["a_start"]) & (t["a_end"] == p["a_end"])) | ((t["b_start"] == p["b_start"]) & (t["b_end"] == p["b_end"]))), acc).otherwise(F.concat(acc, F.array(p))),
-    )
-    matched = listed.select("seq_id", F.size(taken).cast("long").alias("matched"))
+    of_a, of_b = Window.partitionBy("seq_id", "a_start", "a_end"), Window.partitionBy("seq_id", "b_start", "b_end")
+    order = ("a_start", "a_end", "b_start", "b_end")
+    open_, matched = near.select("seq_id", *order), None
+    while True:
+        ranked = open_.withColumn("i", F.row_number().over(of_a.orderBy(*order))).withColumn("j", F.row_number().over(of_b.orderBy(*order)))
+        ranked = ranked.withColumn("taken", (F.col("i") == 1) & (F.col("j") == 1))
+        ranked = ranked.withColumn("gone", F.max("taken").over(of_b)).withColumn("gone", F.max("gone").over(of_b) | F.max("taken").over(of_a))
+        ranked = stored(ranked.select("seq_id", *order, "taken", "gone"), "intron-pairs")
+        taken = ranked.where("taken").groupBy("seq_id").agg(F.count("*").alias("n"))
+        matched = taken if matched is None else matched.unionByName(taken)
+        open_ = ranked.where("NOT gone").select("seq_id", *order)
+        if open_.isEmpty():
+            break
+    matched = matched.groupBy("seq_id").agg(F.sum("n").alias("matched"))
     totals = left.groupBy("seq_id").agg(F.count("*").alias("a_total")).join(right.groupBy("seq_id").agg(F.count("*").alias("b_total")), "seq_id", "full")
     zero = F.lit(0).cast("long")
     out = totals.join(matched, "seq_id", "left").select("seq_id", F.coalesce("matched", zero).alias("matched"), F.coalesce("a_total", zero).alias("a_total"), F.coalesce("b_total", zero).alias("b_total"))

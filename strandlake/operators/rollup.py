@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
+
 #: Domain codes in the order in which an architecture is written.
 CODE_ORDER = ("ORF1", "GAG", "PR", "EN", "RT", "RNaseH", "INT", "YR", "CHR", "ENV", "TPase", "HEL")
 #: Fixed value: length from which an inverted repeat stands for itself.
@@ -59,17 +61,62 @@ def _cells(start: str, end: str) -> Column:
     return F.explode(F.sequence(F.floor(F.col(start) / CELL), F.floor((F.greatest(F.col(end), F.col(start) + 1) - 1) / CELL)))
 
 
+#: Hits of an overlap island that are folded at once; larger islands go by rounds.
+FOLDED = 64
+#: Width of the bins in which islands begin to be told apart, and of the cells that rounds compare hits in.
+BIN, ROUND_CELL = 1 << 16, 512
+
+
+def _islands(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """hits with __i, where their overlap island starts. Reach and last start are carried from bin to bin, so that only a
+    bin's hits are sorted in one task."""
+    bins = [*keys, "__bin"]
+    rows = hits.withColumn("__bin", F.floor(F.col("start") / BIN))
+    along = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*bins).agg(F.max("end").alias("__end")).withColumn("__carry", F.max("__end").over(along)).drop("__end")
+    order = Window.partitionBy(*bins).orderBy("start", "end", "hit_id")
+    reach = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("__carry"))
+    fresh = rows.join(carried, bins).withColumn("__new", F.when(F.coalesce(F.col("start") < reach, F.lit(False)), None).otherwise(F.col("start")))
+    begun = fresh.groupBy(*bins).agg(F.max("__new").alias("__last")).withColumn("__open", F.max("__last").over(along)).drop("__last")
+    own = F.max("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return fresh.withColumn("__own", own).join(begun, bins).withColumn("__i", F.coalesce("__own", "__open")).drop("__bin", "__carry", "__new", "__own", "__open")
+
+
+def _kept_by_rounds(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """hit_id of the hits that the greedy choice keeps, whatever the size of islands: a hit that is the best of each cell
+    it touches is kept, those it overlaps go, and the rest is looked at again. A cell has one such hit a round."""
+    cells = F.explode(F.sequence(F.floor(F.col("start") / ROUND_CELL), F.floor((F.greatest(F.col("end"), F.col("start") + 1) - 1) / ROUND_CELL)))
+    rank = F.struct((-F.col("score")).alias("o"), F.col("hit_id").alias("hit_id"))
+    open_, kept = hits.select(*keys, "hit_id", "score", "start", "end"), None
+    while not open_.isEmpty():
+        dealt = open_.withColumn("__cell", cells)
+        first = dealt.groupBy(*keys, "__cell").agg(F.min(rank).alias("__b")).select(*keys, "__cell", F.col("__b.hit_id").alias("__best"))
+        won = dealt.join(first, [*keys, "__cell"]).groupBy(*keys, "hit_id", "start", "end").agg(F.bool_and(F.col("hit_id") == F.col("__best")).alias("__won")).where("__won")
+        won = stored(won.select(*keys, F.col("hit_id").alias("__k"), F.col("start").alias("__s"), F.col("end").alias("__e")), "kept-hits")
+        kept = won.select(F.col("__k").alias("hit_id")) if kept is None else kept.union(won.select("__k"))
+        held = won.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__s") / ROUND_CELL), F.floor((F.greatest(F.col("__e"), F.col("__s") + 1) - 1) / ROUND_CELL))))
+        near = dealt.join(held, [*keys, "__cell"], "left")
+        gone = F.coalesce((F.col("hit_id") == F.col("__k")) | ((F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end"))), F.lit(False))
+        left = near.groupBy(*keys, "hit_id", "score", "start", "end").agg(F.bool_or(gone).alias("__gone")).where("NOT __gone").drop("__gone")
+        open_ = stored(left, "open-hits")
+    return hits.select("hit_id").limit(0) if kept is None else kept
+
+
 def dedup_domain_hits(hits: DataFrame) -> DataFrame:
     """Of overlapping hits of one domain and strand the best, greedily by score: a hit that only overlaps a dropped one
-    stays. The fold runs inside overlap islands, which are small."""
+    stays. Small overlap islands are folded in place; larger ones go by rounds of hits that beat all around them."""
     keys = ["seq_id", "domain", "strand"]
-    order = Window.partitionBy(*keys).orderBy("start", "end", "hit_id")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = hits.withColumn("__i", F.sum(F.when(F.col("start") < reach, 0).otherwise(1)).over(order))
+    islands = stored(_islands(hits.select(*keys, "hit_id", "score", "start", "end"), keys), "islands")
     row = F.struct((-F.col("score")).alias("o"), "hit_id", "start", "end")
-    folded = islands.groupBy(*keys, "__i").agg(F.array_sort(F.collect_list(row)).alias("h"))
+    sizes = islands.groupBy(*keys, "__i").agg(F.count("*").alias("__n"))
+    large = stored(sizes.where(F.col("__n") > FOLDED), "large-islands")
+    small = islands.join(large, [*keys, "__i"], "left_anti")
+    folded = small.groupBy(*keys, "__i").agg(F.array_sort(F.collect_list(row)).alias("h"))
     kept = F.aggregate("h", F.slice("h", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return hits.join(folded.select(F.explode(kept).alias("k")).select(F.col("k.hit_id").alias("hit_id")), "hit_id", "left_semi")
+    ids = folded.select(F.explode(kept).alias("k")).select(F.col("k.hit_id").alias("hit_id"))
+    if not large.isEmpty():
+        ids = ids.union(_kept_by_rounds(islands.join(large, [*keys, "__i"], "left_semi"), keys))
+    return hits.join(ids, "hit_id", "left_semi")
 
 
 def representative_hit(hits: DataFrame) -> DataFrame:

@@ -134,6 +134,11 @@ ORACLES = {
         n AS (SELECT o.seq_id, coalesce(max(CASE WHEN i."end" <= cs THEN i."end" END), cs) AS start, coalesce(min(CASE WHEN i.start >= ce THEN i.start END), ce) AS "end" FROM o LEFT JOIN i ON i.seq_id = o.seq_id GROUP BY o.seq_id, cs, ce),
         a AS (SELECT seq_id, start, "end", bool_and(derived) AS derived FROM (SELECT *, false AS derived FROM e UNION ALL SELECT *, true FROM n) GROUP BY ALL), {_GAPS.format(name="i2", source="a")}
         SELECT seq_id, start, "end", derived, 'exon' AS kind FROM a UNION ALL SELECT seq_id, start, "end", true, 'intron' FROM i2""", "exons"),
+    "o54_cross_check_introns": duck(f"""WITH {_EX}, {_GAPS.format(name="x", source="ex")}, mv AS (SELECT seq_id, start + [0, 2, 5][1 + turn % 3] AS start, "end" FROM ex), {_GAPS.format(name="y", source="mv")}, a AS (SELECT DISTINCT * FROM x), b AS (SELECT DISTINCT * FROM y),
+        p AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY a0, a1, b0, b1) AS i FROM (SELECT a.seq_id, a.start AS a0, a."end" AS a1, b.start AS b0, b."end" AS b1 FROM a JOIN b ON a.seq_id = b.seq_id AND abs(a.start - b.start) <= 2 AND abs(a."end" - b."end") <= 2)),
+        m AS (SELECT seq_id, i, [[a0, a1]] AS ta, [[b0, b1]] AS tb FROM p WHERE i = 1 UNION ALL SELECT m.seq_id, p.i, CASE WHEN list_contains(ta, [a0, a1]) OR list_contains(tb, [b0, b1]) THEN ta ELSE list_append(ta, [a0, a1]) END, CASE WHEN list_contains(ta, [a0, a1]) OR list_contains(tb, [b0, b1]) THEN tb ELSE list_append(tb, [b0, b1]) END FROM m JOIN p ON p.seq_id = m.seq_id AND p.i = m.i + 1),
+        f AS (SELECT seq_id, arg_max(len(ta), i) AS matched FROM m GROUP BY seq_id), na AS (SELECT seq_id, count(*) AS a_total FROM a GROUP BY seq_id), nb AS (SELECT seq_id, count(*) AS b_total FROM b GROUP BY seq_id)
+        SELECT coalesce(na.seq_id, nb.seq_id) AS seq_id, coalesce(matched, 0) AS matched, coalesce(a_total, 0) AS a_total, coalesce(b_total, 0) AS b_total, coalesce(a_total, 0) - coalesce(matched, 0) AS a_only, coalesce(b_total, 0) - coalesce(matched, 0) AS b_only FROM na FULL JOIN nb ON na.seq_id = nb.seq_id LEFT JOIN f ON f.seq_id = coalesce(na.seq_id, nb.seq_id)""", "exons"),
     "o55_flanks_and_gaps": duck(f"""WITH {_EX}, len AS (SELECT seq_id, max("end") + 10 AS length FROM ex GROUP BY seq_id), p AS (SELECT seq_id, start AS s, "end" AS e FROM ex WHERE turn > 0), {_ISLANDS.format(name="u", keys="seq_id", source="p")},
         r AS (SELECT u.*, length, lag(e) OVER w AS l, lead(s) OVER w AS n FROM u JOIN len USING (seq_id) WINDOW w AS (PARTITION BY seq_id ORDER BY s))
         SELECT seq_id, coalesce(l, 0) AS start, s AS "end", CASE WHEN l IS NULL THEN 'flank5' ELSE 'hole' END AS kind FROM r WHERE s > coalesce(l, 0) UNION ALL SELECT seq_id, e, length, 'flank3' FROM r WHERE n IS NULL AND length > e""", "exons"),

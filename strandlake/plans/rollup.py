@@ -137,6 +137,12 @@ _LEDGER = """exp AS (SELECT *, CASE WHEN rt THEN CASE WHEN yr AND NOT intg THEN
 _S = "sha256('input=' || o_custkey || chr(31) || 'params=' || o_orderstatus || chr(31) || 'run_type=' || o_orderpriority)"
 
 ORACLES = {
+    "o32_dedup_domain_hits": duck("""WITH h AS (SELECT hit_id, seq_id % 100 AS seq_id, domain, strand, score, start % 4000 AS start, start % 4000 + 200 + hit_id % 300 AS "end" FROM domain_hits),
+        o AS (SELECT *, row_number() OVER (PARTITION BY seq_id, domain, strand ORDER BY score DESC, hit_id) AS i FROM h),
+        g AS (SELECT seq_id, domain, strand, i, [struct_pack(id := hit_id, s := start, e := "end")] AS kept FROM o WHERE i = 1
+            UNION ALL SELECT g.seq_id, g.domain, g.strand, o.i, CASE WHEN len(list_filter(kept, lambda k: k.s < o."end" AND o.start < k.e)) = 0 THEN list_append(kept, struct_pack(id := hit_id, s := o.start, e := o."end")) ELSE kept END
+            FROM g JOIN o ON o.seq_id = g.seq_id AND o.domain = g.domain AND o.strand = g.strand AND o.i = g.i + 1),
+        k AS (SELECT unnest(arg_max(kept, i)).id AS hit_id FROM g GROUP BY seq_id, domain, strand) SELECT hit_id, seq_id, domain, strand, start, "end" FROM h SEMI JOIN k USING (hit_id)""", "domain_hits"),
     "o33_representative_hit": duck(f"WITH {_REP} SELECT * FROM rep", "domain_hits"),
     "o34_architecture_order": duck(f"WITH {_REP}, {_ORD} SELECT * FROM ord", "domain_hits"),
     "o35_classify_elements": duck(f"WITH {_FLAGS} SELECT seq_id, class, te_class, is_erv FROM con", "domain_hits", "evidence"),

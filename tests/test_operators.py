@@ -25,6 +25,34 @@ def test_introns_match_one_to_one(spark):
     assert got == {1: (1, 2, 3, 1, 2), 2: (0, 1, 0, 1, 0)}
 
 
+def test_dedup_by_rounds_and_across_bins_is_the_greedy_choice(spark, monkeypatch):
+    monkeypatch.setattr(rollup, "BIN", 300)  # islands reach over several bins
+    rng = random.Random(7)
+    rows = [(i, rng.choice("ab"), "RT", "+", rng.randrange(40), s := rng.randrange(4000), s + rng.randrange(1, 700)) for i in range(500)]
+    df = spark.createDataFrame(rows, "hit_id long, seq_id string, domain string, strand string, score long, start long, end long")
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[4], r[0])):
+        if all(r[1] != k[1] or r[5] >= k[6] or k[5] >= r[6] for k in kept):
+            kept.append(r)
+    for folded in (0, 5, 10_000):
+        monkeypatch.setattr(rollup, "FOLDED", folded)
+        assert {r["hit_id"] for r in rollup.dedup_domain_hits(df).collect()} == {r[0] for r in kept}
+
+
+def test_introns_of_one_large_record_match_in_order(spark):
+    rng = random.Random(4)
+    a = {(s := rng.randrange(600), s + 50 + rng.randrange(3)) for _ in range(300)}
+    b = {(s := rng.randrange(600), s + 50 + rng.randrange(3)) for _ in range(300)}
+    taken_a, taken_b = set(), set()
+    for x, y in sorted((x, y) for x in a for y in b if abs(x[0] - y[0]) <= 2 and abs(x[1] - y[1]) <= 2):
+        if x not in taken_a and y not in taken_b:
+            taken_a.add(x)
+            taken_b.add(y)
+    frame = lambda rows: spark.createDataFrame([(9, *r) for r in sorted(rows)], "seq_id int, start long, end long")
+    got = intervals.cross_check_introns(frame(a), frame(b)).first()
+    assert tuple(got)[1:] == (len(taken_a), len(a), len(b), len(a) - len(taken_a), len(b) - len(taken_b))
+
+
 def test_islands_across_bins_and_range_join(spark):
     rng = random.Random(2)
     rows = [(rng.choice("xy"), s := rng.randrange(3000), s + rng.randrange(1, 90)) for _ in range(300)]
