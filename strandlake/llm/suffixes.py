@@ -77,20 +77,21 @@ def anchors(text: bytes, length: int, gram: int = GRAM):
     if len(text) < length:
         return (np.zeros(0, _U), *(np.zeros(0, np.int64) for _ in range(3)))
     g = gram_hashes(text, gram)
+    top = (g >> _U(32)).astype(np.uint32)  # half of the hash is compared: what ties is settled by place alike in equal windows
     width = length - gram + 1
-    least = _sliding(np.minimum, g, width)
+    least = _sliding(np.minimum, top, width)
     # A new anchor serves where the least hash changes, and after a window that begins at its own.
-    own = g[: len(least)] == least
+    own = top[: len(least)] == least
     first = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | own[:-1])))
     last = np.append(first[1:], len(least)) - 1
     h = least[first]
     # Its place is the next of that hash: places that are least of some window are few.
-    none = np.zeros(width - 1, _U)
-    few = np.flatnonzero(g == _sliding(np.maximum, np.concatenate((none, least, none)), width))
+    none = np.zeros(width - 1, np.uint32)
+    few = np.flatnonzero(top == _sliding(np.maximum, np.concatenate((none, least, none)), width))
     at = np.searchsorted(few, last)
-    while (other := g[few[at]] != h).any():
+    while (other := top[few[at]] != h).any():
         at += other
-    return h, few[at], first, last
+    return g[few[at]], few[at], first, last
 
 
 def _words(column: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -299,56 +300,88 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     return sure.union(_open_windows(found, both.where("low <= high").select("t", "p", "low", "high"), length))
 
 
-def _windows(prefix: bytes, suffix: bytes, p: int, i: int, j: int, length: int):
-    """What stands from window i to the end of window j, of an anchor at p."""
-    return (prefix[: p - i][::-1] + suffix)[: j - i + length]
+def _digest(window: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little")
+
+
+def _offsets(h: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the windows i to j of each anchor: its row, the window, and a hash of the anchor's bytes and the offset."""
+    n = j - i + 1
+    row = np.repeat(np.arange(len(n)), n)
+    window = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + i[row]
+    return row, window, mix(h[row] + (p[row] - window).astype(_U) * _U(_BASE))
 
 
 def _open_windows(found: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """t, i, j (= i) of the windows low to high of anchors that stand elsewhere too."""
-    own = stored(found.join(open_, ["t", "p"]).select("t", "p", "low", "high", "prefix", "suffix"), "open-anchors")
+    """t, i, j of the windows low to high of anchors that stand elsewhere too.
+
+    Windows that may equal an open one have an anchor of the same bytes at the same offset; of those, the ones with the
+    bytes of an open window are sorted beside them."""
+    own = stored(found.join(open_, ["t", "p"]).select("p", F.col("low").alias("i"), F.col("high").alias("j"), "prefix", "suffix"), "open-anchors")
+    gram = F.xxhash64(F.substring("suffix", 1, GRAM)).alias("h")
+    longs = lambda batch, c: batch.column(c).to_numpy(zero_copy_only=False)
+
+    def windows_of(batch, may=None):
+        """(row, window, bytes) of the windows of a batch of anchors, of those whose bytes and offset the filter knows."""
+        p, i = longs(batch, "p"), longs(batch, "i")
+        row, window, o = _offsets(longs(batch, "h").view(_U), p, i, longs(batch, "j"))
+        if may is not None:
+            known = holds(may, o)
+            row, window = row[known], window[known]
+        last, text, at = -1, b"", 0
+        for r, w in zip(row.tolist(), window.tolist()):
+            if r != last:
+                before = batch.column("prefix")[r].as_py()
+                before = before[:-1] if before[-1:] == END else before
+                last, text, at = r, before[::-1] + batch.column("suffix")[r].as_py(), len(before) - int(p[r])
+            yield r, w, text[w + at : w + at + length]
 
     def hashed(batches):
         for batch in batches:
-            h = [gram_hashes(_windows(a, b, p, i, j, length), length) for p, i, j, a, b in zip(*(batch.column(c).to_pylist() for c in ("p", "low", "high", "prefix", "suffix")))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(h)).view(np.int64) if h else [], pa.int64())], names=["h"])
+            _, _, o = _offsets(longs(batch, "h").view(_U), longs(batch, "p"), longs(batch, "i"), longs(batch, "j"))
+            d = np.fromiter((_digest(w) for _, _, w in windows_of(batch)), _U, len(o))
+            yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array(o.view(np.int64))], names=["d", "o"])
 
-    known = bloom(own.mapInArrow(hashed, "h long"))
-    gram = F.xxhash64(F.substring("suffix", 1, GRAM)).alias("h")
-    grams = bloom(own.select(gram))
-    kind = pa.schema([("t", pa.binary()), ("p", pa.int64()), ("w", pa.binary()), ("none", pa.binary())])
+    keys = stored(own.select("*", gram).mapInArrow(hashed, "d long, o long").distinct(), "open-keys")
+    same, near = bloom(keys.select(F.col("d").alias("h"))), bloom(keys.select(F.col("o").alias("h")))
+    kind = pa.schema([("t", pa.binary()), ("p", pa.int64()), ("j", pa.int64()), ("w", pa.binary()), ("none", pa.binary())])
 
     def alike(batches):
-        bits = known.value
+        first: dict[bytes, tuple | None] = {}
 
         def rows():
-            first: dict[bytes, tuple | None] = {}
-            for batch in batches:
-                batch = batch.filter(pa.array(holds(grams.value, batch.column("h").to_numpy(zero_copy_only=False).view(_U))))
-                for t, p, i, j, a, b in zip(*(batch.column(c).to_pylist() for c in ("t", "p", "i", "j", "prefix", "suffix"))):
-                    text = _windows(a, b, p, i, j, length)
-                    out = []
-                    for k in np.flatnonzero(holds(bits, gram_hashes(text, length))).tolist():
-                        w = text[k : k + length]
-                        key = hashlib.blake2b(w, digest_size=16).digest()
-                        if key not in first:
-                            first[key] = (t, i + k)
-                            out.append((t, i + k, w, b""))
-                            continue
-                        if first[key]:
-                            out.append((*first[key], None, None))
-                            first[key] = None
-                        out.append((t, i + k, None, None))
-                    if out:
-                        yield tuple(zip(*out))
+            for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+                got = [(r, k, w, _digest(w)) for r, k, w in windows_of(batch, near.value)]
+                good = holds(same.value, np.array([x[3] for x in got], _U))
+                out, run = [], None  # run: windows in a row that the task has met before
+                for r, k, w, _ in (x for x, ok in zip(got, good.tolist()) if ok):
+                    key = hashlib.blake2b(w, digest_size=16).digest()
+                    t = batch.column("t")[r].as_py()
+                    if key not in first:
+                        first[key] = (t, k)
+                        out.append((t, k, k, w, b""))
+                        continue
+                    if first[key]:
+                        out.append((*first[key], first[key][1], None, None))
+                        first[key] = None
+                    if run and run[0] == t and run[2] + 1 == k:
+                        run[2] = k
+                        continue
+                    if run:
+                        out.append((*run, None, None))
+                    run = [t, k, k]
+                if run:
+                    out.append((*run, None, None))
+                if out:
+                    yield tuple(zip(*out))
 
         yield from _in_batches(rows(), kind)
 
     # As among anchors, what a task meets twice is told at once and its first place goes on.
-    windows = stored(found.select("*", gram).mapInArrow(alike, "t binary, p long, w binary, none binary"), "open-windows")
+    windows = stored(found.select("*", gram).mapInArrow(alike, "t binary, p long, j long, w binary, none binary"), "open-windows")
     met = neighbours(windows.where("w IS NOT NULL"), "w", "none", (length + 7) // 8 * 8, 8)
-    both = met.where(F.col("most") == length).select("t", "p").union(windows.where("w IS NULL").select("t", "p"))
-    return both.select("t", F.col("p").alias("i"), F.col("p").alias("j"))
+    single = met.where(F.col("most") == length).select("t", F.col("p").alias("i"), F.col("p").alias("j"))
+    return single.union(windows.where("w IS NULL").select("t", F.col("p").alias("i"), "j"))
 
 
 def cut_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
@@ -384,12 +417,19 @@ def cut_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> D
     def cut(batches):
         for batch in batches:
             n, gone, count, kept = [], [], [], []
-            for text, spans_ in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                out, at, last, runs = [], 0, -1, 0
-                for s in sorted((s["i"], s["j"]) for s in spans_ or ()):
-                    runs += s[0] > last
-                    out.append(text[at : s[0]] if s[0] > at else b"")
-                    at = last = max(at, s[1])
+            spans_, texts = batch.column("spans"), batch.column("text")
+            for r in range(len(texts)):
+                text, row = texts[r].as_py(), spans_[r].values
+                out, at, runs = [], 0, 0
+                if row is not None and len(row):
+                    i, j = (row.field(c).to_numpy(zero_copy_only=False) for c in "ij")
+                    order = np.argsort(i, kind="stable")
+                    i, reach = i[order], np.maximum.accumulate(j[order])
+                    first = np.flatnonzero(np.concatenate(([True], i[1:] > reach[:-1])))
+                    runs = len(first)
+                    for s, e in zip(i[first].tolist(), reach[np.append(first[1:], len(i)) - 1].tolist()):
+                        out.append(text[at:s])
+                        at = e
                 left = b"".join(out) + text[at:]
                 n.append(len(text))
                 gone.append(len(text) - len(left))
