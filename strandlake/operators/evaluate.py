@@ -110,16 +110,18 @@ def paired_comparison(cases: DataFrame, by: str = "panel") -> DataFrame:
 
 
 def mcnemar_exact(pairs: DataFrame) -> DataFrame:
-    """mode, b, c and the two-sided exact binomial p; terms are summed as logarithms, one row per term."""
+    """mode, b, c and the two-sided exact binomial p. One walk over the smaller count: each logarithm of a binomial
+    coefficient follows from the one before it."""
     n, k = F.col("a_only") + F.col("b_only"), F.least("a_only", "b_only")
-    terms = pairs.select("mode", F.col("a_only").alias("b"), F.col("b_only").alias("c"), n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), k)).alias("i"))
-    log_choose = _log_factorial(F.col("n")) - _log_factorial(F.col("i")) - _log_factorial(F.col("n") - F.col("i"))
-    tail = F.sum(F.exp(log_choose - F.col("n") * F.log(F.lit(2.0))))
-    return terms.groupBy("mode", "b", "c").agg(F.least(F.lit(1.0), 2 * tail).alias("p"))
+    floor = n * F.log(F.lit(2.0))
+    start = F.struct(F.lit(0.0).alias("c"), F.exp(-floor).alias("s"))
 
+    def step(acc, i):
+        c = acc["c"] + F.log((n - i + 1) / i)
+        return F.struct(c.alias("c"), (acc["s"] + F.exp(c - floor)).alias("s"))
 
-def _log_factorial(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), n), F.lit(0.0), lambda acc, i: acc + F.when(i > 1, F.log(i.cast("double"))).otherwise(0.0))
+    tail = F.when(k > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long"))), start, step, lambda acc: acc["s"])).otherwise(F.exp(-floor))
+    return pairs.select("mode", F.col("a_only").alias("b"), F.col("b_only").alias("c"), F.least(F.lit(1.0), 2 * tail).alias("p"))
 
 
 def input_identity_check(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -202,6 +204,15 @@ def differential_agreement(a: DataFrame, b: DataFrame, keys: list[str], inputs:
     return out.agg(F.count_if(F.col("different") == 0).alias("agreed"), F.count_if(F.col("different") > 0).alias("disagreed"), F.count_if(F.col("different").isNull()).alias("both_empty"))
 
 
+def agreement_histogram(a: DataFrame, b: DataFrame, keys: list[str], inputs: DataFrame) -> DataFrame:
+    """How many inputs have each number of rows that the two implementations share, and that only one of them has."""
+    count = lambda df, name: df.groupBy(*df.columns).agg(F.count("*").alias(name))
+    joined = count(a, "m").join(count(b, "k"), a.columns, "full").na.fill(0, ["m", "k"])
+    each = joined.groupBy(*keys).agg(F.sum(F.least("m", "k")).alias("shared"), F.sum(F.col("m") - F.least("m", "k")).alias("only_a"), F.sum(F.col("k") - F.least("m", "k")).alias("only_b"))
+    out = inputs.select(*keys).distinct().join(each, keys, "left").na.fill(0, ["shared", "only_a", "only_b"])
+    return out.groupBy("shared", "only_a", "only_b").agg(F.count("*").alias("inputs"))
+
+
 def call_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Transitions of calls on the same input hash; other accessions are counted with the reason."""
     joined = before.select("accession", F.col("sha256").alias("h0"), F.col("call").alias("c0")).join(after.select("accession", F.col("sha256").alias("h1"), F.col("call").alias("c1")), "accession", "full")

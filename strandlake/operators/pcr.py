@@ -132,6 +132,35 @@ def cap_flags(amps: DataFrame, cap: int) -> DataFrame:
     return amps.groupBy("pair_id", "source").agg(F.count("*").alias("n"), (F.count("*") > cap).alias("truncated"))
 
 
+def anneal_extension(sites: DataFrame) -> DataFrame:
+    """How far each primer anneals on each template and strand: the longest length that any of its places reaches, the 5'
+    tail that is left over, the places that reach it, and the fewest mismatches among them."""
+    return sites.groupBy("pair_id", "primer", "seq_id", "orientation").agg(F.max("anneal_len").alias("anneal_len"), F.min("tail5").alias("tail5"), F.count("*").alias("n_sites"), F.min("mm").alias("min_mm"))
+
+
+def site_caps(sites: DataFrame, cap: int = 4000) -> DataFrame:
+    """Primers with more places on a strand of a template than cap: reported, never cut silently."""
+    return sites.groupBy("pair_id", "primer", "seq_id", "orientation").agg(F.count("*").alias("n"), (F.count("*") > cap).alias("truncated"))
+
+
+def on_target_by_span(amps: DataFrame, spans: DataFrame, slack: int = 5) -> DataFrame:
+    """amps with on_target (two-primer products inside the target span of their pair and template, give or take slack) and
+    ``place`` among the products of a pair and template: on target first, then fewest mismatches, two primers before one,
+    start. A pair without a span has nothing on target."""
+    span = spans.select("pair_id", "source", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
+    inside = (F.col("start") >= F.col("t_start") - slack) & (F.col("end") <= F.col("t_end") + slack) & ~F.col("single_primer")
+    out = amps.join(span, ["pair_id", "source"], "left").withColumn("on_target", F.coalesce(inside, F.lit(False))).drop("t_start", "t_end")
+    order = Window.partitionBy("pair_id", "source").orderBy(~F.col("on_target"), F.col("fwd_mm") + F.col("rev_mm"), "single_primer", "start", "end", "fwd_primer", "rev_primer")
+    return out.withColumn("place", F.row_number().over(order))
+
+
+def sequence_counts(amps: DataFrame) -> DataFrame:
+    """Products of each pair by sequence, the busiest first: place, and those of two primers, of one, and on target."""
+    single = F.col("single_primer")
+    counts = amps.groupBy("pair_id", "source").agg(F.count("*").alias("n"), F.count_if(~single).alias("n_pair"), F.count_if(single).alias("n_single"), F.count_if(F.col("on_target") & ~single).alias("n_on"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("n"), "source")))
+
+
 def genome_on_target(amps: DataFrame, loci: DataFrame) -> DataFrame:
     """amps with on_target: of a pair's two-primer products that overlap its locus, the one that overlaps most
     (then of smallest start)."""

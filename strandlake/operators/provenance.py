@@ -10,10 +10,20 @@ VOLATILE = ("created_utc", "environment", "elapsed_s", "host", "retrieved_utc")
 
 
 def seal(df: DataFrame, key: str, exclude: tuple[str, ...] = VOLATILE) -> DataFrame:
-    """key and a hash of the row's other columns in the order of their names, less the excluded ones."""
+    """key and a hash of the row's other columns as JSON, in the order of their names, less the excluded ones. JSON escapes
+    what it quotes and writes nulls, so that different rows never read alike."""
     names = sorted(c for c in df.columns if c != key and c not in exclude)
-    parts = (F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("\x00"))) for c in names)
-    return df.select(key, F.sha2(F.concat_ws("\x1f", *parts), 256).alias("seal"))
+    return df.select(key, F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in names)), {"ignoreNullFields": "false"}), 256).alias("seal"))
+
+
+def seal_coverage(derived: DataFrame, sealed: DataFrame) -> DataFrame:
+    """Parameters that decide a run against those its seal records (both: run_id, parameters as a map of key paths to
+    values): one row for each run and key that is derived but not sealed, sealed but not derived, or sealed with another
+    value."""
+    keys = lambda df, name: df.select("run_id", F.explode("parameters").alias("key", name))
+    live, kept = keys(derived, "derived").withColumn("a", F.lit(True)), keys(sealed, "sealed").withColumn("b", F.lit(True))
+    state = F.when(F.col("b").isNull(), "not sealed").when(F.col("a").isNull(), "not derived").when(~F.col("derived").eqNullSafe(F.col("sealed")), "differs")
+    return live.join(kept, ["run_id", "key"], "full").withColumn("state", state).where("state IS NOT NULL").select("run_id", "key", "derived", "sealed", "state")
 
 
 def table_seal(seals: DataFrame, key: str) -> DataFrame:

@@ -103,13 +103,21 @@ def o96_verdict_matrix(spark, d):
     return ops.verdict_matrix(cells, ("small ring", "red widget", "small", "large", "red")).groupBy("tool", "verdict").agg(F.count("*").alias("n"))
 
 
-def o97_differential_agreement(spark, d):
+def _two_readings(spark, d):
     """All lines on both sides; orders without lines are the inputs for which both are empty."""
     items = derive(spark, d, "lineitem")
     a = items.select("l_orderkey", "l_partkey", F.col("l_quantity").cast("int").alias("q"))
     b = items.select("l_orderkey", "l_partkey", F.when(F.col("l_discount") > 0.09, 0).otherwise(F.col("l_quantity").cast("int")).alias("q"))
     inputs = derive(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")).union(items.select("l_orderkey"))
-    return ops.differential_agreement(a, b, ["l_orderkey"], inputs)
+    return a, b, ["l_orderkey"], inputs
+
+
+def o97_differential_agreement(spark, d):
+    return ops.differential_agreement(*_two_readings(spark, d))
+
+
+def o97_agreement_histogram(spark, d):
+    return ops.agreement_histogram(*_two_readings(spark, d))
 
 
 def o98_call_changes(spark, d):
@@ -179,6 +187,9 @@ ORACLES = {
     "o97_differential_agreement": """WITH a AS (SELECT l_orderkey AS k, l_partkey, CAST(l_quantity AS INT) AS q, count(*) AS m FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey AS k, l_partkey, CASE WHEN l_discount > 0.09 THEN 0 ELSE CAST(l_quantity AS INT) END AS q, count(*) AS m FROM lineitem GROUP BY ALL),
         j AS (SELECT coalesce(a.k, b.k) AS k, count(*) FILTER (WHERE a.m IS DISTINCT FROM b.m) AS different FROM a FULL JOIN b ON a.k = b.k AND a.l_partkey = b.l_partkey AND a.q = b.q GROUP BY 1)
         SELECT count(*) FILTER (WHERE different = 0) AS agreed, count(*) FILTER (WHERE different > 0) AS disagreed, count(*) FILTER (WHERE different IS NULL) AS both_empty FROM (SELECT o_orderkey AS k FROM orders UNION SELECT l_orderkey FROM lineitem) LEFT JOIN j USING (k)""",
+    "o97_agreement_histogram": """WITH a AS (SELECT l_orderkey AS k, l_partkey, CAST(l_quantity AS INT) AS q, count(*) AS m FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey AS k, l_partkey, CASE WHEN l_discount > 0.09 THEN 0 ELSE CAST(l_quantity AS INT) END AS q, count(*) AS n FROM lineitem GROUP BY ALL),
+        j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(m, 0) AS m, coalesce(n, 0) AS n FROM a FULL JOIN b ON a.k = b.k AND a.l_partkey = b.l_partkey AND a.q = b.q), e AS (SELECT k, CAST(sum(least(m, n)) AS BIGINT) AS shared, CAST(sum(m - least(m, n)) AS BIGINT) AS only_a, CAST(sum(n - least(m, n)) AS BIGINT) AS only_b FROM j GROUP BY k)
+        SELECT coalesce(shared, 0) AS shared, coalesce(only_a, 0) AS only_a, coalesce(only_b, 0) AS only_b, count(*) AS inputs FROM (SELECT o_orderkey AS k FROM orders UNION SELECT l_orderkey FROM lineitem) LEFT JOIN e USING (k) GROUP BY ALL""",
     "o98_call_changes": f"""WITH {_BOTH}, s AS (SELECT CASE WHEN h0 IS NULL THEN 'no earlier run' WHEN h1 IS NULL THEN 'no later run' WHEN h0 <> h1 THEN 'input changed' WHEN c0 IS NOT DISTINCT FROM c1 THEN 'unchanged' ELSE 'moved' END AS state, c0, c1 FROM j)
         SELECT state, CASE WHEN state IN ('unchanged', 'moved') THEN c0 END AS before, CASE WHEN state IN ('unchanged', 'moved') THEN c1 END AS after, count(*) AS n FROM s GROUP BY ALL""",
     "o99_orphan_results": """WITH r AS (SELECT l_partkey AS accession, count(*) AS n_results, count(*) FILTER (WHERE l_discount > 0.01) AS n_cases FROM lineitem GROUP BY 1)

@@ -91,6 +91,21 @@ def o62_seal_audit(spark, d):
     return provenance.seal_audit(provenance.seal(m, "input_id"))
 
 
+def _parameters(spark, d, sealed: bool):
+    """Parameters of each order: those that are derived, and those that its seal kept of them."""
+    o = derive(spark, d, "orders")
+    k = F.col("o_orderkey")
+    pairs = [("detectors.ltr.min_len", "o_custkey", k % 7 == 1), ("detectors.tir.seed", "o_orderpriority", k % 5 == 2), ("scan.budget", "o_orderstatus", k % 11 == 3)]
+    every = [F.struct(F.lit(key).alias("key"), (F.when((k % 13 == 0), F.lit("other")).otherwise(F.col(c).cast("string")) if sealed and key == "scan.budget" else F.col(c).cast("string")).alias("value"), (gone if sealed else F.lit(False)).alias("gone")) for key, c, gone in pairs]
+    every.append(F.struct(F.lit("library.release" if sealed else "library.path").alias("key"), F.lit("r").alias("value"), (k % 3 > 0).alias("gone")))
+    held = F.filter(F.array(*every), lambda x: ~x["gone"])
+    return o.select(k.alias("run_id"), F.map_from_entries(F.transform(held, lambda x: F.struct(x["key"], x["value"]))).alias("parameters"))
+
+
+def o62_seal_coverage(spark, d):
+    return provenance.seal_coverage(_parameters(spark, d, False), _parameters(spark, d, True))
+
+
 def o65_run_status(spark, d):
     o = derive(spark, d, "lineitem")
     units = o.select(F.col("l_suppkey").alias("genome"), F.col("l_partkey").alias("unit"))
@@ -134,7 +149,7 @@ _LEDGER = """exp AS (SELECT *, CASE WHEN rt THEN CASE WHEN yr AND NOT intg THEN
         ELSE CASE WHEN n_domains > 0 THEN 'coding fragment (' || array_to_string(p, '–') || CASE WHEN ltr OR tir THEN ' detected; RT/pol not confirmed)' ELSE ' detected; no structural context)' END WHEN ltr OR tir THEN 'structural-only (terminal repeats, no coding domain detected)' ELSE 'none' END END AS tier,
         CASE way WHEN 'dirs' THEN 'DIRS-group retroelement (tyrosine recombinase)' WHEN 'retro' THEN CASE WHEN NOT ltr THEN 'retroelement (LTR not confirmed)' WHEN env THEN 'ERV (env-bearing LTR retroelement)' ELSE 'LTR retroelement' END WHEN 'line' THEN 'non-LTR retroelement (LINE-like)'
         WHEN 'dna' THEN CASE WHEN tir_ok THEN 'DNA transposon' ELSE 'DNA transposon (terminal repeats not confirmed)' END ELSE CASE WHEN ltr THEN 'LTR retroelement' WHEN tir THEN 'DNA transposon' WHEN n_domains > 0 THEN 'coding fragment' ELSE 'none' END END AS kind FROM pm)"""
-_S = "sha256('input=' || o_custkey || chr(31) || 'params=' || o_orderstatus || chr(31) || 'run_type=' || o_orderpriority)"
+_S = """sha256('{"input":' || o_custkey || ',"params":"' || o_orderstatus || '","run_type":"' || o_orderpriority || '"}')"""
 
 ORACLES = {
     "o32_dedup_domain_hits": duck("""WITH h AS (SELECT hit_id, seq_id % 100 AS seq_id, domain, strand, score, start % 4000 AS start, start % 4000 + 200 + hit_id % 300 AS "end" FROM domain_hits),
@@ -161,8 +176,11 @@ ORACLES = {
     "o61_seal": f"SELECT o_orderkey AS run_id, {_S} AS seal FROM orders",
     "o61_table_seal": f"""WITH s AS (SELECT {_S} AS seal FROM orders), e AS (SELECT seal, count(*) AS n, seal || ':' || count(*) AS entry FROM s GROUP BY seal), r AS (SELECT substr(seal, 1, 4) AS range, sum(n) AS n, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS h FROM e GROUP BY 1)
         SELECT substr(range, 1, 2) AS shard, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(range || ':' || h, chr(10) ORDER BY range || ':' || h)) AS digest FROM r GROUP BY 1""",
-    "o62_seal_audit": """WITH s AS (SELECT o_custkey AS i, sha256('input=' || o_custkey || chr(31) || 'params=' || o_orderstatus) AS s FROM orders), a AS (SELECT i, count(DISTINCT s) AS m FROM s GROUP BY i), b AS (SELECT s, count(DISTINCT i) AS m FROM s GROUP BY s)
+    "o62_seal_audit": """WITH s AS (SELECT o_custkey AS i, sha256('{"input":' || o_custkey || ',"params":"' || o_orderstatus || '"}') AS s FROM orders), a AS (SELECT i, count(DISTINCT s) AS m FROM s GROUP BY i), b AS (SELECT s, count(DISTINCT i) AS m FROM s GROUP BY s)
         SELECT (SELECT count(*) FROM a) AS inputs, (SELECT count(*) FROM a WHERE m > 1) AS unstable, (SELECT count(*) FROM b) AS seals, (SELECT count(*) FROM b WHERE m > 1) AS shared""",
+    "o62_seal_coverage": """WITH p AS (SELECT o_orderkey AS k, unnest([struct_pack(key := 'detectors.ltr.min_len', a := CAST(o_custkey AS VARCHAR), b := CASE WHEN o_orderkey % 7 <> 1 THEN CAST(o_custkey AS VARCHAR) END), struct_pack(key := 'detectors.tir.seed', a := o_orderpriority, b := CASE WHEN o_orderkey % 5 <> 2 THEN o_orderpriority END),
+        struct_pack(key := 'scan.budget', a := o_orderstatus, b := CASE WHEN o_orderkey % 11 = 3 THEN NULL WHEN o_orderkey % 13 = 0 THEN 'other' ELSE o_orderstatus END), struct_pack(key := 'library.path', a := CASE WHEN o_orderkey % 3 = 0 THEN 'r' END, b := NULL), struct_pack(key := 'library.release', a := NULL, b := CASE WHEN o_orderkey % 3 = 0 THEN 'r' END)]) AS x FROM orders)
+        SELECT k AS run_id, x.key AS key, x.a AS derived, x.b AS sealed, CASE WHEN x.b IS NULL THEN 'not sealed' WHEN x.a IS NULL THEN 'not derived' ELSE 'differs' END AS state FROM p WHERE x.a IS DISTINCT FROM x.b""",
     "o65_run_status": """WITH u AS (SELECT l_suppkey AS genome, l_partkey AS unit, bool_or(l_linestatus = 'F') AS ok FROM lineitem GROUP BY ALL) SELECT genome, count(*) AS total, count(*) FILTER (WHERE ok) AS finished, count(*) FILTER (WHERE NOT ok) AS pending FROM u GROUP BY genome""",
     "o66_runtime_model": """WITH g AS (SELECT l_suppkey AS job, l_orderkey * 10 + l_linenumber AS t, max(CAST(l_quantity AS BIGINT)) AS size, max(l_partkey % 90 + CAST(l_quantity AS BIGINT)) AS secs FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY t DESC) AS rn FROM g),
         f AS (SELECT job, count(*) AS n, CAST(sum(size) AS BIGINT) AS sx, CAST(sum(secs) AS BIGINT) AS sy, CAST(sum(size * size) AS BIGINT) AS sxx, CAST(sum(size * secs) AS BIGINT) AS sxy, max(size) AS largest FROM r WHERE rn <= 40 GROUP BY job),

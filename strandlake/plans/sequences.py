@@ -82,6 +82,30 @@ def o69_amplicons(spark, d):
     return products(spark, d)
 
 
+def o68_anneal_extension(spark, d):
+    return pcr.anneal_extension(sites(spark, d))
+
+
+def _spanned(spark, d):
+    """Products against a span of each pair and template: from the first start, as long as the passage."""
+    amps = stored(products(spark, d), "products")  # read twice below
+    first = amps.groupBy("pair_id", "source").agg(F.min("start").alias("start"))
+    spans = first.join(derive(spark, d, "primers").select("pair_id", "target"), "pair_id").select("pair_id", "source", "start", (F.col("start") + F.col("target")).alias("end"))
+    return pcr.on_target_by_span(amps, spans)
+
+
+def o69_on_target_by_span(spark, d):
+    return _spanned(spark, d).select("pair_id", "source", "start", "end", "fwd_primer", "rev_primer", "on_target", "place")
+
+
+def o70_site_caps(spark, d):
+    return pcr.site_caps(sites(spark, d), 1)
+
+
+def o72_sequence_counts(spark, d):
+    return pcr.sequence_counts(_spanned(spark, d))
+
+
 def o70_cap_flags(spark, d):
     return pcr.cap_flags(products(spark, d), 1)
 
@@ -144,6 +168,7 @@ _SITES = """each AS (SELECT pair_id, 'F' AS primer, fwd AS p FROM primers UNION
     site AS (SELECT pair_id, primer, seq_id, orientation, CASE WHEN orientation = '+' THEN l + 20 - anneal_len ELSE l END AS at, CASE WHEN orientation = '+' THEN l + 20 ELSE l + anneal_len END AS "end", CAST(mm AS INT) AS mm, CAST(anneal_len AS INT) AS anneal_len, CAST(20 - anneal_len AS INT) AS tail5 FROM z WHERE anneal_len = best)"""
 _AMPS = _SITES + """, amp AS (SELECT f.pair_id, f.seq_id AS source, f.at AS start, r."end", r."end" - f.at AS length, r."end" - f.at + f.tail5 + r.tail5 AS product_length, f.primer AS fwd_primer, r.primer AS rev_primer, f.mm AS fwd_mm, r.mm AS rev_mm, f.primer = r.primer AS single_primer
     FROM site f JOIN site r ON f.pair_id = r.pair_id AND f.seq_id = r.seq_id AND f.orientation = '+' AND r.orientation = '-' WHERE r."end" > f.at AND r."end" - f.at + f.tail5 + r.tail5 BETWEEN 70 AND 1000)"""
+_SPAN = """sp AS (SELECT pair_id, source, min(start) AS s FROM amp GROUP BY ALL), spanned AS (SELECT amp.*, coalesce(NOT single_primer AND amp.start >= sp.s - 5 AND amp."end" <= sp.s + primers.target + 5, false) AS on_target FROM amp JOIN sp ON sp.pair_id = amp.pair_id AND sp.source = amp.source JOIN primers ON primers.pair_id = amp.pair_id)"""
 _ON = _AMPS + """, loc AS (SELECT pair_id, min(source) AS s FROM amp WHERE NOT single_primer GROUP BY pair_id),
     near AS (SELECT amp.*, row_number() OVER (PARTITION BY amp.pair_id ORDER BY least("end", 5000) - greatest(start, 0) DESC, start, "end") AS rn FROM amp JOIN loc ON amp.pair_id = loc.pair_id AND source = s WHERE NOT single_primer AND start < 5000),
     tgt AS (SELECT amp.*, EXISTS (SELECT 1 FROM near n WHERE rn = 1 AND n.pair_id = amp.pair_id AND n.source = amp.source AND n.start = amp.start AND n."end" = amp."end" AND n.fwd_primer = amp.fwd_primer AND n.rev_primer = amp.rev_primer) AS on_target FROM amp)"""
@@ -175,6 +200,11 @@ ORACLES = {
     "o9_kmer_index": duck("WITH pc AS (SELECT seq_id, a, substr(seq, a + 1, 1006) AS b FROM (SELECT *, unnest(range(0, length(seq), 1000)) AS a FROM seqs)) SELECT substr(b, i + 1, 7) AS kmer, count(*) AS n, CAST(min(a + i) AS INT) AS first_pos, count(DISTINCT seq_id) AS records FROM (SELECT *, unnest(range(0, length(b) - 6)) AS i FROM pc) GROUP BY 1", "seqs"),
     "o10_duplicate_inputs": duck("SELECT sha256(seq) AS sha256, count(*) AS n, min(seq_id) AS first_id FROM seqs GROUP BY 1 HAVING count(*) > 1", "seqs"),
     "o67_primer_sites": duck(f"WITH {_SITES} SELECT * FROM site", "primers", "seqs"),
+    "o68_anneal_extension": duck(f"WITH {_SITES} SELECT pair_id, primer, seq_id, orientation, max(anneal_len) AS anneal_len, min(tail5) AS tail5, count(*) AS n_sites, min(mm) AS min_mm FROM site GROUP BY ALL", "primers", "seqs"),
+    "o70_site_caps": duck(f"WITH {_SITES} SELECT pair_id, primer, seq_id, orientation, count(*) AS n, count(*) > 1 AS truncated FROM site GROUP BY ALL", "primers", "seqs"),
+    "o69_on_target_by_span": duck(f'WITH {_AMPS}, {_SPAN} SELECT pair_id, source, start, "end", fwd_primer, rev_primer, on_target, CAST(row_number() OVER (PARTITION BY pair_id, source ORDER BY NOT on_target, fwd_mm + rev_mm, single_primer, start, "end", fwd_primer, rev_primer) AS INT) AS place FROM spanned', "primers", "seqs"),
+    "o72_sequence_counts": duck(f"""WITH {_AMPS}, {_SPAN}, c AS (SELECT pair_id, source, count(*) AS n, count(*) FILTER (WHERE NOT single_primer) AS n_pair, count(*) FILTER (WHERE single_primer) AS n_single, count(*) FILTER (WHERE on_target) AS n_on FROM spanned GROUP BY ALL)
+        SELECT *, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY n DESC, source) AS INT) AS place FROM c""", "primers", "seqs"),
     "o69_amplicons": duck(f"WITH {_AMPS} SELECT * FROM amp", "primers", "seqs"),
     "o70_cap_flags": duck(f"WITH {_AMPS} SELECT pair_id, source, count(*) AS n, count(*) > 1 AS truncated FROM amp GROUP BY ALL", "primers", "seqs"),
     "o71_genome_on_target": duck(f'WITH {_ON} SELECT pair_id, source, start, "end", single_primer, on_target FROM tgt', "primers", "seqs"),

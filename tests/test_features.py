@@ -108,7 +108,7 @@ def test_evidence_and_annotation_of_an_element(spark):
     hits = spark.createDataFrame([("whole", 1, "RT", "+", 50.0, 500, 800), ("other", 2, "RT", "+", 1.0, 1, 2)], "seq_id string, hit_id int, domain string, strand string, score double, start int, end int")
     made = writers.annotation_features(calls, seqs.select("seq_id", F.length("seq").alias("length")), structure.structural_evidence(seqs), hits)
     lines = [r[0].split("\t") for r in writers.gff3_lines(made).collect()]
-    assert lines[0][2:5] == ["LTR_retrotransposon", "1", str(len(seq))] and lines[0][8] == "ID=TE_whole;Name=LTR/Gypsy"
+    assert lines[0][2:5] == ["LTR_retrotransposon", "1", str(len(seq))] and lines[0][8] == "ID=TE_whole;Name=LTR/Gypsy;Ontology_term=SO:0000186;wicker_code=LTR/Gypsy;te_class=LTR/Gypsy"
     kinds = sorted(x[2] for x in lines[1:])
     assert kinds.count("long_terminal_repeat") == 2 and kinds.count("target_site_duplication") == 2 and "polypeptide_domain" in kinds and all("Parent=TE_whole" in x[8] for x in lines[1:])
 
