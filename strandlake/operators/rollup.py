@@ -62,7 +62,7 @@ def _cells(start: str, end: str) -> Column:
 
 
 #: Hits of an overlap island that are folded at once; larger islands go by rounds.
-FOLDED = 64
+FOLDED = 1024
 #: Width of the bins in which islands begin to be told apart, and of the cells that rounds compare hits in.
 BIN, ROUND_CELL = 1 << 16, 512
 
