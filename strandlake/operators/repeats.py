@@ -7,6 +7,7 @@ from math import lgamma
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
 from .profile import count_of, cut, is_simple, pieces, reverse_complement, words, words_of
 
 #: Superfamily and the length of the target site it duplicates.
@@ -239,6 +240,31 @@ def xdrop_extend(pairs: DataFrame, x_drop: int = 30, piece: int = 256) -> DataFr
     return pairs.select("pair_id", xdrop(F.col("a"), F.col("b"), x_drop, piece).alias("ext"))
 
 
+def xdrop_by_frontier(pairs: DataFrame, seqs: DataFrame, x_drop: int = 30, first: int = 256, growth: int = 16) -> DataFrame:
+    """pairs (pair_id, a_id, b_id) of seqs (seq_id, seq): how far the two sequences extend from their start.
+
+    Only pairs that are still alive go on to the next bases, of which there are growth times as many each round: a round
+    shuffles its own stretch of each sequence, never sequences as a whole. Pairs of unknown ids extend by nothing.
+    """
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("score"), F.lit(0).alias("best"), F.lit(0).alias("ext"), F.lit(True).alias("live"))
+    open_, done, at, size = pairs.select("pair_id", "a_id", "b_id", start.alias("state")), None, 0, first
+    step = lambda acc, x, y: F.when(acc["live"], _extended(x, y, acc, x_drop)).otherwise(acc)
+    while True:
+        part = seqs.select("seq_id", cut("seq", F.lit(at), F.lit(size)).alias("part")).where(F.length("part") > 0)
+        side = lambda name: part.select(F.col("seq_id").alias(f"{name}_id"), F.col("part").alias(name))  # noqa: B023, E731
+        met = open_.join(side("a"), "a_id", "left").join(side("b"), "b_id", "left").withColumns({"a": F.coalesce("a", F.lit("")), "b": F.coalesce("b", F.lit(""))})
+        full = (F.length("a") == size) & (F.length("b") == size)
+        # rows are made, so that a state is worked out once
+        met = met.select("pair_id", "a_id", "b_id", full.alias("full"), F.inline(F.array(F.struct(_in_pieces(F.col("a"), F.col("b"), F.col("state"), step, 256).alias("state")))))
+        met = stored(met.withColumn("go", F.col("full") & F.col("state.live")), "frontier")
+        ended = met.where("NOT go").select("pair_id", F.col("state.ext").alias("ext"))
+        done = ended if done is None else done.union(ended)
+        open_ = met.where("go").select("pair_id", "a_id", "b_id", "state")
+        if open_.isEmpty():
+            return done
+        at, size = at + size, size * growth
+
+
 def span_identity(pairs: DataFrame, piece: int = 1024) -> DataFrame:
     """pairs (pair_id, a, b): equal known bases over the shorter length."""
     n = F.least(F.length("a"), F.length("b"))

@@ -25,7 +25,10 @@ def _pairs(spark, d):
 
 
 def o12_xdrop_extend(spark, d):
-    return ops.xdrop_extend(_pairs(spark, d), 6)
+    s = seqs(spark, d).select("seq_id", "seq")
+    ids = s.select("seq_id").distinct()
+    pairs = ids.join(ids.select((F.col("seq_id") - 1).alias("seq_id")), "seq_id").select(F.col("seq_id").alias("pair_id"), F.col("seq_id").alias("a_id"), (F.col("seq_id") + 1).alias("b_id"))
+    return ops.xdrop_by_frontier(pairs, s, 6)
 
 
 def o13_near_miss_repeats(spark, d):

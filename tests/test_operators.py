@@ -67,6 +67,18 @@ def test_islands_across_bins_and_range_join(spark):
     assert pairs == sum(a[0] == b[0] and a[1] < b[2] and b[1] < a[2] for a in rows for b in rows)
 
 
+def test_extension_by_frontier_is_that_of_whole_sequences(spark):
+    rng = random.Random(6)
+    base = "".join(rng.choice("ACGT") for _ in range(3000))
+    far = base[:1700] + "".join(rng.choice("ACGT") for _ in range(900))
+    seqs = spark.createDataFrame([(1, base), (2, base), (3, far), (4, base[:64]), (5, ""), (6, "T" + base)], "seq_id long, seq string")
+    pairs = spark.createDataFrame([(10 * a + b, a, b) for a in range(1, 7) for b in range(1, 8)], "pair_id long, a_id long, b_id long")
+    got = {r["pair_id"]: r["ext"] for r in repeats.xdrop_by_frontier(pairs, seqs, 6, first=64, growth=4).collect()}
+    a, b = seqs.toDF("a_id", "a"), seqs.toDF("b_id", "b")
+    want = {r["pair_id"]: r["ext"] for r in repeats.xdrop_extend(pairs.join(a, "a_id").join(b, "b_id"), 6).collect()}
+    assert {k: v for k, v in got.items() if k % 10 < 7} == want and want[12] == 3000 and 1700 <= want[13] < 1720 and all(got[10 * a + 7] == 0 for a in range(1, 7))
+
+
 def test_xdrop_matches_a_loop(spark):
     rng = random.Random(3)
     rows = []
