@@ -1,5 +1,7 @@
 """Readers and writers on small files of their formats."""
 
+import random
+
 import pytest
 from strandlake.sources import readers, writers
 from strandlake.streaming import landscape
@@ -77,3 +79,26 @@ def test_incremental_landscape(spark, tmp_path):
     assert spark.read.parquet(str(folder / "hits")).count() == 3
     with pytest.raises(ValueError):
         run({"library": "b"})
+
+
+def test_fasta_chunks_of_any_line_end_and_block(spark, tmp_path):
+    rng = random.Random(5)
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for end in ("\n", "\r\n", "\r"):
+            folder = tmp_path / end.encode().hex()
+            folder.mkdir()
+            seqs = {f"r{i}": "".join(rng.choice("ACGTu n") for _ in range(n)) for i, n in enumerate((0, 5, 60, 61, 5000, 300))}
+            text = "dropped" + end + "".join(f">{k} of {n}{end}" + end.join(s[i : i + 60] for i in range(0, len(s), 60)) + end for n, (k, s) in enumerate(seqs.items()))
+            (folder / "a.fa").write_bytes(text.encode())
+            (folder / "bare.fa").write_bytes(f"ac{end}gt{end}".encode())
+            want = {k: s.upper().replace(" ", "").replace("U", "T") for k, s in seqs.items()} | {"input_sequence": "ACGT"}
+            for size in ("128m", "500"):  # one block a file, and many
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                spark.conf.set("spark.sql.files.openCostInBytes", "1")
+                assert {r["seq_id"]: r["seq"] for r in readers.read_fasta(spark, str(folder)).collect()} == want
+                chunks = readers.read_fasta_chunks(spark, str(folder), 300, 40).collect()
+                assert sorted((r["seq_id"], r["chunk_no"], r["start0"], r["bases"]) for r in chunks) == sorted((k, i, i * 300, s[i * 300 : i * 300 + 340]) for k, s in want.items() if s for i in range(max(0, len(s) - 41) // 300 + 1))
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
