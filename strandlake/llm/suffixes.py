@@ -54,13 +54,13 @@ _UP, _DOWN = _powers(2 * SLICE)
 
 
 def gram_hashes(text: bytes, k: int) -> np.ndarray:
-    """A hash of the k bytes from each place on."""
+    """A polynomial hash of the k bytes from each place on; bytes stand for random words, so that its high half is well mixed."""
     out = []
     for at in range(0, len(text) - k + 1, SLICE):
         b = np.frombuffer(text, np.uint8, min(SLICE + k - 1, len(text) - at), at)
         sums = np.zeros(len(b) + 1, _U)
         np.cumsum(_BYTE[b] * _UP[: len(b)], out=sums[1:])
-        out.append(mix((sums[k:] - sums[:-k]) * _DOWN[: len(b) - k + 1]))
+        out.append((sums[k:] - sums[:-k]) * _DOWN[: len(b) - k + 1])
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
@@ -91,7 +91,7 @@ def anchors(text: bytes, length: int, gram: int = GRAM):
     at = np.searchsorted(few, last)
     while (other := top[few[at]] != h).any():
         at += other
-    return g[few[at]], few[at], first, last
+    return mix(g[few[at]]), few[at], first, last
 
 
 def _words(column: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,8 +246,17 @@ def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
     back = length - GRAM
 
     def hashed(batches):
-        kind = pa.schema([("h", pa.int64()), ("place", pa.int64())])
-        yield from _in_batches(((h.view(np.int64).tolist(), _place(t, p).view(np.int64).tolist()) for t, text in _each_text(batches) for h, p, _, _ in [anchors(text, length)]), kind)
+        held, n = [], 0
+        whole = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*held)], names=["h", "place"])
+        for t, text in _each_text(batches):
+            h, p, _, _ = anchors(text, length)
+            held.append((h, _place(t, p)))
+            n += len(h)
+            if n >= 1 << 16:
+                yield whole()
+                held, n = [], 0
+        if held:
+            yield whole()
 
     places = texts.mapInArrow(hashed, "h long, place long").groupBy("h").agg(F.min("place").alias("low"), F.max("place").alias("high"))
     known = bloom(stored(places.where("low < high").select("h"), "shared-grams"))
