@@ -36,7 +36,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 GRAM = 64
 #: Anchors in a bucket, about; bytes hashed at once.
-BUCKET, SLICE = 1 << 15, 1 << 20
+BUCKET, SLICE = 1 << 14, 1 << 20
 END = b"\xff"  # stands in no UTF-8 text
 _BYTE = mix(np.arange(256, dtype=_U) + _U(77))
 
