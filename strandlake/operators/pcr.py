@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.letters import CODE, blocks, text_bytes, texts, words_at
+from ..functions.tables import stored
 from .profile import count_of, cut, pieces, reverse_complement
 
 #: Bases that a nucleotide code stands for.
@@ -14,6 +19,10 @@ COVERS = {
 }
 
 
+#: Bases that a key may have, and bits of a look-up: keys of up to 10 bases have a bit of their own, longer ones share.
+WORD, SLOT = 31, 20
+
+
 def _covers(code: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for item in COVERS.items() for x in item)), code)
 
@@ -37,15 +46,63 @@ def _append(words: Column, bases: Column) -> Column:
     return F.flatten(F.transform(words, lambda w: F.transform(bases, lambda b: F.concat(w, b))))
 
 
-def primer_sites(primers: DataFrame, seqs: DataFrame, max_mm: int = 2, tp: int = 5, min_anneal: int = 18, max_primer: int = 60, size: int = 1000) -> DataFrame:
+def _places(seqs: DataFrame, keyed: DataFrame, probes: list, tp: int, max_primer: int, size: int) -> DataFrame:
+    """seq_id, m (length of the sequence), no, k, q, from, near, core_bases: places q at which a 3' end of probe no starts and whose key
+    may be one of keyed (no, k), with as many bases around as a primer covers, and those of the core (31 of them at
+    most) as a number. probes: core, range of the block from the 3' end, orientation.
+
+    The bit arrays (128 KB for each probe) are gathered by aggregation: they hold no more, however many the keys are.
+    """
+    slot = F.col("k").bitwiseXOR(F.shiftrightunsigned("k", SLOT)).bitwiseXOR(F.shiftrightunsigned("k", 2 * SLOT)).bitwiseXOR(F.shiftrightunsigned("k", 3 * SLOT)).bitwiseAND((1 << SLOT) - 1)
+    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    held = keyed.select("no", slot.alias("slot")).groupBy("no", F.shiftright("slot", 6).alias("i")).agg(F.bit_or(bit).alias("w")).toArrow()
+    bits = np.zeros((len(probes), 1 << (SLOT - 6)), np.int64)
+    bits[held.column("no").to_numpy(), held.column("i").to_numpy()] = held.column("w").to_numpy()
+    shared = seqs.sparkSession.sparkContext.broadcast(bits)
+    base = pieces(seqs, size, max_primer, max_primer)
+    long_, int_ = T.LongType(), T.IntegerType()
+    schema = T.StructType([base.schema["seq_id"], *(T.StructField(c, t) for c, t in (("m", int_), ("no", int_), ("k", long_), ("q", int_), ("from", int_), ("near", T.StringType()), ("core_bases", long_)))])
+
+    def look_up(batches):
+        tables = [np.unpackbits(row.view(np.uint8), bitorder="little").view(bool) for row in shared.value]
+        for batch in batches:
+            data, starts = text_bytes(batch.column("bases"))
+            m, at, low = (batch.column(c).to_numpy() for c in ("n", "at", "low"))
+            for first, last in blocks(starts):
+                here, ends = data[starts[first] : starts[last]], starts[first : last + 1] - starts[first]
+                code = CODE[here]
+                words = {n: words_at(code, n) for n in {tp, *(b - a for _, a, b, _ in probes)}}
+                for no, (core, a, b, o) in enumerate(probes):
+                    n = max(0, len(here) - b + 1)
+                    block, three = (0, b - tp) if o == "+" else (a, 0)
+                    k = (words[b - a][block : block + n] << 2 * tp) | words[tp][three : three + n]
+                    slots = k if 2 * (b - a + tp) <= SLOT else (k ^ (k >> SLOT) ^ (k >> 2 * SLOT) ^ (k >> 3 * SLOT)) & ((1 << SLOT) - 1)
+                    x = np.flatnonzero(tables[no].take(slots))
+                    row = np.searchsorted(ends, x, "right") - 1
+                    q = low[first:last][row] + x + three - ends[row]
+                    own = (x + b <= ends[row + 1]) & (q >= at[first:last][row]) & (q < at[first:last][row] + size)
+                    x, row, q = x[own], row[own], q[own]
+                    start = np.maximum(ends[row], x + b - max_primer) if o == "+" else x
+                    end = x + b if o == "+" else np.minimum(ends[row + 1], x + max_primer)
+                    if len(x):
+                        span = min(core, WORD)
+                        place = np.clip((x + b - span if o == "+" else x)[:, None] + np.arange(span), 0, len(code) - 1)  # a core beyond the end is no site
+                        around = code[place].astype(np.int64) @ (1 << 2 * np.arange(span - 1, -1, -1, dtype=np.int64))
+                        columns = [batch.column("seq_id").take(pa.array(row + first)), m[first:last][row], np.full(len(x), no, np.int32), k[x], q.astype(np.int32), (low[first:last][row] + start - ends[row]).astype(np.int32), texts(here, start, end), around]
+                        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=schema.names)
+
+    return base.mapInArrow(look_up, schema)
+
+
+def primer_sites(primers: DataFrame, seqs: DataFrame, max_mm: int = 2, tp: int = 5, min_anneal: int = 18, max_primer: int = 60, size: int = 4000) -> DataFrame:
     """Binding sites: pair_id, primer (F/R), seq_id, orientation, at, end, mm, anneal_len, tail5.
 
     The last tp bases of a primer must match, and of the rest of its core at most max_mm may differ: of max_mm + 1 blocks
     of that rest one stands unchanged (pigeonhole). The 3' end with each block is a join key, spelled out where it is
-    degenerate; a place meets a primer only on such a key, and gets the bases around it after that. On the reverse
-    strand the reverse complement of the primer is sought, its 3' end first. Verified over the core, then extended 5'
-    within the mismatch budget; of each primer, template and strand only the longest annealing length is kept.
-    Primers are up to max_primer bases long.
+    degenerate. Places are looked up in bit arrays of all keys first; only those whose bit is set go on, with the bases
+    that a primer may cover there, to meet primers of the same key. On the reverse strand the reverse complement of the
+    primer is sought, its 3' end first. Verified over the core, then extended 5' within the mismatch budget; of each primer, template and
+    strand only the longest annealing length is kept. Primers are up to max_primer bases long.
     """
     each = primers.select("pair_id", F.explode(F.array(F.struct(F.lit("F").alias("primer"), F.col("fwd").alias("p")), F.struct(F.lit("R").alias("primer"), F.col("rev").alias("p")))).alias("x")).select("pair_id", "x.*")
     oriented = each.select("pair_id", "primer", F.explode(F.array(F.struct(F.lit("+").alias("orientation"), F.col("p").alias("w")), F.struct(F.lit("-").alias("orientation"), reverse_complement(F.col("p")).alias("w")))).alias("x")).select("pair_id", "primer", "x.*")
@@ -58,38 +115,28 @@ def primer_sites(primers: DataFrame, seqs: DataFrame, max_mm: int = 2, tp: int =
         cuts = [tp + (core - tp) * i // (max_mm + 1) for i in range(max_mm + 2)]
         probes += [(core, i, cuts[i], cuts[i + 1], o) for i in range(max_mm + 1) for o in "+-"]
 
-    def key(text, three, no):
-        """Key of probe no where the 3' end's tp bases start at place three of the text."""
-        _, _, a, b, o = probes[no]
-        block = cut(text, three + tp - b, F.lit(b - a)) if o == "+" else cut(text, three + a, F.lit(b - a))
-        return block, cut(text, three, F.lit(tp))
-
     keyed = None
     for no, (core, i, a, b, o) in enumerate(probes):
-        block, three = key("w", F.col("n") - tp if o == "+" else F.lit(0), no)
+        stop = min(b, a + WORD - tp)  # a key is one number
+        three = F.col("n") - tp if o == "+" else F.lit(0)
+        block = cut("w", three + tp - stop, F.lit(stop - a)) if o == "+" else cut("w", three + a, F.lit(stop - a))
         mine = oriented.where((F.col("core") == core) & (F.col("orientation") == o))
-        spelled = mine.select("pair_id", "primer", "orientation", "w", "n", "core", F.lit(i).alias("block"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.explode(concrete(F.concat(block, three), b - a + tp)).alias("k"))
-        spelled = spelled.withColumn("k", F.xxhash64(F.lit(no), "k"))
+        words = F.explode(concrete(F.concat(block, cut("w", three, F.lit(tp))), stop - a + tp))
+        span = F.least("core", F.lit(WORD))
+        known = cut("w", F.col("n") - span if o == "+" else F.lit(0), span)
+        mine = mine.withColumn("code", F.when(F.translate(known, "ACGT", "") == "", F.conv(F.translate(known, "ACGT", "0123"), 4, 10).cast("long")))
+        spelled = mine.select("code", "pair_id", "primer", "orientation", "w", "n", "core", F.lit(i).alias("block"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(no).alias("no"), words.alias("k"))
+        spelled = spelled.withColumn("k", F.conv(F.translate("k", "ACGT", "0123"), 4, 10).cast("long"))
         keyed = spelled if keyed is None else keyed.unionByName(spelled)
     if keyed is None:
         return primers.sparkSession.createDataFrame([], "pair_id long, primer string, seq_id long, orientation string, at long, end long, mm int, anneal_len int, tail5 int")
 
-    longest = max(cores)
-    base = pieces(seqs, size, longest, longest + tp)
-    own = F.col("at") - F.col("low")
-
-    def places(no):
-        core, _, a, b, o = probes[no]
-        first, last = (F.greatest(own, F.lit(b - tp)), F.length("bases") - tp) if o == "+" else (own, F.length("bases") - F.lit(max(b, tp)))
-        last = F.least(own + size - 1, last)
-        return F.when(
-            last >= first, F.transform(F.sequence(first, last), lambda i: F.struct((F.col("low") + i).alias("q"), F.xxhash64(F.lit(no), F.concat(*key("bases", i, no))).alias("k")))
-        ).otherwise(F.array().cast("array<struct<q:int,k:bigint>>"))
-
-    probed = base.select("seq_id", "at", F.explode(F.flatten(F.array(*(places(no) for no in range(len(probes)))))).alias("h")).select("seq_id", "at", "h.*")
-    met = probed.join(keyed, "k").drop("k")
-    around = pieces(seqs, size, max_primer, max_primer + tp).select("seq_id", F.col("n").alias("m"), "at", F.col("low").alias("from"), F.col("bases").alias("near"))
-    found = met.join(around, ["seq_id", "at"])
+    keyed = stored(keyed, "primer-keys")  # read twice below
+    found = _places(seqs, keyed, [(core, a, min(b, a + WORD - tp), o) for core, _, a, b, o in probes], tp, max_primer, size).withColumnsRenamed({"no": "p_no", "k": "p_k"})
+    # two bits a base: where the primer has no degenerate code, bases that differ in its core are counted right here
+    odd = F.col("core_bases").bitwiseXOR(F.col("code"))
+    apart = F.bit_count(odd.bitwiseOR(F.shiftrightunsigned(odd, 1)).bitwiseAND(0x5555555555555555))
+    found = found.join(keyed, (F.col("no") == F.col("p_no")) & (F.col("k") == F.col("p_k")) & F.coalesce(apart <= max_mm, F.lit(True))).drop("no", "k", "p_no", "p_k", "code", "core_bases")
     left = F.when(plus, F.col("q") + tp - F.col("n")).otherwise(F.col("q"))
     # as much of the primer as lies on the template; the core must
     low, high = F.greatest(F.lit(0), left), F.least(F.col("m"), left + F.col("n"))
