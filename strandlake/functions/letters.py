@@ -41,3 +41,18 @@ def words_at(code: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         word = (word << 2) | code[i : i + len(word)]
     return word
+
+
+def numbers_at(text: np.ndarray, k: int) -> np.ndarray:
+    """A number for the k letters from each place of one text, whatever its letters: equal for equal words only."""
+    present = np.flatnonzero(np.bincount(text, minlength=256))
+    rank = np.zeros(256, np.int64)
+    rank[present] = np.arange(len(present))
+    letter, m = rank[text], max(0, len(text) - k + 1)
+    word, top = letter[:m], len(present)
+    for i in range(1, k):
+        if top > (1 << 62) // len(present):  # too large to go on: numbered anew
+            seen, word = np.unique(word, return_inverse=True)
+            top = len(seen)
+        word, top = word * len(present) + letter[i : i + m], top * len(present)
+    return word

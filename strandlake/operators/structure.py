@@ -145,6 +145,7 @@ def structural_evidence(seqs: DataFrame) -> DataFrame:
     is only sought there. Repeats that fail the identity floor alone are advisory. state says of a repeat whether its
     target-site duplication was found, is absent, or can't be assessed since the record ends with the element.
     """
+    seqs = stored(seqs.select("seq_id", "seq"), "elements")  # read by every detector
     direct = terminal_direct_repeats(seqs, value("ltr_seed_k"), value("ltr_min_len"), value("ltr_min_anchors"), min_identity=value("ltr_min_identity_pct"))
     direct = stored(direct, "direct-repeats")
     ltr = direct.where(~F.col("advisory"))

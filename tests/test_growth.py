@@ -78,3 +78,62 @@ def test_end_windows_are_read_in_arrays(spark):
     assert {r["seq_id"]: r["tir_len"] for r in found.collect()}[1] >= 90
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "aggregate(" not in plan
+
+
+def brute_direct(t, k, min_ltr, min_anchors, window):
+    n, w = len(t), min(window, len(t) // 2)
+    if w < max(min_ltr, k):
+        return None
+    pairs = [(p3, p5) for p5 in range(w - k + 1) for p3 in range(n - w, n - k + 1) if p3 > p5 + min_ltr and t[p5 : p5 + k] == t[p3 : p3 + k] and "N" not in t[p5 : p5 + k]]
+    if not pairs:
+        return None
+    by = {}
+    for p3, p5 in pairs:
+        by.setdefault(p3 - p5, []).append((p3, p5))
+    d = min(by, key=lambda x: (-len(by[x]), min(by[x])))
+    near = [p5 for x in by if abs(x - d) <= 3 for _, p5 in by[x]]
+    if len(near) < min_anchors:
+        return None
+    lo, hi = min(near), max(near) + k
+
+    def walk(at, step, room):
+        score = best = ext = 0
+        for i in range(room):
+            a, b = t[at + step * i], t[at + step * i + d]
+            score += 1 if a == b != "N" else -2
+            if score > best:
+                best, ext = score, i + 1
+            if score < best - 30:
+                break
+        return ext
+
+    s5, e5 = lo - walk(lo - 1, -1, min(lo, window)), hi + walk(hi, 1, max(0, min(d - hi, n - d - hi, window)))
+    a, size = t[s5:e5], e5 - s5
+    if size < min_ltr or len(set(near)) < max(min_anchors, -(-(size - k + 1) // 100)) or max(map(a.count, "ACGT")) / size > 0.7 or len({a[i : i + 4] for i in range(size - 3)}) < max(4, 0.05 * (size - 3)):
+        return None
+    return s5, e5, s5 + d, e5 + d, round(100 * sum(x == y != "N" for x, y in zip(a, t[s5 + d : e5 + d])) / size, 6), e5 >= w
+
+
+def test_terminal_repeats_make_no_row_for_a_pair_of_words(spark):
+    rng = random.Random(33)
+    bases = lambda n, letters="ACGT": "".join(rng.choice(letters) for _ in range(n))
+    texts = []
+    for _ in range(60):
+        arm = bases(rng.randint(20, 120), rng.choice(("ACGT", "ACGT", "ACGTN", "ACGTRY", "AC")))
+        again = "".join(rng.choice("ACGTN") if rng.random() < 0.04 else c for c in arm)
+        at = rng.randint(0, len(again))
+        again = again[:at] + rng.choice(("", "", "A", "CA")) + again[at:]
+        texts.append(bases(rng.randint(0, 9)) + arm + bases(rng.randint(0, 150)) + again[: rng.choice((len(again), len(again) - 2))] + bases(rng.choice((0, 0, 7))))
+    texts += ["ACGTACCA" * 60, "A" * 300, bases(900), "", None]
+    s = spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string")
+    for k, min_ltr, window in ((5, 20, 6000), (7, 12, 60)):
+        found = repeats.terminal_direct_repeats(s, k, min_ltr, 4, window)
+        got = {r["seq_id"]: (r["s5"], r["e5"], r["s3"], r["e3"], round(r["identity"], 6), r["lower_bound"]) for r in found.collect()}
+        want = {i: b for i, t in enumerate(texts) if t and (b := brute_direct(t, k, min_ltr, 4, window))}
+        assert got == want and len(want) > 20
+    for made in (found, repeats.inverted_repeat_seeds(s)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan and "Exchange" not in plan
+    # windows of one word: 9 million pairs for each sequence, counted a million at a time
+    long = spark.createDataFrame([(1, "ACGTTGCA" * 1500 + "C"), (2, "T" * 12000)], "seq_id long, seq string")
+    assert repeats.terminal_direct_repeats(long).count() == 0
