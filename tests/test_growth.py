@@ -2,7 +2,8 @@
 
 import random
 
-from strandlake.operators import pcr, repeats
+from strandlake.functions import tables
+from strandlake.operators import intervals, pcr, repeats
 
 TURN = str.maketrans("ACGTRYN", "TGCAYRN")
 
@@ -193,3 +194,43 @@ def test_words_are_counted_where_their_sequence_is(spark):
         assert {tuple(r)[:4]: r["cnt"] for r in repeats.self_similarity_matrix(s, k, bins, most, size).collect()} == cells
     plan = repeats.self_similarity_matrix(s, k, bins, most)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "MapInArrow" in profile.kmer_counts(s, k)._jdf.queryExecution().toString()
+
+
+def brute_cover(spans):
+    return len({x for a, b in spans for x in range(min(a, b), max(a, b))})
+
+
+def test_landscape_sums_are_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    rng = random.Random(48)
+    rows = []
+    for i in range(600):
+        a = rng.randrange(-20, 400)
+        rows.append((rng.choice(["c1", "c2", None]), rng.choice(["LINE/L1", "rRNA", None]), a, rng.choice([a, a + rng.randrange(90), a - 7, a + 400, None]), rng.randrange(30)))
+    rows.append(("c3", "all null", 5, None, 3))
+    schema = "query string, class_family string, q_start long, q_end long, divergence long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "hits"))
+    hits = spark.read.schema(schema).parquet(str(tmp_path / "hits"))
+    for width in (16, 1 << 20):
+        got = {(r["query"], r["class_family"]): r for r in intervals.contig_sums(hits, union=True, bin_width=width).collect()}
+        assert set(got) == {r[:2] for r in rows}
+        for key, r in got.items():
+            mine = [x for x in rows if x[:2] == key]
+            whole = [x[2:4] for x in mine if x[3] is not None]
+            assert (r["n"], r["bp"]) == (len(mine), brute_cover(whole) if whole else None)
+            assert r["weighted"] == (sum(d * abs(a - b) for _, _, a, b, d in mine if b is not None) if whole else None)
+        for query in ("c1", "c2", None):
+            assert sum(r["union_bp"] or 0 for k, r in got.items() if k[0] == query) == brute_cover([x[2:4] for x in rows if x[0] == query and x[3] is not None])
+    land = {r["class_family"]: (r["n"], r["bp"]) for r in intervals.repeat_landscape(hits).collect()}
+    assert set(land) == {"LINE/L1", "rRNA"} and all(land[c][0] == sum(x[1] == c for x in rows) for c in land)
+    # twice the files, twice the tasks
+    assert tables.shares(hits) == spark.sparkContext.defaultParallelism
+    one = tables.shares(hits, 100)
+    hits.write.mode("append").parquet(str(tmp_path / "more")), hits.write.mode("append").parquet(str(tmp_path / "more"))
+    assert one > 4 and tables.shares(spark.read.parquet(str(tmp_path / "more")), 100) >= 1.5 * one
+    monkeypatch.setattr(intervals, "shares", lambda df: tables.shares(df, 100))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = intervals.contig_sums(hits)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert f", {one}), REPARTITION_BY_NUM" in plan
