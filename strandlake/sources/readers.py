@@ -85,7 +85,8 @@ def read_repeat_table(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_repeat_lines(lines: DataFrame, keep: list[str]) -> DataFrame:
     """Hits of the lines (value) of a repeat annotation table, with the columns named in keep."""
-    parts = lines.select(*keep, F.split(F.trim("value"), r"\s+").alias("p")).where(F.get("p", F.lit(0)).rlike("^[0-9]+$") & (F.size("p") >= 11))
+    # exploded, so that a line is split once and not for each use of its tokens
+    parts = lines.select(*keep, F.explode(F.array(F.split(F.trim("value"), r"\s+"))).alias("p")).where(F.get("p", F.lit(0)).rlike("^[0-9]+$") & (F.size("p") >= 11))
     t = parts.select(*keep, *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate(OUT_COLUMNS)))
     number = lambda c: F.regexp_replace(c, "[()]", "").try_cast("int")
     minus = F.col("strand") == "C"

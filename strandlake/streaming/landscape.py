@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.intervals import interval_islands
+from ..functions.tables import stored
+from ..operators.intervals import contig_sums
 from ..sources.readers import parse_repeat_lines
 
 
@@ -25,17 +26,12 @@ def check_signature(spark: SparkSession, folder: str, signature: dict[str, str])
 
 
 def unit_sums(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of hit lines (unit, value): rows, merged bases and divergence by unit and class, and each unit's length, each of
-    its contigs as long as its last hit reaches. Units are whole contigs, so that their sums add up."""
-    hits = parse_repeat_lines(lines, ["unit"])
-    width = F.abs(F.col("q_end") - F.col("q_start"))
-    keys = ["unit", "class_family"]
-    rows = hits.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("divergence") * width).alias("weighted"), F.sum(width).alias("width"))
-    islands = interval_islands(hits.select(*keys, "query", F.col("q_start").alias("start"), F.col("q_end").alias("end")), [*keys, "query"])
-    bases = islands.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("bp"))
-    lengths = hits.groupBy("unit", "query").agg(F.max("q_end").alias("length")).groupBy("unit").agg(F.sum("length").alias("length"))
-    units = lines.select("unit").distinct().join(lengths, "unit", "left").withColumn("length", F.coalesce("length", F.lit(0)).cast("long"))
-    return rows.join(bases, keys), units
+    """Of hit lines (unit, value): rows, merged bases and divergence by unit and class, and the length of each unit that has
+    hits, each of its contigs as long as its last hit reaches. Units are whole contigs, so that their sums add up. Lines are
+    parsed once."""
+    told = stored(contig_sums(parse_repeat_lines(lines, ["unit"]), ("unit", "query")), "unit-sums")
+    sums = told.groupBy("unit", "class_family").agg(*(F.sum(c).alias(c) for c in ("n", "weighted", "width", "bp")))
+    return sums, told.groupBy("unit", "query").agg(F.max("length").alias("length")).groupBy("unit").agg(F.sum("length").alias("length"))
 
 
 def incremental_landscape(spark: SparkSession, incoming: str, folder: str, signature: dict[str, str]) -> StreamingQuery:
@@ -46,9 +42,12 @@ def incremental_landscape(spark: SparkSession, incoming: str, folder: str, signa
     lines = spark.readStream.schema(schema).text(incoming).select(F.col("value"), F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("unit"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        sums, units = unit_sums(batch)
-        for name, rows in (("hits", batch.where(F.trim("value").rlike(r"^[0-9]+\s"))), ("sums", sums), ("units", units)):
-            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        put = lambda name, rows: rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        put("hits", batch.where(F.trim("value").rlike(r"^[0-9]+\s")))
+        sums, lengths = unit_sums(spark.read.schema(batch.schema).parquet(f"{folder}/hits/batch={number}"))
+        put("sums", sums)
+        units = batch.select("unit").distinct().join(lengths, "unit", "left")
+        put("units", units.withColumn("length", F.coalesce("length", F.lit(0)).cast("long")))
 
     return lines.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/_checkpoint").trigger(availableNow=True).start()
 
