@@ -10,12 +10,12 @@ from ..operators import pcr, profile
 
 
 def seqs(spark, d):
-    return spread(derive(spark, d, "seqs"), "seq_id")
+    return derive(spark, d, "seqs", "doc_id")
 
 
 def raw(spark, d):
     """Records as they are: the text without white space."""
-    return derive(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), profile.upper(F.regexp_replace("text", r"\s", "")).alias("seq"))
+    return profile.bare(derive(spark, d, "documents", "doc_id"))
 
 
 def s2_chunk_contigs(spark, d):
@@ -36,8 +36,7 @@ def o3_invalid_positions(spark, d):
 
 def o4_nucleotide_gate(spark, d):
     """Records through both gates, and the derived sequences through that for DNA."""
-    gates = [profile.nucleotide_gate(s, m).withColumn("gate", F.lit(name)) for s, m, name in ((raw(spark, d), "protein", "protein"), (raw(spark, d), "dna", "dna"), (seqs(spark, d), "dna", "derived"))]
-    return gates[0].unionByName(gates[1]).unionByName(gates[2])
+    return profile.nucleotide_gates(raw(spark, d), {"protein": "protein", "dna": "dna"}).unionByName(profile.nucleotide_gates(seqs(spark, d), {"derived": "dna"}))
 
 
 def o5_orf_table(spark, d):

@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
 from strandlake.functions import tables
-from strandlake.operators import intervals, pcr, repeats
+from strandlake.functions.derive import derive
+from strandlake.operators import intervals, pcr, profile, repeats
 from strandlake.sources import readers
 from strandlake.streaming import landscape
 
@@ -253,3 +255,23 @@ def test_incremental_landscape_parses_lines_once(spark, tmp_path):
     assert {(r["class_family"], r["n"], r["bp"], r["width"]) for r in sums.collect()} == {("LINE/L1", 2, 150, 200), ("rRNA", 1, 10, 10)}
     plan = readers.parse_repeat_lines(spark.createDataFrame([("x",)], "value string"), [])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_letters_are_counted_in_arrays(spark, tmp_path):
+    texts = ["ACGT acgt\tNn\n", "", None, "MKV*x\x0b\x0c\r w", "é ü ACG ß", "\u00a0\u2003K", "rywsRYkmbdhv", " \t", "A" * 3_000_000 + "é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    raw = profile.bare(docs)
+    up = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    want = [None if x is None else "".join(c for c in x if c not in " \t\n\x0b\x0c\r").translate(up) for x in texts]
+    assert [r["seq"] for r in raw.orderBy("seq_id").collect()] == want
+    got = {r["seq_id"]: r for r in profile.composition(docs.select(F.col("doc_id").alias("seq_id"), F.col("text").alias("seq"))).collect()}
+    for i, x in enumerate(texts):
+        x = (x or "").translate(up)
+        assert [got[i][c] for c in ("length", "a", "n", "ambiguous")] == [len(x), x.count("A"), x.count("N"), sum(x.count(c) for c in "RYSWKMBDHV")]
+    gates = {(r["seq_id"], r["gate"]): r for r in profile.nucleotide_gates(raw, {"p": "protein", "d": "dna"}).collect()}
+    assert len(gates) == 2 * len(texts) and gates[2, "d"]["reason"] == "not nucleotides" and gates[1, "d"]["reason"] == "empty"
+    assert gates[4, "d"]["ratio"] == 0.5 and gates[4, "d"]["ok"] and gates[3, "p"]["ratio"] == 1.0 and gates[0, "p"]["reason"] == "looks like nucleotides"
+    # one row group is one task of reading: its rows are dealt out before their texts are worked on
+    docs.withColumns({"lang": F.lit("en"), "source": F.lit("s")}).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = derive(spark, str(tmp_path), "seqs", "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("regexp_replace") < plan.index("Repartition")
