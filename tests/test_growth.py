@@ -5,8 +5,8 @@ import random
 from pyspark.sql import functions as F
 from strandlake.functions import tables
 from strandlake.functions.derive import derive
-from strandlake.operators import intervals, pcr, profile, repeats
-from strandlake.sources import readers
+from strandlake.operators import intervals, pcr, profile, repeats, rollup
+from strandlake.sources import readers, writers
 from strandlake.streaming import landscape
 
 TURN = str.maketrans("ACGTRYN", "TGCAYRN")
@@ -275,3 +275,24 @@ def test_letters_are_counted_in_arrays(spark, tmp_path):
     docs.withColumns({"lang": F.lit("en"), "source": F.lit("s")}).write.parquet(str(tmp_path / "documents.parquet"))
     plan = derive(spark, str(tmp_path), "seqs", "doc_id")._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.index("regexp_replace") < plan.index("Repartition")
+
+
+def test_spans_flags_and_lines_are_dealt_by_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    rng = random.Random(40)
+    outer = [(rng.randrange(3), i, a, a + rng.choice([0, 50, 9000, 60000])) for i, a in enumerate(rng.randrange(20000) for _ in range(40))]
+    inner = [(rng.randrange(4), i // 2, a, a + rng.randrange(400)) for i, a in enumerate(rng.randrange(30000) for _ in range(200))]
+    for name, rows in (("o", outer), ("i", inner)):
+        spark.createDataFrame(rows, f"seq_id long, {name}_id long, start long, `end` long").write.parquet(str(tmp_path / name))
+    asked = []
+    for module in (rollup, writers):
+        monkeypatch.setattr(module, "shares", lambda df: asked.append(tables.shares(df, 300)) or asked[-1])
+    got = rollup.encloses(spark.read.parquet(str(tmp_path / "o")), spark.read.parquet(str(tmp_path / "i")))
+    want = {}
+    for seq, i, s, e in inner:
+        want[seq, i] = want.get((seq, i), 0) + sum(q == seq and a <= s and e <= b for q, _, a, b in outer)
+    assert {(r["seq_id"], r["i_id"]): r["n_enclosing"] for r in got.collect()} == want and asked[-1] > 4
+    assert got._jdf.queryExecution().optimizedPlan().toString().count(f", {asked[-1]}") == 3
+    features = spark.createDataFrame([(1, "x", s, e, "+", 1.0, f"i{s}", None, "n") for _, _, s, e in inner], "seq_id int, kind string, start int, `end` int, strand string, score double, id string, parent string, name string")
+    lines = writers.gff3_lines(features)
+    places = [int(r["value"].split("\t")[3]) for r in lines.collect()]
+    assert places == sorted(s + 1 for _, _, s, _ in inner) and "gff3-lines" in lines.inputFiles()[0]
