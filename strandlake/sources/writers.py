@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import shares, stored
+
 #: Characters that attributes of a feature line must escape, the percent sign first.
 ESCAPES = (("%", "%25"), (";", "%3B"), ("=", "%3D"), ("&", "%26"), (",", "%2C"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D"))
 
@@ -17,7 +19,8 @@ def escaped(c: Column) -> Column:
 
 def gff3_lines(features: DataFrame) -> DataFrame:
     """features (seq_id, kind, start, end, strand, score, id, parent, name) as lines, 1-based and inclusive. A column
-    ``extra`` (array of key and value) adds attributes in its order; those without a value are left out."""
+    ``extra`` (array of key and value) adds attributes in its order; those without a value are left out. Lines are stored before they are sorted, as ranges
+    are drawn from a pass of its own, and sorted in tasks that follow the input."""
     field = lambda key, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{key}="), escaped(F.col(c))))
     more = []
     if "extra" in features.columns:
@@ -26,7 +29,8 @@ def gff3_lines(features: DataFrame) -> DataFrame:
     attributes = F.concat_ws(";", field("ID", "id"), field("Parent", "parent"), field("Name", "name"), *more)
     dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     line = F.concat_ws("\t", "seq_id", F.lit("strandlake"), "kind", (F.col("start") + 1).cast("string"), F.col("end").cast("string"), dot("score"), dot("strand"), F.lit("."), F.when(attributes == "", ".").otherwise(attributes))
-    return features.repartitionByRange("seq_id", "start").sortWithinPartitions("seq_id", "start", F.desc("end")).select(line.alias("value"))
+    lines = stored(features.select("seq_id", "start", "end", line.alias("value")), "gff3-lines")
+    return lines.repartitionByRange(shares(lines), "seq_id", "start").sortWithinPartitions("seq_id", "start", F.desc("end")).select("value")
 
 
 #: Ontology terms of structural features, and accessions of terms.
