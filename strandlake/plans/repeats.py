@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.derive import derive, duck
-from ..functions.tables import spread
+from ..functions.tables import spread, stored
 from ..operators import profile
 from ..operators import repeats as ops
 from ..operators import rollup
@@ -44,7 +44,7 @@ def o17_inverted_repeat_seeds(spark, d):
 
 
 def o43_record_summary(spark, d):
-    f = flags(spark, d)
+    f = stored(flags(spark, d), "flags")  # read twice
     return ops.record_summary(profile.composition(raw(spark, d)), rollup.classify_elements(f), derive(spark, d, "evidence"), rollup.completeness_ledger(f))
 
 
