@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS, SHIFTS = 26, (0, 19, 38)
@@ -29,3 +30,13 @@ def holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     found = np.zeros(len(h), bool)
     found[left] = True
     return found
+
+
+def passes(bits, h: Column) -> Column:
+    """holds() of the broadcast filter as a column; of the rows only the hashes go to Python."""
+
+    @F.arrow_udf("boolean")
+    def told(h):
+        return pa.array(holds(bits.value, h.to_numpy(zero_copy_only=False).view(_U)))
+
+    return told(h)

@@ -9,8 +9,9 @@ sorted: the place of the least hash of GRAM bytes in the window, which equal win
    thousands of documents share spread over buckets. Each bucket is put in order by a multikey quicksort over
    words of 8 bytes, neighbours are compared, and so are the ends of neighbouring buckets. The same is done by prefix, then
    suffix.
-3. Where a neighbour has the same suffix, the longest common prefix tells which windows repeat, and the other way round.
-   Windows that neither order decides (those whose best neighbours differ) are sorted whole, beside all windows equal to them.
+3. The neighbour with most of the suffix in common, and what it has of the prefix, tell which windows repeat, and the other
+   way round. Windows that neither order decides (between those of the two neighbours) are sorted whole, beside all windows
+   equal to them.
 4. Repeated windows are joined into spans per text, and cut from each document that has the text.
 
 Texts are told apart by their MD5, so that copies are worked on once per task; of a text with copies all goes. Defined
@@ -29,14 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .filters import bloom, holds
+from .filters import bloom, holds, passes
 from .minhash import mix
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 GRAM = 64
 #: Anchors in a bucket, about; bytes hashed at once.
-BUCKET, SLICE = 1 << 14, 1 << 20
+BUCKET, SLICE = 1 << 14, 1 << 16
 END = b"\xff"  # stands in no UTF-8 text
 _BYTE = mix(np.arange(256, dtype=_U) + _U(77))
 
@@ -77,31 +78,19 @@ def anchors(text: bytes, length: int, gram: int = GRAM):
     if len(text) < length:
         return (np.zeros(0, _U), *(np.zeros(0, np.int64) for _ in range(3)))
     g = gram_hashes(text, gram)
-    top = (g >> _U(32)).astype(np.uint32)  # half of the hash is compared: what ties is settled by place alike in equal windows
-    width = length - gram + 1
-    least = _sliding(np.minimum, top, width)
-    # A new anchor serves where the least hash changes, and after a window that begins at its own.
-    own = top[: len(least)] == least
-    first = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | own[:-1])))
-    last = np.append(first[1:], len(least)) - 1
-    h = least[first]
-    # Its place is the next of that hash: places that are least of some window are few.
-    none = np.zeros(width - 1, np.uint32)
-    few = np.flatnonzero(top == _sliding(np.maximum, np.concatenate((none, least, none)), width))
-    at = np.searchsorted(few, last)
-    while (other := top[few[at]] != h).any():
-        at += other
-    return mix(g[few[at]]), few[at], first, last
+    # Half of the hash is compared, above the place: what ties goes to the first place, alike in equal windows.
+    key = (g & _U(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=_U)
+    at = _sliding(np.minimum, key, length - gram + 1).astype(np.uint32)
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    place = at[first].astype(np.int64)
+    return mix(g[place]), place, first, np.append(first[1:], len(at)) - 1
 
 
 def _words(column: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """The strings as rows of bytes, padded with zeros, and their lengths without END."""
     size = np.fromiter(map(len, column), np.int64, len(column))
-    out = np.zeros((len(column), width), np.uint8)
-    flat = np.frombuffer(b"".join(column), np.uint8)
-    row = np.repeat(np.arange(len(column)), size)
-    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
-    closed = np.fromiter((x[-1:] == END for x in column), bool, len(column))
+    out = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in column]), np.uint8).reshape(-1, width)
+    closed = (size > 0) & (out[np.arange(len(out)), np.maximum(size, 1) - 1] == END[0])
     return out, size - closed
 
 
@@ -134,21 +123,21 @@ def _common(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _compared(a, a_size, b, b_size):
-    """most: common bytes of a with the better neighbour; full: of b with neighbours of equal a (-1: none)."""
+    """most: common bytes of a with the better neighbour; full: of b with that one (-1: no neighbour)."""
     n = len(a)
     lead, tail = _common(a, a_size), _common(b, b_size)
-    same = (a[1:] == a[:-1]).all(axis=1) if n > 1 else np.zeros(0, bool)
-    tail = np.where(same, tail, -1)
     most, full = np.full(n, -1), np.full(n, -1)
     if n > 1:
-        most[1:], full[1:] = lead, tail
-        most[:-1], full[:-1] = np.maximum(most[:-1], lead), np.maximum(full[:-1], tail)
+        most[1:] = lead
+        most[:-1] = np.maximum(most[:-1], lead)
+        full[1:] = np.where(lead == most[1:], tail, -1)
+        full[:-1] = np.maximum(full[:-1], np.where(lead == most[:-1], tail, -1))
     return most, full
 
 
 def neighbours(rows: DataFrame, a: str, b: str, a_width: int, b_width: int) -> DataFrame:
-    """For each place (t, p) of rows: most (bytes of a in common with any other place) and full (of b, with places of equal
-    a; -1 where there is none)."""
+    """For each place (t, p) of rows: most (bytes of a in common with any other place) and full (of b, with a place that has
+    so many of a; the most of b that any has where all of a is equal; -1 where there is no other place)."""
     names = ["t", "p", "most", "full", "bucket", "seq", "a", "b"]
 
     def arranged(batches):
@@ -202,7 +191,8 @@ def neighbours(rows: DataFrame, a: str, b: str, a_width: int, b_width: int) -> D
     ends = ends.withColumns({f"{c}0": F.lag(c).over(by) for c in ("t", "p", "a", "b")}).where("t0 IS NOT NULL")
     met = ends.mapInArrow(across, "t binary, p long, most long, full long")
     # Copies of one place may stand in two buckets.
-    return out.select("t", "p", "most", "full").unionByName(met).groupBy("t", "p").agg(F.max("most").alias("most"), F.max("full").alias("full"))
+    best = out.select("t", "p", "most", "full").unionByName(met).groupBy("t", "p").agg(F.max(F.struct("most", "full")).alias("best"))
+    return best.select("t", "p", "best.most", "best.full")
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -239,7 +229,7 @@ def _place(t: bytes, at: np.ndarray) -> np.ndarray:
 
 
 def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """t, p, i, j, prefix (backwards) and suffix of each anchor whose bytes may stand elsewhere too; it serves windows i to j.
+    """t, p, i, j, h, prefix (backwards) and suffix of each anchor whose bytes (hash h) may stand elsewhere too; it serves windows i to j.
 
     Where a task meets the same prefix and suffix again, its windows repeat: they come as rows without prefix and suffix,
     and only the first place goes on to be sorted. A passage of many documents is so one row for each task."""
@@ -263,7 +253,7 @@ def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
 
     def cut(batches):
         bits = known.value
-        kind = pa.schema([("t", pa.binary()), ("p", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("prefix", pa.binary()), ("suffix", pa.binary())])
+        kind = pa.schema([("t", pa.binary()), ("p", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("h", pa.int64()), ("prefix", pa.binary()), ("suffix", pa.binary())])
 
         def rows():
             first: dict[bytes, tuple | None] = {}
@@ -271,24 +261,24 @@ def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
                 h, p, i, j = anchors(text, length)
                 of = np.flatnonzero(holds(bits, h))
                 out = []
-                for at, low, high in zip(p[of].tolist(), i[of].tolist(), j[of].tolist()):
+                for at, low, high, gram in zip(p[of].tolist(), i[of].tolist(), j[of].tolist(), h.view(np.int64)[of].tolist()):
                     prefix = text[at - back : at][::-1] if at >= back else text[:at][::-1] + END
                     suffix = text[at : at + length] if at + length <= len(text) else text[at:] + END
                     key = hashlib.blake2b(prefix + suffix, digest_size=16, salt=len(prefix).to_bytes(4, "little")).digest()
                     if key not in first:
-                        first[key] = (t, at, low, high)
-                        out.append((t, at, low, high, prefix, suffix))
+                        first[key] = (t, at, low, high, gram)
+                        out.append((t, at, low, high, gram, prefix, suffix))
                         continue
                     if first[key]:
                         out.append((*first[key], None, None))
                         first[key] = None
-                    out.append((t, at, low, high, None, None))
+                    out.append((t, at, low, high, gram, None, None))
                 if out:
                     yield tuple(zip(*out))
 
         yield from _in_batches(rows(), kind)
 
-    return texts.mapInArrow(cut, "t binary, p long, i long, j long, prefix binary, suffix binary")
+    return texts.mapInArrow(cut, "t binary, p long, i long, j long, h long, prefix binary, suffix binary")
 
 
 def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
@@ -299,14 +289,16 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     wide = (length + 7) // 8 * 8, (back + 7) // 8 * 8
     forth = neighbours(found, "suffix", "prefix", wide[0], wide[1]).select("t", "p", F.col("most").alias("r"), F.col("full").alias("l_full"))
     aback = neighbours(found, "prefix", "suffix", wide[1], wide[0]).select("t", "p", F.col("most").alias("l"), F.col("full").alias("r_full"))
-    both = found.select("t", "p", "i", "j").distinct().join(forth, ["t", "p"]).join(aback, ["t", "p"])
-    # Of windows i to j, those from `since` and those up to `until` repeat; between them, `low` to `high` may.
+    both = found.select("t", "p", "i", "j", "h").distinct().join(forth, ["t", "p"]).join(aback, ["t", "p"])
+    # Of windows i to j, only those from `bottom` to `top` can repeat; those from `since` on and those up to `until` do, as a
+    # neighbour has both ends in common; between them, `low` to `high` may.
+    both = both.withColumns({"bottom": F.greatest("i", F.col("p") - F.col("l")), "top": F.least("j", F.col("p") + F.col("r") - length)})
     both = both.withColumns({"since": F.when(F.col("l_full") >= 0, F.greatest("i", F.col("p") - F.col("l_full"))).otherwise(F.col("j") + 1), "until": F.when(F.col("r_full") >= 0, F.least("j", F.col("p") + F.col("r_full") - length)).otherwise(F.col("i") - 1)})
-    both = both.withColumns({"low": F.greatest("i", F.col("p") - F.col("l"), F.col("until") + 1), "high": F.least("j", F.col("p") + F.col("r") - length, F.col("since") - 1)})
-    both = stored(both.select("t", "p", "i", "j", "since", "until", "low", "high"), "decided")
-    sure = both.select("t", F.col("since").alias("i"), "j").where("i <= j").union(both.select("t", "i", F.col("until").alias("j")).where("i <= j"))
+    both = both.withColumns({"low": F.greatest("bottom", F.col("until") + 1), "high": F.least("top", F.col("since") - 1)})
+    both = stored(both.select("t", "p", "h", "bottom", "top", "since", "until", "low", "high"), "decided")
+    sure = both.select("t", F.col("since").alias("i"), F.col("top").alias("j")).union(both.select("t", F.col("bottom").alias("i"), F.col("until").alias("j"))).where("i <= j")
     sure = sure.union(told.where("suffix IS NULL").select("t", "i", "j"))
-    return sure.union(_open_windows(found, both.where("low <= high").select("t", "p", "low", "high"), length))
+    return sure.union(_open_windows(found, both.where("low <= high").select("t", "p", "h", "low", "high"), length))
 
 
 def _digest(window: bytes) -> int:
@@ -324,10 +316,11 @@ def _offsets(h: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray) -> tupl
 def _open_windows(found: DataFrame, open_: DataFrame, length: int) -> DataFrame:
     """t, i, j of the windows low to high of anchors that stand elsewhere too.
 
-    Windows that may equal an open one have an anchor of the same bytes at the same offset; of those, the ones with the
-    bytes of an open window are sorted beside them."""
-    own = stored(found.join(open_, ["t", "p"]).select("p", F.col("low").alias("i"), F.col("high").alias("j"), "prefix", "suffix"), "open-anchors")
-    gram = F.xxhash64(F.substring("suffix", 1, GRAM)).alias("h")
+    Windows that may equal an open one have an anchor of the same bytes at the same offset; only anchors of such bytes are
+    looked at, and of their windows the ones with the bytes of an open window are sorted beside them."""
+    known = bloom(open_.select("h").distinct())
+    some = stored(found.where(passes(known, F.col("h"))), "open-anchors")
+    own = some.join(open_.drop("h"), ["t", "p"]).select("p", F.col("low").alias("i"), F.col("high").alias("j"), "h", "prefix", "suffix")
     longs = lambda batch, c: batch.column(c).to_numpy(zero_copy_only=False)
 
     def windows_of(batch, may=None):
@@ -351,7 +344,7 @@ def _open_windows(found: DataFrame, open_: DataFrame, length: int) -> DataFrame:
             d = np.fromiter((_digest(w) for _, _, w in windows_of(batch)), _U, len(o))
             yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array(o.view(np.int64))], names=["d", "o"])
 
-    keys = stored(own.select("*", gram).mapInArrow(hashed, "d long, o long").distinct(), "open-keys")
+    keys = stored(own.mapInArrow(hashed, "d long, o long").distinct(), "open-keys")
     same, near = bloom(keys.select(F.col("d").alias("h"))), bloom(keys.select(F.col("o").alias("h")))
     kind = pa.schema([("t", pa.binary()), ("p", pa.int64()), ("j", pa.int64()), ("w", pa.binary()), ("none", pa.binary())])
 
@@ -387,7 +380,7 @@ def _open_windows(found: DataFrame, open_: DataFrame, length: int) -> DataFrame:
         yield from _in_batches(rows(), kind)
 
     # As among anchors, what a task meets twice is told at once and its first place goes on.
-    windows = stored(found.select("*", gram).mapInArrow(alike, "t binary, p long, j long, w binary, none binary"), "open-windows")
+    windows = stored(some.mapInArrow(alike, "t binary, p long, j long, w binary, none binary"), "open-windows")
     met = neighbours(windows.where("w IS NOT NULL"), "w", "none", (length + 7) // 8 * 8, 8)
     single = met.where(F.col("most") == length).select("t", F.col("p").alias("i"), F.col("p").alias("j"))
     return single.union(windows.where("w IS NULL").select("t", F.col("p").alias("i"), "j"))
@@ -402,29 +395,27 @@ def cut_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> D
     slim = docs.select(F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("t"))
     copies = stored(slim.groupBy("t").agg(F.count("*").alias("n")).where("n > 1"), "copies")
     known = bloom(spans.select("t").union(copies.select("t")).select(F.xxhash64("t").alias("h")))
-    # Texts that hold no span and have no copy need no join.
+    # Texts that hold no span and have no copy need no join, and stay in the JVM as they are.
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select("doc_id", F.unhex(F.md5(text)).alias("t"), F.encode(text, "UTF-8").alias("text")).withColumn("h", F.xxhash64("t"))
-
-    def told(batches):
-        for batch in batches:
-            may = holds(known.value, batch.column("h").to_numpy(zero_copy_only=False).view(_U))
-            yield batch.append_column("may", pa.array(may))
-
+    rows = docs.select("doc_id", F.unhex(F.md5(text)).alias("t"), F.encode(text, "UTF-8").alias("text")).withColumn("may", passes(known, F.xxhash64("t")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = rows.mapInArrow(told, f"doc_id {kind}, t binary, text binary, h long, may boolean").drop("h")
-    # Texts with over a thousandth of all rows are a thousand at most; they go before the join on texts.
+    # Texts with over a thousandth of all rows are a thousand at most; they need no join on texts either, as they go whole.
     hot = F.broadcast(copies.where(F.col("n") > F.lit(docs.count() / 1000)).select("t", F.lit(True).alias("hot")))
-    some = rows.where("may").join(hot, "t", "left")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.length("text").cast("long").alias("j")))
+    size, goes = F.length("text").cast("long"), F.col("hot").isNotNull() & (F.length("text") >= length)
+    plain = rows.join(hot, "t", "left").where("hot OR NOT may").select(
+        "doc_id",
+        size.alias("n_bytes"),
+        F.when(goes, size).otherwise(0).alias("n_removed"),
+        F.when(goes, 1).otherwise(0).cast("long").alias("n_spans"),
+        F.when(goes, F.lit(b"")).otherwise(F.col("text")).alias("kept"),
+    )
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("i"), size.alias("j")))
     is_copy = F.col("copy").isNotNull() & (F.length("text") >= length)
-    joined = some.where("hot IS NULL").join(spans, "t", "left").join(copies.select("t", F.lit(True).alias("copy")), "t", "left")
+    joined = rows.where("may").join(hot, "t", "left_anti").join(spans, "t", "left").join(copies.select("t", F.lit(True).alias("copy")), "t", "left")
     joined = joined.select("doc_id", "text", F.when(is_copy, whole).otherwise(F.col("spans")).alias("spans"))
-    hot_rows = some.where("hot").select("doc_id", "text", F.when(F.length("text") >= length, whole).alias("spans"))
-    plain = rows.where("NOT may").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
 
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             n, gone, count, kept = [], [], [], []
             spans_, texts = batch.column("spans"), batch.column("text")
             for r in range(len(texts)):
@@ -446,4 +437,4 @@ def cut_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> D
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, gone, count)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return plain.unionByName(joined).unionByName(hot_rows).mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return plain.unionByName(joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"))

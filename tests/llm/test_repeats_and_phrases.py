@@ -1,6 +1,7 @@
 """Suffix dedup, collocations and periodic runs against brute force, and their awkward rows."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -50,6 +51,37 @@ def test_suffix_dedup_of_empty_and_clashing_tables(spark):
     assert sorted((r.n_bytes, r.n_removed) for r in suffixes.cut_repeats(clash).collect()) == [(10, 0), (201, 201)]
 
 
+def test_a_bucket_takes_little_more_memory_than_its_bytes():
+    column = [bytes([65 + i % 20]) * (200 - i % 7) + suffixes.END * (i % 7 > 0) for i in range(1 << 14)]
+    tracemalloc.start()
+    rows, size = suffixes._words(column, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [bytes(r).rstrip(b"\0") for r in rows] == column and size.tolist() == [200 - i % 7 for i in range(1 << 14)]
+    assert peak < 5 * rows.nbytes
+
+
+def test_passages_that_one_neighbour_shares_leave_no_window_open(spark, monkeypatch):
+    """Passages end inside an anchor's reach on both sides; the same neighbour is the best both ways."""
+    rnd, open_ = random.Random(7), []
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    docs = []
+    for _ in range(20):
+        passage = word(240)
+        docs += [word(300) + passage + word(300), word(250) + passage + word(350)]
+    real = suffixes._open_windows
+    monkeypatch.setattr(suffixes, "_open_windows", lambda found, rows, length: open_.append(rows.count()) or real(found, rows, length))
+    out = suffixes.cut_repeats(spark.createDataFrame(list(enumerate(docs)), LONG)).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == sorted(removed([t.encode() for t in docs], 200))
+    assert open_ == [0]
+
+
+def test_texts_without_repeats_do_not_pass_through_python(spark, capsys):
+    rows = [(1, "a" * 300), (2, "b" * 20), (3, "c" * 20)]
+    suffixes.cut_repeats(spark.createDataFrame(rows, LONG)).explain("simple")
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
 def test_multikey_quicksort_orders_rows_of_words():
     rnd = np.random.default_rng(3)
     rows = rnd.integers(0, 3, (500, 6)).astype(np.uint64)
