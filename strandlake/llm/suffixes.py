@@ -36,8 +36,8 @@ from .minhash import mix
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 GRAM = 64
-#: Anchors in a bucket, about; bytes hashed at once.
-BUCKET, SLICE = 1 << 14, 1 << 16
+#: Anchors in a bucket, about; bytes hashed at once; anchors or windows that a task knows again (what it has forgotten is sorted).
+BUCKET, SLICE, MET = 1 << 14, 1 << 16, 1 << 17
 END = b"\xff"  # stands in no UTF-8 text
 _BYTE = mix(np.arange(256, dtype=_U) + _U(77))
 
@@ -266,6 +266,8 @@ def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
                     suffix = text[at : at + length] if at + length <= len(text) else text[at:] + END
                     key = hashlib.blake2b(prefix + suffix, digest_size=16, salt=len(prefix).to_bytes(4, "little")).digest()
                     if key not in first:
+                        if len(first) >= MET:
+                            first.clear()
                         first[key] = (t, at, low, high, gram)
                         out.append((t, at, low, high, gram, prefix, suffix))
                         continue
@@ -301,10 +303,6 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     return sure.union(_open_windows(found, both.where("low <= high").select("t", "p", "h", "low", "high"), length))
 
 
-def _digest(window: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little")
-
-
 def _offsets(h: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the windows i to j of each anchor: its row, the window, and a hash of the anchor's bytes and the offset."""
     n = j - i + 1
@@ -324,24 +322,26 @@ def _open_windows(found: DataFrame, open_: DataFrame, length: int) -> DataFrame:
     longs = lambda batch, c: batch.column(c).to_numpy(zero_copy_only=False)
 
     def windows_of(batch, may=None):
-        """(row, window, bytes) of the windows of a batch of anchors, of those whose bytes and offset the filter knows."""
-        p, i = longs(batch, "p"), longs(batch, "i")
-        row, window, o = _offsets(longs(batch, "h").view(_U), p, i, longs(batch, "j"))
+        """Of the windows of a batch of anchors, or those whose bytes and offset the filter knows: row, window, where it starts
+        in the bytes that come fourth, a hash of its own bytes, and one of its anchor's bytes and offset."""
+        p = longs(batch, "p")
+        row, window, o = _offsets(longs(batch, "h").view(_U), p, longs(batch, "i"), longs(batch, "j"))
         if may is not None:
             known = holds(may, o)
-            row, window = row[known], window[known]
-        last, text, at = -1, b"", 0
-        for r, w in zip(row.tolist(), window.tolist()):
-            if r != last:
-                before = batch.column("prefix")[r].as_py()
-                before = before[:-1] if before[-1:] == END else before
-                last, text, at = r, before[::-1] + batch.column("suffix")[r].as_py(), len(before) - int(p[r])
-            yield r, w, text[w + at : w + at + length]
+            row, window, o = row[known], window[known], o[known]
+        before = [x.removesuffix(END) for x in batch.column("prefix").to_pylist()]
+        texts = [x[::-1] + y for x, y in zip(before, batch.column("suffix").to_pylist())]
+        ends = np.cumsum([len(x) for x in texts])
+        zero = np.append(0, ends[:-1]) + [len(x) for x in before] - p
+        at, text = zero[row] + window, b"".join(texts)
+        return row, window, at, text, mix(gram_hashes(text, length)[at]), o
+
+    def sliced(batches):
+        return (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024))
 
     def hashed(batches):
-        for batch in batches:
-            _, _, o = _offsets(longs(batch, "h").view(_U), longs(batch, "p"), longs(batch, "i"), longs(batch, "j"))
-            d = np.fromiter((_digest(w) for _, _, w in windows_of(batch)), _U, len(o))
+        for batch in sliced(batches):
+            *_, d, o = windows_of(batch)
             yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array(o.view(np.int64))], names=["d", "o"])
 
     keys = stored(own.mapInArrow(hashed, "d long, o long").distinct(), "open-keys")
@@ -352,14 +352,16 @@ def _open_windows(found: DataFrame, open_: DataFrame, length: int) -> DataFrame:
         first: dict[bytes, tuple | None] = {}
 
         def rows():
-            for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
-                got = [(r, k, w, _digest(w)) for r, k, w in windows_of(batch, near.value)]
-                good = holds(same.value, np.array([x[3] for x in got], _U))
+            for batch in sliced(batches):
+                row, window, at, text, d, _ = windows_of(batch, near.value)
+                good = holds(same.value, d)
                 out, run = [], None  # run: windows in a row that the task has met before
-                for r, k, w, _ in (x for x, ok in zip(got, good.tolist()) if ok):
+                for r, k, w in zip(row[good].tolist(), window[good].tolist(), (text[a : a + length] for a in at[good].tolist())):
                     key = hashlib.blake2b(w, digest_size=16).digest()
                     t = batch.column("t")[r].as_py()
                     if key not in first:
+                        if len(first) >= MET:
+                            first.clear()
                         first[key] = (t, k)
                         out.append((t, k, k, w, b""))
                         continue

@@ -51,6 +51,19 @@ def test_suffix_dedup_of_empty_and_clashing_tables(spark):
     assert sorted((r.n_bytes, r.n_removed) for r in suffixes.cut_repeats(clash).collect()) == [(10, 0), (201, 201)]
 
 
+def test_a_task_forgets_what_it_met_and_still_finds_all_repeats(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "MET", 3)
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
+    passages = [word(rnd.randint(220, 600)) for _ in range(4)]
+    docs = []
+    for _ in range(40):
+        p, q, a = rnd.choice(passages), rnd.choice(passages), rnd.randrange(100)
+        docs.append(word(rnd.randint(0, 90)) + p[a:] + rnd.choice([q, q[:a] + "X" + q[a:], word(30)]))
+    out = suffixes.cut_repeats(spark.createDataFrame(list(enumerate(docs)), LONG).coalesce(1)).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == sorted(removed([t.encode() for t in docs], 200))
+
+
 def test_a_bucket_takes_little_more_memory_than_its_bytes():
     column = [bytes([65 + i % 20]) * (200 - i % 7) + suffixes.END * (i % 7 > 0) for i in range(1 << 14)]
     tracemalloc.start()
