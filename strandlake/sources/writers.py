@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import shares, stored
+from ..functions.tables import apart, shares, stored
 
 #: Characters that attributes of a feature line must escape, the percent sign first.
 ESCAPES = (("%", "%25"), (";", "%3B"), ("=", "%3D"), ("&", "%26"), (",", "%2C"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D"))
@@ -72,30 +72,34 @@ def _extra(term: Column, **values: Column) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in {"Ontology_term": known, **values}.items())).alias("extra")
 
 
-def annotation_features(calls: DataFrame, lengths: DataFrame, evidence: DataFrame, hits: DataFrame) -> DataFrame:
+def annotation_features(calls: DataFrame, lengths: DataFrame | None, evidence: DataFrame, hits: DataFrame) -> DataFrame:
     """Feature rows of elements for gff3_lines: the element under the term that its evidence admits, its structures and its
     domains as children.
 
     calls: seq_id, te_class, so_term and, where they are known, confidence, tier and scope (what was searched at all), which
-    become attributes of the element as its class does; lengths: seq_id, length; evidence as structural_evidence gives it (repeats that are
+    become attributes of the element as its class does; lengths: seq_id, length, or None where calls have their length; evidence as structural_evidence gives it (repeats that are
     advisory make no feature; both copies of a repeat and both ends of a site duplication make one each); hits: seq_id,
-    hit_id, domain, strand, score, start, end.
+    hit_id, domain, strand, score, start, end. Hits and the elements they are looked up in are dealt out alike, over tasks
+    that follow the input.
     """
+    tasks = shares(hits)
+    calls = calls.where(F.col("seq_id").isNotNull())
+    sized, ids = calls if lengths is None else calls.join(apart(lengths), "seq_id"), apart(calls.select("seq_id").repartition(tasks, "seq_id"))
     none = F.lit(None).cast("string")
     own = F.concat(F.lit("TE_"), F.col("seq_id").cast("string"))
     columns = ["seq_id", "kind", "start", "end", "strand", "score", "id", "parent", "name", "extra"]
     known = lambda c: F.col(c) if c in calls.columns else none
-    element = calls.join(lengths, "seq_id").select("seq_id", F.col("so_term").alias("kind"), F.lit(0).alias("start"), F.col("length").cast("int").alias("end"), none.alias("strand"), F.lit(None).cast("double").alias("score"), own.alias("id"), none.alias("parent"), F.col("te_class").alias("name"), _extra(F.col("so_term"), wicker_code=F.col("te_class"), te_class=F.col("te_class"), classification_confidence=known("confidence"), completeness_tier=known("tier"), domains_tested_scope=known("scope")))
+    element = sized.select("seq_id", F.col("so_term").alias("kind"), F.lit(0).alias("start"), F.col("length").cast("int").alias("end"), none.alias("strand"), F.lit(None).cast("double").alias("score"), own.alias("id"), none.alias("parent"), F.col("te_class").alias("name"), _extra(F.col("so_term"), wicker_code=F.col("te_class"), te_class=F.col("te_class"), classification_confidence=known("confidence"), completeness_tier=known("tier"), domains_tested_scope=known("scope")))
     inner = F.split(F.coalesce("detail", F.lit("")), " ")
     span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
     start, end, n = F.col("start"), F.col("end"), F.col("length")
     two = F.when(F.col("kind").isin("LTR", "TIR"), F.array(span(start, F.get(inner, F.lit(0)).try_cast("int")), span(F.get(inner, F.lit(1)).try_cast("int"), end))).when(F.col("kind") == "TSD", F.array(span(start, start + n), span(end - n, end)))
     term = F.element_at(F.create_map(*(F.lit(x) for item in STRUCTURES.items() for x in item)), F.col("kind"))
-    shown = evidence.where(F.col("kind").isin(*STRUCTURES) & (~F.col("advisory") | (F.col("kind") == "polyA-signal"))).join(calls.select("seq_id"), "seq_id", "left_semi")
+    shown = evidence.where(F.col("kind").isin(*STRUCTURES) & (~F.col("advisory") | (F.col("kind") == "polyA-signal"))).join(ids, "seq_id", "left_semi")
     bound = F.when(F.col("lower_bound"), "true") if "lower_bound" in evidence.columns else none
     parts = shown.select("seq_id", "kind", term.alias("term"), _extra(term, length_is_lower_bound=bound, identity_pct=F.col("identity") if "identity" in evidence.columns else none), F.explode(F.coalesce(two, F.array(span(start, end)))).alias("s"))
     structures = parts.select("seq_id", F.col("term").alias("kind"), "s.start", "s.end", none.alias("strand"), F.lit(None).cast("double").alias("score"), F.concat_ws(".", own, "kind", F.col("s.start").cast("string")).alias("id"), own.alias("parent"), F.col("kind").alias("name"), "extra")
-    domains = hits.join(calls.select("seq_id"), "seq_id", "left_semi").select("seq_id", F.lit("polypeptide_domain").alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "strand", F.col("score").cast("double").alias("score"), F.concat_ws(".", own, F.lit("d"), F.col("hit_id").cast("string")).alias("id"), own.alias("parent"), F.col("domain").alias("name"), _extra(F.lit("polypeptide_domain")))
+    domains = hits.repartition(tasks, "seq_id").join(ids, "seq_id", "left_semi").select("seq_id", F.lit("polypeptide_domain").alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "strand", F.col("score").cast("double").alias("score"), F.concat_ws(".", own, F.lit("d"), F.col("hit_id").cast("string")).alias("id"), own.alias("parent"), F.col("domain").alias("name"), _extra(F.lit("polypeptide_domain")))
     return element.unionByName(structures).unionByName(domains).select(*columns)
 
 

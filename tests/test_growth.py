@@ -3,6 +3,7 @@
 import random
 
 from pyspark.sql import functions as F
+from strandlake import plans
 from strandlake.functions import tables
 from strandlake.functions.derive import derive
 from strandlake.operators import intervals, pcr, profile, repeats, rollup
@@ -296,3 +297,32 @@ def test_spans_flags_and_lines_are_dealt_by_the_size_of_the_input(spark, tmp_pat
     lines = writers.gff3_lines(features)
     places = [int(r["value"].split("\t")[3]) for r in lines.collect()]
     assert places == sorted(s + 1 for _, _, s, _ in inner) and "gff3-lines" in lines.inputFiles()[0]
+
+
+def test_elements_never_go_whole_through_the_driver(spark, tmp_path, monkeypatch):
+    rng = random.Random(41)
+    events = [(i, rng.randrange(60), rng.randrange(9000) / 100) for i in range(4000)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    customers = [(i, i % 25) for i in range(700)] + [(None, 3)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    made, write = [], writers.write_gff3
+    monkeypatch.setattr(writers, "write_gff3", lambda features, path: write(made.append(features) or features, path))
+    lines = sorted(r["value"] for r in plans.QUERIES["k01_write_gff3"](spark, str(tmp_path)).collect())
+    flags = plans.rollup.flags(spark, str(tmp_path))
+    f = tables.stored(flags, "flags")
+    calls, ledger = rollup.classify_elements(f), rollup.completeness_ledger(f)
+    term = rollup.ontology_term(calls, ledger)
+    # files of elements are small beside their rows: none of their joins may be planned by the bytes of files
+    told = term.join(calls.select("seq_id", "confidence"), "seq_id").join(ledger.select("seq_id", "tier"), "seq_id").withColumn("scope", F.lit("12 domains; 50% of models"))
+    none = spark.range(0).selectExpr("id AS seq_id", "'' AS kind", "1 AS start", "1 AS `end`", "1 AS length", "true AS advisory", "'' AS detail")
+    given = writers.annotation_features(told.localCheckpoint(), f.select("seq_id", F.lit(90_000).alias("length")), none, derive(spark, str(tmp_path), "domain_hits").where("seq_id % 13 <> 0"))
+    summary = repeats.record_summary(f.selectExpr("seq_id", "1 AS length", "1 AS a", "0 AS c", "0 AS g", "0 AS t", "0 AS n", "0 AS ambiguous", "0.0 AS gc_pct"), calls, f.selectExpr("seq_id", "false AS advisory", "'LTR' AS kind").where("false"), ledger)
+    for df in (flags, made[0], term, given):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert "seq_id" in summary.columns and summary._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 1
+    # one pass over flags says what calls, ledger and terms joined say
+    joined = term.join(calls.drop("te_class"), "seq_id").join(ledger, "seq_id")
+    one = rollup.annotated_elements(f).where("seq_id IS NOT NULL")
+    assert sorted(map(str, one.collect())) == sorted(map(str, joined.select(*one.columns).collect())) and one.count() > 1000
+    assert lines == sorted(r["value"] for r in writers.gff3_lines(given).collect()) and len(lines) > 4000 and all(x[0].isdigit() for x in lines)
